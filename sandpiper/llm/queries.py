@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sandpiper.llm.shards import shard_documents
 from sandpiper.llm.simhash import near_duplicates
+from sandpiper.llm.substrings import removal_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,28 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_neardup, op8_sharding)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_neardup, op8_sharding, op10_substring_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), starts AS (
+            SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM w WHERE len(words) >= 20
+        ), keyed AS (
+            SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(words[s : s + 19], ' ') ORDER BY doc_id, s) AS nth FROM starts
+        ), gone AS (
+            SELECT DISTINCT doc_id, s + unnest(range(0, 20)) AS pos FROM keyed WHERE nth > 1
+        ), each AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w
+        ), kept AS (
+            SELECT e.doc_id, count(g.pos) AS n_removed, string_agg(e.word, ' ' ORDER BY e.pos) FILTER (WHERE g.pos IS NULL) AS left_text
+            FROM each e LEFT JOIN gone g USING (doc_id, pos) GROUP BY e.doc_id
+        )
+        SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.left_text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept k USING (doc_id)""",
+}
