@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sandpiper.llm.bpe import encode_decode
+from sandpiper.llm.packing import pack
 from sandpiper.llm.shards import shard_documents
 from sandpiper.llm.simhash import near_duplicates
 from sandpiper.llm.substrings import removal_digest
@@ -17,6 +21,15 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -25,7 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_neardup, op8_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op4_simhash_neardup, op5_bpe, op6_packing, op8_sharding, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_substring_dedup": r"""
