@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sandpiper.llm.bpe import encode_decode
 from sandpiper.llm.packing import pack
+from sandpiper.llm.quality import judged
 from sandpiper.llm.shards import shard_documents
 from sandpiper.llm.simhash import near_duplicates
 from sandpiper.llm.substrings import removal_digest
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_neardup, op5_bpe, op6_packing, op8_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_simhash_neardup, op5_bpe, op6_packing, op8_sharding, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_substring_dedup": r"""
