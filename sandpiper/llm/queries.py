@@ -12,6 +12,8 @@ from sandpiper.llm.quality import judged
 from sandpiper.llm.shards import shard_documents
 from sandpiper.llm.simhash import near_duplicates
 from sandpiper.llm.substrings import removal_digest
+from sandpiper.llm.topk import quantised, topk
+from sandpiper.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return topk(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,13 +46,28 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_simhash_neardup, op5_bpe, op6_packing, op8_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_exact_topk, op4_simhash_neardup, op5_bpe, op6_packing, op8_sharding, op9_toxicity, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, v.e)]) AS BIGINT) AS score
+            FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM pairs
+        )
+        SELECT * FROM ranked WHERE "rank" <= 5""",
     "op10_substring_dedup": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
