@@ -32,8 +32,9 @@ def test_features_are_words_pairs_and_skips():
 
 def test_weights_are_sparse():
     rng = np.random.default_rng(1)
-    rows = [np.unique(rng.integers(0, 5000, 80)) for _ in range(1500)]
-    labels = np.array([float(r[0] < 60) for r in rows])
+    rows = [np.unique(rng.integers(60, 5000, 80)) for _ in range(1500)]
+    labels = (np.arange(1500) % 5 == 0).astype(float)
+    rows = [np.append(r, i % 50) if i % 5 == 0 else r for i, r in enumerate(rows)]
     bias, at, value = ftrl(rows, labels, 13)
     assert 0 < len(at) < 1500 and at[np.argmax(value)] < 60 and bias < 0
 
