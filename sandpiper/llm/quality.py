@@ -18,7 +18,8 @@ SYMBOLS = "#*$%&|<>"
 MODEL_LIMIT = 6_000_000
 #: Languages whose bands are broadcast at most; with more, they are joined.
 LANGS_LIMIT = 10_000
-GRAMS_HELD = 2_000_000
+#: They bound the memory of a task: text taken at a time, n-grams merged at a time, held, and sent at a time.
+PARCEL_BYTES, MERGE_ROWS, GRAMS_HELD, EMIT_ROWS = 1 << 20, 400_000, 1_000_000, 50_000
 
 
 # -- surface counts ---------------------------------------------------------
@@ -109,50 +110,48 @@ def count_grams(docs: DataFrame, most_symbols: int = 10) -> DataFrame:
     """
     ship(docs.sparkSession)
 
-    def flush(held: dict[str, list]):
-        for lang, parts in held.items():
-            grams = "".join(p[0] for p in parts)
-            rows = [grams[i : i + ORDER] for i in range(0, len(grams), ORDER)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(rows), pa.array(np.concatenate([p[1] for p in parts]))], names=["lang", "gram", "c"])
-
     def run(batches):
         hashes: dict[str, int] = {}
-        keys, counts, codes, owner = np.zeros(0, U), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
         names: list[str] = []
         index: dict[str, int] = {}
+        held: list[tuple] = []  # (keys, counts, code points, languages), each with distinct keys
 
-        def emit():
-            for k in np.unique(owner):
-                mine = owner == k
-                text = np.ascontiguousarray(codes[mine]).tobytes().decode("utf-32-le")
-                yield from flush({names[k]: [(text, counts[mine])]})
-
-        for batch in parcels(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            langs = batch.column("lang").to_pylist()
-            g = Grams(texts, langs, hashes)
+        def merged():
+            keys, counts, codes, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            ranked = keys[order]
+            runs = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+            one = order[runs]
+            return ranked[runs], np.add.reduceat(counts[order], runs), codes[one], owner[one]
+
+        def emit(_, counts, codes, owner):
+            for at in range(0, len(counts), EMIT_ROWS):
+                text = np.ascontiguousarray(codes[at : at + EMIT_ROWS]).tobytes().decode("utf-32-le")
+                rows = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in owner[at : at + EMIT_ROWS]]), pa.array(rows), pa.array(counts[at : at + EMIT_ROWS])], names=["lang", "gram", "c"])
+
+        for batch in parcels(batches, most_bytes=PARCEL_BYTES):
+            raw, langs = binary(batch, "text"), batch.column("lang").to_pylist()
+            has = surface(raw)
+            sound = ~failed(has) & (100 * has["n_symbols"] <= most_symbols * has["n_words"])
+            g = Grams([t.decode() for t in raw], langs, hashes)
             for lang in langs:
                 if lang not in index:
                     index[lang] = len(names)
                     names.append(lang)
-            has = surface([t.encode() for t in texts])
-            sound = ~failed(has) & (100 * has["n_symbols"] <= most_symbols * has["n_words"])
             order = np.argsort(g.keys)
             ranked = g.keys[order]
             runs = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            found, where = ranked[runs], order[runs]
+            where = order[runs]
             times = np.add.reduceat(np.repeat(sound, g.size)[order].astype(np.int64), runs)
-            of = np.repeat(np.array([index[x] for x in langs], np.int64), g.size)[where]
-            rows = g.codes[g.at[where][:, None] + np.arange(ORDER)]
-            both, first, back = np.unique(np.concatenate([keys, found]), return_index=True, return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([counts, times]), minlength=len(both)).astype(np.int64)
-            codes = np.concatenate([codes, rows])[first]
-            owner = np.concatenate([owner, of])[first]
-            keys = both
-            if len(keys) > GRAMS_HELD:
-                yield from emit()
-                keys, counts, codes, owner = keys[:0], counts[:0], codes[:0], owner[:0]
-        yield from emit()
+            of = np.repeat(np.array([index[x] for x in langs], np.int32), g.size)[where]
+            held.append((ranked[runs], times, g.codes[g.at[where][:, None] + np.arange(ORDER)], of))
+            if sum(len(h[0]) for h in held[1:]) > MERGE_ROWS:
+                held = [merged()]
+                if len(held[0][0]) > GRAMS_HELD:
+                    yield from emit(*held.pop())
+        if held:
+            yield from emit(*merged())
 
     return docs.select(lang_key(), "text").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -245,7 +244,7 @@ def scored(docs: DataFrame, model_limit: int = MODEL_LIMIT) -> DataFrame:
     def direct(batches):
         hashes: dict[str, int] = {}
         keys, bits = table.value
-        for batch in parcels(batches):
+        for batch in parcels(batches, most_bytes=PARCEL_BYTES):
             raw = binary(batch, "text")
             g = Grams([t.decode() for t in raw], batch.column("lang").to_pylist(), hashes)
             unique, back = np.unique(g.keys, return_inverse=True)
