@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandpiper.llm.bpe import encode_decode
+from sandpiper.llm.lines import drop_lines
 from sandpiper.llm.packing import pack
 from sandpiper.llm.quality import judged
 from sandpiper.llm.shards import shard_documents
@@ -42,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_exact_topk, op4_simhash_neardup, op5_bpe, op6_packing, op8_sharding, op9_toxicity, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_exact_topk, op4_simhash_neardup, op5_bpe, op6_packing, op7_line_dedup, op8_sharding, op9_toxicity, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": """
