@@ -17,47 +17,43 @@ QUERY_ROWS = 1024
 DEPTH = 32
 
 
-def threshold_topk(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, lists: np.ndarray, skip: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of a block, ties to the smaller id; ``skip`` takes no part.
+def threshold_topk(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, lists: np.ndarray, skip: int) -> tuple[list[tuple[int, int]], int]:
+    """The k best (score, id) of a block, ties to the smaller id, and the depth read; ``skip`` takes no part.
 
-    lists[:, d]: the rows by falling value of dimension d (read from the end where the query is negative there). The lists
-    are read DEPTH rows at a time; every row met is scored in full. It stops when the bound, the score of a row that
-    would stand at the depth reached in every list, is below the k-th best score.
+    lists[d]: the rows by falling value of dimension d (read from the end where the query is negative there). The lists
+    are read to a depth of DEPTH, then twice that and so on; every row met is scored in full. It stops when the bound, the
+    score of a row that would stand at the depth reached in every list, is below the k-th best score, or all rows are met.
     """
     n = len(ids)
-    dims = np.flatnonzero(query)
-    down = query[dims] < 0
-    seen = np.zeros(n, bool)
-    seen_id = np.flatnonzero(ids == skip)
-    seen[seen_id] = True
-    best: list[tuple[int, int]] = []
-    depth = 0
-    while depth < n:
-        upto = min(depth + DEPTH, n)
-        if len(dims):
-            front = lists[depth:upto][:, dims]
-            back = lists[n - upto : n - depth][:, dims]
-            met = np.unique(np.where(down, back, front))
-            met = met[~seen[met]]
+    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+    seen = ids == skip
+    rest = n - int(seen.sum())
+    score = np.empty(n, vectors.dtype)
+    kept = np.zeros(0, np.int64)
+    depth, upto = 0, DEPTH
+    while rest:
+        upto = min(upto, n) if len(up) or len(down) else n
+        near = np.zeros(n, bool)
+        if upto == n:
+            near[:] = True
         else:
-            met = np.flatnonzero(~seen)
-            upto = n
+            near[lists[up, depth:upto]] = True
+            near[lists[down, n - upto : n - depth]] = True
+        met = np.flatnonzero(near & ~seen)
         seen[met] = True
-        if len(met):
-            score = vectors[met] @ query
-            if len(met) > k:
-                score_k = np.partition(score, len(score) - k)[len(score) - k]
-                high = np.flatnonzero(score >= score_k)
-                met, score = met[high], score[high]
-            order = np.lexsort((ids[met], -score))[:k]
-            best = sorted([*best, *zip(score[order].tolist(), ids[met[order]].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
-        depth = upto
-        if len(best) == k and depth < n and len(dims):
-            last = np.where(down, lists[n - depth][dims], lists[depth - 1][dims])
-            bound = (vectors[last, dims] * query[dims]).sum()
-            if bound < best[-1][0]:
+        rest -= len(met)
+        score[met] = vectors[met] @ query
+        kept = np.concatenate([kept, met])
+        if len(kept) > k:
+            least = np.partition(score[kept], len(kept) - k)[len(kept) - k]
+            kept = kept[score[kept] >= least]
+        depth, upto = upto, 2 * upto
+        if len(kept) >= k and rest:
+            bound = (vectors[lists[up, depth - 1], up] * query[up]).sum() + (vectors[lists[down, n - depth], down] * query[down]).sum()
+            if bound < score[kept].min():
                 break
-    return best
+    order = np.lexsort((ids[kept], -score[kept]))[:k]
+    return list(zip(score[kept[order]].astype(np.int64).tolist(), ids[kept[order]].tolist(), strict=True)), depth
 
 
 def quantised(rows: DataFrame) -> DataFrame:
@@ -99,11 +95,13 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         found: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
             all_rows, ids, asked = matrix(left), left.column("vec_id").to_numpy(), matrix(right)
+            if float(np.abs(all_rows).max(initial=0)) * float(np.abs(asked).max(initial=0)) * width < 1 << 53:
+                all_rows, asked = all_rows.astype(np.float64), asked.astype(np.float64)  # sums are exact, and faster
             for at in range(0, len(ids), 2 * BLOCK_ROWS):
                 rows, own = all_rows[at : at + 2 * BLOCK_ROWS], ids[at : at + 2 * BLOCK_ROWS]
-                lists = np.argsort(-rows, axis=0, kind="stable").astype(np.int32)
+                lists = np.ascontiguousarray(np.argsort(-rows, axis=0, kind="stable").T.astype(np.int32))
                 for q, query in zip(right.column("vec_id").to_pylist(), asked, strict=True):
-                    found += [(q, i, s) for s, i in threshold_topk(rows, own, query, k, lists, q)]
+                    found += [(q, i, s) for s, i in threshold_topk(rows, own, query, k, lists, q)[0]]
         return pa.table({name: pa.array([r[c] for r in found], pa.int64()) for c, name in enumerate(("query_id", "vec_id", "score"))})
 
     near = cells(vectors, blocks, q_blocks, True).groupBy("block", "q_block").cogroup(cells(queries, q_blocks, blocks, False).groupBy("block", "q_block"))

@@ -39,18 +39,11 @@ def test_stops_early_where_the_bound_allows():
     rng = np.random.default_rng(0)
     vectors = rng.integers(0, 10, (5000, 3))
     vectors[:10] = 200
-    reads = []
-
-    class Lists(np.ndarray):
-        def __getitem__(self, key):
-            if isinstance(key, slice):
-                reads.append(key.stop)
-            return super().__getitem__(key)
-
-    lists = np.argsort(-vectors, axis=0, kind="stable").view(Lists)
-    got = threshold_topk(vectors, np.arange(5000), np.array([1, 2, 0]), 5, lists, 0)
-    assert got == [(600, i) for i in range(1, 6)]
-    assert len(reads) == 2 and reads[0] == DEPTH
+    lists = np.argsort(-vectors, axis=0, kind="stable").T
+    got, depth = threshold_topk(vectors, np.arange(5000), np.array([1, 2, 0]), 5, lists, 0)
+    assert got == [(600, i) for i in range(1, 6)] and depth == DEPTH
+    vectors[:10] = 0
+    assert threshold_topk(vectors, np.arange(5000), np.array([1, 2, -3]), 5, np.argsort(-vectors, axis=0, kind="stable").T, 0)[1] > DEPTH
 
 
 def test_odd_rows(spark):
