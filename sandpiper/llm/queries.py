@@ -15,6 +15,7 @@ from sandpiper.llm.simhash import near_duplicates
 from sandpiper.llm.substrings import removal_digest
 from sandpiper.llm.topk import quantised, topk
 from sandpiper.llm.toxicity import toxicity
+from sandpiper.llm.urls import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("block", "com", "en/"), ("allow", "example.com", "en/7"), ("allow", "net", "de/"), ("block", "example.net", "de/8"), ("block", "org", "es/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(table(spark, sf_dir, "embeddings"))
     return topk(vectors, vectors.filter("vec_id % 50 = 0"), 5)
@@ -59,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_exact_topk, op4_simhash_neardup, op5_bpe, op6_packing, op7_line_dedup, op8_sharding, op9_toxicity, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_exact_topk, op4_simhash_neardup, op5_bpe, op6_packing, op7_line_dedup, op8_sharding, op9_toxicity, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": """
