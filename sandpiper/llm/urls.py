@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: (action, host, path prefix)
 Rule = tuple[str, str, str]
-BUCKETS = 1024
+BUCKETS = 4096
 GRAM = 3
 #: Labelled URLs that are learnt from at most; a larger table is refused, as the fit runs in one task.
 TRAIN_ROWS = 2000
@@ -25,7 +25,7 @@ def seed_urls() -> list[tuple[str, int]]:
     """The labelled URLs: blocked and harmless names in the same kinds of hosts and paths."""
     made = ["".join((a, b, SYLLABLES[(3 * i + j) % len(SYLLABLES)])) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) if (i + j) % 2]
     names = [(w, 1) for w in BLOCK_WORDS] + [(w, 0) for w in (*ALLOW_WORDS, *made)]
-    return [(f"https://{PREFIXES[(n + k) % 4]}{name}.example.{SUFFIXES[(n // 4 + k) % 3]}/{PATHS[(n + 3 * k) % len(PATHS)]}", label) for n, (name, label) in enumerate(names) for k in range(3 if label else 2)]
+    return [(f"https://{PREFIXES[(n + k) % 4]}{name}.example.{SUFFIXES[(n // 4 + k) % 3]}/{PATHS[(n + 3 * k) % len(PATHS)]}", label) for n, (name, label) in enumerate(names) for k in range(7 if label else 2)]
 
 
 def host(url: Column) -> Column:
@@ -58,7 +58,7 @@ def grams(host_col: Column, path_col: Column, buckets: int = BUCKETS, n: int = G
     return F.array_distinct(F.concat(of("h", host_col), of("p", path_col)))
 
 
-def train(spark: SparkSession, labelled: DataFrame | None = None, buckets: int = BUCKETS, epochs: int = 6, rate: float = 1.0, decay: float = 0.0005) -> list[float]:
+def train(spark: SparkSession, labelled: DataFrame | None = None, buckets: int = BUCKETS, epochs: int = 10, rate: float = 1.0, decay: float = 0.0005) -> list[float]:
     """Weights (bias last), by gradient steps over the labelled URLs (url, label), one after the other.
 
     The fold runs as one SQL expression over the gathered rows, of which there are TRAIN_ROWS at most. Rows with a null url or
