@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sandpiper.llm.chunks import Keys, answers, bucket_count, chunked, first_pass, next_pass
 from sandpiper.llm.tokens import BUCKET_BASE, U, WINDOW_BASE, Words, binary, mix, powers, split_words
+from sandpiper.session import cut
 
 #: Shortest line, in words, that a word may be deleted from: one edit in five leaves a similarity of 0.8.
 LEAST_WORDS = 5
@@ -120,7 +121,8 @@ def line_flags(marked: DataFrame, total: int) -> DataFrame:
         none = np.zeros(len(again), np.int64)
         return pa.table({"line": pa.array(own), "key": pa.array(np.concatenate([v.key[hit].view(np.int64), none])), "other": pa.array(np.concatenate([v.other[hit].view(np.int64), none])), "place": pa.array(np.concatenate([v.place[hit], none - 2]).astype(np.int32))})
 
-    found = next_pass(marked, known, candidates, "line long, key long, other long, place int")
+    # read three times below, so it is written once
+    found = cut(next_pass(marked, known, candidates, "line long, key long, other long, place int"))
     copies = found.filter("place = -2").select("line")
     met = found.filter("place > -2")
     # who is first with a key: among lines that have it with the same word deleted, among whole lines, among cut ones
@@ -148,7 +150,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     marked, total = chunked(docs.select(*own))
 
-    def cut(table: pa.Table, known: pa.Table, chunk: int) -> pa.Table:
+    def drop(table: pa.Table, known: pa.Table, chunk: int) -> pa.Table:
         gone = set(known.column("number").to_pylist())
         texts = binary(table, "text")
         left, n_lines, n_dropped, at = [], [], [], 0
@@ -165,4 +167,4 @@ def drop_lines(docs: DataFrame) -> DataFrame:
         return pa.table(out | {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
 
     fields = [StructField("text", StringType()) if f.name == "text" else f for f in docs.select(*own).schema]
-    return next_pass(marked, line_flags(marked, total), cut, StructType([*fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())]))
+    return next_pass(marked, line_flags(marked, total), drop, StructType([*fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())]))
