@@ -32,9 +32,9 @@ def bars(spark: SparkSession, sf_dir: str, tf: str = "H1") -> DataFrame:
     return src.candles(ticks(spark, sf_dir), tf)
 
 
-def tidy(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def tidy(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(*keys, *((F.round(c, 6) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c).cast("int").alias(c) if kinds[c] in ("tinyint", "boolean") else F.col(c) for c in values))
+    return df.select(*keys, *((F.round(c, digits) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c).cast("int").alias(c) if kinds[c] in ("tinyint", "boolean") else F.col(c) for c in values))
 
 
 def on_bars(name: str, make: Callable[[DataFrame], DataFrame], values: list[str], sql: str | None = None, tf: str = "H1") -> None:
@@ -56,8 +56,8 @@ def w(n: int) -> str:
     return f"({S} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def r6(expr: str, name: str) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
+def r6(expr: str, name: str, digits: int = 6) -> str:
+    return f"ROUND(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
 def full(expr: str, n: int, c: str = "close") -> str:
@@ -215,3 +215,231 @@ on_bars("parabolic_sar", rec.parabolic_sar, ["psar"])
 on_bars("supertrend", rec.supertrend, ["supertrend", "supertrend_dir"])
 on_bars("market_structure", lambda b: pat.market_structure(rec.zigzag(b, 0.2)).fillna("", ["structure"]), ["zz", "zz_price", "structure", "bos", "choch", "regime"])
 on_bars("divergence", lambda b: roll.divergence(rec.rsi(b)), ["div_bear", "div_bull"])
+
+# -- calendar and patterns --------------------------------------------------------
+
+
+def _time_sql() -> str:
+    dow = "isodow(ts) - 1"
+    month_end = "CAST(ts AS DATE) = last_day(ts)"
+    ints = {
+        "hour": "hour(ts)", "minute": "minute(ts)", "day_of_week": dow, "day_of_month": "day(ts)", "day_of_year": "dayofyear(ts)", "week_of_year": "week(ts)", "month": "month(ts)", "quarter": "quarter(ts)",
+        "session_asia": "hour(ts) < 8", "session_london": "hour(ts) BETWEEN 8 AND 15", "session_newyork": "hour(ts) BETWEEN 13 AND 20", "is_weekend": f"{dow} >= 5", "is_month_start": "day(ts) = 1", "is_month_end": month_end,
+        "is_quarter_start": "day(ts) = 1 AND month(ts) IN (1, 4, 7, 10)", "is_quarter_end": f"{month_end} AND month(ts) IN (3, 6, 9, 12)", "market_open_flag": "hour(ts) = 8", "market_close_flag": "hour(ts) = 21",
+        "is_new_day": f"coalesce(CAST(lag(ts) OVER ({S}) AS DATE) <> CAST(ts AS DATE), true)",
+    }
+    waves = {"hour": ("hour(ts)", 24), "day_of_week": (dow, 7), "month": ("month(ts) - 1", 12)}
+    cols = [f"CAST({v} AS INTEGER) AS {k}" for k, v in ints.items()] + [r6(f"{fn}(2 * pi() * ({v}) / {n})", f"{fn}_{k}") for fn in ("sin", "cos") for k, (v, n) in waves.items()]
+    return f"WITH {bars_cte()} SELECT symbol, ts, {', '.join(cols)} FROM b"
+
+
+on_bars("time_features", add_time_features, list(FEATURES), _time_sql())
+
+
+def _pattern_sql() -> str:
+    body, up, dn, rng = "abs(close - open)", "(high - greatest(open, close))", "(least(open, close) - low)", "(high - low)"
+    flags = {
+        "engulf_bull": "c1 < o1 AND close > open AND close >= o1 AND open <= c1", "engulf_bear": "c1 > o1 AND close < open AND open >= c1 AND close <= o1",
+        "doji": f"{body} / nullif({rng}, 0) <= 0.2", "pin_bull": f"{dn} >= 2 * {body} AND {up} <= {body}", "pin_bear": f"{up} >= 2 * {body} AND {dn} <= {body}",
+        "hammer": f"{body} / nullif({rng}, 0) >= 0 AND {dn} >= 2 * {body} AND {up} <= 1.25 * {body}", "shooting_star": f"{body} / nullif({rng}, 0) >= 0 AND {up} >= 2 * {body} AND {dn} <= 1.25 * {body}",
+        "harami_bull": "c1 < o1 AND close > open AND greatest(open, close) <= greatest(o1, c1) AND least(open, close) >= least(o1, c1)", "harami_bear": "c1 > o1 AND close < open AND greatest(open, close) <= greatest(o1, c1) AND least(open, close) >= least(o1, c1)",
+        "inside_bar": "high < h1 AND low > l1", "outside_bar": "high > h1 AND low < l1",
+        "marubozu_bull": f"{up} / nullif({rng}, 0) <= 0.1 AND {dn} / nullif({rng}, 0) <= 0.1 AND close > open", "marubozu_bear": f"{up} / nullif({rng}, 0) <= 0.1 AND {dn} / nullif({rng}, 0) <= 0.1 AND close < open",
+        "tweezer_top": "abs(high - h1) / nullif(h1, 0) <= 0.001", "tweezer_bottom": "abs(low - l1) / nullif(l1, 0) <= 0.001",
+        "three_soldiers": "close > open AND c1 > o1 AND c2 > o2 AND close > c1 AND c1 > c2", "three_crows": "close < open AND c1 < o1 AND c2 < o2 AND close < c1 AND c1 < c2",
+        "morning_star": "c2 < o2 AND abs(c1 - o1) <= 0.3 * abs(c2 - o2) AND close > open AND close >= (o2 + c2) / 2", "evening_star": "c2 > o2 AND abs(c1 - o1) <= 0.3 * abs(c2 - o2) AND close < open AND close <= (o2 + c2) / 2",
+        "piercing": "c1 < o1 AND close > open AND open < c1 AND close > (o1 + c1) / 2 AND close < o1", "dark_cloud": "c1 > o1 AND close < open AND open > c1 AND close < (o1 + c1) / 2 AND close > o1",
+        "belt_bull": f"close > open AND (open - low) / nullif({rng}, 0) <= 0.1", "belt_bear": f"close < open AND (high - open) / nullif({rng}, 0) <= 0.1",
+    }
+    _pattern_sql.names = list(flags)
+    back = ", ".join(f"lag({c}, {k}) OVER ({S}) AS {c[0]}{k}" for c in CANDLE[:4] for k in (1, 2))
+    return f"WITH {bars_cte()}, x AS (SELECT *, {back} FROM b) SELECT symbol, ts, {', '.join(f'CAST(coalesce({v}, false) AS INTEGER) AS {k}' for k, v in flags.items())} FROM x"
+
+
+_sql = _pattern_sql()
+on_bars("candle_patterns", pat.all_patterns, _pattern_sql.names, _sql)
+
+ATR14 = full(f"avg(tr) OVER {w(14)}", 14)
+P5 = f"({S} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+on_bars("fair_value_gap", pat.fair_value_gap, ["fvg", "fvg_bottom", "fvg_top"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, lag(high, 2) OVER ({S}) AS h2, lag(low, 2) OVER ({S}) AS l2 FROM b), k AS (SELECT *, CASE WHEN h2 < low THEN 1 WHEN l2 > high THEN -1 ELSE 0 END AS k FROM x),
+    z AS (SELECT *, CASE k WHEN 1 THEN h2 WHEN -1 THEN high END AS bo, CASE k WHEN 1 THEN low WHEN -1 THEN l2 END AS t FROM k)
+    SELECT symbol, ts, CAST(coalesce(lag(k) OVER ({S}), 0) AS INTEGER) AS fvg, {r6(f'lag(bo) OVER ({S})', 'fvg_bottom')}, {r6(f'lag(t) OVER ({S})', 'fvg_top')} FROM z""")
+on_bars("liquidity_sweep", lambda b: pat.liquidity_sweep(roll.atr_classic(b)), ["sweep", "sweep_top", "sweep_bottom"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr FROM b), x AS (SELECT *, {ATR14} AS a, max(high) OVER {P5} AS hi, min(low) OVER {P5} AS lo FROM t),
+    k AS (SELECT *, CASE WHEN high > hi AND close < hi AND (high - greatest(open, close)) / nullif(a, 0) >= 0.5 THEN -1 WHEN low < lo AND close > lo AND (least(open, close) - low) / nullif(a, 0) >= 0.5 THEN 1 ELSE 0 END AS k FROM x)
+    SELECT symbol, ts, CAST(coalesce(lag(k) OVER ({S}), 0) AS INTEGER) AS sweep, {r6('CASE k WHEN -1 THEN high WHEN 1 THEN lo END', 'sweep_top')}, {r6('CASE k WHEN -1 THEN hi WHEN 1 THEN low END', 'sweep_bottom')} FROM k""")
+P3 = f"({S} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
+on_bars("supply_demand", lambda b: pat.supply_demand(roll.atr_classic(b)), ["sd", "sd_bottom", "sd_top"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr FROM b), x AS (SELECT *, {ATR14} AS a FROM t), q AS (SELECT *, CAST(coalesce((high - low) / nullif(a, 0) <= 0.6, false) AS INTEGER) AS q FROM x),
+    s AS (SELECT *, coalesce((high - low) / nullif(a, 0) >= 1.2 AND abs(close - open) / nullif(high - low, 0) >= 0.55 AND sum(q) OVER {P3} = 3, false) AS st, min(low) OVER {P3} AS bo, max(high) OVER {P3} AS tp FROM q),
+    k AS (SELECT *, CASE WHEN st AND close > open THEN 1 WHEN st AND close < open THEN -1 ELSE 0 END AS k FROM s)
+    SELECT symbol, ts, CAST(k AS INTEGER) AS sd, {r6('CASE WHEN k <> 0 THEN bo END', 'sd_bottom')}, {r6('CASE WHEN k <> 0 THEN tp END', 'sd_top')} FROM k""")
+LASTO = lambda test, v: f"last_value(CASE WHEN {test} THEN {v} END IGNORE NULLS) OVER {P5}"
+on_bars("order_block", pat.order_block, ["ob", "ob_bottom", "ob_top"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, CASE WHEN close > max(high) OVER {P5} THEN 1 WHEN close < min(low) OVER {P5} THEN -1 ELSE 0 END AS k,
+        {LASTO('close < open', 'low')} AS dl, {LASTO('close < open', 'high')} AS dh, {LASTO('close > open', 'low')} AS ul, {LASTO('close > open', 'high')} AS uh FROM b),
+    z AS (SELECT *, CASE k WHEN 1 THEN dl WHEN -1 THEN ul END AS bo, CASE k WHEN 1 THEN dh WHEN -1 THEN uh END AS t FROM x)
+    SELECT symbol, ts, CAST(CASE WHEN lag(t) OVER ({S}) IS NOT NULL THEN lag(k) OVER ({S}) ELSE 0 END AS INTEGER) AS ob, {r6(f'lag(bo) OVER ({S})', 'ob_bottom')}, {r6(f'lag(t) OVER ({S})', 'ob_top')} FROM z""")
+
+
+def run_sql(c: str, source: str, out: str) -> str:
+    """A CTE with the run length of a 0/1 column."""
+    return f"{out}_g AS (SELECT *, sum(1 - {c}) OVER {ALLW} AS g_{out} FROM {source}), {out}_t AS (SELECT *, sum({c}) OVER (PARTITION BY symbol, g_{out} ORDER BY ts) AS {out} FROM {out}_g)"
+
+
+on_bars("breakouts", lambda b: pat.breakouts(b, 20, 10, 2), ["range_high", "range_low", "break_up", "break_down"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, CASE WHEN count(high) OVER {w(20)} >= 10 THEN max(high) OVER {w(20)} END AS hi, CASE WHEN count(low) OVER {w(20)} >= 10 THEN min(low) OVER {w(20)} END AS lo FROM b),
+    f AS (SELECT *, CAST(coalesce(close > lag(hi) OVER ({S}), false) AS INTEGER) AS a, CAST(coalesce(close < lag(lo) OVER ({S}), false) AS INTEGER) AS z FROM x), {run_sql('a', 'f', 'ra')}, {run_sql('z', 'ra_t', 'rz')}
+    SELECT symbol, ts, {r6('hi', 'range_high')}, {r6('lo', 'range_low')}, coalesce(lag(CAST(ra >= 2 AS INTEGER)) OVER ({S}), 0) AS break_up, coalesce(lag(CAST(rz >= 2 AS INTEGER)) OVER ({S}), 0) AS break_down FROM rz_t""")
+on_bars("microchannels", pat.microchannels, ["mc", "mc_length"], f"""
+    WITH {bars_cte()}, f AS (SELECT *, CAST(coalesce((high - close) / nullif(high - low, 0) <= 0.2, false) OR coalesce(low > lag(low) OVER ({S}), false) AS INTEGER) AS u,
+        CAST(coalesce((close - low) / nullif(high - low, 0) <= 0.2, false) OR coalesce(high < lag(high) OVER ({S}), false) AS INTEGER) AS d FROM b), {run_sql('u', 'f', 'ru')}, {run_sql('d', 'ru_t', 'rd')},
+    k AS (SELECT *, CASE WHEN ru >= 3 AND ru >= rd THEN 1 WHEN rd >= 3 THEN -1 ELSE 0 END AS k FROM rd_t)
+    SELECT symbol, ts, CAST(k AS INTEGER) AS mc, CAST(CASE k WHEN 1 THEN ru WHEN -1 THEN rd ELSE 0 END AS BIGINT) AS mc_length FROM k""")
+on_bars("regime", lambda b: pat.regime(roll.atr_classic(b)).fillna("", ["regime_label"]), ["width_atr", "spike_atr", "slope_atr", "regime_label"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr, row_number() OVER ({S}) AS rn FROM b),
+    x AS (SELECT *, {ATR14} AS a, {full(f'regr_slope(close, rn) OVER {w(12)}', 12)} AS sl, quantile_cont(close, 0.75) OVER {w(20)} - quantile_cont(close, 0.25) OVER {w(20)} AS iq FROM t),
+    y AS (SELECT *, iq / nullif(a, 0) AS wa, (high - low) / nullif(a, 0) AS sp, sl / nullif(a, 0) AS sa FROM x)
+    SELECT symbol, ts, {r6('wa', 'width_atr')}, {r6('sp', 'spike_atr')}, {r6('sa', 'slope_atr')}, CASE WHEN sp >= 2.5 THEN 'spike' WHEN abs(sa) >= 0.1 THEN 'trend' WHEN wa IS NOT NULL THEN 'range' ELSE '' END AS regime_label FROM y""")
+
+# -- joins in time ----------------------------------------------------------------
+
+H4 = f"{bars_cte('H4', 'h4')}"
+
+
+def _align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    others = {tf: bars(spark, sf_dir, tf).withColumn("volume", F.col("volume").cast("double")) for tf in ("H4", "D1")}
+    return tidy(j.align(bars(spark, sf_dir), "H1", others, ["close", "volume"]), ["symbol", "ts"], ["close", "H4_close", "H4_volume", "D1_close", "D1_volume"])
+
+
+QUERIES["asof_align"] = _align
+ORACLE_SQL["asof_align"] = f"""WITH {bars_cte()}, {H4}, {bars_cte('D1', 'd1')}, x AS (SELECT *, ts + INTERVAL 60 MINUTE AS at FROM b),
+    a AS (SELECT *, ts + INTERVAL 240 MINUTE AS at FROM h4), d AS (SELECT *, ts + INTERVAL 1440 MINUTE AS at FROM d1)
+    SELECT x.symbol, x.ts, {r6('x.close', 'close')}, {r6('a.close', '"H4_close"')}, {r6('a.volume', '"H4_volume"')}, {r6('d.close', '"D1_close"')}, {r6('d.volume', '"D1_volume"')}
+    FROM x ASOF LEFT JOIN a ON x.symbol = a.symbol AND x.at >= a.at ASOF LEFT JOIN d ON x.symbol = d.symbol AND x.at >= d.at"""
+QUERIES["candle_lags"] = lambda s, d: tidy(j.candle_lags(bars(s, d).select("symbol", "ts"), bars(s, d, "H4").withColumn("volume", F.col("volume").cast("double")), "H4", ["close", "volume"], 3), ["symbol", "ts"], [f"H4_lag{k}_{c}" for k in range(3) for c in ("close", "volume")])
+ORACLE_SQL["candle_lags"] = f"""WITH {bars_cte()}, {H4}, a AS (SELECT symbol, ts + INTERVAL 240 MINUTE AS at, {', '.join(f'lag({c}, {k}) OVER ({S}) AS {c}{k}' for k in range(3) for c in ('close', 'volume'))} FROM h4)
+    SELECT b.symbol, b.ts, {', '.join(r6(f'close{k}', f'"H4_lag{k}_close"') + ', ' + r6(f'volume{k}', f'"H4_lag{k}_volume"') for k in range(3))} FROM b ASOF LEFT JOIN a ON b.symbol = a.symbol AND b.ts >= a.at"""
+QUERIES["exact_quotes"] = lambda s, d: tidy(j.exact_quotes(bars(s, d, "H4").select("symbol", "ts"), bars(s, d).withColumn("spread", F.col("volume") % 7), 0.01, False), ["symbol", "ts"], ["bid", "ask"])
+ORACLE_SQL["exact_quotes"] = f"WITH {bars_cte()}, {H4} SELECT h4.symbol, h4.ts, {r6('b.close', 'bid')}, {r6('b.close + b.volume % 7 * 0.01', 'ask')} FROM h4 LEFT JOIN b ON b.symbol = h4.symbol AND b.ts = h4.ts"
+QUERIES["positional_align"] = lambda s, d: tidy(j.positional(bars(s, d), bars(s, d, "H4"), "close", "high_close"), ["symbol", "ts"], ["close", "high_close"])
+ORACLE_SQL["positional_align"] = f"""WITH {bars_cte()}, {H4}, n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1), m AS (SELECT symbol, count(*) AS m FROM h4 GROUP BY 1),
+    x AS (SELECT b.*, row_number() OVER ({S.replace('symbol', 'b.symbol')}) - 1 AS i FROM b), y AS (SELECT symbol, close, row_number() OVER ({S}) - 1 AS k FROM h4)
+    SELECT x.symbol, x.ts, {r6('x.close', 'close')}, {r6('y.close', 'high_close')} FROM x JOIN n USING (symbol) JOIN m USING (symbol) JOIN y ON y.symbol = x.symbol AND y.k = least(x.i // greatest(1, n // m), m - 1)"""
+QUERIES["uneven_timeline"] = lambda s, d: j.same_timeline(bars(s, d, "H1"))
+ORACLE_SQL["uneven_timeline"] = f"WITH {bars_cte()} SELECT ts, count(DISTINCT symbol) AS n FROM b GROUP BY ts HAVING count(DISTINCT symbol) < (SELECT count(DISTINCT symbol) FROM b)"
+NEWS = [("2024-01-03", "09:30", " usd", "High", "Jobs", 1), ("2024-01-03", "10:00", "EUR", "orange", "Rates", 2), ("2024-01-10", "All Day", "USD", "medium", "Holiday talks", 3), ("2024-01-10", "All Day", "USD", "low", "Holiday talks", 4), ("2024-01-11", "Tentative", "GBP", "??", "Speech", 5), ("2024-01-12", "13:05", "usd", "red", "Prices", 6), ("never", "13:05", "usd", "red", "Lost", 7)]
+CURRENCIES = [("click", "USD"), ("click", "EUR"), ("view", "EUR"), ("error", "GBP"), ("purchase", "USD")]
+
+
+def _news(spark: SparkSession) -> DataFrame:
+    return j.normalise_news(spark.createDataFrame(NEWS, "date string, time string, currency string, impact string, event string, seq int"))
+
+
+QUERIES["news_events"] = lambda s, d: _news(s)
+NEWS_SQL = """(VALUES (TIMESTAMP '2024-01-03 09:30:00', 'USD', 'high', 'Jobs', 30, 15), (TIMESTAMP '2024-01-03 10:00:00', 'EUR', 'medium', 'Rates', 15, 15), (TIMESTAMP '2024-01-10 00:00:00', 'USD', 'medium', 'Holiday talks', 15, 15),
+    (TIMESTAMP '2024-01-11 00:00:00', 'GBP', 'low', 'Speech', 0, 0), (TIMESTAMP '2024-01-12 13:05:00', 'USD', 'high', 'Prices', 30, 15)) v(time_utc, currency, impact, title, before_min, after_min)"""
+ORACLE_SQL["news_events"] = f"SELECT * FROM {NEWS_SQL}"
+
+
+def _news_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame(CURRENCIES, "symbol string, currency string")
+    return j.news_gate(bars(spark, sf_dir, "M15").select("symbol", "ts"), _news(spark), pairs)
+
+
+QUERIES["news_gate"] = _news_gate
+ORACLE_SQL["news_gate"] = f"""WITH {bars_cte('M15')}, n AS (SELECT * FROM {NEWS_SQL}), c(symbol, currency) AS (VALUES {', '.join(map(str, CURRENCIES))}),
+    h AS (SELECT b.symbol, b.ts, max(CASE WHEN impact = 'high' THEN 1 ELSE 0 END) AS f, max(CASE WHEN impact = 'medium' THEN 1 ELSE 0 END) AS r, string_agg(DISTINCT title, ';' ORDER BY title) AS titles
+        FROM b JOIN c USING (symbol) JOIN n USING (currency) WHERE b.ts BETWEEN time_utc - to_minutes(before_min) AND time_utc + to_minutes(after_min) GROUP BY 1, 2)
+    SELECT b.symbol, b.ts, titles, coalesce(f, 0) AS freeze, CASE WHEN coalesce(f, 0) = 1 THEN 0 ELSE coalesce(r, 0) END AS reduce FROM b LEFT JOIN h ON h.symbol = b.symbol AND h.ts = b.ts"""
+
+# -- specifications and observations ------------------------------------------------
+
+SPECS = ["sma(close, 5)@H1", "bollinger_bands(close, 8, 2)@H1", "roc(n=3)@H4", "sma(period=5)", "williams_r(5)@H4"]
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = plans.features({"H1": bars(spark, sf_dir), "H4": bars(spark, sf_dir, "H4")}, SPECS, "H1")
+    obs = plans.observations(tables, "H1", shift=1, deny=["bb_width*", "bb_percent*"], lags={"H4": (["close"], 2)})
+    return tidy(obs, ["symbol", "ts"], [c for c in obs.columns if c not in ("symbol", "tf", "ts")])
+
+
+QUERIES["observations"] = _observations
+ORACLE_SQL["observations"] = f"""WITH {bars_cte()}, {H4},
+    f AS (SELECT symbol, ts, {full(f'avg(close) OVER {w(5)}', 5)} AS sma, {full(f'avg(close) OVER {w(8)}', 8)} AS mid, {full(f'stddev_pop(close) OVER {w(8)}', 8)} AS dev FROM b),
+    g AS (SELECT symbol, ts + INTERVAL 240 MINUTE AS at, (close - lag(close, 3) OVER ({S})) / nullif(lag(close, 3) OVER ({S}), 0) * 100 AS roc,
+        CASE WHEN count(*) OVER {w(5)} = 5 AND max(high) OVER {w(5)} - min(low) OVER {w(5)} >= 1e-9 THEN -100 * (max(high) OVER {w(5)} - close) / (max(high) OVER {w(5)} - min(low) OVER {w(5)}) END AS wr, close AS c0, lag(close) OVER ({S}) AS c1 FROM h4),
+    a AS (SELECT f.*, g.roc, g.wr FROM f ASOF LEFT JOIN g ON f.symbol = g.symbol AND f.ts + INTERVAL 60 MINUTE >= g.at),
+    s AS (SELECT symbol, ts, {', '.join(f'lag({c}) OVER ({S}) AS {c}' for c in ('sma', 'mid', 'dev', 'roc', 'wr'))} FROM a),
+    k AS (SELECT *, bool_or(sma IS NOT NULL AND mid IS NOT NULL AND roc IS NOT NULL AND wr IS NOT NULL) OVER {ALLW} AS ok FROM s)
+    SELECT k.symbol, k.ts, {r6('sma', 'sma_close_5__1_h1')}, {r6('mid + 2 * dev', 'bb_upper_close_8_2_0__1_h1')}, {r6('mid', 'bb_middle_close_8_2_0__1_h1')}, {r6('mid - 2 * dev', 'bb_lower_close_8_2_0__1_h1')},
+    {r6('k.roc', 'roc_close_3_h4')}, {r6('k.wr', 'williamsr_5__1_h4')}, {r6('g.c0', '"H4_lag0_close"')}, {r6('g.c1', '"H4_lag1_close"')} FROM k ASOF LEFT JOIN g ON k.symbol = g.symbol AND k.ts >= g.at WHERE ok"""
+
+# -- fills, risk and reports ----------------------------------------------------------
+
+
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as fills: two sides, lots of a hundredth of the quantity, quotes around the unit price."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    price = F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")
+    return lines.select(
+        F.col("l_orderkey").alias("execution_id"), F.col("l_linenumber").alias("fill_no"), F.col("l_suppkey").alias("account"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("side"), (F.col("l_quantity").cast("double") / 100).alias("lots"), (price - 0.5).alias("bid"), (price + 0.5).alias("ask"),
+        (F.col("l_tax").cast("double")).alias("slippage"), F.when(F.col("l_linestatus") == "O", "per_lot").when(F.col("l_returnflag") == "A", "percent_notional").otherwise("fixed").alias("commission_kind"),
+        F.lit(0.7).alias("commission_rate"), F.lit(0.05).alias("commission_minimum"),
+    )
+
+
+FILLS_SQL = """l AS (SELECT l_orderkey AS execution_id, l_linenumber AS fill_no, l_suppkey AS account, CAST(l_shipdate AS TIMESTAMP) AS ts, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side,
+        CAST(l_quantity AS DOUBLE) / 100 AS lots, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS p, CAST(l_tax AS DOUBLE) AS slippage,
+        CASE WHEN l_linestatus = 'O' THEN 'per_lot' WHEN l_returnflag = 'A' THEN 'percent_notional' ELSE 'fixed' END AS kind FROM lineitem),
+    f AS (SELECT *, p + side * 0.5 AS market, p + side * 0.5 + side * slippage AS fill_price, 0.5 * lots AS spread_cost, slippage * lots AS slippage_cost FROM l),
+    k AS (SELECT *, greatest(CASE kind WHEN 'fixed' THEN 0.7 WHEN 'per_lot' THEN 0.7 * lots ELSE 0.7 / 100 * fill_price * lots END, 0.05) AS commission FROM f),
+    c AS (SELECT *, spread_cost + slippage_cost + commission AS total_cost FROM k)"""
+COST = ["fill_price", "spread_cost", "slippage_cost", "commission", "total_cost"]
+QUERIES["fill_costs"] = lambda s, d: tidy(acc.fill_costs(_fills(s, d)), ["execution_id", "fill_no"], COST, 10)
+ORACLE_SQL["fill_costs"] = f"WITH {FILLS_SQL} SELECT execution_id, fill_no, {', '.join(r6(c, c, 10) for c in COST)} FROM c"
+
+
+def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = acc.fill_costs(_fills(spark, sf_dir))
+    actual = costs.filter("execution_id % 5 <> 0").withColumn("total_cost", F.col("total_cost") * F.when(F.col("fill_no") == 1, 1.1).otherwise(1.0))
+    return tidy(acc.reconcile(costs.filter("execution_id % 7 <> 0"), actual), ["execution_id"], ["expected", "actual", "variance", "status"], 10)
+
+
+QUERIES["reconcile_costs"] = _reconcile
+ORACLE_SQL["reconcile_costs"] = f"""WITH {FILLS_SQL}, e AS (SELECT execution_id, sum(total_cost) AS e FROM c WHERE execution_id % 7 <> 0 GROUP BY 1), a AS (SELECT execution_id, sum(total_cost * CASE WHEN fill_no = 1 THEN 1.1 ELSE 1.0 END) AS a FROM c WHERE execution_id % 5 <> 0 GROUP BY 1)
+    SELECT execution_id, {r6('coalesce(e, 0)', 'expected', 10)}, {r6('coalesce(a, 0)', 'actual', 10)}, {r6('coalesce(a, 0) - coalesce(e, 0)', 'variance', 10)}, CASE WHEN e IS NULL THEN 'unexpected' WHEN a IS NULL THEN 'missing' ELSE 'matched' END AS status FROM e FULL JOIN a USING (execution_id)"""
+ORDER = ["ts", "execution_id", "fill_no"]
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = acc.positions(acc.fill_costs(_fills(spark, sf_dir)), ("account",), ORDER).withColumn("equity", F.col("equity") + 1_000_000)
+    return tidy(acc.drawdown(rows, ("account",), ORDER), ["account", "execution_id", "fill_no"], ["position", "cash", "action", "equity", "peak", "total_drawdown", "daily_drawdown"])
+
+
+QUERIES["positions_drawdown"] = _positions
+A = "PARTITION BY account ORDER BY ts, execution_id, fill_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+ORACLE_SQL["positions_drawdown"] = f"""WITH {FILLS_SQL}, p AS (SELECT *, sum(side * lots) OVER ({A}) AS position, sum(-side * lots * fill_price - commission) OVER ({A}) AS cash FROM c),
+    q AS (SELECT *, position - side * lots AS old, cash + position * fill_price + 1000000 AS equity FROM p), r AS (SELECT *, max(equity) OVER ({A}) AS peak, first_value(equity) OVER ({A.replace('account', 'account, CAST(ts AS DATE)', 1)}) AS d0 FROM q)
+    SELECT account, execution_id, fill_no, {r6('position', 'position')}, {r6('cash', 'cash')},
+    CASE WHEN old = position THEN 'HOLD' WHEN old = 0 THEN 'OPEN' WHEN position = 0 THEN 'CLOSE' WHEN sign(old) <> sign(position) THEN 'REVERSE' WHEN abs(position) > abs(old) THEN 'INCREASE' ELSE 'REDUCE' END AS action,
+    {r6('equity', 'equity')}, {r6('peak', 'peak')}, {r6('greatest(0, (peak - equity) / nullif(peak, 0))', 'total_drawdown')}, {r6('greatest(0, (d0 - equity) / nullif(d0, 0))', 'daily_drawdown')} FROM r"""
+SIZES = ["lots", "loss_per_lot", "stop_lots", "final_lots", "margin"]
+QUERIES["position_sizing"] = lambda s, d: tidy(acc.sizing(roll.atr_classic(bars(s, d)).selectExpr("symbol", "ts", "close price", "close - 2 * atr stop_price", "10000D equity", "0.25D exposure", "0.01D risk")), ["symbol", "ts"], SIZES)
+ORACLE_SQL["position_sizing"] = f"""WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr FROM b), x AS (SELECT symbol, ts, close AS p, close - 2 * ({ATR14}) AS st FROM t), y AS (SELECT *, 2500 / nullif(p, 0) AS l, abs(p - st) AS d FROM x), z AS (SELECT *, 100 / nullif(d, 0) AS sl FROM y)
+    SELECT symbol, ts, {r6('l', 'lots')}, {r6('d', 'loss_per_lot')}, {r6('sl', 'stop_lots')}, {r6('least(l, sl)', 'final_lots')}, {r6('least(l, sl) * p / 30', 'margin')} FROM z"""
+QUERIES["risk_limits"] = lambda s, d: tidy(acc.risk_limits(roll.roc(bars(s, d), period=3).filter("roc IS NOT NULL").selectExpr("symbol", "ts", "roc / 100 exposure"), "ts"), ["symbol", "ts"], ["exposure", "capped", "final", "status"])
+ORACLE_SQL["risk_limits"] = f"""WITH {bars_cte()}, x AS (SELECT symbol, ts, (close - lag(close, 3) OVER ({S})) / nullif(lag(close, 3) OVER ({S}), 0) * 100 / 100 AS e FROM b), y AS (SELECT *, sign(e) * least(abs(e), 0.3) AS c FROM x WHERE e IS NOT NULL), z AS (SELECT *, sum(abs(c)) OVER (PARTITION BY ts) AS t FROM y),
+    f AS (SELECT *, CASE WHEN t > 1 THEN c / t ELSE c END AS f FROM z) SELECT symbol, ts, {r6('e', 'exposure')}, {r6('c', 'capped')}, {r6('f', 'final')}, CASE WHEN f = e THEN 'approved' ELSE 'modified' END AS status FROM f"""
+QUERIES["backtest_report"] = lambda s, d: tidy(acc.report(bars(s, d).withColumn("pnl", F.col("close") - F.col("open")), ("symbol",), ["ts"]), ["symbol"], ["total", "mean", "trades", "win_rate", "profit_factor", "sharpe", "max_drawdown", "trades_per_day"])
+ORACLE_SQL["backtest_report"] = f"""WITH {bars_cte()}, t AS (SELECT *, close - open AS pnl, sum(close - open) OVER {ALLW} AS eq FROM b), p AS (SELECT *, max(eq) OVER {ALLW} AS peak FROM t)
+    SELECT symbol, {r6('sum(pnl)', 'total')}, {r6('avg(pnl)', 'mean')}, count(*) AS trades, {r6('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END)', 'win_rate')}, {r6('sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END), 0)', 'profit_factor')},
+    {r6('avg(pnl) / (stddev_samp(pnl) + 1e-12) * sqrt(count(*))', 'sharpe')}, {r6('max(peak - eq) / greatest(1.0, abs(max(peak)))', 'max_drawdown')}, {r6('count(*)::DOUBLE / count(DISTINCT CAST(ts AS DATE))', 'trades_per_day')} FROM p GROUP BY symbol"""
+QUERIES["account_guard"] = lambda s, d: s.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", "CAST(c_acctbal AS DOUBLE) equity", "CAST(c_nationkey AS DOUBLE) * 100 used").withColumn("level", roll.ratio(F.col("equity"), F.col("used"))).select("c_custkey", F.coalesce(acc.guard(F.col("equity"), F.col("equity") - F.col("used"), F.col("used"), F.col("level")), F.lit("OK")).alias("verdict"))
+ORACLE_SQL["account_guard"] = "WITH x AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS e, CAST(c_nationkey AS DOUBLE) * 100 AS u FROM customer) SELECT c_custkey, CASE WHEN e <= 0 THEN 'EQUITY_NOT_POSITIVE' WHEN e - u < 0 THEN 'NO_FREE_MARGIN' WHEN u < 0 THEN 'BAD_USED_MARGIN' WHEN u / nullif(e, 0) > 0.5 THEN 'MARGIN_UTILISATION' WHEN e / nullif(u, 0) < 1.5 THEN 'MARGIN_LEVEL' ELSE 'OK' END AS verdict FROM x"
+QUERIES["normalise_lots"] = lambda s, d: tidy(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", acc.normalise_lots(F.col("l_quantity").cast("double") / 7, 0.5, 0.25, 5.0).alias("lots")), ["l_orderkey", "l_linenumber"], ["lots"])
+ORACLE_SQL["normalise_lots"] = f"SELECT l_orderkey, l_linenumber, {r6('round_even(greatest(0.5, least(5.0, CAST(l_quantity AS DOUBLE) / 7)) / 0.25, 0) * 0.25', 'lots')} FROM lineitem"
+QUERIES["top_zones"] = lambda s, d: tidy(acc.top_zones(bars(s, d).selectExpr("symbol", "low price", "high - low score", "volume members"), "symbol", 10, 2), ["symbol", "rank"], ["price", "score", "members"])
+ORACLE_SQL["top_zones"] = f"WITH {bars_cte()}, z AS (SELECT symbol, low, high - low AS s, volume, row_number() OVER (PARTITION BY symbol ORDER BY high - low DESC, low) AS k FROM b WHERE volume >= 2) SELECT symbol, CAST(k AS INTEGER) AS rank, {r6('low', 'price')}, {r6('s', 'score')}, volume AS members FROM z WHERE k <= 10"
