@@ -183,21 +183,27 @@ def parabolic_sar(df: DataFrame, af_start: float = 0.02, af_step: float = 0.02,
     return ordered_fold(df, ["high", "low"], [out], step)
 
 
-def supertrend(df: DataFrame, period: int = 10, multiplier: float = 3.0) -> DataFrame:
-    """supertrend (the band that holds) and supertrend_dir (1 up, -1 down; 1 until the ATR has a value)."""
+def supertrend(df: DataFrame, period: int = 10, multiplier: float = 3.0, release: str = "current") -> DataFrame:
+    """supertrend (the band that holds) and supertrend_dir (1 up, -1 down; 1 until the ATR has a value).
+
+    release: which close lets go of a band. With ``current`` a band steps aside on the very bar that closes beyond it, so the
+    direction hardly ever turns; ``previous`` is the usual definition.
+    """
 
     def step(rows):
-        upper = lower = None
+        upper = lower = last = None
         trend = 1
         for mid, close, width in rows:
+            before, last = last, close
             if width is None:
                 yield None, 1.0
                 continue
             top, bottom = mid + multiplier * width, mid - multiplier * width
             fresh = upper is None
             # a band only moves towards price, unless price has closed beyond it
-            upper = top if fresh or close > upper else min(top, upper)
-            lower = bottom if fresh or close < lower else max(bottom, lower)
+            judge = close if release == "current" else before
+            upper = top if fresh or judge > upper else min(top, upper)
+            lower = bottom if fresh or judge < lower else max(bottom, lower)
             if not fresh and (close <= lower if trend == 1 else close >= upper):
                 trend = -trend
             yield (lower if trend == 1 else upper), float(trend)
