@@ -106,3 +106,59 @@ def top_zones(zones: DataFrame, by: str, k: int, least_members: int = 1) -> Data
     """The k best zones of a group by score, then the lower price."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "price")
     return zones.filter(F.col("members") >= least_members).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def resolve_commission(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+    """For every (broker, account_type, symbol) the most specific profile: its symbol, then the account's default, then the global one.
+
+    profiles: (broker, account_type, symbol, kind, rate, round_turn), ``*`` standing for any. A round-turn rate is halved. A
+    request that nothing fits has a null rate.
+    """
+    # profiles with a symbol meet requests on it; the few without one are added to every symbol asked for
+    asked = requests.select(F.col("symbol").alias("for_symbol")).distinct()
+    named = profiles.join(asked, (profiles.symbol == asked.for_symbol) | (profiles.symbol == "*"))
+    rank = (named.symbol != "*").cast("int") * 4 + (named.broker != "*").cast("int") * 2 + (named.account_type != "*").cast("int")
+    named = named.select("for_symbol", F.col("broker").alias("p_broker"), F.col("account_type").alias("p_type"), "kind", F.when(F.col("round_turn"), F.col("rate") / 2).otherwise(F.col("rate")).alias("rate"), rank.alias("score"))
+    both = requests.join(named, (requests.symbol == named.for_symbol) & ((named.p_broker == requests.broker) | (named.p_broker == "*")) & ((named.p_type == requests.account_type) | (named.p_type == "*")), "left")
+    best = both.groupBy("broker", "account_type", "symbol").agg(F.max_by(F.struct("kind", "rate"), F.col("score")).alias("p"))
+    return best.select("broker", "account_type", "symbol", "p.kind", "p.rate")
+
+
+def slippage(df: DataFrame, mean_pips: float, std_pips: float, cap_pips: float, pip: float, seed: int = 7, key: str = "execution_id") -> DataFrame:
+    """A normal slippage within 0 .. cap for every event, the same whenever the event is seen again: two hashed uniforms make it."""
+    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    normal = F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * 3.141592653589793 * u("b"))
+    pips = F.greatest(F.lit(0.0), F.least(F.lit(cap_pips), mean_pips + std_pips * normal))
+    return df.withColumns({"slippage_pips": pips, "slippage": pips * pip})
+
+
+def correlation_cap(allocations: DataFrame, pairs: DataFrame, by: str, most: float = 0.8, joint: float = 0.4) -> DataFrame:
+    """Pairs of one decision whose correlation is over ``most`` are scaled down to ``joint`` together, pair after pair in name order.
+
+    Later pairs see what earlier ones left, so each decision's few pairs are folded in order.
+    """
+    legs = allocations.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "exposure")))).alias("x"))
+    hot = pairs.filter((F.abs("rho") > most) & (F.col("symbol_a") < F.col("symbol_b")))
+    folded = legs.join(hot.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("symbol_a", "symbol_b"))).alias("hot")), by, "left")
+
+    def scale(state: Column, pair: Column) -> Column:
+        together = F.abs(F.coalesce(state[pair["symbol_a"]], F.lit(0.0))) + F.abs(F.coalesce(state[pair["symbol_b"]], F.lit(0.0)))
+        k = F.when(together > joint, joint / together).otherwise(1.0)
+        return F.transform_values(state, lambda s, v: F.when(s.isin(pair["symbol_a"], pair["symbol_b"]), v * k).otherwise(v))
+
+    out = folded.withColumn("y", F.aggregate(F.coalesce("hot", F.array().cast("array<struct<symbol_a:string,symbol_b:string>>")), F.col("x"), scale))
+    return out.select(by, F.explode("y").alias("symbol", "capped"))
+
+
+def intents(df: DataFrame, contract: float = 1.0) -> DataFrame:
+    """Side and lots to trade from the position held to the exposure wanted."""
+    want = ratio(F.col("equity") * F.col("exposure"), F.col("price") * contract)
+    out = df.withColumns({"target_lots": want, "delta": want - F.col("held")})
+    return out.withColumns({"side": F.signum("delta").cast("int"), "trade_lots": F.abs("delta"), "action": classify(F.col("held"), F.col("target_lots"))})
+
+
+def flag_rate_proposals(df: DataFrame, flags: list[str], low: float, high: float, step: float) -> DataFrame:
+    """For every flag its rate and whether its threshold should loosen (too rare), tighten (too common) or stay."""
+    parts = F.array(*(F.struct(F.lit(f).alias("flag"), F.avg(f).alias("rate")) for f in flags))
+    rows = df.agg(parts.alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    return rows.withColumn("shift", F.when(F.col("rate") < low, -step).when(F.col("rate") > high, step).otherwise(0.0))

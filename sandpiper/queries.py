@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from sandpiper.functions.time_features import FEATURES, add_time_features
 from sandpiper.operators import accounts as acc
+from sandpiper.operators import classic
 from sandpiper.operators import joins as j
+from sandpiper.operators import levels as lv
 from sandpiper.operators import patterns as pat
 from sandpiper.operators import recursive as rec
 from sandpiper.operators import rolling as roll
@@ -443,3 +445,71 @@ QUERIES["normalise_lots"] = lambda s, d: tidy(s.read.parquet(f"{d}/lineitem.parq
 ORACLE_SQL["normalise_lots"] = f"SELECT l_orderkey, l_linenumber, {r6('round_even(greatest(0.5, least(5.0, CAST(l_quantity AS DOUBLE) / 7)) / 0.25, 0) * 0.25', 'lots')} FROM lineitem"
 QUERIES["top_zones"] = lambda s, d: tidy(acc.top_zones(bars(s, d).selectExpr("symbol", "low price", "high - low score", "volume members"), "symbol", 10, 2), ["symbol", "rank"], ["price", "score", "members"])
 ORACLE_SQL["top_zones"] = f"WITH {bars_cte()}, z AS (SELECT symbol, low, high - low AS s, volume, row_number() OVER (PARTITION BY symbol ORDER BY high - low DESC, low) AS k FROM b WHERE volume >= 2) SELECT symbol, CAST(k AS INTEGER) AS rank, {r6('low', 'price')}, {r6('s', 'score')}, volume AS members FROM z WHERE k <= 10"
+
+# -- older definitions, levels and more of accounts -----------------------------------
+
+on_bars("classic_recursive", lambda b: classic.macd(classic.rsi(classic.ema(b, period=10))), ["classic_ema", "classic_rsi", "classic_macd", "classic_macd_signal", "classic_macd_hist"], f"""
+    WITH RECURSIVE {NB}, u AS (SELECT symbol, ts, rn, close, greatest(coalesce(d, 0), 0) AS up, greatest(-coalesce(d, 0), 0) AS dn FROM b), {recurrence('e', 'b', *seed_terms('close', 10, 2 / 11))},
+    {recurrence('g', 'u', *ema_terms('up', 14))}, {recurrence('l', 'u', *ema_terms('dn', 14))}, {recurrence('f', 'b', *ema_terms('close', 12))}, {recurrence('s', 'b', *ema_terms('close', 26))},
+    m AS (SELECT symbol, rn, f.out - s.out AS m FROM f JOIN s USING (symbol, rn)), {recurrence('h', 'm', *ema_terms('m', 9))},
+    z AS (SELECT u.symbol, u.ts, e.out AS e, CASE WHEN rn > 14 THEN 100 - 100 / (1 + g.out / nullif(l.out, 0)) END AS r, CASE WHEN rn > 26 THEN m.m END AS m, CASE WHEN rn >= 34 THEN h.out END AS h
+        FROM u JOIN e USING (symbol, rn) JOIN g USING (symbol, rn) JOIN l USING (symbol, rn) JOIN m USING (symbol, rn) JOIN h USING (symbol, rn))
+    SELECT symbol, ts, {r6('e', 'classic_ema')}, {r6('r', 'classic_rsi')}, {r6('m', 'classic_macd')}, {r6('h', 'classic_macd_signal')}, {r6('m - h', 'classic_macd_hist')} FROM z""")
+on_bars("classic_windows", lambda b: classic.aroon(classic.stochastic(classic.obv(classic.mfi(classic.cci(b))))), ["classic_cci", "classic_mfi", "classic_obv", "classic_k", "classic_d", "classic_aroon_up", "classic_aroon_down"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, (high + low + close) / 3 AS tp FROM b), y AS (SELECT *, {full(f'avg(tp) OVER {w(20)}', 20)} AS m, tp - lag(tp) OVER ({S}) AS d, sign(close - lag(close) OVER ({S})) * volume AS o,
+        {full(f'max(high) OVER {w(14)}', 14)} AS hh, {full(f'min(low) OVER {w(14)}', 14)} AS ll, list_reverse(list(high) OVER {w(25)}) AS lh, list_reverse(list(low) OVER {w(25)}) AS lw FROM x),
+    z AS (SELECT *, abs(tp - m) AS ad, CASE WHEN d > 0 THEN tp * volume ELSE 0 END AS up, CASE WHEN d < 0 THEN tp * volume ELSE 0 END AS dn, 100 * (close - ll) / nullif(hh - ll, 0) AS k FROM y)
+    SELECT symbol, ts, {r6('(tp - m) / nullif(0.015 * (' + full(f'avg(ad) OVER {w(20)}', 20, 'ad') + '), 0)', 'classic_cci')}, {r6(full(f'100 - 100 / (1 + sum(up) OVER {w(14)} / nullif(sum(dn) OVER {w(14)}, 0))', 14), 'classic_mfi')},
+    {r6(f'sum(o) OVER {ALLW}', 'classic_obv')}, {r6('k', 'classic_k')}, {r6(full(f'avg(k) OVER {w(3)}', 3, 'k'), 'classic_d')},
+    {r6('CASE WHEN len(lh) = 25 THEN (25 - list_position(lh, list_max(lh))) / 24.0 * 100 END', 'classic_aroon_up')}, {r6('CASE WHEN len(lw) = 25 THEN (25 - list_position(lw, list_min(lw))) / 24.0 * 100 END', 'classic_aroon_down')} FROM z""")
+on_bars("sr_overlap_score", lambda b: lv.overlap_score(b, [10.0, 10.2, 20.0, 35.0, 50.0, 75.0, 75.5, 100.0]), ["sr_score"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, [s FOR s IN [1 - abs(close - v) / (close * 0.05) FOR v IN [10.0, 10.2, 20.0, 35.0, 50.0, 75.0, 75.5, 100.0]] IF s > 0] AS h FROM b)
+    SELECT symbol, ts, {r6('CASE WHEN len(h) = 0 THEN 0 ELSE least(1.0, list_max(h) + 0.1 * (len(h) - 1)) END', 'sr_score')} FROM x""")
+ZONE = ["z_kind", "z_bottom", "z_top", "touch_age", "fill_age", "state"]
+QUERIES["zone_life"] = lambda s, d: tidy(lv.zone_life(pat.fair_value_gap(bars(s, d)), life=20).fillna(-1, ["touch_age", "fill_age"]), ["symbol", "born"], ZONE)
+ORACLE_SQL["zone_life"] = f"""WITH {bars_cte()}, x AS (SELECT *, lag(high, 2) OVER ({S}) AS h2, lag(low, 2) OVER ({S}) AS l2, row_number() OVER ({S}) AS rn FROM b), k AS (SELECT *, CASE WHEN h2 < low THEN 1 WHEN l2 > high THEN -1 ELSE 0 END AS k FROM x),
+    y AS (SELECT *, lag(k) OVER ({S}) AS zk, lag(CASE k WHEN 1 THEN h2 WHEN -1 THEN high END) OVER ({S}) AS zb, lag(CASE k WHEN 1 THEN low WHEN -1 THEN l2 END) OVER ({S}) AS zt FROM k),
+    j AS (SELECT z.symbol, z.ts AS born, z.zk, z.zb, z.zt, b.rn - z.rn AS age, CASE WHEN z.zk = 1 THEN b.low <= z.zt ELSE b.high >= z.zb END AS touched, CASE WHEN z.zk = 1 THEN b.close < z.zb ELSE b.close > z.zt END AS filled
+        FROM y z JOIN y b ON b.symbol = z.symbol AND b.rn > z.rn AND b.rn <= z.rn + 20 WHERE z.zk <> 0),
+    g AS (SELECT symbol, born, zk, zb, zt, min(age) FILTER (touched) AS ta, min(age) FILTER (filled) AS fa FROM j GROUP BY ALL)
+    SELECT symbol, born, CAST(zk AS INTEGER) AS z_kind, {r6('zb', 'z_bottom')}, {r6('zt', 'z_top')}, CAST(coalesce(ta, -1) AS INTEGER) AS touch_age, CAST(coalesce(fa, -1) AS INTEGER) AS fill_age, CASE WHEN fa IS NOT NULL THEN 'filled' WHEN ta IS NOT NULL THEN 'touched' ELSE 'alive' END AS state FROM g"""
+
+
+def _bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    high = lv.soft_bias(bars(spark, sf_dir, "H4"))
+    both = j.align(lv.soft_bias(bars(spark, sf_dir)), "H1", {"H4": high}, ["bias"])
+    return tidy(lv.confluence(both, "bias", "H4_bias"), ["symbol", "ts"], ["bias", "H4_bias", "conflict", "confluence"])
+
+
+QUERIES["mtf_bias_confluence"] = _bias
+QUERIES["fibonacci_levels"] = lambda s, d: tidy(lv.fibonacci(lv.legs(rec.zigzag(bars(s, d), 0.2)).filter("nth <= 3")), ["symbol", "nth"], ["start_ts", "end_ts", "direction", "ratio", "level"])
+QUERIES["fibonacci_golden_zone"] = lambda s, d: tidy(lv.golden_zone(lv.legs(rec.zigzag(bars(s, d), 0.2))), ["symbol"], ["zone_low", "zone_high", "zone_mid", "zone_width_pct"])
+QUERIES["fibonacci_targets"] = lambda s, d: tidy(lv.targets(lv.legs(rec.zigzag(bars(s, d), 0.2))), ["symbol"], ["ratio", "target", "reward_risk"])
+QUERIES["fibonacci_clusters"] = lambda s, d: tidy(lv.clusters(lv.fibonacci(lv.legs(rec.zigzag(bars(s, d), 0.2)).filter("nth <= 5 AND end_price > 0")), ["symbol"], tol_pct=2.0), ["symbol", "cluster"], ["anchor", "members", "centre"])
+PROFILES = [("*", "*", "*", "per_lot", 7.0, True), ("acme", "*", "*", "per_lot", 6.0, False), ("acme", "raw", "*", "percent_notional", 0.1, False), ("acme", "raw", "click", "fixed", 2.0, True), ("*", "*", "view", "fixed", 1.0, False)]
+ASKED = [(b, t, s) for b in ("acme", "other") for t in ("raw", "std") for s in ("click", "view", "error")]
+
+
+def _commission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.resolve_commission(spark.createDataFrame(ASKED, "broker string, account_type string, symbol string"), spark.createDataFrame(PROFILES, "broker string, account_type string, symbol string, kind string, rate double, round_turn boolean"))
+
+
+QUERIES["commission_profiles"] = _commission
+ORACLE_SQL["commission_profiles"] = f"""WITH p(pb, pt, ps, kind, rate, rt) AS (VALUES {', '.join(str(p) for p in PROFILES)}), a(broker, account_type, symbol) AS (VALUES {', '.join(map(str, ASKED))}),
+    j AS (SELECT *, row_number() OVER (PARTITION BY broker, account_type, symbol ORDER BY (ps <> '*')::INT * 4 + (pb <> '*')::INT * 2 + (pt <> '*')::INT DESC) AS n FROM a JOIN p ON (ps = symbol OR ps = '*') AND (pb = broker OR pb = '*') AND (pt = account_type OR pt = '*'))
+    SELECT broker, account_type, symbol, kind, CAST(CASE WHEN rt THEN rate / 2 ELSE rate END AS DOUBLE) AS rate FROM j WHERE n = 1"""
+QUERIES["slippage_model"] = lambda s, d: tidy(acc.slippage(_fills(s, d).drop("slippage"), 0.3, 0.4, 1.0, 0.01), ["execution_id", "fill_no"], ["slippage_pips", "slippage"])
+
+
+def _correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = bars(spark, sf_dir, "D1").select("ts", "symbol", (F.col("close") / 400).alias("exposure"))
+    pairs = x.alias("a").join(x.alias("b"), "ts").selectExpr("ts", "a.symbol symbol_a", "b.symbol symbol_b", "CASE WHEN length(a.symbol) = length(b.symbol) THEN 0.9 ELSE 0.1 END rho")
+    return tidy(acc.correlation_cap(x, pairs, "ts"), ["ts", "symbol"], ["capped"])
+
+
+QUERIES["correlation_cap"] = _correlation
+QUERIES["trade_intents"] = lambda s, d: tidy(acc.intents(roll.roc(bars(s, d), period=3).selectExpr("symbol", "ts", "close price", "10000D equity", "coalesce(roc, 0) / 100 exposure", "CAST(volume AS DOUBLE) * 100 held")), ["symbol", "ts"], ["target_lots", "side", "trade_lots", "action"])
+ORACLE_SQL["trade_intents"] = f"""WITH {bars_cte()}, x AS (SELECT symbol, ts, close AS p, coalesce((close - lag(close, 3) OVER ({S})) / nullif(lag(close, 3) OVER ({S}), 0) * 100, 0) / 100 AS e, CAST(volume AS DOUBLE) * 100 AS h FROM b), y AS (SELECT *, 10000 * e / nullif(p, 0) AS t FROM x)
+    SELECT symbol, ts, {r6('t', 'target_lots')}, CAST(sign(t - h) AS INTEGER) AS side, {r6('abs(t - h)', 'trade_lots')}, CASE WHEN h = t THEN 'HOLD' WHEN h = 0 THEN 'OPEN' WHEN t = 0 THEN 'CLOSE' WHEN sign(h) <> sign(t) THEN 'REVERSE' WHEN abs(t) > abs(h) THEN 'INCREASE' ELSE 'REDUCE' END AS action FROM y"""
+QUERIES["flag_rates"] = lambda s, d: tidy(acc.flag_rate_proposals(pat.all_patterns(bars(s, d)), _pattern_sql.names[:6], 0.02, 0.2, 0.05), ["flag"], ["rate", "shift"])
+ORACLE_SQL["flag_rates"] = "WITH p AS (" + ORACLE_SQL["candle_patterns"] + "), r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS flag, avg({n}) AS rate FROM p" for n in _pattern_sql.names[:6]) + f") SELECT flag, {r6('rate', 'rate')}, {r6('CASE WHEN rate < 0.02 THEN -0.05 WHEN rate > 0.2 THEN 0.05 ELSE 0 END', 'shift')} FROM r"
