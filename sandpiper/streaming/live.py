@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sandpiper.plans.features import features, plan, warmup
 from sandpiper.session import ship
 from sandpiper.sources.candles import KEY, MINUTES, last_rows, timeframe, upsert
 
@@ -68,3 +69,29 @@ def live_ema(bars: DataFrame, period: int) -> DataFrame:
 def update_cache(cache: DataFrame, new: DataFrame, keep: int) -> DataFrame:
     """A series' newest ``keep`` rows after new ones replaced or joined the old (for foreachBatch)."""
     return last_rows(upsert(cache, new), keep)
+
+
+class LiveFeatures:
+    """Features of live bars from a rolling cache, for foreachBatch: every named feature, as in the batch engine.
+
+    The cache keeps each series' newest bars, ``keep`` times the longest warm-up, in a folder that driver and executors share. A
+    batch's bars replace or join it, features are computed over it, and only rows newer than their series' last are handed on.
+    Window indicators equal the batch ones; recursive ones differ by what is older than the cache.
+    """
+
+    def __init__(self, folder: str, specs: list[str], tf: str, emit, keep: int = 10):
+        self.specs, self.tf, self.emit, self.folder = specs, timeframe(tf), emit, folder.rstrip("/")
+        self.rows = keep * max(warmup(plan(specs, tf)).values())
+        self.turn = 0
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, fresh = batch.sparkSession, batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        old = spark.read.parquet(f"{self.folder}/{self.turn}") if self.turn else None
+        self.turn += 1
+        now = f"{self.folder}/{self.turn}"
+        (fresh if old is None else update_cache(old, fresh, self.rows)).write.mode("overwrite").parquet(now)
+        out = features({self.tf: spark.read.parquet(now)}, self.specs, self.tf)[self.tf]
+        if old is not None:
+            seen = old.groupBy(*KEY).agg(F.max("ts").alias("__seen"))
+            out = out.join(seen, list(KEY), "left").filter("__seen IS NULL OR ts > __seen").drop("__seen")
+        self.emit(out)

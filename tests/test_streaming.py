@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sandpiper.operators.recursive import ema
-from sandpiper.streaming.live import detect_new, live_candles, live_ema, update_cache
+from sandpiper.plans.features import features
+from sandpiper.streaming.live import LiveFeatures, detect_new, live_candles, live_ema, update_cache
 
 from .test_candles import bars
 
@@ -42,3 +43,17 @@ def test_live_candles_and_cache(spark, tmp_path):
     b = bars(spark, 30)
     kept = update_cache(b, b.filter("ts >= '2024-01-02'"), 10).collect()
     assert len(kept) == 20 and min(r.ts for r in kept) == dt.datetime(2024, 1, 1, 20)
+
+
+def test_live_features_equal_the_batch(spark, tmp_path):
+    b = bars(spark, 60)
+    rows = sorted(b.collect(), key=lambda r: r.ts)
+    seen = []
+    live = LiveFeatures(str(tmp_path / "cache"), ["sma(close,5)", "donchian(n=6)"], "H1", lambda df: seen.extend(df.collect()))
+    for k, part in enumerate((rows[:50], rows[50:51], rows[51:])):
+        live(spark.createDataFrame(part, b.schema), k)
+    want = features({"H1": b}, ["sma(close,5)", "donchian(n=6)"], "H1")["H1"].collect()
+    key = lambda r: (r.symbol, r.ts)
+    assert len(seen) == 120
+    by = {key(r): r for r in want}
+    assert all(tuple(r) == tuple(by[key(r)]) for r in seen)
