@@ -11,9 +11,9 @@ EPS = 1e-12
 
 
 def commission(kind: Column, rate: Column, lots: Column, notional: Column, minimum: Column) -> Column:
-    """fixed, per_lot or percent_notional, never below the minimum."""
+    """fixed, per_lot or percent_notional, never below the minimum; another kind is null."""
     raw = F.when(kind == "fixed", rate).when(kind == "per_lot", rate * lots).when(kind == "percent_notional", rate / 100 * notional)
-    return F.greatest(raw, minimum)
+    return F.when(raw.isNotNull(), F.greatest(raw, minimum))
 
 
 def fill_costs(fills: DataFrame, contract: float = 1.0) -> DataFrame:
@@ -70,7 +70,7 @@ def sizing(df: DataFrame, contract: float = 1.0, leverage: float = 30.0) -> Data
 
 def normalise_lots(lots: Column, least: float, step: float, most: float) -> Column:
     """Clamped and rounded to the step, halves to even, four decimals."""
-    return F.round(F.bround(F.greatest(F.lit(least), F.least(F.lit(most), lots)) / step) * step, 4)
+    return F.when(lots.isNotNull(), F.round(F.bround(F.greatest(F.lit(least), F.least(F.lit(most), lots)) / step) * step, 4))
 
 
 def guard(equity: Column, free: Column, used: Column, level: Column, most_used: float = 0.5, least_level: float = 1.5) -> Column:

@@ -89,7 +89,9 @@ def soft_bias(df: DataFrame, column: str = "close", window: int = 8, least: int
     step = step.withColumn("__s", F.when(F.count("__c").over(frame(window)) >= least, F.sum("__c").over(frame(window))))
     q = lambda p: F.percentile("__s", F.lit(p)).over(frame(window))
     robust = F.when(F.count("__s").over(frame(window)) >= least, ratio(F.col("__s") - q(0.5), q(0.75) - q(0.25)))
-    return step.withColumn(out, F.greatest(F.lit(-clip), F.least(F.lit(clip), robust)) / clip).drop("__c", "__s")
+    step = step.withColumn("__r", robust)
+    # least and greatest skip nulls, so they are kept out
+    return step.withColumn(out, F.when(F.col("__r").isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("__r"))) / clip)).drop("__c", "__s", "__r")
 
 
 def confluence(df: DataFrame, local: str = "bias", higher: str = "bias_high") -> DataFrame:

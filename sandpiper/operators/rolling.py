@@ -240,7 +240,7 @@ def round_level_distance(df: DataFrame, anchor: float, step: float, n: int = 10)
     """The nearest of the round prices anchor +- k * step (k up to n), and the distance from it."""
     base = F.floor(F.lit(anchor) / step) * step
     k = F.greatest(F.lit(-n), F.least(F.lit(n), F.floor((F.col("close") - base) / step + 0.5)))
-    out = df.withColumn("round_level", (base + k * step).cast("double"))
+    out = df.withColumn("round_level", F.when(F.col("close").isNotNull(), (base + k * step).cast("double")))
     return out.withColumns({"round_signed": F.col("close") - F.col("round_level"), "round_abs": F.abs(F.col("close") - F.col("round_level"))})
 
 

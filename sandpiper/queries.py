@@ -513,3 +513,53 @@ ORACLE_SQL["trade_intents"] = f"""WITH {bars_cte()}, x AS (SELECT symbol, ts, cl
     SELECT symbol, ts, {r6('t', 'target_lots')}, CAST(sign(t - h) AS INTEGER) AS side, {r6('abs(t - h)', 'trade_lots')}, CASE WHEN h = t THEN 'HOLD' WHEN h = 0 THEN 'OPEN' WHEN t = 0 THEN 'CLOSE' WHEN sign(h) <> sign(t) THEN 'REVERSE' WHEN abs(t) > abs(h) THEN 'INCREASE' ELSE 'REDUCE' END AS action FROM y"""
 QUERIES["flag_rates"] = lambda s, d: tidy(acc.flag_rate_proposals(pat.all_patterns(bars(s, d)), _pattern_sql.names[:6], 0.02, 0.2, 0.05), ["flag"], ["rate", "shift"])
 ORACLE_SQL["flag_rates"] = "WITH p AS (" + ORACLE_SQL["candle_patterns"] + "), r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS flag, avg({n}) AS rate FROM p" for n in _pattern_sql.names[:6]) + f") SELECT flag, {r6('rate', 'rate')}, {r6('CASE WHEN rate < 0.02 THEN -0.05 WHEN rate > 0.2 THEN 0.05 ELSE 0 END', 'shift')} FROM r"
+
+# -- SQL for state machines: one step of recursion for each bar -------------------------
+
+ORACLE_SQL["parabolic_sar"] = f"""WITH RECURSIVE {NB}, p AS (SELECT symbol, rn, low AS sar, high AS ep, 0.02::DOUBLE AS af, true AS up FROM b WHERE rn = 1 UNION ALL
+    SELECT symbol, rn, CASE WHEN x THEN e1 ELSE s1 END, CASE WHEN x THEN CASE WHEN up THEN low ELSE high END ELSE e1 END, CASE WHEN x THEN 0.02 ELSE a1 END, up <> x FROM (
+        SELECT *, CASE WHEN e1 <> ep THEN least(af + 0.02, 0.2) ELSE af END AS a1, CASE WHEN up THEN low < s1 ELSE high > s1 END AS x FROM (
+            SELECT b.symbol, b.rn, b.high, b.low, p.ep, p.af, p.up, p.sar + p.af * (p.ep - p.sar) AS s1, CASE WHEN p.up THEN greatest(p.ep, b.high) ELSE least(p.ep, b.low) END AS e1 FROM p JOIN b ON b.symbol = p.symbol AND b.rn = p.rn + 1)))
+    SELECT symbol, ts, {r6('CASE WHEN rn > 1 THEN sar END', 'psar')} FROM b JOIN p USING (symbol, rn)"""
+ORACLE_SQL["supertrend"] = f"""WITH RECURSIVE {NB}, {recurrence('a', 'b', *seed_terms('tr', 10, 1 / 10))}, x AS (SELECT b.symbol, b.ts, b.rn, close, (high + low) / 2 + 3 * a.out AS top, (high + low) / 2 - 3 * a.out AS bot FROM b JOIN a USING (symbol, rn)),
+    s AS (SELECT symbol, rn, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS l, 1 AS d FROM x WHERE rn = 1 UNION ALL
+        SELECT symbol, rn, u1, l1, CASE WHEN NOT fresh AND (CASE WHEN d = 1 THEN close <= l1 ELSE close >= u1 END) THEN -d ELSE d END FROM (
+            SELECT x.symbol, x.rn, x.close, s.d, s.u IS NULL AS fresh, CASE WHEN x.top IS NULL THEN s.u WHEN s.u IS NULL OR x.close > s.u THEN x.top ELSE least(x.top, s.u) END AS u1,
+                CASE WHEN x.top IS NULL THEN s.l WHEN s.l IS NULL OR x.close < s.l THEN x.bot ELSE greatest(x.bot, s.l) END AS l1 FROM s JOIN x ON x.symbol = s.symbol AND x.rn = s.rn + 1))
+    SELECT symbol, ts, {r6('CASE WHEN top IS NOT NULL THEN CASE WHEN d = 1 THEN l ELSE u END END', 'supertrend')}, {r6('d', 'supertrend_dir')} FROM x JOIN s USING (symbol, rn)"""
+ZIGZAG = f"""{NB}, z AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DOUBLE) AS hi, CAST(NULL AS DOUBLE) AS lo, 0 AS t, 0 AS zz, CAST(NULL AS DOUBLE) AS price FROM b UNION ALL
+    SELECT symbol, rn, CASE WHEN c2 THEN high ELSE h1 END, CASE WHEN c1 THEN low ELSE l1 END, CASE WHEN c1 THEN -1 WHEN c2 THEN 1 ELSE t END, CASE WHEN c1 THEN 1 WHEN c2 THEN -1 ELSE 0 END, CASE WHEN c1 THEN h1 WHEN c2 THEN l1 END FROM (
+        SELECT *, NOT c1 AND t <= 0 AND high >= l1 * 1.2 AS c2 FROM (SELECT *, t >= 0 AND low <= h1 * (1 - 0.2) AS c1 FROM (
+            SELECT b.symbol, b.rn, b.high, b.low, z.t, CASE WHEN z.t >= 0 THEN greatest(z.hi, b.high) ELSE z.hi END AS h1, CASE WHEN z.t <= 0 THEN least(z.lo, b.low) ELSE z.lo END AS l1 FROM z JOIN b ON b.symbol = z.symbol AND b.rn = z.rn + 1)))),
+    zz AS (SELECT symbol, ts, rn, close, zz, price FROM b JOIN z USING (symbol, rn))"""
+PASTW = f"({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+LASTZ = lambda k, win: f"last_value(CASE WHEN zz = {k} THEN price END IGNORE NULLS) OVER {win}"
+ORACLE_SQL["market_structure"] = f"""WITH RECURSIVE {ZIGZAG}, l AS (SELECT *, {LASTZ(1, ALLW)} AS lh, {LASTZ(-1, ALLW)} AS ll, {LASTZ(1, PASTW)} AS ph, {LASTZ(-1, PASTW)} AS pl FROM zz),
+    e AS (SELECT *, CASE WHEN close >= lh * (1 + 1e-6) THEN 1 WHEN close <= ll * (1 - 1e-6) THEN -1 END AS e FROM l),
+    r AS (SELECT *, last_value(e IGNORE NULLS) OVER {PASTW} AS r0, last_value(e IGNORE NULLS) OVER {ALLW} AS r1 FROM e)
+    SELECT symbol, ts, {r6('zz', 'zz')}, {r6('price', 'zz_price')}, CASE WHEN zz = 1 AND price > ph THEN 'HH' WHEN zz = 1 AND price < ph THEN 'LH' WHEN zz = -1 AND price > pl THEN 'HL' WHEN zz = -1 AND price < pl THEN 'LL' ELSE '' END AS structure,
+    CAST(CASE WHEN e = coalesce(r0, 0) THEN e ELSE 0 END AS INTEGER) AS bos, CAST(CASE WHEN e IS NOT NULL AND e <> coalesce(r0, 0) THEN e ELSE 0 END AS INTEGER) AS choch, CAST(coalesce(r1, 0) AS INTEGER) AS regime FROM r"""
+LEGS = f"""{ZIGZAG}, sw AS (SELECT *, lag(ts) OVER ({S}) AS t0, lag(price) OVER ({S}) AS p0 FROM zz WHERE zz <> 0),
+    legs AS (SELECT symbol, t0 AS start_ts, ts AS end_ts, p0, price AS p1, zz AS direction, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth FROM sw WHERE t0 IS NOT NULL)"""
+RATIOS = "(SELECT unnest([0.236, 0.382, 0.5, 0.618, 0.786]::DOUBLE[]) AS ratio)"
+ORACLE_SQL["fibonacci_levels"] = f"WITH RECURSIVE {LEGS} SELECT symbol, CAST(nth AS INTEGER) AS nth, start_ts, end_ts, CAST(direction AS INTEGER) AS direction, ratio, {r6('p1 - ratio * (p1 - p0)', 'level')} FROM legs, {RATIOS} WHERE nth <= 3"
+ORACLE_SQL["fibonacci_golden_zone"] = f"""WITH RECURSIVE {LEGS}, g AS (SELECT symbol, p1 - 0.382 * (p1 - p0) AS a, p1 - 0.618 * (p1 - p0) AS b FROM legs WHERE nth = 1)
+    SELECT symbol, {r6('least(a, b)', 'zone_low')}, {r6('greatest(a, b)', 'zone_high')}, {r6('(least(a, b) + greatest(a, b)) / 2', 'zone_mid')}, {r6('100 * (greatest(a, b) - least(a, b)) / nullif((least(a, b) + greatest(a, b)) / 2, 0)', 'zone_width_pct')} FROM g"""
+ORACLE_SQL["fibonacci_targets"] = f"WITH RECURSIVE {LEGS} SELECT symbol, ratio, {r6('p0 + ratio * (p1 - p0)', 'target')}, {r6('abs(p0 + ratio * (p1 - p0) - p1) / nullif(abs(p1 - p0), 0)', 'reward_risk')} FROM legs, (SELECT unnest([1.272, 1.618, 2.0]::DOUBLE[]) AS ratio) WHERE nth = 1"
+ORACLE_SQL["fibonacci_clusters"] = f"""WITH RECURSIVE {LEGS}, v AS (SELECT symbol, p1 - ratio * (p1 - p0) AS level FROM legs, {RATIOS} WHERE nth <= 5 AND p1 > 0),
+    c AS (SELECT symbol, CAST(0 AS INTEGER) AS k, min(level) AS anchor FROM v GROUP BY symbol UNION ALL SELECT c.symbol, c.k + 1, (SELECT min(level) FROM v WHERE v.symbol = c.symbol AND level > c.anchor * (1 + 2.0 / 100)) FROM c WHERE c.anchor IS NOT NULL)
+    SELECT c.symbol, k AS cluster, {r6('anchor', 'anchor')}, CAST(count(*) AS INTEGER) AS members, {r6('avg(level)', 'centre')} FROM c JOIN v ON v.symbol = c.symbol AND level >= anchor AND level <= anchor * (1 + 2.0 / 100) WHERE anchor IS NOT NULL GROUP BY c.symbol, k, anchor"""
+
+
+def _bias_cte(name: str, source: str) -> str:
+    return f"""{name}_c AS (SELECT *, close - lag(close) OVER ({S}) AS c FROM {source}), {name}_s AS (SELECT *, CASE WHEN count(c) OVER {w(8)} >= 4 THEN sum(c) OVER {w(8)} END AS s FROM {name}_c),
+    {name} AS (SELECT symbol, ts, greatest(-2, least(2, CASE WHEN count(s) OVER {w(8)} >= 4 THEN (s - quantile_cont(s, 0.5) OVER {w(8)}) / nullif(quantile_cont(s, 0.75) OVER {w(8)} - quantile_cont(s, 0.25) OVER {w(8)}, 0) END)) / 2 AS raw,
+        count(s) OVER {w(8)} >= 4 AND s IS NOT NULL AND quantile_cont(s, 0.75) OVER {w(8)} > quantile_cont(s, 0.25) OVER {w(8)} AS ok FROM {name}_s)"""
+
+
+ORACLE_SQL["mtf_bias_confluence"] = f"""WITH {bars_cte()}, {H4}, {_bias_cte('lo', 'b')}, {_bias_cte('hi', 'h4')}, x AS (SELECT symbol, ts + INTERVAL 60 MINUTE AS at, ts, CASE WHEN ok THEN raw END AS v FROM lo), y AS (SELECT symbol, ts + INTERVAL 240 MINUTE AS at, CASE WHEN ok THEN raw END AS v FROM hi)
+    SELECT x.symbol, x.ts, {r6('x.v', 'bias')}, {r6('y.v', '"H4_bias"')}, CAST(coalesce(sign(x.v) * sign(y.v) < 0, false) AS INTEGER) AS conflict, {r6('1 - abs(x.v - y.v) / 2', 'confluence')} FROM x ASOF LEFT JOIN y ON x.symbol = y.symbol AND x.at >= y.at"""
+DIV = lambda kind, a, c: f"CAST(CASE WHEN pv = {kind} AND close {a} last_value(CASE WHEN pv = {kind} THEN close END IGNORE NULLS) OVER {PASTW} AND rsi {c} last_value(CASE WHEN pv = {kind} THEN rsi END IGNORE NULLS) OVER {PASTW} THEN 1 ELSE 0 END AS INTEGER)"
+ORACLE_SQL["divergence"] = f"""WITH RECURSIVE {NB}, u AS (SELECT symbol, ts, rn, close, greatest(d, 0) AS up, greatest(-d, 0) AS dn, list_reverse(list(close) OVER {w(5)}) AS v FROM b), {recurrence('g', 'u', *seed_terms('up', 14, 2 / 15, 1))}, {recurrence('l', 'u', *seed_terms('dn', 14, 2 / 15, 1))},
+    x AS (SELECT symbol, ts, close, {RSI} AS rsi, CASE WHEN len(v) = 5 AND list_position(v, list_max(v)) = 3 THEN 1 WHEN len(v) = 5 AND list_position(v, list_min(v)) = 3 THEN -1 ELSE 0 END AS pv FROM u JOIN g USING (symbol, rn) JOIN l USING (symbol, rn))
+    SELECT symbol, ts, {DIV(1, '>', '<')} AS div_bear, {DIV(-1, '<', '>')} AS div_bull FROM x"""
