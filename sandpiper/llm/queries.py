@@ -81,6 +81,47 @@ ORACLE_SQL: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM pairs
         )
         SELECT * FROM ranked WHERE "rank" <= 5""",
+    "op7_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+        ), w AS (
+            SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws, row_number() OVER (ORDER BY doc_id, n) AS pos FROM l
+        ), d AS (
+            SELECT ws, min(pos) AS pos FROM w WHERE len(ws) > 0 GROUP BY ws
+        ), v AS (
+            SELECT pos, array_to_string(ws, ' ') AS rest, 0 AS i FROM d
+            UNION ALL SELECT pos, array_to_string(list_concat(ws[: i - 1], ws[i + 1 :]), ' '), i FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE len(ws) >= 5)
+        ), same AS (
+            SELECT rest, i, min(pos) AS p FROM v GROUP BY rest, i
+        ), firsts AS (
+            SELECT rest, min(p) FILTER (i = 0) AS whole, min(p) FILTER (i > 0) AS cut FROM same GROUP BY rest
+        ), near AS (
+            SELECT v.pos FROM v JOIN same s ON s.rest = v.rest AND s.i = v.i WHERE v.i > 0 AND s.p < v.pos
+            UNION SELECT v.pos FROM v JOIN firsts f ON f.rest = v.rest WHERE CASE WHEN v.i = 0 THEN f.cut ELSE f.whole END < v.pos
+        ), kept AS (
+            SELECT w.doc_id, string_agg(w.line, chr(10) ORDER BY w.n) FILTER (k.keep) AS text, count(*) AS n_lines, count(*) FILTER (NOT k.keep) AS n_dropped
+            FROM w LEFT JOIN d ON d.pos = w.pos LEFT JOIN near ON near.pos = w.pos, LATERAL (SELECT len(w.ws) = 0 OR (d.pos IS NOT NULL AND near.pos IS NULL) AS keep) k GROUP BY w.doc_id
+        )
+        SELECT doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(n_lines, 1) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+        FROM documents t LEFT JOIN kept USING (doc_id)""",
+    "op8_sharding": """
+        WITH RECURSIVE poly AS (
+            SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))
+        ), bytes AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+                list_concat([4294967295], [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]) AS b FROM documents
+        ), sums AS (
+            SELECT doc_id, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM bytes, poly
+        ), jump AS (
+            SELECT doc_id, n, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j, (CAST(doc_id AS HUGEINT) + 18446744073709551616) % 18446744073709551616 AS k FROM documents, (SELECT unnest([40, 41]) AS n)
+            UNION ALL
+            SELECT doc_id, n, j, CAST(least(floor((j + 1) * (2147483648.0::DOUBLE / CAST((k1 // 8589934592) + 1 AS DOUBLE))), n) AS BIGINT), k1
+            FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k1 FROM jump WHERE j < n)
+        ), shards AS (
+            SELECT doc_id, CAST(max(b) FILTER (n = 40) AS INTEGER) AS shard, CAST(max(b) FILTER (n = 41) AS INTEGER) AS grown_shard FROM jump GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+        FROM sums JOIN shards USING (doc_id)""",
     "op10_substring_dedup": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
