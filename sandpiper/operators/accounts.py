@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sandpiper.operators.recursive import ordered_fold
 from sandpiper.operators.rolling import ratio
 
 EPS = 1e-12
@@ -162,3 +163,33 @@ def flag_rate_proposals(df: DataFrame, flags: list[str], low: float, high: float
     parts = F.array(*(F.struct(F.lit(f).alias("flag"), F.avg(f).alias("rate")) for f in flags))
     rows = df.agg(parts.alias("p")).select(F.explode("p").alias("p")).select("p.*")
     return rows.withColumn("shift", F.when(F.col("rate") < low, -step).when(F.col("rate") > high, step).otherwise(0.0))
+
+
+def simulate(fills: DataFrame, by: tuple[str, ...], order: tuple[str, ...], balance: float = 0.0) -> DataFrame:
+    """Net position after each fill (side, lots, fill_price, commission), its mean entry price (0 when flat), the profit the fill
+    realises, and the balance. Adding to a position averages its entry; what closes is settled against the entry; a
+    reversal starts anew at the fill's price. One account's fills are folded in order."""
+
+    def step(rows):
+        held = entry = 0.0
+        for side, lots, price in rows:
+            change = side * lots
+            if held * change >= 0:
+                entry = (abs(held) * entry + lots * price) / (abs(held) + lots) if lots else entry
+                gain = 0.0
+            else:
+                gain = (price - entry) * (min(abs(held), lots) if held > 0 else -min(abs(held), lots))
+                entry = price if lots > abs(held) else entry if lots < abs(held) else 0.0
+            held += change
+            yield held, entry, gain
+
+    out = ordered_fold(fills, ["side", "lots", "fill_price"], ["held", "entry_price", "realised"], step, by, order)
+    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("balance", balance + F.sum(F.col("realised") - F.col("commission")).over(upto))
+
+
+def mark_to_market(df: DataFrame, bid: str = "bid", ask: str = "ask") -> DataFrame:
+    """What held positions would realise now: long at the bid, short at the ask; equity is the balance and that."""
+    price = F.when(F.col("held") >= 0, F.col(bid)).otherwise(F.col(ask))
+    out = df.withColumn("unrealised", F.when(F.col("held") == 0, 0.0).otherwise((price - F.col("entry_price")) * F.col("held")))
+    return out.withColumn("equity", F.col("balance") + F.col("unrealised"))

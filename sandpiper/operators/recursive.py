@@ -18,7 +18,7 @@ from sandpiper.session import ship
 from sandpiper.sources.candles import KEY, series
 
 
-def ordered_fold(df: DataFrame, reads: list[str], outs: list[str], step: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+def ordered_fold(df: DataFrame, reads: list[str], outs: list[str], step: Callable[[Iterator[tuple]], Iterator[tuple]], by: tuple[str, ...] = KEY, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Append ``outs`` to every series: step takes the rows of ``reads`` in time order and yields a tuple for each."""
     ship(df.sparkSession)
     fields = [f for f in df.schema if f.name not in outs]
@@ -26,12 +26,12 @@ def ordered_fold(df: DataFrame, reads: list[str], outs: list[str], step: Callabl
     names = [f.name for f in fields]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", ignore_index=True)
+        rows = rows.sort_values(list(order), ignore_index=True)
         made = list(step(zip(*(rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in reads), strict=True)))
         new = pd.DataFrame(made, columns=outs, dtype="float64") if made else pd.DataFrame({o: pd.Series(dtype="float64") for o in outs})
         return pd.concat([rows[names], new], axis=1)
 
-    return df.groupBy(*KEY).applyInPandas(run, schema)
+    return df.groupBy(*by).applyInPandas(run, schema)
 
 
 def recur(df: DataFrame, **terms: tuple[Column, Column]) -> DataFrame:

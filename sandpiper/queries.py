@@ -563,3 +563,25 @@ DIV = lambda kind, a, c: f"CAST(CASE WHEN pv = {kind} AND close {a} last_value(C
 ORACLE_SQL["divergence"] = f"""WITH RECURSIVE {NB}, u AS (SELECT symbol, ts, rn, close, greatest(d, 0) AS up, greatest(-d, 0) AS dn, list_reverse(list(close) OVER {w(5)}) AS v FROM b), {recurrence('g', 'u', *seed_terms('up', 14, 2 / 15, 1))}, {recurrence('l', 'u', *seed_terms('dn', 14, 2 / 15, 1))},
     x AS (SELECT symbol, ts, close, {RSI} AS rsi, CASE WHEN len(v) = 5 AND list_position(v, list_max(v)) = 3 THEN 1 WHEN len(v) = 5 AND list_position(v, list_min(v)) = 3 THEN -1 ELSE 0 END AS pv FROM u JOIN g USING (symbol, rn) JOIN l USING (symbol, rn))
     SELECT symbol, ts, {DIV(1, '>', '<')} AS div_bear, {DIV(-1, '<', '>')} AS div_bull FROM x"""
+
+# -- simulated account ----------------------------------------------------------------
+
+SIM = ["held", "entry_price", "realised", "balance", "unrealised", "equity"]
+
+
+def _simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # lots in eighths, so that positions close exactly
+    fills = acc.fill_costs(_fills(spark, sf_dir).withColumn("lots", F.ceil(F.col("lots") * 8) / 8))
+    done = acc.mark_to_market(acc.simulate(fills, ("account",), tuple(ORDER), 10_000.0))
+    return tidy(done, ["account", "execution_id", "fill_no"], SIM)
+
+
+QUERIES["simulated_account"] = _simulate
+ORACLE_SQL["simulated_account"] = f"""WITH RECURSIVE {FILLS_SQL.replace("CAST(l_quantity AS DOUBLE) / 100 AS lots", "ceil(CAST(l_quantity AS DOUBLE) / 100 * 8) / 8 AS lots")},
+    n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts, execution_id, fill_no) AS rn FROM c),
+    s AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS h, 0.0::DOUBLE AS e, 0.0::DOUBLE AS g FROM n UNION ALL
+        SELECT n.account, n.rn, s.h + side * lots, CASE WHEN s.h * side >= 0 THEN (abs(s.h) * s.e + lots * fill_price) / (abs(s.h) + lots) WHEN lots > abs(s.h) THEN fill_price WHEN lots < abs(s.h) THEN s.e ELSE 0 END,
+            CASE WHEN s.h * side >= 0 THEN 0 ELSE (fill_price - s.e) * sign(s.h) * least(abs(s.h), lots) END FROM s JOIN n ON n.account = s.account AND n.rn = s.rn + 1),
+    b AS (SELECT n.*, s.h, s.e, s.g, 10000 + sum(s.g - commission) OVER ({A}) AS balance FROM (SELECT *, 0 AS x FROM n) n JOIN s USING (account, rn)),
+    u AS (SELECT *, CASE WHEN h = 0 THEN 0 ELSE (CASE WHEN h >= 0 THEN p - 0.5 ELSE p + 0.5 END - e) * h END AS u FROM b)
+    SELECT account, execution_id, fill_no, {r6('h', 'held')}, {r6('e', 'entry_price')}, {r6('g', 'realised')}, {r6('balance', 'balance')}, {r6('u', 'unrealised')}, {r6('balance + u', 'equity')} FROM u"""
