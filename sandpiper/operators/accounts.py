@@ -193,3 +193,18 @@ def mark_to_market(df: DataFrame, bid: str = "bid", ask: str = "ask") -> DataFra
     price = F.when(F.col("held") >= 0, F.col(bid)).otherwise(F.col(ask))
     out = df.withColumn("unrealised", F.when(F.col("held") == 0, 0.0).otherwise((price - F.col("entry_price")) * F.col("held")))
     return out.withColumn("equity", F.col("balance") + F.col("unrealised"))
+
+
+def decide(requests: DataFrame, by: str, symbol_cap: float = 0.3, total_cap: float = 1.0, leverage: float = 30.0, most_margin: float = 0.02) -> DataFrame:
+    """The whole chain of a decision over its symbols (exposure, equity, free_margin, used_margin, margin_level).
+
+    A hard rule broken rejects the decision (all exposures 0); else exposures are clipped by symbol, scaled to the total, and
+    scaled again until the margin they need is at most ``most_margin`` of the free margin. verdict: REJECTED, MODIFIED or APPROVED.
+    """
+    checked = requests.withColumn("violation", guard(F.col("equity"), F.col("free_margin"), F.col("used_margin"), F.col("margin_level")))
+    limited = risk_limits(checked, by, symbol_cap, total_cap)
+    need = F.sum(F.abs("final") * F.col("equity") / leverage).over(Window.partitionBy(by))
+    room = F.col("free_margin") * most_margin
+    out = limited.withColumn("final", F.when(F.col("violation").isNotNull(), 0.0).when(need > room, F.col("final") * room / need).otherwise(F.col("final")))
+    verdict = F.when(F.col("violation").isNotNull(), "REJECTED").when(F.col("final") == F.col("exposure"), "APPROVED").otherwise("MODIFIED")
+    return out.withColumn("verdict", verdict).drop("status", "capped")

@@ -585,3 +585,17 @@ ORACLE_SQL["simulated_account"] = f"""WITH RECURSIVE {FILLS_SQL.replace("CAST(l_
     b AS (SELECT n.*, s.h, s.e, s.g, 10000 + sum(s.g - commission) OVER ({A}) AS balance FROM (SELECT *, 0 AS x FROM n) n JOIN s USING (account, rn)),
     u AS (SELECT *, CASE WHEN h = 0 THEN 0 ELSE (CASE WHEN h >= 0 THEN p - 0.5 ELSE p + 0.5 END - e) * h END AS u FROM b)
     SELECT account, execution_id, fill_no, {r6('h', 'held')}, {r6('e', 'entry_price')}, {r6('g', 'realised')}, {r6('balance', 'balance')}, {r6('u', 'unrealised')}, {r6('balance + u', 'equity')} FROM u"""
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = roll.roc(bars(spark, sf_dir, "H4"), period=3).filter("roc IS NOT NULL").selectExpr("symbol", "ts", "roc / 100 exposure", "10000D - 40 * day(ts) * hour(ts) equity", "30D * hour(ts) * day(ts) used_margin")
+    asked = asked.selectExpr("*", "equity - used_margin free_margin", "equity / nullif(used_margin, 0D) margin_level")
+    return tidy(acc.decide(asked, "ts").fillna("", ["violation"]), ["symbol", "ts"], ["exposure", "violation", "final", "verdict"])
+
+
+QUERIES["risk_decisions"] = _decisions
+ORACLE_SQL["risk_decisions"] = f"""WITH {H4}, x AS (SELECT symbol, ts, (close - lag(close, 3) OVER ({S})) / nullif(lag(close, 3) OVER ({S}), 0) * 100 / 100 AS e, 10000.0::DOUBLE - 40 * day(ts) * hour(ts) AS eq, 30.0::DOUBLE * hour(ts) * day(ts) AS used FROM h4),
+    y AS (SELECT *, eq - used AS free, sign(e) * least(abs(e), 0.3) AS c, CASE WHEN eq <= 0 THEN 'EQUITY_NOT_POSITIVE' WHEN eq - used < 0 THEN 'NO_FREE_MARGIN' WHEN used < 0 THEN 'BAD_USED_MARGIN' WHEN used / nullif(eq, 0) > 0.5 THEN 'MARGIN_UTILISATION' WHEN eq / nullif(used, 0) < 1.5 THEN 'MARGIN_LEVEL' END AS v FROM x WHERE e IS NOT NULL),
+    z AS (SELECT *, sum(abs(c)) OVER (PARTITION BY ts) AS t FROM y), f AS (SELECT *, CASE WHEN t > 1 THEN c / t ELSE c END AS f FROM z), n AS (SELECT *, sum(abs(f) * eq / 30) OVER (PARTITION BY ts) AS need FROM f),
+    o AS (SELECT *, CASE WHEN v IS NOT NULL THEN 0 WHEN need > free * 0.02 THEN f * (free * 0.02) / need ELSE f END AS g FROM n)
+    SELECT symbol, ts, {r6('e', 'exposure')}, coalesce(v, '') AS violation, {r6('g', 'final')}, CASE WHEN v IS NOT NULL THEN 'REJECTED' WHEN g = e THEN 'APPROVED' ELSE 'MODIFIED' END AS verdict FROM o"""
