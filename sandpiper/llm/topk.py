@@ -57,7 +57,11 @@ def threshold_topk(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: i
 
 
 def quantised(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(256 * x) of every component; rows with null ids, or null or non-finite components, are left out."""
+    """(vec_id, v): floor(256 * x) of every component; rows with null ids, or null or non-finite components, are left out.
+
+    So are rows with a component of 3e13 or more, whose products don't fit a long; scores are longs, and components are
+    expected to be small enough for their sums to be.
+    """
     x = F.transform("embedding", lambda c: F.floor(256 * c.cast("double")))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
     finite = F.forall("embedding", lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 3.0e13), F.lit(False)))
