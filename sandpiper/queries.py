@@ -18,6 +18,8 @@ from sandpiper.operators import levels as lv
 from sandpiper.operators import patterns as pat
 from sandpiper.operators import recursive as rec
 from sandpiper.operators import rolling as roll
+from sandpiper.operators import structure as st
+from sandpiper.operators import zones as zn
 from sandpiper.plans import features as plans
 from sandpiper.sources import candles as src
 
@@ -599,3 +601,88 @@ ORACLE_SQL["risk_decisions"] = f"""WITH {H4}, x AS (SELECT symbol, ts, (close -
     z AS (SELECT *, sum(abs(c)) OVER (PARTITION BY ts) AS t FROM y), f AS (SELECT *, CASE WHEN t > 1 THEN c / t ELSE c END AS f FROM z), n AS (SELECT *, sum(abs(f) * eq / 30) OVER (PARTITION BY ts) AS need FROM f),
     o AS (SELECT *, CASE WHEN v IS NOT NULL THEN 0 WHEN need > free * 0.02 THEN f * (free * 0.02) / need ELSE f END AS g FROM n)
     SELECT symbol, ts, {r6('e', 'exposure')}, coalesce(v, '') AS violation, {r6('g', 'final')}, CASE WHEN v IS NOT NULL THEN 'REJECTED' WHEN g = e THEN 'APPROVED' ELSE 'MODIFIED' END AS verdict FROM o"""
+
+# -- structure and zones -----------------------------------------------------------------
+
+LAST = lambda v, over: f"last_value({v} IGNORE NULLS) OVER {over}"
+SWINGS_SQL = f"""{bars_cte()}, w7 AS (SELECT *, count(*) OVER {w(7)} = 7 AS whole, lag(high, 3) OVER ({S}) AS h, lag(low, 3) OVER ({S}) AS l, max(high) OVER {w(7)} AS mh, min(low) OVER {w(7)} AS ml FROM b),
+    sw AS (SELECT *, CASE WHEN whole AND h = mh THEN h END AS sh, CASE WHEN whole AND l = ml THEN l END AS sl FROM w7)"""
+on_bars("swing_trend", lambda b: st.swing_trend(st.swings(b, 3, 3)), ["swing_high", "swing_low", "trend", "trend_bos", "trend_choch"], f"""
+    WITH {SWINGS_SQL}, m AS (SELECT *, max(sh) OVER {PASTW} AS top, min(sl) OVER {PASTW} AS floor FROM sw),
+    v AS (SELECT *, CASE WHEN sh > top THEN 1 WHEN sh < top THEN -1 END AS vh, CASE WHEN sl < floor THEN -1 WHEN sl > floor THEN 1 END AS vl FROM m), u AS (SELECT *, coalesce(vl, vh) AS says FROM v),
+    t AS (SELECT *, coalesce({LAST('says', PASTW)}, 0) AS was, coalesce({LAST('says', ALLW)}, 0) AS trend FROM u),
+    k AS (SELECT *, CASE WHEN vl = 1 AND coalesce(vh, was) <> 1 THEN 1 WHEN vh = -1 AND was <> -1 THEN -1 END AS br FROM t), q AS (SELECT *, {LAST('br', PASTW)} AS lb FROM k)
+    SELECT symbol, ts, {r6('sh', 'swing_high')}, {r6('sl', 'swing_low')}, CAST(trend AS INTEGER) AS trend, CAST(CASE WHEN lb IS NULL OR lb = br THEN coalesce(br, 0) ELSE 0 END AS INTEGER) AS trend_bos, CAST(CASE WHEN lb <> br THEN br ELSE 0 END AS INTEGER) AS trend_choch FROM q""")
+on_bars("gap_register", st.gap_register, ["gap_new", "gaps_filled", "gaps_open"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, lag(high, 2) OVER ({S}) AS h2, lag(low, 2) OVER ({S}) AS l2, row_number() OVER ({S}) AS rn FROM b),
+    g AS (SELECT *, CASE WHEN low > h2 THEN 1 WHEN high < l2 THEN -1 ELSE 0 END AS k, CASE WHEN low > h2 THEN h2 WHEN high < l2 THEN l2 END AS edge FROM x),
+    f AS (SELECT a.symbol, a.rn AS born, min(z.rn) AS rn FROM g a JOIN g z ON a.symbol = z.symbol AND z.rn > a.rn AND ((a.k = 1 AND z.low <= a.edge) OR (a.k = -1 AND z.high >= a.edge)) GROUP BY ALL),
+    n AS (SELECT symbol, rn, count(*) AS n FROM f GROUP BY ALL), c AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (symbol, rn))
+    SELECT symbol, ts, {r6('k', 'gap_new')}, {r6('n', 'gaps_filled')}, {r6(f'sum(abs(k) - n) OVER {ALLW}', 'gaps_open')} FROM c""")
+
+
+def _soft(b: DataFrame) -> DataFrame:
+    b = st.swings(roll.atr_classic(b), 3, 3)
+    b = b.withColumns({"sw": F.when(F.col("swing_high").isNotNull(), 1).when(F.col("swing_low").isNotNull(), -1).otherwise(0), "sw_price": F.coalesce("swing_high", "swing_low")})
+    return st.soft_confirmations(b, "sw", "sw_price", 5.0)
+
+
+SOFT = ["sc_deviation", "sc_time", "sc_structure", "sc_atr", "soft_strength", "pivot_age", "pivot_distance"]
+on_bars("soft_confirmations", _soft, SOFT, f"""
+    WITH {SWINGS_SQL}, t AS (SELECT *, {TR} AS tr, row_number() OVER ({S}) AS rn, CASE WHEN sh IS NOT NULL THEN 1 WHEN sl IS NOT NULL THEN -1 ELSE 0 END AS k, coalesce(sh, sl) AS p FROM sw),
+    x AS (SELECT *, {ATR14} AS a, {LAST('CASE WHEN k <> 0 THEN k END', ALLW)} AS lk, {LAST('CASE WHEN k <> 0 THEN p END', ALLW)} AS lp, rn - {LAST('CASE WHEN k <> 0 THEN rn END', ALLW)} AS age,
+        {LAST('CASE WHEN k = 1 THEN p END', PASTW)} AS ph, {LAST('CASE WHEN k = -1 THEN p END', PASTW)} AS pl FROM t), y AS (SELECT *, CASE WHEN lk = -1 THEN high - lp ELSE lp - low END AS gone FROM x),
+    z AS (SELECT symbol, ts, CAST(coalesce(gone >= 5, false) AS INTEGER) AS d, CAST(coalesce(age >= 10, false) AS INTEGER) AS t, CAST(coalesce(k = 1 AND p < ph OR k = -1 AND p > pl, false) AS INTEGER) AS s, CAST(coalesce(gone >= 1.5 * a, false) AS INTEGER) AS v, age, abs(close - lp) AS dist FROM y)
+    SELECT symbol, ts, d AS sc_deviation, t AS sc_time, s AS sc_structure, v AS sc_atr, d + t + s + v AS soft_strength, CAST(age AS INTEGER) AS pivot_age, {r6('dist', 'pivot_distance')} FROM z""")
+on_bars("level_breaks", lambda b: st.level_breaks(b.withColumns({"hi": roll.highest("high", 20), "lo": roll.lowest("low", 20)}).withColumns({"r": roll.prev("hi"), "s": roll.prev("lo")}), "r", "s"), ["level_break", "break_confirmed"], f"""
+    WITH {bars_cte()}, c AS (SELECT *, {full(f'max(high) OVER {w(20)}', 20)} AS hi, {full(f'min(low) OVER {w(20)}', 20)} AS lo, avg(volume) OVER ({S} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual FROM b),
+    k AS (SELECT *, CASE WHEN close > lag(hi) OVER ({S}) THEN 1 WHEN close < lag(lo) OVER ({S}) THEN -1 ELSE 0 END AS k FROM c)
+    SELECT symbol, ts, CAST(k AS INTEGER) AS level_break, CAST(coalesce(k <> 0 AND volume > 1.5 * usual, false) AS INTEGER) AS break_confirmed FROM k""")
+on_bars("trend_regime", lambda b: st.trend_regime(roll.atr_classic(b).selectExpr("*", "100 * abs(close - open) / close adx", "(high - low) / nullif(atr, 0D) atr_ratio", "close - open slope")), ["market_regime", "regime_strength", "regime_duration"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr FROM b), x AS (SELECT *, 100 * abs(close - open) / close AS adx, (high - low) / nullif({ATR14}, 0) AS r FROM t),
+    m AS (SELECT *, CASE WHEN adx >= 25 THEN CASE WHEN close < open THEN 'trending_down' ELSE 'trending_up' END WHEN r >= 0.8 THEN 'volatile' ELSE 'ranging' END AS m FROM x),
+    f AS (SELECT *, CAST(m = coalesce(lag(m) OVER ({S}), 'ranging') AS INTEGER) AS same FROM m), {run_sql('same', 'f', 'lasts')}
+    SELECT symbol, ts, m AS market_regime, {r6("CASE m WHEN 'volatile' THEN r WHEN 'ranging' THEN 1 - adx / 25 ELSE least(adx / 50, 1) END", 'regime_strength')}, CAST(lasts AS BIGINT) AS regime_duration FROM lasts_t""")
+on_bars("volatility_threshold", st.volatility_threshold, ["vol_regime", "vol_threshold"], f"""
+    WITH RECURSIVE {NB}, {recurrence('a', 'b', *seed_terms('tr', 14, 2 / 15))}, x AS (SELECT b.*, a.out AS a, {full(f'avg(tr) OVER {w(14)}', 14)} AS m FROM b JOIN a USING (symbol, rn)),
+    k AS (SELECT *, CASE WHEN a < 0.8 * m THEN 'low' WHEN a > 1.3 * m THEN 'high' ELSE 'normal' END AS k FROM x)
+    SELECT symbol, ts, k AS vol_regime, {r6("a * CASE k WHEN 'low' THEN 1.2 WHEN 'high' THEN 3 ELSE 2 END", 'vol_threshold')} FROM k""")
+SIGNALS = "stack(3, 'body', close - open, 1D, 'range', high - low, 0.5D, 'level', close, 0.25D) AS (kind, value, weight)"
+QUERIES["signal_confluence"] = lambda s, d: tidy(st.signal_confluence(bars(s, d).selectExpr("symbol", "tf", "ts", SIGNALS)), ["symbol", "ts", "kind"], ["confluence_score"])
+KINDS = {"body": 1.0, "level": 0.25, "range": 0.5}
+ORACLE_SQL["signal_confluence"] = f"""WITH {bars_cte()}, s AS (SELECT symbol, ts, unnest(['body', 'level', 'range']) AS kind, unnest([close - open, close, high - low]) AS v, unnest([1.0, 0.25, 0.5]::DOUBLE[]) AS wt FROM b),
+    f AS (SELECT *, sum(v * wt) OVER five AS sv, sum(wt) OVER five AS sw FROM s WINDOW five AS (PARTITION BY symbol, kind ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    k AS (SELECT *, {', '.join(f"last_value(CASE WHEN kind = '{k}' THEN {c} END IGNORE NULLS) OVER every AS {c}_{k}" for k in KINDS for c in ('sv', 'sw'))} FROM f WINDOW every AS (PARTITION BY symbol ORDER BY ts, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT symbol, ts, kind, {r6('(' + ' + '.join(f'coalesce(sv_{k}, 0)' for k in KINDS) + ') / (' + ' + '.join(f'coalesce(sw_{k}, 0)' for k in KINDS) + ')', 'confluence_score')} FROM k"""
+
+
+def _breaker(b: DataFrame) -> DataFrame:
+    return zn.zone_status(zn.breaker(pat.order_block(roll.atr_classic(b))), "bf", "bf_bottom", "bf_top")
+
+
+HIT = lambda k: f"coalesce(low <= lag(bt, {k}) OVER ({S}) AND high >= lag(bb, {k}) OVER ({S}), false)"
+on_bars("breaker_zones", _breaker, ["bf", "bf_bottom", "bf_top", "bf_alive", "bf_filled", "bf_expired", "bf_age", "bf_score"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr FROM b), x AS (SELECT *, {ATR14} AS a, CASE WHEN close > max(high) OVER {P5} THEN 1 WHEN close < min(low) OVER {P5} THEN -1 ELSE 0 END AS k,
+        {LASTO('close < open', 'low')} AS dl, {LASTO('close < open', 'high')} AS dh, {LASTO('close > open', 'low')} AS ul, {LASTO('close > open', 'high')} AS uh FROM t),
+    z AS (SELECT *, lag(CASE k WHEN 1 THEN dl WHEN -1 THEN ul END) OVER ({S}) AS ob, lag(CASE k WHEN 1 THEN dh WHEN -1 THEN uh END) OVER ({S}) AS ot FROM x),
+    y AS (SELECT *, CASE WHEN close > min(ot) OVER {P5} THEN 1 WHEN close < max(ob) OVER {P5} THEN -1 ELSE 0 END AS f FROM z),
+    q AS (SELECT *, CASE WHEN f <> 0 THEN least(open, close) END AS bb, CASE WHEN f <> 0 THEN greatest(open, close) END AS bt FROM y),
+    h AS (SELECT *, lag(f) OVER ({S}) AS bf, {HIT(1)} OR {HIT(2)} OR {HIT(3)} AS hit, lag(bt, 3) OVER ({S}) IS NOT NULL AS old, CASE WHEN lag(bt, 1) OVER ({S}) IS NOT NULL THEN 1 WHEN lag(bt, 2) OVER ({S}) IS NOT NULL THEN 2 WHEN lag(bt, 3) OVER ({S}) IS NOT NULL THEN 3 END AS age,
+        coalesce(lag(bt, 1) OVER ({S}) - lag(bb, 1) OVER ({S}), lag(bt, 2) OVER ({S}) - lag(bb, 2) OVER ({S}), lag(bt, 3) OVER ({S}) - lag(bb, 3) OVER ({S})) AS tall FROM q),
+    v AS (SELECT *, NOT hit AND age IS NOT NULL AS alive FROM h)
+    SELECT symbol, ts, CAST(coalesce(bf, 0) AS INTEGER) AS bf, {r6('bb', 'bf_bottom')}, {r6('bt', 'bf_top')}, CAST(alive AS INTEGER) AS bf_alive, CAST(hit AS INTEGER) AS bf_filled, CAST(old AND NOT hit AS INTEGER) AS bf_expired,
+        CAST(CASE WHEN alive THEN age END AS INTEGER) AS bf_age, {r6('CASE WHEN alive THEN 0.5 * coalesce(tall / nullif(a, 0), 0) + 0.3 / (1 + age) ELSE 0 END', 'bf_score')} FROM v""")
+
+
+def _fusion(b: DataFrame) -> DataFrame:
+    b = pat.supply_demand(pat.liquidity_sweep(pat.fair_value_gap(_breaker(b))))
+    kinds = {"fvg": "fvg", "sd": "sd", "ob": "ob", "bf": "bf", "ls": "sweep"}
+    for name, zone in kinds.items():
+        if name != "bf":
+            b = zn.zone_status(b, name, f"{zone}_bottom", f"{zone}_top")
+    return zn.fusion(b, list(kinds))
+
+
+on_bars("sr_fusion", lambda b: _fusion(b).fillna("", ["sr_source"]), ["sr_score_raw", "sr_on", "sr_score", "sr_source"])
+on_bars("causal_swings", lambda b: st.causal_swings(b, 0.2), ["cs", "cs_price", "cs_age"])
+on_bars("liquidity_pools", lambda b: st.liquidity_pools(st.swings(b, 3, 3), 0.05), ["pool_high_touches", "pool_low_touches", "swept_highs", "swept_lows"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sandpiper.operators.structure import advance
 from sandpiper.plans.features import features, plan, warmup
 from sandpiper.session import ship
 from sandpiper.sources.candles import KEY, MINUTES, last_rows, timeframe, upsert
@@ -66,6 +67,27 @@ def live_ema(bars: DataFrame, period: int) -> DataFrame:
     return bars.select(*KEY, "ts", "close").groupBy(*KEY).applyInPandasWithState(run, "symbol string, tf string, ts timestamp, ema double", "last string, value double, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def live_swings(bars: DataFrame, reversal: float = 0.01, least: int = 1, by_close: bool = False) -> DataFrame:
+    """Swings of new closed bars as causal_swings() gives them: ts of the confirming bar, cs, cs_price, cs_age; the machine's state is kept for every series."""
+    ship(bars.sparkSession)
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        last, machine = (state.get[0], tuple(state.get[1:])) if state.exists else ("", None)
+        out = []
+        for row in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
+            if last and row.ts <= pd.Timestamp(last):
+                continue
+            machine, found = advance(machine, row.high, row.low, row.close, reversal, least, by_close)
+            last = str(row.ts)
+            if found is not None:
+                out.append((*key, row.ts, float(found[0]), float(found[1]), float(machine[0] - found[2])))
+        state.update((last, *machine))
+        yield pd.DataFrame(out, columns=["symbol", "tf", "ts", "cs", "cs_price", "cs_age"]).astype({"ts": "datetime64[ns]", "cs": "float64", "cs_price": "float64", "cs_age": "float64"})
+
+    kept = "last string, place long, seek int, extreme double, at long, swing long, high double, low double, close double"
+    return bars.select(*KEY, "ts", "high", "low", "close").groupBy(*KEY).applyInPandasWithState(run, "symbol string, tf string, ts timestamp, cs double, cs_price double, cs_age double", kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def update_cache(cache: DataFrame, new: DataFrame, keep: int) -> DataFrame:
     """A series' newest ``keep`` rows after new ones replaced or joined the old (for foreachBatch)."""
     return last_rows(upsert(cache, new), keep)
