@@ -208,3 +208,27 @@ def decide(requests: DataFrame, by: str, symbol_cap: float = 0.3, total_cap: flo
     out = limited.withColumn("final", F.when(F.col("violation").isNotNull(), 0.0).when(need > room, F.col("final") * room / need).otherwise(F.col("final")))
     verdict = F.when(F.col("violation").isNotNull(), "REJECTED").when(F.col("final") == F.col("exposure"), "APPROVED").otherwise("MODIFIED")
     return out.withColumn("verdict", verdict).drop("status", "capped")
+
+
+def observed_slippage(fills: DataFrame, cap: float) -> DataFrame:
+    """Of broker fills (side, bid, ask, fill_price): market_price, adverse slippage (0 where the fill was better) and cap_exceeded; the fill is never altered."""
+    market = F.when(F.col("side") > 0, F.col("ask")).otherwise(F.col("bid"))
+    out = fills.withColumn("market_price", market)
+    out = out.withColumn("slippage", F.greatest(F.lit(0.0), F.signum(F.col("side").cast("double")) * (F.col("fill_price") - F.col("market_price"))))
+    return out.withColumn("cap_exceeded", F.coalesce((F.col("slippage") > cap).cast("int"), F.lit(0)))
+
+
+def round_trip(entries: DataFrame, exits: DataFrame, by: str = "trade_id") -> DataFrame:
+    """entry_cost, exit_cost and round_trip_cost of trades that have both sides (by, symbol, lots, total_cost; one row each); unequal lots or symbols are an error."""
+    out = entries.select(by, "symbol", "lots", F.col("total_cost").alias("entry_cost")).join(exits.select(by, F.col("symbol").alias("__s"), F.col("lots").alias("__l"), F.col("total_cost").alias("exit_cost")), by)
+    same = F.col("symbol").eqNullSafe(F.col("__s")) & F.col("lots").eqNullSafe(F.col("__l"))
+    total = F.when(same, F.col("entry_cost") + F.col("exit_cost")).otherwise(F.raise_error(F.lit("entry and exit must have the same symbol and lots")).cast("double"))
+    return out.withColumn("round_trip_cost", total).drop("__s", "__l")
+
+
+def acceptance(reports: DataFrame, least: dict[str, float], most: dict[str, float]) -> DataFrame:
+    """failed_gates: the names of metrics below their least or above their most, in the order given, comma-separated; accepted: 1 where there are none. A null metric counts as 0."""
+    value = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    tests = [F.when(value(n) < v, F.lit(n)) for n, v in least.items()] + [F.when(value(n) > v, F.lit(n)) for n, v in most.items()]
+    out = reports.withColumn("failed_gates", F.concat_ws(",", *tests))
+    return out.withColumn("accepted", (F.col("failed_gates") == "").cast("int"))

@@ -97,3 +97,73 @@ def soft_bias(df: DataFrame, column: str = "close", window: int = 8, least: int
 def confluence(df: DataFrame, local: str = "bias", higher: str = "bias_high") -> DataFrame:
     """conflict: opposite signs; confluence: 1 less half the difference."""
     return df.withColumns({"conflict": F.coalesce((F.signum(local) * F.signum(higher) < 0).cast("int"), F.lit(0)), "confluence": 1 - F.abs(F.col(local) - F.col(higher)) / 2})
+
+
+def select_legs(leg_rows: DataFrame, most: int = 3, least_move: float | None = None, least_share: float | None = None, most_age: int | None = None) -> DataFrame:
+    """The newest ``most`` legs of a series that move by least_move, by least_share of their lower end, and have at most most_age legs after them."""
+    move = F.abs(F.col("end_price") - F.col("start_price"))
+    out = leg_rows
+    if least_move is not None:
+        out = out.filter(move >= least_move)
+    if least_share is not None:
+        out = out.filter(move >= least_share * F.greatest(F.least("start_price", "end_price"), F.lit(1e-9)))
+    if most_age is not None:
+        out = out.filter(F.col("nth") - 1 <= most_age)
+    return out.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("nth"))).filter(F.col("nth") <= most)
+
+
+def swing_points(leg_rows: DataFrame, known_end: bool = True) -> DataFrame:
+    """a, b, c (and d) of every series: its last four swings, or without a known end the last three, d being null."""
+    at = lambda n, side: F.max(F.when(F.col("nth") == n, F.col(side)))
+    back = 1 if known_end else 0
+    end = at(1, "end_price") if known_end else F.lit(None).cast("double")
+    points = leg_rows.groupBy(*KEY).agg(at(2 + back, "start_price").alias("a"), at(1 + back, "start_price").alias("b"), at(1 + back, "end_price").alias("c"), end.alias("d"))
+    return points.filter("a IS NOT NULL")
+
+
+def equal_legs(points: DataFrame, tol: float = 0.05) -> DataFrame:
+    """abcd_error: how far the length of CD is from that of AB, as a share of it; abcd: 1 where that is ``tol`` at most."""
+    ab = F.abs(F.col("b") - F.col("a"))
+    out = points.withColumns({"length_ab": ab, "cd_ratio": ratio(F.abs(F.col("d") - F.col("c")), ab)})
+    out = out.withColumn("abcd_error", F.abs(F.col("cd_ratio") - 1))
+    return out.withColumn("abcd", F.coalesce((F.col("abcd_error") <= tol).cast("int"), F.lit(0)))
+
+
+def projections(points: DataFrame, ratios: tuple[float, ...] = (1.0, *EXTENSIONS), tol: float | None = None) -> DataFrame:
+    """A row for each ratio: d_expected, that much of AB on from C in AB's direction, and its distance from d (null d: null) in lengths of AB.
+
+    With ``tol`` only projections within it stay, and those without a d.
+    """
+    step = F.col("b") - F.col("a")
+    out = points.select("*", F.explode(F.array(*map(F.lit, ratios))).alias("ratio"))
+    out = out.withColumn("d_expected", F.col("c") + F.col("ratio") * step)
+    out = out.withColumn("d_error", ratio(F.abs(F.col("d") - F.col("d_expected")), F.abs(step)))
+    return out if tol is None else out.filter(F.col("d_error").isNull() | (F.col("d_error") <= tol))
+
+
+def weighted_overlap(df: DataFrame, levels: list[float], weights: list[float] | None = None, tol_pct: float = 0.05, price: str = "close") -> DataFrame:
+    """sr_weighted: the nearest level's weight by a logistic curve of its closeness, and the closeness of others within tol_pct (a share), by weight; 0 to 1."""
+    pairs = list(zip(levels, weights or [1.0] * len(levels), strict=True))
+    reach = F.abs(F.col(price)) * tol_pct
+    near = F.array(*(F.struct(F.abs(F.col(price) - v).alias("far"), F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, (v, w) in enumerate(pairs)))
+    out = df.withColumns({"__near": F.filter(near, lambda x: x["far"] <= reach), "__reach": reach})
+    first = F.array_min("__near")
+    closeness = lambda x: 1 - x["far"] / F.nullif(F.col("__reach"), F.lit(0.0))
+    base = first["w"] / (1 + F.exp(-12 * (closeness(first) - 0.5)))
+    others = F.aggregate("__near", F.lit(0.0), lambda s, x: s + F.when(x["k"] == first["k"], 0.0).otherwise(closeness(x) * x["w"]))
+    return out.withColumn("sr_weighted", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.size("__near") > 0, base + others))), F.lit(0.0))).drop("__near", "__reach")
+
+
+def trade_zones(zones: DataFrame, by: list[str], k: int = 5, stop: float = 1.5, target: float = 2.0, near_pct: float = 0.3) -> DataFrame:
+    """The k zones (zone_low, zone_high, score, price, atr) of each group by score, then nearness, with stops, targets and reward over risk for both sides.
+
+    Stops lie ``stop`` ATR outside the zone, targets ``target`` ATR. Where the ATR is null or not positive the group's mean zone width stands in.
+    """
+    width = F.col("zone_high") - F.col("zone_low")
+    out = zones.withColumn("__a", F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.avg(width).over(Window.partitionBy(*by))))
+    out = out.withColumns({"zone_mid": (F.col("zone_low") + F.col("zone_high")) / 2, "__band": F.col("price") * near_pct / 100})
+    out = out.withColumns({"distance": F.abs(F.col("zone_mid") - F.col("price")), "near": ((F.col("price") >= F.col("zone_low") - F.col("__band")) & (F.col("price") <= F.col("zone_high") + F.col("__band"))).cast("int")})
+    out = out.withColumns({"long_stop": F.col("zone_low") - stop * F.col("__a"), "long_target": F.col("zone_high") + target * F.col("__a"), "short_stop": F.col("zone_high") + stop * F.col("__a"), "short_target": F.col("zone_low") - target * F.col("__a")})
+    out = out.withColumns({side + "_rr": ratio(sign * (F.col(side + "_target") - F.col("price")), sign * (F.col("price") - F.col(side + "_stop"))) for side, sign in (("long", 1), ("short", -1))})
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "distance", "zone_low", "zone_high"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).drop("__a", "__band")

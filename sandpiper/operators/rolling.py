@@ -187,6 +187,24 @@ def ma_slope(df: DataFrame, column: str = "close", window: int = 20, step: int =
     return base.withColumn(out, ratio((F.col("__ma") - prev("__ma", step)) / step, F.col(column))).drop("__ma")
 
 
+def ma_slope_regression(df: DataFrame, column: str = "close", window: int = 20, fit: int = 10, norm: str | None = "atr", out: str = "ma_reg_slope") -> DataFrame:
+    """Least-squares slope of the moving average over ``fit`` bars, divided by the column ``norm`` if there is one."""
+    made = linreg_slope(sma(df, column, window, out="__ma"), "__ma", fit, "__slope")
+    return made.withColumn(out, F.col("__slope") if norm is None else ratio(F.col("__slope"), F.col(norm))).drop("__ma", "__slope")
+
+
+def band_position(df: DataFrame, lower: str, upper: str, column: str = "close", out: str = "position") -> DataFrame:
+    """Where the column stands between two bands: 0 at the lower, 1 at the upper, null where they meet."""
+    return df.withColumn(out, ratio(F.col(column) - F.col(lower), F.col(upper) - F.col(lower)))
+
+
+def oscillator_zones(df: DataFrame, column: str = "rsi", high: float = 70.0, low: float = 30.0, middle: float = 50.0, band: float = 5.0) -> DataFrame:
+    """overbought, oversold and mid flags (0/1) of an oscillator; null is none of them."""
+    c = F.col(column)
+    tests = {"overbought": c >= high, "oversold": c <= low, "mid": F.abs(c - middle) <= band}
+    return df.withColumns({f"{column}_{n}": F.coalesce(t.cast("int"), F.lit(0)) for n, t in tests.items()})
+
+
 def vwap_daily(df: DataFrame, out: str = "vwap") -> DataFrame:
     day = Window.partitionBy(*KEY, F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, ratio(F.sum(typical() * F.col("volume")).over(day), F.sum("volume").over(day).cast("double")))

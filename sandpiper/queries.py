@@ -648,12 +648,12 @@ on_bars("volatility_threshold", st.volatility_threshold, ["vol_regime", "vol_thr
     k AS (SELECT *, CASE WHEN a < 0.8 * m THEN 'low' WHEN a > 1.3 * m THEN 'high' ELSE 'normal' END AS k FROM x)
     SELECT symbol, ts, k AS vol_regime, {r6("a * CASE k WHEN 'low' THEN 1.2 WHEN 'high' THEN 3 ELSE 2 END", 'vol_threshold')} FROM k""")
 SIGNALS = "stack(3, 'body', close - open, 1D, 'range', high - low, 0.5D, 'level', close, 0.25D) AS (kind, value, weight)"
-QUERIES["signal_confluence"] = lambda s, d: tidy(st.signal_confluence(bars(s, d).selectExpr("symbol", "tf", "ts", SIGNALS)), ["symbol", "ts", "kind"], ["confluence_score"])
+QUERIES["signal_confluence"] = lambda s, d: tidy(st.signal_confluence(bars(s, d).selectExpr("symbol", "tf", "ts", SIGNALS)), ["symbol", "ts", "kind"], ["confluence_score"], 9)
 KINDS = {"body": 1.0, "level": 0.25, "range": 0.5}
 ORACLE_SQL["signal_confluence"] = f"""WITH {bars_cte()}, s AS (SELECT symbol, ts, unnest(['body', 'level', 'range']) AS kind, unnest([close - open, close, high - low]) AS v, unnest([1.0, 0.25, 0.5]::DOUBLE[]) AS wt FROM b),
     f AS (SELECT *, sum(v * wt) OVER five AS sv, sum(wt) OVER five AS sw FROM s WINDOW five AS (PARTITION BY symbol, kind ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
     k AS (SELECT *, {', '.join(f"last_value(CASE WHEN kind = '{k}' THEN {c} END IGNORE NULLS) OVER every AS {c}_{k}" for k in KINDS for c in ('sv', 'sw'))} FROM f WINDOW every AS (PARTITION BY symbol ORDER BY ts, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT symbol, ts, kind, {r6('(' + ' + '.join(f'coalesce(sv_{k}, 0)' for k in KINDS) + ') / (' + ' + '.join(f'coalesce(sw_{k}, 0)' for k in KINDS) + ')', 'confluence_score')} FROM k"""
+    SELECT symbol, ts, kind, {r6('(' + ' + '.join(f'coalesce(sv_{k}, 0)' for k in KINDS) + ') / (' + ' + '.join(f'coalesce(sw_{k}, 0)' for k in KINDS) + ')', 'confluence_score', 9)} FROM k"""
 
 
 def _breaker(b: DataFrame) -> DataFrame:
@@ -686,3 +686,64 @@ def _fusion(b: DataFrame) -> DataFrame:
 on_bars("sr_fusion", lambda b: _fusion(b).fillna("", ["sr_source"]), ["sr_score_raw", "sr_on", "sr_score", "sr_source"])
 on_bars("causal_swings", lambda b: st.causal_swings(b, 0.2), ["cs", "cs_price", "cs_age"])
 on_bars("liquidity_pools", lambda b: st.liquidity_pools(st.swings(b, 3, 3), 0.05), ["pool_high_touches", "pool_low_touches", "swept_highs", "swept_lows"])
+
+# -- patterns of swings, zones to trade, observed costs and acceptance -------------------------
+
+
+def _swing_rows(s: SparkSession, d: str) -> DataFrame:
+    b = st.swings(bars(s, d), 3, 3)
+    return b.withColumns({"sw": F.when(F.col("swing_high").isNotNull(), 1).when(F.col("swing_low").isNotNull(), -1).otherwise(0), "sw_price": F.coalesce("swing_high", "swing_low")})
+
+
+def _legs(s: SparkSession, d: str) -> DataFrame:
+    return lv.legs(_swing_rows(s, d), "sw", "sw_price")
+
+
+POINTS_SQL = f"""{SWINGS_SQL}, pts AS (SELECT symbol, ts, coalesce(sh, sl) AS p, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS d FROM sw WHERE sh IS NOT NULL OR sl IS NOT NULL),
+    abc AS (SELECT symbol, max(p) FILTER (d = 4) AS a, max(p) FILTER (d = 3) AS b, max(p) FILTER (d = 2) AS c, max(p) FILTER (d = 1) AS e FROM pts GROUP BY symbol HAVING count(*) >= 4)"""
+QUERIES["swing_legs"] = lambda s, d: tidy(lv.select_legs(_legs(s, d), 5, 1.0, 0.1, 40), ["symbol", "nth"], ["start_ts", "end_ts", "start_price", "end_price"])
+ORACLE_SQL["swing_legs"] = f"""WITH {POINTS_SQL}, l AS (SELECT symbol, d, lead(ts) OVER (PARTITION BY symbol ORDER BY d) AS start_ts, ts AS end_ts, lead(p) OVER (PARTITION BY symbol ORDER BY d) AS sp, p AS ep FROM pts),
+    f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS nth FROM l WHERE start_ts IS NOT NULL AND abs(ep - sp) >= 1 AND abs(ep - sp) >= 0.1 * greatest(least(sp, ep), 1e-9) AND d - 1 <= 40)
+    SELECT symbol, CAST(nth AS INTEGER) AS nth, start_ts, end_ts, {r6('sp', 'start_price')}, {r6('ep', 'end_price')} FROM f WHERE nth <= 5"""
+QUERIES["equal_legs"] = lambda s, d: tidy(lv.equal_legs(lv.swing_points(_legs(s, d)), 0.2), ["symbol"], ["length_ab", "cd_ratio", "abcd_error", "abcd"])
+ORACLE_SQL["equal_legs"] = f"WITH {POINTS_SQL}, x AS (SELECT symbol, abs(b - a) AS l, abs(e - c) / nullif(abs(b - a), 0) AS r FROM abc) SELECT symbol, {r6('l', 'length_ab')}, {r6('r', 'cd_ratio')}, {r6('abs(r - 1)', 'abcd_error')}, CAST(coalesce(abs(r - 1) <= 0.2, false) AS INTEGER) AS abcd FROM x"
+QUERIES["swing_projections"] = lambda s, d: tidy(lv.projections(lv.swing_points(_legs(s, d)), (1.0, 1.272, 1.618), 5.0), ["symbol", "ratio"], ["d_expected", "d_error"])
+ORACLE_SQL["swing_projections"] = f"""WITH {POINTS_SQL}, x AS (SELECT *, unnest([1.0, 1.272, 1.618]::DOUBLE[]) AS ratio FROM abc), y AS (SELECT *, c + ratio * (b - a) AS de FROM x), z AS (SELECT *, abs(e - de) / nullif(abs(b - a), 0) AS er FROM y)
+    SELECT symbol, ratio, {r6('de', 'd_expected')}, {r6('er', 'd_error')} FROM z WHERE er IS NULL OR er <= 5"""
+WEIGHED = ([10.0, 10.2, 20.0, 35.0, 50.0, 75.0, 75.5, 100.0], [1.0, 0.5, 0.8, 0.7, 1.0, 0.6, 0.9, 0.4])
+on_bars("sr_weighted_overlap", lambda b: lv.weighted_overlap(b, *WEIGHED), ["sr_weighted"], f"""
+    WITH {bars_cte()}, v AS (SELECT unnest({WEIGHED[0]}::DOUBLE[]) AS v, unnest({WEIGHED[1]}::DOUBLE[]) AS wt), x AS (SELECT symbol, ts, abs(close - v) AS far, abs(close) * 0.05 AS reach, wt, row_number() OVER (PARTITION BY symbol, ts ORDER BY abs(close - v), v) AS nth FROM b, v),
+    s AS (SELECT symbol, ts, sum(CASE WHEN far > reach THEN 0 WHEN nth = 1 THEN wt / (1 + exp(-12 * (0.5 - far / nullif(reach, 0)))) ELSE (1 - far / nullif(reach, 0)) * wt END) AS s FROM x GROUP BY ALL)
+    SELECT symbol, ts, {r6('least(1.0, greatest(0.0, coalesce(s, 0)))', 'sr_weighted')} FROM s""")
+ZONES = ["zone_mid", "distance", "near", "long_stop", "long_target", "long_rr", "short_stop", "short_target", "short_rr"]
+QUERIES["trade_zones"] = lambda s, d: tidy(lv.trade_zones(roll.atr_classic(bars(s, d)).selectExpr("symbol", "least(open, close) zone_low", "greatest(open, close) zone_high", "CAST(volume AS DOUBLE) score", "50D price", "atr"), ["symbol"]), ["symbol", "rank"], ZONES)
+ORACLE_SQL["trade_zones"] = f"""WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr FROM b), z AS (SELECT symbol, least(open, close) AS lo, greatest(open, close) AS hi, volume AS score, {ATR14} AS a FROM t),
+    x AS (SELECT *, CASE WHEN a > 0 THEN a ELSE avg(hi - lo) OVER (PARTITION BY symbol) END AS r, abs((lo + hi) / 2 - 50) AS dist FROM z), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, dist, lo, hi) AS k FROM x)
+    SELECT symbol, CAST(k AS INTEGER) AS rank, {r6('(lo + hi) / 2', 'zone_mid')}, {r6('dist', 'distance')}, CAST(50 >= lo - 0.15 AND 50 <= hi + 0.15 AS INTEGER) AS near, {r6('lo - 1.5 * r', 'long_stop')}, {r6('hi + 2 * r', 'long_target')}, {r6('(hi + 2 * r - 50) / nullif(50 - lo + 1.5 * r, 0)', 'long_rr')},
+    {r6('hi + 1.5 * r', 'short_stop')}, {r6('lo - 2 * r', 'short_target')}, {r6('(50 - lo + 2 * r) / nullif(hi + 1.5 * r - 50, 0)', 'short_rr')} FROM k WHERE k <= 5"""
+on_bars("band_position", lambda b: roll.band_position(b.withColumns({"hi": roll.highest("high", 20), "lo": roll.lowest("low", 20)}), "lo", "hi"), ["position"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, {full(f'max(high) OVER {w(20)}', 20)} AS hi, {full(f'min(low) OVER {w(20)}', 20)} AS lo FROM b) SELECT symbol, ts, {r6('(close - lo) / nullif(hi - lo, 0)', 'position')} FROM x""")
+on_bars("oscillator_zones", lambda b: roll.oscillator_zones(roll.mfi(b), "mfi"), ["mfi_overbought", "mfi_oversold", "mfi_mid"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, (high + low + close) / 3 AS tp FROM b), y AS (SELECT *, tp - lag(tp) OVER ({S}) AS d FROM x), z AS (SELECT *, CASE WHEN d > 0 THEN tp * volume WHEN d IS NOT NULL THEN 0 END AS up, CASE WHEN d < 0 THEN tp * volume WHEN d IS NOT NULL THEN 0 END AS dn FROM y),
+    m AS (SELECT symbol, ts, CASE WHEN count(up) OVER {w(14)} >= 14 THEN CASE WHEN sum(up) OVER {w(14)} + sum(dn) OVER {w(14)} = 0 THEN 50 ELSE 100 * sum(up) OVER {w(14)} / (sum(up) OVER {w(14)} + sum(dn) OVER {w(14)}) END END AS m FROM z)
+    SELECT symbol, ts, CAST(coalesce(m >= 70, false) AS INTEGER) AS mfi_overbought, CAST(coalesce(m <= 30, false) AS INTEGER) AS mfi_oversold, CAST(coalesce(abs(m - 50) <= 5, false) AS INTEGER) AS mfi_mid FROM m""")
+on_bars("ma_slope_regression", lambda b: roll.ma_slope_regression(roll.atr_classic(b)), ["ma_reg_slope"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr, row_number() OVER ({S}) AS rn FROM b), x AS (SELECT *, {ATR14} AS a, {full(f'avg(close) OVER {w(20)}', 20)} AS m FROM t)
+    SELECT symbol, ts, {r6('(' + full(f'regr_slope(m, rn) OVER {w(10)}', 10, 'm') + ') / nullif(a, 0)', 'ma_reg_slope')} FROM x""")
+QUERIES["observed_slippage"] = lambda s, d: tidy(acc.observed_slippage(s.read.parquet(f"{d}/events.parquet").filter("value IS NOT NULL").selectExpr("event_id", "CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END side", "value - 0.5 bid", "value + 0.5 ask", "value + (event_id % 7 - 3) / 4D fill_price"), 0.2), ["event_id"], ["market_price", "slippage", "cap_exceeded"])
+ORACLE_SQL["observed_slippage"] = f"""WITH x AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, value AS v, value + (event_id % 7 - 3) / 4 AS f FROM events WHERE value IS NOT NULL), y AS (SELECT *, v + side * 0.5 AS m, greatest(0.0, side * (f - (v + side * 0.5))) AS slip FROM x)
+    SELECT event_id, {r6('m', 'market_price')}, {r6('slip', 'slippage')}, CAST(slip > 0.2 AS INTEGER) AS cap_exceeded FROM y"""
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trades = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id trade_id", "event_type symbol", "value lots")
+    return tidy(acc.round_trip(trades.withColumn("total_cost", F.expr("lots * 0.5D")), trades.withColumn("total_cost", F.expr("lots * 0.25D + 1"))), ["trade_id"], ["entry_cost", "exit_cost", "round_trip_cost"])
+
+
+QUERIES["round_trip_costs"] = _round_trip
+ORACLE_SQL["round_trip_costs"] = f"SELECT event_id AS trade_id, {r6('value * 0.5', 'entry_cost')}, {r6('value * 0.25 + 1', 'exit_cost')}, {r6('value * 0.75 + 1', 'round_trip_cost')} FROM events"
+QUERIES["acceptance_gates"] = lambda s, d: acc.acceptance(acc.report(bars(s, d).withColumn("pnl", F.col("close") - F.col("open")), ("symbol",), ["ts"]), {"trades": 30, "win_rate": 0.25, "sharpe": 0.0}, {"max_drawdown": 0.95}).select("symbol", "failed_gates", "accepted")
+ORACLE_SQL["acceptance_gates"] = f"""WITH {bars_cte()}, t AS (SELECT *, close - open AS pnl, sum(close - open) OVER {ALLW} AS eq FROM b), p AS (SELECT *, max(eq) OVER {ALLW} AS peak FROM t),
+    g AS (SELECT symbol, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS wr, avg(pnl) AS m, max(peak - eq) / greatest(1.0, abs(max(peak))) AS dd FROM p GROUP BY symbol),
+    f AS (SELECT symbol, concat_ws(',', CASE WHEN n < 30 THEN 'trades' END, CASE WHEN wr < 0.25 THEN 'win_rate' END, CASE WHEN m < 0 THEN 'sharpe' END, CASE WHEN dd > 0.95 THEN 'max_drawdown' END) AS failed_gates FROM g)
+    SELECT symbol, failed_gates, CAST(failed_gates = '' AS INTEGER) AS accepted FROM f"""

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sandpiper.operators import patterns, recursive, rolling, structure, zones
+from sandpiper.operators import accounts, levels, patterns, recursive, rolling, structure, zones
 from sandpiper.streaming.live import live_swings
 
 from .test_candles import bars
@@ -111,3 +111,20 @@ def test_empty_and_null_bars(spark):
     assert structure.signal_confluence(spark.createDataFrame([("A", "H1", 1, "x", None, None), ("A", "H1", 2, "x", 3.0, 1.0)], "symbol string, tf string, ts int, kind string, value double, weight double")).select("confluence_score").collect() == [(1.0,), (2.0,)]
     with pytest.raises(ValueError):
         zones.fusion(b, ["x"], enter=0.1, leave=0.2)
+
+
+def test_round_trip_refuses_unequal_sides(spark):
+    entries = spark.createDataFrame([(1, "A", 1.0, 2.0), (2, "B", 1.0, 2.0)], "trade_id int, symbol string, lots double, total_cost double")
+    assert accounts.round_trip(entries, entries.filter("trade_id = 1")).select("round_trip_cost").collect() == [(4.0,)]
+    with pytest.raises(Exception, match="same symbol and lots"):
+        accounts.round_trip(entries, entries.withColumn("lots", F.lit(3.0))).collect()
+
+
+def test_swing_points_with_and_without_an_end(spark):
+    swings = spark.createDataFrame([("A", "H1", k, kind, p) for k, (kind, p) in enumerate([(1, 110.0), (-1, 100.0), (1, 108.0), (-1, 98.25)])] + [("B", "H1", 0, 1, 5.0)], "symbol string, tf string, ts int, zz int, zz_price double")
+    legs = levels.legs(swings)
+    assert [tuple(r) for r in levels.swing_points(legs).collect()] == [("A", "H1", 110.0, 100.0, 108.0, 98.25)]
+    assert [tuple(r) for r in levels.swing_points(legs, False).collect()] == [("A", "H1", 100.0, 108.0, 98.25, None)]
+    assert levels.equal_legs(levels.swing_points(legs)).select("abcd").collect() == [(1,)]
+    got = levels.projections(levels.swing_points(legs, False), (1.0, 2.0)).select("d_expected", "d_error").collect()
+    assert sorted(tuple(r) for r in got) == [(106.25, None), (114.25, None)]
