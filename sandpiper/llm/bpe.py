@@ -18,7 +18,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: White space run and the run of other characters after it. A token never spans the place before such a unit.
 UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space beyond ASCII (or what some engines take for it): texts that have it are encoded in one piece.
-WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: A place that is always between two tokens: ASCII white space after a printable ASCII character.
 AGREED = re.compile(rb"(?<=[!-~])[ \t-\r]")
 UNIT_MEMO = 300_000

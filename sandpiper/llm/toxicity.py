@@ -79,7 +79,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, bits:
     spark = ship(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select(F.col("doc_id").cast("long").alias("l_id"), "toxic"))
-    texts = docs.join(F.broadcast(chosen), docs.doc_id == F.col("l_id")).groupBy("l_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = docs.select("doc_id", "text")
+    texts = rows.join(F.broadcast(chosen), rows.doc_id == F.col("l_id")).groupBy("l_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def hashed(batches):
         for batch in parcels(batches):

@@ -29,6 +29,6 @@ def with_clashes(df):
     """Extra columns whose names the operators may use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("shard", "slot", "fp", "node", "component", "component_id", "score", "kept", "n_words", "length", "piece", "chunk", "bucket", "size"):
+    for name in ("shard", "slot", "fp", "node", "component", "component_id", "score", "kept", "n_words", "length", "piece", "chunk", "bucket", "size", "toxic", "l_id", "row", "bits", "rank", "held_out"):
         df = df.withColumn(name, F.lit("clash"))
     return df
