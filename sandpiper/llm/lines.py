@@ -82,9 +82,10 @@ class Variants:
         self.place = np.concatenate([np.full(len(own), WHOLE), lines.place[cut]])
         self.key = np.concatenate([lines.whole()[own], lines.without()[cut]])
         self.other = np.concatenate([lines.whole(BUCKET_BASE)[own], lines.without(BUCKET_BASE)[cut]])
-        # 32 bits are sent; the bucket adds its own. A false meeting is found out in the next pass.
-        self.short = (self.key >> U(32)).astype(np.uint32)
-        self.keys = _dealt(self.short, self.other, buckets)
+        # 32 bits are sent, below the bucket: variants are one key only within a bucket, else the second would not be sent
+        # to its own. A false meeting is found out in the next pass.
+        bucket = self.other % U(buckets)
+        self.keys = Keys((bucket << U(32)) | (self.key >> U(32)), bucket.astype(np.int64), buckets)
 
     def met(self, known: pa.Table) -> np.ndarray:
         """Variants that another line has too, here or elsewhere."""

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from sandpiper.llm import chunks
-from sandpiper.llm.lines import LEAST_WORDS, drop_lines
+from sandpiper.llm.lines import LEAST_WORDS, Lines, Variants, drop_lines
 from sandpiper.llm.queries import op7_line_dedup
 
 from .helpers import docs, odd_docs, with_clashes
@@ -73,3 +75,15 @@ def test_odd_rows(spark):
     assert sorted(r.text for r in by[4]) == ["", "one two three four five\n"]
     assert by[7][0].n_dropped == 0 and by[3][0].text == "one" and by[3][0].size == "clash"
     assert drop_lines(docs(spark, [])).count() == 0
+
+
+def test_variants_that_share_32_bits_all_reach_their_buckets(monkeypatch):
+    whole, without = Lines.whole, Lines.without
+    low = np.uint64((1 << 32) - 1)
+    # the upper halves of the keys, which are sent, are made to clash
+    monkeypatch.setattr(Lines, "whole", lambda self, *base: whole(self, *base) if base else whole(self) & low)
+    monkeypatch.setattr(Lines, "without", lambda self, *base: without(self, *base) if base else without(self) & low)
+    lines = Lines([b"\n".join(b" ".join(b"w%d" % (7 * k + i) for i in range(6)) for k in range(40))])
+    v = Variants(lines, np.ones(len(lines.size), bool), 32)
+    sent = set(v.keys.packed(0, np.uint32).column("bucket").to_pylist())
+    assert sent == set((v.other % np.uint64(32)).tolist()) and len(sent) == 32
