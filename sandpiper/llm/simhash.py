@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from sandpiper.llm.graph import components
+from sandpiper.llm.jaccard import grouped
 from sandpiper.llm.tokens import binary, parcels
 from sandpiper.session import cut, ship
 
@@ -75,11 +76,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The documents with one left of each component: the one with the smallest doc_id.
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with one row left of each group of similar ones: the row with the smallest doc_id, null ids last.
 
-    A doc_id goes if none of its rows is its component's first; rows without a doc_id stay.
+    Similar are texts whose sets of word shingles have a Jaccard similarity of ``similarity`` at least, and what such texts connect.
+    This is not read off fingerprints, whose distance tells only roughly how similar texts are.
     """
-    found = near_duplicates(docs, shingle, radius).filter("doc_id is not null")
-    gone = found.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("first")).filter("not first")
-    return docs.join(gone.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = cut(grouped(rows.select(F.col("__row").alias("row"), "doc_id", "text"), shingle, similarity))
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", F.col("first.row").alias("kept"))
+    gone = found.join(kept, "component").filter("row <> kept").select(F.col("row").alias("__gone"))
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
