@@ -1,9 +1,9 @@
 """Documents in chunks ordered by doc_id, and an exchange that tells each chunk which of its keys were seen before.
 
-Two passes over the documents work on the same chunks: the first sends the distinct keys of every chunk, packed as one
+Passes over the documents work on the same chunks: the first sends the distinct keys of every chunk, packed as one
 array for each bucket of keys; a bucket's task finds the keys that more chunks have and answers with a bit for every key
-sent. The second pass makes the same keys again and reads the bits. Text is shuffled once (both passes read the same
-exchange) and nothing goes through the driver but the bounds of the chunks.
+sent. The next pass makes the same keys again and reads the bits. Text is shuffled once, as all passes of a job read the same
+exchange.
 """
 
 from __future__ import annotations
@@ -19,38 +19,67 @@ from pyspark.sql import functions as F
 
 from sandpiper.session import ship
 
-#: Mean UTF-8 bytes of text in a chunk, and keys in a bucket. Both only tune memory.
+#: Mean UTF-8 bytes of text in a chunk, and keys in a bucket, up to LEVEL bytes of text. Beyond, both grow with the square root
+#: of the input, and so do their numbers: at 160 TB there are 2 million chunks of 80 MB, which bounds the memory of a
+#: task, the bounds that the driver holds (32 MB) and the number of arrays sent (one for each chunk and bucket) alike.
 CHUNK_BYTES = 1_500_000
 BUCKET_KEYS = 1_000_000
+LEVEL = 60e9
 LEAST_BUCKETS = 32
+#: Documents looked at for each chunk to set the bounds, and in all (two a chunk at least).
+SAMPLES, MOST_SAMPLES = 16, 4_000_000
 LOWEST = -(1 << 63)
 
 
+def growth(total: int) -> float:
+    return max(1.0, math.sqrt(total / LEVEL))
+
+
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """The documents with __chunk (int, rising with doc_id; null ids first), and the bytes of all texts."""
+    """The documents with __chunk (int, rising with doc_id, null ids first) and __at, and the bytes of all texts.
+
+    Rows that share a doc_id, or have none, are ordered by __at, a hash of their text, so that they can be dealt to several
+    chunks too; only rows that are equal in both share one. The bounds are quantiles by size of a sample of the rows;
+    they set how large chunks are, never what is found.
+    """
     ship(docs.sparkSession)
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    n = max(1, math.ceil(total / chunk_bytes))
-    cuts = docs.agg(F.percentile_approx(ids, [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0] if n > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    ids, at = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), F.xxhash64("text")
+    size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0))
+    total, rows = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    n = max(1, math.ceil(total / (chunk_bytes * growth(total))))
+    bounds = np.zeros((2, 0), np.int64)
+    if n > 1:
+        each = max(1, rows // min(SAMPLES * n, max(MOST_SAMPLES, 2 * n)))
+        some = docs.select(ids.alias("id"), at.alias("at"), size.alias("size")).filter(F.pmod(F.xxhash64("id", "at"), F.lit(each)) == 0)
+        seen = some.groupBy("id", "at").agg(F.sum("size").alias("size")).toArrow()
+        pair = np.stack([seen.column(c).to_numpy() for c in ("id", "at")])
+        order = np.lexsort(pair[::-1])
+        upto = np.cumsum(seen.column("size").to_numpy()[order])
+        if len(upto):
+            last = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, n) / n))
+            bounds = pair[:, order[last]]
 
     @F.pandas_udf("int")
-    def chunk(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, doc_id.to_numpy(), side="left").astype(np.int32))
+    def chunk(id: pd.Series, at: pd.Series) -> pd.Series:
+        key, tie = id.to_numpy(), at.to_numpy()
+        lo, hi = (np.searchsorted(bounds[0], key, side) for side in ("left", "right"))
+        for k in np.flatnonzero(lo < hi):
+            lo[k] += np.searchsorted(bounds[1, lo[k] : hi[k]], tie[k])
+        return pd.Series(lo.astype(np.int32))
 
-    return docs.withColumn("__chunk", chunk(ids)), total
+    return docs.withColumn("__at", at).withColumn("__chunk", chunk(ids, F.col("__at"))), total
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    """Rows by doc_id (null first), then text."""
-    ids = table.column("doc_id").to_pylist()
+    """Rows by doc_id (null first), then __at, then text."""
+    ids, at = table.column("doc_id").to_pylist(), table.column("__at").to_pylist()
     texts = table.column("text").cast(pa.binary()).to_pylist()
-    return table.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or b"")), pa.int64()))
+    return table.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, at[i], texts[i] or b"")), pa.int64()))
 
 
-def bucket_count(keys: int) -> int:
-    return max(LEAST_BUCKETS, math.ceil(keys / BUCKET_KEYS))
+def bucket_count(total: int, key_bytes: int) -> int:
+    """Buckets for a key in every key_bytes bytes of text."""
+    return max(LEAST_BUCKETS, math.ceil(total / key_bytes / (BUCKET_KEYS * growth(total))))
 
 
 class Keys:

@@ -10,7 +10,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sandpiper.llm.chunks import Keys, answers, bucket_count, chunked, first_pass, next_pass
 from sandpiper.llm.tokens import BUCKET_BASE, U, WINDOW_BASE, Words, binary, mix, powers, split_words
-from sandpiper.session import cut
 
 #: Shortest line, in words, that a word may be deleted from: one edit in five leaves a similarity of 0.8.
 LEAST_WORDS = 5
@@ -96,9 +95,74 @@ class Variants:
         return (self.keys.answered(known) | (low != high))[runs]
 
 
+CANDIDATE = np.dtype([("key", "<u8"), ("other", "<u8"), ("place", "<i4"), ("line", "<i4")])
+DEALT = "bucket int, chunk int, gone boolean, data binary"
+
+
+def _dealt_candidates(lines: Lines, first: np.ndarray, v: Variants, met: np.ndarray, buckets: int, chunk: int) -> pa.Table:
+    """The variants that other lines have too, by bucket, and the numbers of lines that the chunk itself shows to be copies.
+
+    Of the chunk's lines with one variant at one place only the first is sent, the others are known to go. So a chunk sends
+    a variant once for each place, however many lines have it.
+    """
+    hit = np.flatnonzero(met)
+    order = hit[np.lexsort((v.line[hit], v.place[hit], v.other[hit], v.key[hit]))]
+    rows = np.empty(len(order), CANDIDATE)
+    rows["key"], rows["other"], rows["place"], rows["line"] = v.key[order], v.other[order], v.place[order], lines.number[v.line[order]]
+    again = np.zeros(len(rows), bool)
+    again[1:] = (rows["key"][1:] == rows["key"][:-1]) & (rows["other"][1:] == rows["other"][:-1]) & (rows["place"][1:] == rows["place"][:-1])
+    gone = np.unique(np.concatenate([lines.number[~first], rows["line"][again]])).astype("<i4")
+    rows = rows[~again]
+    at = (rows["other"] % U(buckets)).astype(np.int64)
+    by_bucket = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[by_bucket], np.arange(buckets + 1))
+    have = np.flatnonzero(np.diff(edges))
+    data = [rows[by_bucket[edges[b] : edges[b + 1]]].tobytes() for b in have]
+    bucket = [*have.tolist(), *([chunk % buckets] if len(gone) else [])]
+    data += [gone.tobytes()] if len(gone) else []
+    return pa.table({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array([chunk] * len(bucket), pa.int32()), "gone": pa.array([k >= len(have) for k in range(len(bucket))], pa.bool_()), "data": pa.array(data, pa.binary())})
+
+
+def _later(rows: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Which candidates have an earlier line within one edit: both are the key with the same word put in, or one is the key."""
+    place = rows["place"]
+    line = (chunk.astype(np.int64) << 32) + rows["line"]
+    order = np.lexsort((line, place, rows["other"], rows["key"]))
+    key, other, place, line = rows["key"][order], rows["other"][order], place[order], line[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+    starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+    never = np.iinfo(np.int64).max
+    whole, cut_ = (np.minimum.reduceat(np.where(is_, line, never), starts)[of] for is_ in (place == WHOLE, place != WHOLE))
+    later = np.where(place == WHOLE, cut_ < line, whole < line)
+    later[1:] |= ~new[1:] & (place[1:] == place[:-1]) & (place[1:] != WHOLE)
+    out = np.empty(len(order), bool)
+    out[order] = later
+    return out
+
+
+def _verdicts(table: pa.Table) -> pa.Table:
+    """Of one bucket: the lines of each chunk that go."""
+    chunk = table.column("chunk").to_numpy()
+    known = np.array(table.column("gone").to_pylist(), bool)
+    blobs = table.column("data").to_pylist()
+    parts = [np.frombuffer(blobs[i], CANDIDATE) for i in np.flatnonzero(~known)]
+    out = [(int(chunk[i]), blobs[i]) for i in np.flatnonzero(known)]
+    if parts:
+        rows, of = np.concatenate(parts), np.repeat(chunk[~known], [len(p) for p in parts])
+        later = np.flatnonzero(_later(rows, of))
+        later = later[np.argsort(of[later], kind="stable")]
+        which, edges = np.unique(of[later], return_index=True)
+        out += [(int(c), np.unique(rows["line"][k]).tobytes()) for c, k in zip(which, np.split(later, edges[1:]), strict=True)] if len(which) else []
+    return pa.table({"chunk": pa.array([c for c, _ in out], pa.int32()), "numbers": pa.array([n for _, n in out], pa.binary())})
+
+
 def line_flags(marked: DataFrame, total: int) -> DataFrame:
-    """(chunk, number): the lines to be removed, numbered within their chunk."""
-    exact_buckets, near_buckets = bucket_count(total // 300), bucket_count(total // 7)
+    """(chunk, numbers): the lines to be removed, numbered within their chunk, as arrays of 32-bit numbers.
+
+    The passes hang on one another within one job, so the text is shuffled once and read from that exchange by each.
+    """
+    exact_buckets, near_buckets, met_buckets = bucket_count(total, 300), bucket_count(total, 7), bucket_count(total, 40)
 
     def send_lines(table: pa.Table, chunk: int) -> pa.Table:
         return _exact(Lines(binary(table, "text")), exact_buckets).packed(chunk)
@@ -116,23 +180,9 @@ def line_flags(marked: DataFrame, total: int) -> DataFrame:
         lines = Lines(binary(table, "text"))
         first = _distinct(lines, _kinds(known, 0), exact_buckets)
         v = Variants(lines, first, near_buckets)
-        hit = np.flatnonzero(v.met(_kinds(known, 1)))
-        again = lines.number[~first]
-        own = (np.int64(chunk) << np.int64(32)) + np.concatenate([lines.number[v.line[hit]], again])
-        none = np.zeros(len(again), np.int64)
-        return pa.table({"line": pa.array(own), "key": pa.array(np.concatenate([v.key[hit].view(np.int64), none])), "other": pa.array(np.concatenate([v.other[hit].view(np.int64), none])), "place": pa.array(np.concatenate([v.place[hit], none - 2]).astype(np.int32))})
-
-    # read three times below, so it is written once
-    found = cut(next_pass(marked, known, candidates, "line long, key long, other long, place int"))
-    copies = found.filter("place = -2").select("line")
-    met = found.filter("place > -2")
-    # who is first with a key: among lines that have it with the same word deleted, among whole lines, among cut ones
-    same = met.groupBy("key", "other", "place").agg(F.min("line").alias("first"))
-    firsts = same.groupBy("key", "other").agg(F.min(F.when(F.col("place") == WHOLE, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") != WHOLE, F.col("first"))).alias("cut"))
-    beside = met.filter(F.col("place") != WHOLE).join(same, ["key", "other", "place"]).filter("first < line").select("line")
-    across = met.join(firsts, ["key", "other"]).filter(F.when(F.col("place") == WHOLE, F.col("cut") < F.col("line")).otherwise(F.col("whole") < F.col("line"))).select("line")
-    gone = copies.unionByName(beside).unionByName(across).distinct()
-    return gone.select(F.shiftright("line", 32).cast("int").alias("chunk"), F.col("line").bitwiseAND(F.lit((1 << 32) - 1)).alias("number"))
+        return _dealt_candidates(lines, first, v, v.met(_kinds(known, 1)), met_buckets, chunk)
+
+    return next_pass(marked, known, candidates, DEALT).groupBy("bucket").applyInArrow(_verdicts, "chunk int, numbers binary")
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
@@ -143,16 +193,18 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     inserted or deleted, where the longer of both has LEAST_WORDS words at least. Lines are judged on the input, so
     of a chain of such lines the first stays. Every line emits its words without each of them in turn as a hashed key; lines
     that share a key are within one edit if the same word was deleted or one of them is the key itself, and this is verified
-    with both 64-bit hashes and the place. No pairs are listed: each line is held against the first of its key.
+    with both 64-bit hashes and the place. No pairs are listed: each line is held against the first of its key, and a chunk
+    sends a key once for each place.
 
     All columns stay; text is what is left, and n_lines and n_dropped follow. A null text stays null. Null doc_ids come
-    first; rows that share a doc_id are taken in order of their text.
+    first; rows that share a doc_id or have none are taken in the order of a hash of their text. A text is held whole by the
+    task that reads it, with some 300 bytes for each of its words.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     marked, total = chunked(docs.select(*own))
 
     def drop(table: pa.Table, known: pa.Table, chunk: int) -> pa.Table:
-        gone = set(known.column("number").to_pylist())
+        gone = set(np.frombuffer(b"".join(known.column("numbers").to_pylist()), "<i4").tolist())
         texts = binary(table, "text")
         left, n_lines, n_dropped, at = [], [], [], 0
         for text in texts:

@@ -28,14 +28,15 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     doc_id, or same document and earlier start). Windows are judged on the input. All columns stay; text loses the
     words and the white space after them; three columns follow: n_words, n_removed and kept_words (the words left,
     joined by one space). A null text stays null and has no words. Documents shorter than a window are left alone.
-    Null doc_ids come first. Rows that share a doc_id are taken in order of their text, one after the other.
+    Null doc_ids come first. Rows that share a doc_id or have none are taken in the order of a hash of their text. A text is held
+    whole by the task that reads it, with some 100 bytes for each of its words.
 
     Windows are counted by a 64-bit Rabin-Karp hash within buckets dealt by a second, independent hash; as buckets grow
     in number with the input, the chance that unequal windows meet does not.
     """
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_words")]
     marked, total = chunked(docs.select(*own))
-    buckets = bucket_count(total // 6)
+    buckets = bucket_count(total, 6)
 
     def send(table: pa.Table, chunk: int) -> pa.Table:
         return _windows(binary(table, "text"), window, buckets)[2].packed(chunk)
