@@ -1,6 +1,9 @@
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
+import pytest
 
 from sandpiper.llm.queries import op3_exact_topk
 from sandpiper.llm.topk import DEPTH, quantised, threshold_topk, topk
@@ -54,3 +57,25 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 7, 65536), (0, 2, 7, 65536), (0, 3, 5, 32768), (0, 4, 6, 0)]
     none = quantised(spark.createDataFrame([], ROWS))
     assert topk(none, none).count() == 0
+
+
+def test_large_components_stay_exact_or_raise(spark):
+    rows = [(0, [1.0, 0.0, 2.0**-8]), (1, [4e13, 1.0, 0.5]), (2, [3e13, 0.0, 0.0]), (3, [4e13, 1.0, 0.75]), (4, [-4e13, 2e10, 1.0]), (5, [0.0, 0.0, 0.0])]
+    v = quantised(spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<double>, label int"))
+    got = [tuple(r) for r in topk(v, v.filter("vec_id = 0")).orderBy("rank").collect()]
+    whole = {i: [math.floor(256 * Fraction(x)) for x in e] for i, e in rows}
+    ranked = sorted((-sum(a * b for a, b in zip(whole[0], w, strict=True)), i) for i, w in whole.items() if i)
+    assert got == [(0, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk(v, v.filter("vec_id = 3"), 1).collect()
+    big = quantised(spark.createDataFrame([(0, [2e10], 0), (1, [2e10], 0)], ROWS))
+    with pytest.raises(Exception, match="OverflowError"):
+        topk(big, big.filter("vec_id = 0")).collect()
+
+
+def test_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0], 0), (50, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (7, [0.5, 0.5], 0), (7, [0.5, 0.5], 0)]
+    v = quantised(spark.createDataFrame(rows, ROWS))
+    got = sorted(tuple(r) for r in topk(v, v.filter("vec_id % 50 = 0"), 2).collect())
+    # each of the two equal query rows sees the other; the third sees those of id 7 first
+    assert got == sorted([(50, 1, 50, 65536), (50, 2, 7, 32768)] * 2 + [(50, 1, 7, 32768), (50, 2, 7, 32768)])
