@@ -1,12 +1,19 @@
-"""Quality rules: surface counts, and perplexity under a modified Kneser-Ney model counted from the corpus."""
+"""Quality rules: surface counts, and perplexity under modified Kneser-Ney models counted from the whole corpus.
+
+Texts are dealt to two folds by a hash of their bytes, and each is scored by the model counted from the other fold, so that
+neither its own n-grams nor those of its exact copies vouch for it. All documents are counted, whatever the other rules say.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from xxhash import xxh64_intdigest
 
 from sandpiper.llm.tokens import U, binary, mix, parcels, split_words, window_starts, windows
 from sandpiper.session import cut, ship
@@ -14,8 +21,10 @@ from sandpiper.session import cut, ship
 ORDER = 5
 START, END = "\x02", "\x03"
 SYMBOLS = "#*$%&|<>"
-#: Entries of the model that are broadcast at most (12 bytes each); a larger one is joined instead.
-MODEL_LIMIT = 6_000_000
+#: Entries of the sorted arrays that are broadcast at most (16 bytes each); larger ones are probed in parts.
+MODEL_LIMIT = 4_000_000
+#: Of the parts: entries of one, bytes of text in a block of documents, and blocks that probe one copy of a part.
+PART_ROWS, BLOCK_BYTES, PROBING = 1_000_000, 16 << 20, 64
 #: Languages whose bands are broadcast at most; with more, they are joined.
 LANGS_LIMIT = 10_000
 #: They bound the memory of a task: text taken at a time, n-grams merged at a time, held, and sent at a time.
@@ -102,12 +111,14 @@ def lang_key() -> Column:
     return F.coalesce(F.col("lang"), F.lit("")).alias("lang")
 
 
-def count_grams(docs: DataFrame, most_symbols: int = 10) -> DataFrame:
-    """(lang, gram, c): every run of ORDER characters of all documents of a language, and how often it occurs in sound ones.
+def folds(texts: list[bytes]) -> np.ndarray:
+    """0 or 1 for every text, by its bytes: exact copies are in one fold."""
+    return np.fromiter((xxh64_intdigest(t) & 1 for t in texts), np.int64, len(texts))
 
-    Sound are those that pass the base rules and have at most most_symbols symbols for 100 words; runs that only others
-    have get the count 0. So junk, however common, doesn't become likely, and still every run has its probability.
-    """
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(lang, gram, c0, c1): every run of ORDER characters of a language's documents. c0: how often it occurs in texts outside
+    fold 0, which is what texts in fold 0 are scored by; c1 likewise. Counts are summed in each task before they are shuffled."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -128,12 +139,11 @@ def count_grams(docs: DataFrame, most_symbols: int = 10) -> DataFrame:
             for at in range(0, len(counts), EMIT_ROWS):
                 text = np.ascontiguousarray(codes[at : at + EMIT_ROWS]).tobytes().decode("utf-32-le")
                 rows = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in owner[at : at + EMIT_ROWS]]), pa.array(rows), pa.array(counts[at : at + EMIT_ROWS])], names=["lang", "gram", "c"])
+                c = [pa.array(np.ascontiguousarray(counts[at : at + EMIT_ROWS, f])) for f in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in owner[at : at + EMIT_ROWS]]), pa.array(rows), *c], names=["lang", "gram", "c0", "c1"])
 
         for batch in parcels(batches, most_bytes=PARCEL_BYTES):
             raw, langs = binary(batch, "text"), batch.column("lang").to_pylist()
-            has = surface(raw)
-            sound = ~failed(has) & (100 * has["n_symbols"] <= most_symbols * has["n_words"])
             g = Grams([t.decode() for t in raw], langs, hashes)
             for lang in langs:
                 if lang not in index:
@@ -143,7 +153,8 @@ def count_grams(docs: DataFrame, most_symbols: int = 10) -> DataFrame:
             ranked = g.keys[order]
             runs = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
             where = order[runs]
-            times = np.add.reduceat(np.repeat(sound, g.size)[order].astype(np.int64), runs)
+            outside = np.stack([folds(raw) == 1, folds(raw) == 0], axis=1).astype(np.int64)
+            times = np.add.reduceat(np.repeat(outside, g.size, axis=0)[order], runs)
             of = np.repeat(np.array([index[x] for x in langs], np.int32), g.size)[where]
             held.append((ranked[runs], times, g.codes[g.at[where][:, None] + np.arange(ORDER)], of))
             if sum(len(h[0]) for h in held[1:]) > MERGE_ROWS:
@@ -153,11 +164,12 @@ def count_grams(docs: DataFrame, most_symbols: int = 10) -> DataFrame:
         if held:
             yield from emit(*merged())
 
-    return docs.select(lang_key(), "text").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return docs.select(lang_key(), "text").mapInArrow(run, "lang string, gram string, c0 long, c1 long").groupBy("lang", "gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, p): interpolated modified Kneser-Ney probability of the last character after those before it.
+    """(lang, gram, p0, p1): interpolated modified Kneser-Ney probability of the last character after those before it, by the
+    counts c0 and c1.
 
     Counts of the highest order are as counted; a lower order counts the different characters before a run. Each order
     has its three discounts for each language from its counts of counts (Chen and Goodman 1998), within [0, count].
@@ -165,29 +177,32 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """
     levels = {order: grams}
     for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.expr("substr(gram, 2)").alias("gram")).agg(F.count_if(F.col("c") > 0).alias("c"))
+        levels[k] = levels[k + 1].groupBy("lang", F.expr("substr(gram, 2)").alias("gram")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("c0", "c1")))
     below = None
     for k in range(1, order + 1):
         level = levels[k]
-        n = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).cast("double") for i in (1, 2, 3, 4)]
-        seen = level.groupBy("lang").agg(*(x.alias(f"n{i}") for i, x in enumerate(n, 1)), F.count("*").alias("kinds"))
-        y = "coalesce(n1 / nullif(n1 + 2 * n2, 0), 0.5)"
-        seen = seen.select("lang", "kinds", *(F.expr(f"least({i}D, greatest(0D, coalesce({i} - {i + 1} * {y} * n{i + 1} / nullif(n{i}, 0), {i} * 0.5D)))").alias(f"d{i}") for i in (1, 2, 3)))
         context = Window.partitionBy("lang", F.expr(f"substr(gram, 1, {k - 1})")) if k > 1 else Window.partitionBy("lang")
-        parts = [F.sum("c").over(context).alias("s")] + [F.sum(F.when(F.expr(test), 1).otherwise(0)).over(context).alias(f"m{i}") for i, test in ((1, "c = 1"), (2, "c = 2"), (3, "c >= 3"))]
-        row = level.select("lang", "gram", "c", *parts).join(seen, "lang")
-        own = "coalesce((c - CASE WHEN c = 0 THEN 0 WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END) / nullif(s, 0), 0)"
-        rest = "coalesce((d1 * m1 + d2 * m2 + d3 * m3) / nullif(s, 0), 1)"
-        if below is None:
-            below = row.select("lang", "gram", F.expr(f"{own} + {rest} / (kinds + 1)").alias("p"))
-        else:
-            shorter = below.select(F.col("lang").alias("b_lang"), F.col("gram").alias("b_gram"), F.col("p").alias("b_p"))
-            below = row.withColumn("end", F.expr("substr(gram, 2)")).join(shorter, (F.col("lang") == F.col("b_lang")) & (F.col("end") == F.col("b_gram"))).select("lang", "gram", F.expr(f"{own} + {rest} * b_p").alias("p"))
+        times, discounts, parts, here = [F.count("*").alias("kinds")], [], [], []
+        for f in (0, 1):
+            times += [F.count_if(F.col(f"c{f}") == i).cast("double").alias(f"n{f}{i}") for i in (1, 2, 3, 4)]
+            y = f"coalesce(n{f}1 / nullif(n{f}1 + 2 * n{f}2, 0), 0.5)"
+            discounts += [F.expr(f"least({i}D, greatest(0D, coalesce({i} - {i + 1} * {y} * n{f}{i + 1} / nullif(n{f}{i}, 0), {i} * 0.5D)))").alias(f"d{f}{i}") for i in (1, 2, 3)]
+            parts += [F.sum(f"c{f}").over(context).alias(f"s{f}")] + [F.sum(F.when(F.expr(f"c{f} {test}"), 1).otherwise(0)).over(context).alias(f"m{f}{i}") for i, test in ((1, "= 1"), (2, "= 2"), (3, ">= 3"))]
+            own = f"coalesce((c{f} - CASE WHEN c{f} = 0 THEN 0 WHEN c{f} = 1 THEN d{f}1 WHEN c{f} = 2 THEN d{f}2 ELSE d{f}3 END) / nullif(s{f}, 0), 0)"
+            rest = f"coalesce((d{f}1 * m{f}1 + d{f}2 * m{f}2 + d{f}3 * m{f}3) / nullif(s{f}, 0), 1)"
+            shorter = "1 / (kinds + 1)" if below is None else f"b_p{f}"
+            here.append(F.expr(f"{own} + {rest} * {shorter}").alias(f"p{f}"))
+        seen = level.groupBy("lang").agg(*times).select("lang", "kinds", *discounts)
+        row = level.select("lang", "gram", "c0", "c1", *parts).join(seen, "lang")
+        if below is not None:
+            low = below.select(F.col("lang").alias("b_lang"), F.col("gram").alias("b_gram"), F.col("p0").alias("b_p0"), F.col("p1").alias("b_p1"))
+            row = row.withColumn("end", F.expr("substr(gram, 2)")).join(low, (F.col("lang") == F.col("b_lang")) & (F.col("end") == F.col("b_gram")))
+        below = row.select("lang", "gram", *here)
     return below
 
 
 def packed_model(model: DataFrame) -> DataFrame:
-    """(key, bits): the model's keys with -log2 of the probability."""
+    """(key, b0, b1): the model's keys with -log2 of both probabilities."""
 
     def run(batches):
         hashes: dict[str, int] = {}
@@ -198,92 +213,113 @@ def packed_model(model: DataFrame) -> DataFrame:
             codes = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
             flat = np.ascontiguousarray(codes).reshape(-1)
             keys = mix(windows(flat.astype(U) + U(1), ORDER)[::ORDER] + np.array([hashes[x] for x in langs], U)) if len(langs) else np.zeros(0, U)
-            bits = -np.log2(batch.column("p").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bits.astype(np.float32))], names=["key", "bits"])
-
-    return model.mapInArrow(run, "key long, bits float")
-
+            bits = [pa.array(-np.log2(batch.column(p).to_numpy(zero_copy_only=False)).astype(np.float32)) for p in ("p0", "p1")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *bits], names=["key", "b0", "b1"])
 
-def sorted_arrays(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The keys in order and their bits, gathered as packed arrays."""
+    return model.mapInArrow(run, "key long, b0 float, b1 float")
 
-    def pack(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().tobytes()], pa.binary())], names=["k", "b"])
 
-    rows = packed.mapInArrow(pack, "k binary, b binary").collect()
-    keys = np.frombuffer(b"".join(bytes(r.k) for r in rows), U)
-    bits = np.frombuffer(b"".join(bytes(r.b) for r in rows), np.float32)
+def sorted_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and the bits of both folds in turn for each."""
+    keys = table.column("key").to_numpy().view(U)
     order = np.argsort(keys)
-    return keys[order], bits[order]
+    return keys[order], np.stack([table.column(b).to_numpy() for b in ("b0", "b1")], axis=1)[order].reshape(-1)
 
 
 # -- the operator -----------------------------------------------------------
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SCORED = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()), *(StructField(s, LongType()) for s in STATS), StructField("bits", DoubleType())])
+
+
+def scores(batch, keys: np.ndarray, bits: np.ndarray, hashes: dict[str, int]) -> pa.RecordBatch:
+    """The rows of SCORED for documents whose n-grams are all among the keys."""
+    raw = binary(batch, "text")
+    found = surface(raw)
+    g = Grams([t.decode() for t in raw], batch.column("lang").to_pylist(), hashes)
+    unique, back = np.unique(g.keys, return_inverse=True)
+    value = bits[2 * np.searchsorted(keys, unique)[back] + np.repeat(folds(raw), g.size)]
+    total = np.add.reduceat(value.astype(np.float64), g.first[:-1]) if len(raw) else np.zeros(0)
+    mean = total / np.maximum(found["n_words"], 1)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(found[s].astype(np.int64)) for s in STATS), pa.array(mean)], names=SCORED.names)
+
+
+def scored_in_parts(rows: DataFrame, packed: DataFrame, entries: int) -> DataFrame:
+    """The rows of SCORED where the sorted arrays are too large for one machine.
+
+    The arrays are cut into parts by ranges of the hash, the documents into blocks of some BLOCK_BYTES. A block sends its
+    distinct keys to their parts, which look them up and send them back with their bits; the parts of a block's answer in
+    order are a sorted array again. Blocks are dealt by a hash of id and text, and PROBING of them share one copy of a
+    part, so neither copies nor common n-grams make a task larger.
+    """
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n_blocks, n_parts = math.ceil((total + 1) / BLOCK_BYTES), max(1, math.ceil(entries / PART_ROWS))
+    n_copies = math.ceil(n_blocks / PROBING)
+    blocks = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    part = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(n_parts), 32).cast("int")
+    copies = packed.select(part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_copies - 1))).alias("copy"), "key", "b0", "b1")
+
+    def send(table: pa.Table) -> pa.Table:
+        hashes: dict[str, int] = {}
+        keys = np.zeros(0, U)
+        for batch in parcels(table.to_batches(), most_bytes=PARCEL_BYTES):
+            own = Grams([t.decode() for t in binary(batch, "text")], batch.column("lang").to_pylist(), hashes).keys
+            keys = np.union1d(keys, own)
+        at = ((keys >> U(32)) * U(n_parts)) >> U(32)
+        edges = np.searchsorted(at, np.arange(n_parts + 1, dtype=U))
+        have = np.flatnonzero(np.diff(edges))
+        block = table.column("__block")[0].as_py()
+        return pa.table({"part": pa.array(have.astype(np.int32)), "copy": pa.array([block % n_copies] * len(have), pa.int32()), "block": pa.array([block] * len(have), pa.int32()), "keys": pa.array([keys[edges[p] : edges[p + 1]].tobytes() for p in have], pa.binary())})
+
+    def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
+        keys, bits = sorted_arrays(table)
+        of = bits.reshape(-1, 2)
+        found = [of[np.searchsorted(keys, np.frombuffer(k, U))].tobytes() for k in asked.column("keys").to_pylist()]
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "keys": asked.column("keys"), "bits": pa.array(found, pa.binary())})
+
+    def score(table: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("part")
+        keys, bits = (np.frombuffer(b"".join(known.column(c).to_pylist()), kind) for c, kind in (("keys", U), ("bits", np.float32)))
+        hashes: dict[str, int] = {}
+        return pa.Table.from_batches([scores(batch, keys, bits, hashes) for batch in parcels(table.to_batches(), most_bytes=PARCEL_BYTES)])
+
+    asked = blocks.groupBy("__block").applyInArrow(send, "part int, copy int, block int, keys binary")
+    known = asked.groupBy("part", "copy").cogroup(copies.groupBy("part", "copy")).applyInArrow(look_up, "block int, part int, keys binary, bits binary")
+    return blocks.groupBy("__block").cogroup(known.groupBy("block")).applyInArrow(score, SCORED)
 
 
 def scored(docs: DataFrame, model_limit: int = MODEL_LIMIT) -> DataFrame:
-    """doc_id, lang (null: ''), the surface counts, and bits: mean -log2 p of a character, for every document.
+    """doc_id, lang (null: ''), the surface counts, and bits: -log2 p of a document's characters for each of its words.
 
-    The model has every n-gram of all documents of the language. Its n-grams are held as a sorted array of 64-bit hashes and
-    broadcast if there are at most model_limit of them; else every document's n-grams are joined with the model.
+    The models have every n-gram of all documents of the language. Their bits are held in arrays sorted by 64-bit hashes of the
+    n-grams: broadcast if there are at most model_limit of them, else in parts (see scored_in_parts).
     """
     spark = ship(docs.sparkSession)
     packed = cut(packed_model(kneser_ney(cut(count_grams(docs)))))
-    small = packed.count() <= model_limit
-    table = spark.sparkContext.broadcast(sorted_arrays(packed)) if small else None
-    schema = StructType.fromDDL("doc_id long, lang string")
-    for name in STATS:
-        schema = schema.add(name, LongType())
-
-    def stats(batch, texts):
-        found = surface(texts)
-        return [batch.column("doc_id"), batch.column("lang"), *(pa.array(found[s].astype(np.int64)) for s in STATS)]
+    rows = docs.select(F.col("doc_id").cast("long"), lang_key(), "text")
+    entries = packed.count()
+    if entries > model_limit:
+        return scored_in_parts(rows, packed, entries)
+    table = spark.sparkContext.broadcast(sorted_arrays(packed.toArrow()))
 
     def direct(batches):
         hashes: dict[str, int] = {}
-        keys, bits = table.value
         for batch in parcels(batches, most_bytes=PARCEL_BYTES):
-            raw = binary(batch, "text")
-            g = Grams([t.decode() for t in raw], batch.column("lang").to_pylist(), hashes)
-            unique, back = np.unique(g.keys, return_inverse=True)
-            value = bits[np.searchsorted(keys, unique)][back]
-            mean = np.add.reduceat(value.astype(np.float64), g.first[:-1]) / g.size if len(raw) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*stats(batch, raw), pa.array(mean)], names=[*schema.names, "bits"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), lang_key(), "text")
-    if small:
-        return rows.mapInArrow(direct, StructType(list(schema.fields)).add("bits", DoubleType()))
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-
-    def grams_of(batches):
-        hashes: dict[str, int] = {}
-        for batch in parcels(batches):
-            g = Grams([t or "" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist(), hashes)
-            ids = batch.column("row").to_pylist()
-            for d in range(len(ids)):
-                keys, n = np.unique(g.keys[g.first[d] : g.first[d + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), ids[d])), pa.array(keys.view(np.int64)), pa.array(n)], names=["row", "key", "n"])
-
-    def plain(batches):
-        for batch in parcels(batches):
-            yield pa.RecordBatch.from_arrays([*stats(batch, binary(batch, "text")), batch.column("row")], names=[*schema.names, "row"])
+            yield scores(batch, *table.value, hashes)
 
-    used = rows.select("row", "lang", "text").mapInArrow(grams_of, "row long, key long, n long").join(packed, "key")
-    means = used.groupBy("row").agg((F.sum(F.col("n") * F.col("bits").cast("double")) / F.sum("n")).alias("bits"))
-    return rows.mapInArrow(plain, StructType(list(schema.fields)).add("row", LongType())).join(means, "row").drop("row")
+    return rows.mapInArrow(direct, SCORED)
 
 
-def judged(docs: DataFrame, least_words: int = 20, most_repeat: int = 30, spread: float = 4.0, least_spread: float = 0.75, model_limit: int = MODEL_LIMIT) -> DataFrame:
+def judged(docs: DataFrame, least_words: int = 20, most_repeat: int = 30, spread: float = 5.0, least_spread: float = 3.0, model_limit: int = MODEL_LIMIT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, bits, lower, upper.
 
     base_failed: under least_words words, or over most_repeat percent of the words in repeated 8-word windows.
-    kept: not base_failed, and the perplexity (2 ** bits for a character) is inside the language's band. The band is
-    set on bits, over the documents of the language that pass the base rules: from the first quartile to the third, widened on both
-    sides by ``spread`` interquartile ranges, and by least_spread bits at least (else a large group of copies would leave no
-    width). Null text has no words and fails; a null language is a language of its own, and so is a rare one. One row for
-    each input row; other columns are not read.
+    kept: not base_failed, and the perplexity (2 ** bits for a word with the blanks beside it) is inside the language's band.
+    The band is set on bits, over the documents of the language that pass the base rules: from the first quartile to the
+    third, widened on both sides by ``spread`` interquartile ranges, and by least_spread bits at least (else a large group of
+    copies would leave no width). Null text has no words and fails; a null language is a language of its own, and so is a
+    rare one. One row for each input row; other columns are not read. A text is held whole by the task that reads it, with
+    some 100 bytes for each of its characters.
     """
     base = failed({n: F.col(n) for n in STATS}, least_words, most_repeat)
     rows = cut(scored(docs, model_limit).withColumn("bits", F.round("bits", 4)).withColumn("base_failed", base))
