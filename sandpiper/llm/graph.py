@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by label propagation with pointer jumping, and joins whose keys may be hot."""
 
 from __future__ import annotations
 
@@ -7,21 +7,37 @@ from pyspark.sql import functions as F
 
 from sandpiper.session import cut
 
+#: A key with more rows than this, and than this share of all, goes by broadcast: there are SHARE such keys at most.
+HOT_ROWS, SHARE = 10_000, 10_000
+
+
+def join_by(rows: DataFrame, key: str, table: DataFrame, total: int) -> DataFrame:
+    """rows with the columns of ``table``, which has one row for each key and its number of rows as __n.
+
+    The rows of a hot key aren't shuffled: what the table says of it is broadcast. All others meet by a shuffle on the key.
+    """
+    hot = F.col("__n") > max(HOT_ROWS, total // SHARE)
+    often, rarely = F.broadcast(table.filter(hot).drop("__n")), table.filter(~hot).drop("__n")
+    spread = rows.join(often, key)
+    return spread.unionByName(rows.join(often.select(key), key, "left_anti").join(rarely, key))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node reachable.
 
     Every round takes the smallest label around a node, then the label of that label, and ends when nothing changes;
-    labels and links stay distributed, only the number of changes comes to the driver. Each round is checkpointed.
+    labels and links stay distributed, only the number of changes comes to the driver. Each round is checkpointed. Neither a
+    node with many links nor a label with many nodes is gathered in one task.
     """
     links = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    total = links.count()
+    labels = cut(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n")).select(F.col("a").alias("b"), F.least("a", "m").alias("component"), "__n"))
     while True:
-        seen = links.join(labels, links.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        closer = labels.join(seen, labels.node == seen.a).select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
-        up = closer.select(F.col("node").alias("up"), F.col("new").alias("top"))
-        moved = cut(closer.join(up, closer.new == up.up, "left").select("node", "old", F.least("new", F.coalesce("top", "new")).alias("component")))
+        seen = join_by(links, "b", labels, total).groupBy("a").agg(F.min("component").alias("near"))
+        closer = cut(labels.join(seen, labels.b == seen.a).select("b", F.col("component").alias("old"), F.least("component", "near").alias("new"), "__n"))
+        tops = closer.groupBy("new").agg(F.count("*").alias("__n")).join(closer.select(F.col("b").alias("new"), F.col("new").alias("top")), "new")
+        moved = cut(join_by(closer.withColumnRenamed("__n", "links"), "new", tops, total).select("b", "old", F.col("top").alias("component"), F.col("links").alias("__n")))
         changed = moved.filter("old <> component").limit(1).count()
-        labels = moved.select("node", "component")
+        labels = moved.select("b", "component", "__n")
         if not changed:
-            return labels
+            return labels.select(F.col("b").alias("node"), "component")

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from sandpiper.llm.graph import components
-from sandpiper.llm.jaccard import grouped
+from sandpiper.llm.graph import components, join_by
+from sandpiper.llm.jaccard import BROADCAST_ROWS, grouped
 from sandpiper.llm.tokens import binary, parcels
 from sandpiper.session import cut, ship
 
@@ -65,14 +65,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Equal fingerprints are one node,
-    so copies are never paired. Rows with a null doc_id get a component only through other rows of their component,
-    else null. Other columns are not read.
+    so copies are never paired. Rows with a null doc_id link others as any row does; a component that has no other rows
+    has a null component_id. Other columns are not read. A text is held whole by the task that reads it.
     """
     prints = cut(fingerprints(docs, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    near = components(links(nodes.filter("node is not null"), radius))
-    of = nodes.join(near, "node", "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(of, prints.fp == of.of_fp)
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("__n")))
+    near = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    linked = near.join(nodes, near.node == nodes.fp).select("fp", "component", "id", "__n")
+    total = prints.count()
+    least = linked.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("__n"))
+    of = join_by(linked.select("fp", "component", F.col("__n").alias("rows")), "component", least, total).select("fp", "component_id", F.col("rows").alias("__n"))
+    alone = nodes.join(near, nodes.fp == near.node, "left_anti").select("fp", F.col("id").alias("component_id"), "__n")
+    out = join_by(prints, "fp", cut(of.unionByName(alone)), total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -80,10 +84,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """The documents with one row left of each group of similar ones: the row with the smallest doc_id, null ids last.
 
     Similar are texts whose sets of word shingles have a Jaccard similarity of ``similarity`` at least, and what such texts connect.
-    This is not read off fingerprints, whose distance tells only roughly how similar texts are.
+    This is not read off fingerprints, whose distance tells only roughly how similar texts are. Rows are told apart by their
+    place in the input; where that isn't read from a table or checkpoint but made by a shuffle, it is checkpointed first, so
+    that the places stay the same.
     """
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    shuffled = "Exchange" in docs._jdf.queryExecution().executedPlan().toString()
+    rows = (cut(docs) if shuffled else docs).withColumn("__row", F.monotonically_increasing_id())
     found = cut(grouped(rows.select(F.col("__row").alias("row"), "doc_id", "text"), shingle, similarity))
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", F.col("first.row").alias("kept"))
-    gone = found.join(kept, "component").filter("row <> kept").select(F.col("row").alias("__gone"))
-    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    gone = cut(found.join(kept, "component").filter("row <> kept").select(F.col("row").alias("__gone")))
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(few, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
