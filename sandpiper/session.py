@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -22,6 +23,7 @@ def local_session(app: str = "sandpiper", cores: str = "*", **conf: str) -> Spar
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **{k.replace("_", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
@@ -40,10 +42,12 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set; a cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="sandpiper-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -52,6 +56,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """Cut the lineage: a reliable checkpoint in the shared folder."""
+    """Cut the lineage: a reliable checkpoint in the shared folder.
+
+    Sessions with spark.cleaner.referenceTracking.cleanCheckpoints drop its files once nothing refers to it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
