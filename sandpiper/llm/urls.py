@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (action, host, path prefix)
 Rule = tuple[str, str, str]
-BUCKETS = 4096
+BUCKETS = 8192
 GRAM = 3
 #: Labelled URLs that are learnt from at most; a larger table is refused, as the fit runs in one task.
 TRAIN_ROWS = 2000
-#: Words of the labelled table: kinds of sites to block, kinds to allow, and syllables of made-up harmless names.
-BLOCK_WORDS = ("spam", "link-farm", "casino", "poker-win", "betting", "bets-online", "free-spins", "jackpot", "xxx", "porn", "adult", "adult-cams", "pills", "cheap-meds", "viagra", "warez", "torrents", "clickbait", "payday-loan", "free-money", "ads", "ad-server", "track", "tracker", "malware", "phishing", "replica")
-ALLOW_WORDS = ("news", "docs", "wiki", "library", "school", "research", "weather", "recipes", "garden", "museum", "forum", "health", "travel", "science", "history", "music", "sports", "books", "local-events", "theatre")
-SYLLABLES = ("th", "er", "in", "on", "an", "re", "ti", "ou", "es", "st", "ha", "ed")
-PREFIXES = ("", "www.", "blog.", "m.")
-SUFFIXES = ("com", "net", "org")
-PATHS = ("en/10", "fr/7.html", "de/853/", "es/5330", "2024/05/item", "about/", "a/b/c")
+#: What the labelled table is made of: words of unwanted and of wanted sites, what names add to them, suffixes and paths.
+BLOCK_WORDS = (
+    "casino", "poker", "slots", "roulette", "betting", "sportsbet", "bets", "jackpot", "freespins", "lottery", "porn", "xxx", "sexcams", "adult", "escorts", "hookup", "nude", "viagra", "cialis", "pills",
+    "pharma-discount", "weightloss", "payday", "quick-loan", "easy-credit", "free-money", "cash-prize", "crypto-giveaway", "double-btc", "warez", "keygen", "cracked", "torrent", "movie-stream-free", "replica",
+    "fake-watches", "phish", "verify-account", "malware", "adserver", "ads", "popads", "clicktrack", "tracker", "banner-exchange", "spam", "linkfarm", "link-exchange", "seo-backlinks", "clickbait", "content-mill",
+)
+BLOCK_MORE = ("win", "king", "4u", "best", "hot", "vip", "online", "farm", "palace", "deals", "cheap", "club", "zone", "bonus", "tube")
+ALLOW_WORDS = (
+    "library", "museum", "university", "college", "school", "kindergarten", "hospital", "clinic", "gazette", "herald", "tribune", "journal", "chronicle", "observer", "news", "weather", "radio", "orchestra",
+    "theatre", "gallery", "cinema", "history", "heritage", "archive", "science", "physics", "chemistry", "biology", "astronomy", "geology", "climate", "ocean", "mountain", "river", "forest", "garden", "orchard", "farmers-market",
+    "bakery", "kitchen", "recipes", "brewery", "coffee", "bookshop", "publisher", "poetry", "travel", "railway", "airport", "cycling", "hiking", "sailing", "football", "chess", "athletics", "parliament", "council",
+    "ministry", "embassy", "police", "fire-service", "charity", "foundation", "church", "hotel", "architect", "engineering", "robotics", "software", "docs", "wiki", "forum", "developer", "statistics", "economics", "law-review",
+    "insurance", "bank", "energy", "plumbing", "carpentry", "furniture", "textiles", "ceramics", "photography", "birdwatching", "veterinary", "genealogy", "translation", "dictionary", "maps",
+)
+NAMES = ("oakridge", "lindholm", "riverside", "tanaka", "montclair", "ashford", "bergen", "castellano", "dufour", "hanover", "kowalski", "northfield", "okafor", "pemberton", "salamanca", "westbrook", "yilmaz", "arenal", "thornbury", "hathersage", "erstine", "delander", "inverness", "andover", "restoria", "tihana", "oulton", "esther-street")
+SUFFIXES = ("com", "net", "org", "info", "co.uk", "de", "fr", "io", "eu", "es")
+PREFIXES = ("", "www.", "", "m.", "en.", "shop.", "blog.", "www2.")
+PATHS = ("", "/", "/index.html", "/about-us", "/2021/04/17/spring-open-day", "/category/page/2", "/item?id=88", "/contact#form", "/en/home", "/a/18273", "/files/report.pdf", "/search?q=red+shoes", "/de/", "/blog/how-we-work.html", "/p/4410")
 
 
 def seed_urls() -> list[tuple[str, int]]:
-    """The labelled URLs: blocked and harmless names in the same kinds of hosts and paths."""
-    made = ["".join((a, b, SYLLABLES[(3 * i + j) % len(SYLLABLES)])) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) if (i + j) % 2]
-    names = [(w, 1) for w in BLOCK_WORDS] + [(w, 0) for w in (*ALLOW_WORDS, *made)]
-    return [(f"https://{PREFIXES[(n + k) % 4]}{name}.example.{SUFFIXES[(n // 4 + k) % 3]}/{PATHS[(n + 3 * k) % len(PATHS)]}", label) for n, (name, label) in enumerate(names) for k in range(7 if label else 2)]
+    """The labelled URLs, made of the words above by rule: each unwanted word alone and with additions, each wanted word alone, with
+    two names and with another, each name alone, and invented names of two to four consonants with vowels, as letters as such are harmless.
+    Suffixes, prefixes and paths go round alike for both labels, so they tell nothing."""
+    made: list[tuple[str, int]] = []
+    for i, w in enumerate(BLOCK_WORDS):
+        a, b = BLOCK_MORE[i % len(BLOCK_MORE)], BLOCK_MORE[(7 * i + 4) % len(BLOCK_MORE)]
+        made += [(w, 1), (f"{w}-{a}", 1), (f"{b}{w}", 1), (f"{w}{a}", 1)]
+    for i, w in enumerate(ALLOW_WORDS):
+        a, b = NAMES[i % len(NAMES)], NAMES[(5 * i + 3) % len(NAMES)]
+        made += [(w, 0), (f"{a}-{w}", 0), (f"{w}{b}", 0), (f"{w}-{ALLOW_WORDS[(11 * i + 5) % len(ALLOW_WORDS)]}", 0)]
+    made += [(n, 0) for n in NAMES for _ in range(3)]
+    made += [("".join("bcdfghjklmnprstvwz"[(n * k + n // 3 + 5 * k) % 18] + "aeiou"[(n + 3 * k * k) % 5] for k in range(1, 3 + n % 3)), 0) for n in range(300)]
+    return [(f"http{'s' * (n % 3 > 0)}://{PREFIXES[n % len(PREFIXES)]}{name}.{SUFFIXES[(n // 3) % len(SUFFIXES)]}{PATHS[(3 * n + n // 7) % len(PATHS)]}", label) for n, (name, label) in enumerate(made)]
 
 
 def host(url: Column) -> Column:
@@ -58,7 +77,7 @@ def grams(host_col: Column, path_col: Column, buckets: int = BUCKETS, n: int = G
     return F.array_distinct(F.concat(of("h", host_col), of("p", path_col)))
 
 
-def train(spark: SparkSession, labelled: DataFrame | None = None, buckets: int = BUCKETS, epochs: int = 10, rate: float = 1.0, decay: float = 0.0005) -> list[float]:
+def train(spark: SparkSession, labelled: DataFrame | None = None, buckets: int = BUCKETS, epochs: int = 3, rate: float = 1.0, decay: float = 0.0005) -> list[float]:
     """Weights (bias last), by gradient steps over the labelled URLs (url, label), one after the other.
 
     The fold runs as one SQL expression over the gathered rows, of which there are TRAIN_ROWS at most. Rows with a null url or
