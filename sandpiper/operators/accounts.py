@@ -126,8 +126,9 @@ def resolve_commission(requests: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def slippage(df: DataFrame, mean_pips: float, std_pips: float, cap_pips: float, pip: float, seed: int = 7, key: str = "execution_id") -> DataFrame:
-    """A normal slippage within 0 .. cap for every event, the same whenever the event is seen again: two hashed uniforms make it."""
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    """A normal slippage within 0 .. cap for every event, the same whenever the event is seen again: two uniforms read off an MD5 make it."""
+    digest = lambda salt: F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col(key).cast("string")))
+    u = lambda salt: (F.conv(F.substring(digest(salt), 1, 13), 16, 10).cast("double") + 1) / float((1 << 52) + 1)
     normal = F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * 3.141592653589793 * u("b"))
     pips = F.greatest(F.lit(0.0), F.least(F.lit(cap_pips), mean_pips + std_pips * normal))
     return df.withColumns({"slippage_pips": pips, "slippage": pips * pip})
@@ -232,3 +233,44 @@ def acceptance(reports: DataFrame, least: dict[str, float], most: dict[str, floa
     tests = [F.when(value(n) < v, F.lit(n)) for n, v in least.items()] + [F.when(value(n) > v, F.lit(n)) for n, v in most.items()]
     out = reports.withColumn("failed_gates", F.concat_ws(",", *tests))
     return out.withColumn("accepted", (F.col("failed_gates") == "").cast("int"))
+
+
+def stop_alignment(df: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """stop_problem of every wanted exposure with a stop_price: flat (nothing to protect), long_stop_not_below or short_stop_not_above its price; null if sound or without a stop."""
+    side = F.when(F.abs("exposure") <= eps, 0).otherwise(F.signum("exposure"))
+    wrong = F.when(side == 0, "flat").when((side > 0) & (F.col("stop_price") >= F.col("price")), "long_stop_not_below").when((side < 0) & (F.col("stop_price") <= F.col("price")), "short_stop_not_above")
+    return df.withColumn("stop_problem", F.when(F.col("stop_price").isNotNull(), wrong))
+
+
+def stop_caps(df: DataFrame, contract: float = 1.0) -> DataFrame:
+    """capped_exposure and stop_capped (0/1): an exposure that needs more lots than its stop's loss budget allows is scaled down to them.
+
+    The lots are those of sizing(); rows without a stop, and flat ones, stay as they are.
+    """
+    sized = sizing(df.withColumns({"__e": F.col("exposure"), "exposure": F.abs("exposure")}), contract)
+    over = F.coalesce((F.abs("__e") > 1e-12) & (F.col("lots") > F.col("stop_lots")), F.lit(False))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("stop_lots") / F.col("lots")))
+    out = sized.withColumns({"capped_exposure": F.when(over, F.col("__e") * share).otherwise(F.col("__e")), "stop_capped": over.cast("int"), "exposure": F.col("__e")})
+    return out.select(*df.columns, "capped_exposure", "stop_capped")
+
+
+def modifications(df: DataFrame, by: str, changes: dict[str, tuple[str, str]]) -> DataFrame:
+    """(by, symbol, code, requested, final) for every change that a rule made: changes maps the rule's code to the columns before and after it."""
+    each = F.array(*(F.struct(F.lit(code).alias("code"), F.col(a).alias("requested"), F.col(b).alias("final")) for code, (a, b) in changes.items()))
+    return df.select(by, "symbol", F.explode(each).alias("m")).select(by, "symbol", "m.*").filter(~F.col("requested").eqNullSafe(F.col("final")))
+
+
+def resize(df: DataFrame, by: str, values: str, reference: str, out: str = "resized") -> DataFrame:
+    """The values of a group scaled to the total of its reference values; negative ones count as 0, and so does all without a total."""
+    whole = Window.partitionBy(by)
+    positive = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    have, want = F.sum(positive(values)).over(whole), F.sum(positive(reference)).over(whole)
+    return df.withColumn(out, F.when((have > 0) & (want > 0), positive(values) * want / have).otherwise(0.0))
+
+
+def affordable_lots(wanted: Column, free: Column, margin_per_lot: Column, least: float, step: float, most: float) -> Column:
+    """The wanted lots, normalised, or the most steps whose margin the free margin covers; 0 where not even the least is."""
+    want = normalise_lots(wanted, least, step, most)
+    room = F.round(F.floor(free / margin_per_lot / step + 1e-9) * step, 4)
+    fits = F.when(want * margin_per_lot <= free, want).otherwise(F.least(want, room))
+    return F.when((free <= 0) | (wanted <= 0) | (fits < least), 0.0).otherwise(fits)

@@ -167,3 +167,54 @@ def trade_zones(zones: DataFrame, by: list[str], k: int = 5, stop: float = 1.5,
     out = out.withColumns({side + "_rr": ratio(sign * (F.col(side + "_target") - F.col("price")), sign * (F.col("price") - F.col(side + "_stop"))) for side, sign in (("long", 1), ("short", -1))})
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "distance", "zone_low", "zone_high"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).drop("__a", "__band")
+
+
+def adaptive_tolerance(price: Column, width: Column, times: float, least: float, most: float) -> Column:
+    """A share of price that follows a width such as ATR or ADR, within bounds; null without one of them."""
+    raw = ratio(width, price) * times
+    return F.when(raw.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), raw)))
+
+
+def extreme_score(value: Column, low: float, high: float) -> Column:
+    """1 at or beyond either bound, between them 1 in the middle falling to 0 towards the bounds (as an RSI's zones are scored)."""
+    half = (high - low) / 2
+    return F.when((value >= high) | (value <= low), 1.0).when(value.isNotNull(), 1 - F.abs(value - (low + half)) / half if half > 0 else 0.5)
+
+
+def fractal_levels(df: DataFrame, k: int = 2, most: int = 30) -> DataFrame:
+    """(key, level): prices of the last ``most`` fractal highs and lows each, every one known k bars after it; a level once."""
+    n = 2 * k + 1
+    whole = series().rowsBetween(-(n - 1), 0)
+    full = F.count("*").over(whole) == n
+    high, low = prev("high", k), prev("low", k)
+    marked = df.withColumns({"__1": F.when(full & (high == F.max("high").over(whole)), high), "__-1": F.when(full & (low == F.min("low").over(whole)), low)})
+    found = marked.select(*KEY, "ts", F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"__{side}").alias("level")) for side in (1, -1)))).alias("f")).select(*KEY, "ts", "f.*").filter("level IS NOT NULL")
+    newest = Window.partitionBy(*KEY, "side").orderBy(F.desc("ts"))
+    return found.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= most).select(*KEY, "level").distinct()
+
+
+def enhanced_scores(clusters: DataFrame, context: DataFrame, near: DataFrame, trend_weight: float = 10.0, level_weight: float = 10.0, tol_pct: float = 0.05) -> DataFrame:
+    """Clusters (key, price, score) with trend_score, sr_score and the score they add up to.
+
+    context: one row a key with slope and adr; the trend is tanh(slope / adr). near: (key, level); a level counts 1 at the cluster's
+    price falling to 0 at tol_pct of it, 0.1 more for each further one as near, at most 1. A key has a bounded number of levels.
+    """
+    of = near.groupBy(*KEY).agg(F.array_sort(F.collect_list("level")).alias("__levels"))
+    out = clusters.join(context.select(*KEY, "slope", "adr"), list(KEY), "left").join(of, list(KEY), "left")
+    hits = F.filter(F.transform(F.coalesce("__levels", F.array().cast("array<double>")), lambda v: 1 - F.abs(F.col("price") - v) / (F.col("price") * tol_pct)), lambda x: x > 0)
+    out = out.withColumns({
+        "trend_score": F.coalesce(F.tanh(F.when(F.col("adr") > 0, F.col("slope") / F.col("adr")).otherwise(F.col("slope"))), F.lit(0.0)),
+        "sr_score": F.when(F.size(hits) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.array_max(hits) + 0.1 * (F.size(hits) - 1))),
+    })
+    return out.withColumn("score", F.col("score") + trend_weight * F.col("trend_score") + level_weight * F.col("sr_score")).drop("slope", "adr", "__levels")
+
+
+def nearest_cluster(df: DataFrame, clusters: DataFrame, price: str = "close") -> DataFrame:
+    """nearest_price, nearest_score and nearest_signed (price less the cluster's) of the cluster nearest to each bar among those
+    known by then (clusters: key, known_ts, price, score; few for each key). Ties go to the lower price."""
+    of = clusters.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("known_ts", F.col("price").alias("p"), F.col("score").alias("s")))).alias("__c"))
+    out = df.join(of, list(KEY), "left")
+    known = F.filter("__c", lambda c: c["known_ts"] <= F.col("ts"))
+    ranked = F.transform(known, lambda c: F.struct(F.abs(F.col(price) - c["p"]).alias("d"), c["p"].alias("p"), c["s"].alias("s")))
+    best = F.array_min(ranked)
+    return out.withColumns({"nearest_price": best["p"], "nearest_score": best["s"], "nearest_signed": F.col(price) - best["p"]}).drop("__c")

@@ -165,6 +165,27 @@ def breakouts(df: DataFrame, window: int = 20, least: int = 10, closes: int = 1)
     return out.withColumns({"break_up": F.coalesce(prev("__u"), F.lit(0)), "break_down": F.coalesce(prev("__d"), F.lit(0))}).drop("__a", "__b", "__ra", "__rb", "__u", "__d")
 
 
+def break_outcomes(df: DataFrame, window: int = 20, least: int = 10, closes: int = 1, retest: int = 5, fail: int = 3, known: bool = True) -> DataFrame:
+    """retest_up, retest_down, fail_up, fail_down for breaks of breakouts(): within ``retest`` bars price comes back to the level
+    that was broken, within ``fail`` bars it closes on the other side again.
+
+    What becomes of a break shows only later. With ``known`` the flags stand max(retest, fail) bars after it, where all of
+    this is past; without, on the bar after the break, which looks ahead (older definitions do so).
+    """
+    out = df.withColumns({"__hi": prev(highest("high", window, least)), "__lo": prev(lowest("low", window, least))})
+    out = out.withColumns({"__a": flag(F.col("close") > F.col("__hi")), "__b": flag(F.col("close") < F.col("__lo"))})
+    out = run_length(run_length(out, "__a", "__ra"), "__b", "__rb")
+    ahead = lambda n: series().rowsBetween(1, n)
+    up, down = F.col("__ra") >= closes, F.col("__rb") >= closes
+    out = out.withColumns({
+        "__0": flag(up & (F.min("low").over(ahead(retest)) <= F.col("__hi"))), "__1": flag(down & (F.max("high").over(ahead(retest)) >= F.col("__lo"))),
+        "__2": flag(up & (F.min("close").over(ahead(fail)) < F.col("__hi"))), "__3": flag(down & (F.max("close").over(ahead(fail)) > F.col("__lo"))),
+    })
+    late = max(retest, fail) if known else 1
+    names = ("retest_up", "retest_down", "fail_up", "fail_down")
+    return out.withColumns({name: F.coalesce(prev(f"__{k}", late), F.lit(0)) for k, name in enumerate(names)}).drop("__hi", "__lo", "__a", "__b", "__ra", "__rb", *(f"__{k}" for k in range(4)))
+
+
 def microchannels(df: DataFrame, least: int = 3, near: float = 0.2) -> DataFrame:
     """Runs of bars that close near their extreme or keep raising their low (lowering their high): mc is 1, -1 or 0, with its length."""
     span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))

@@ -1,14 +1,17 @@
 """Indicators whose value depends on the one before.
 
-Most are linear recurrences y = a * y_before + b with a and b from window expressions; one helper runs any number of them
-over each series in one ordered pass. Three state machines (SAR, Supertrend, zigzag) have a step of their own.
+Most are linear recurrences y = a * y_before + b with a and b from window expressions; as such steps compose, one helper runs any
+number of them over a series by doubling, on whole arrays. Three state machines (SAR, Supertrend, zigzag) have a step of
+their own. Rows reach Python as Arrow tables, of which only the columns that are read are unpacked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -18,41 +21,69 @@ from sandpiper.session import ship
 from sandpiper.sources.candles import KEY, series
 
 
-def ordered_fold(df: DataFrame, reads: list[str], outs: list[str], step: Callable[[Iterator[tuple]], Iterator[tuple]], by: tuple[str, ...] = KEY, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Append ``outs`` to every series: step takes the rows of ``reads`` in time order and yields a tuple for each."""
+def by_series(df: DataFrame, outs: list[str], make: Callable[[pa.Table], list], by: tuple[str, ...] = KEY, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Append ``outs`` to every series: make takes its rows in order and gives an array for each."""
     ship(df.sparkSession)
     fields = [f for f in df.schema if f.name not in outs]
-    schema = StructType([*fields, *(StructField(o, DoubleType()) for o in outs)])
     names = [f.name for f in fields]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), ignore_index=True)
-        made = list(step(zip(*(rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in reads), strict=True)))
-        new = pd.DataFrame(made, columns=outs, dtype="float64") if made else pd.DataFrame({o: pd.Series(dtype="float64") for o in outs})
-        return pd.concat([rows[names], new], axis=1)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        return pa.Table.from_arrays([*(rows.column(c) for c in names), *(pa.array(x, pa.float64(), from_pandas=True) for x in make(rows))], names=[*names, *outs])
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return df.groupBy(*by).applyInArrow(run, StructType([*fields, *(StructField(o, DoubleType()) for o in outs)]))
 
 
-def recur(df: DataFrame, **terms: tuple[Column, Column]) -> DataFrame:
-    """For each name=(a, b) the column y = a * y_before + b; null b gives null and keeps the state; the first b is the seed."""
-    step_in = df.withColumns({f"__{side}_{n}": c for n, ab in terms.items() for side, c in zip("ab", ab, strict=True)})
-    reads = [f"__{side}_{n}" for n in terms for side in "ab"]
+def ordered_fold(df: DataFrame, reads: list[str], outs: list[str], step: Callable[[Iterator[tuple]], Iterator[tuple]], by: tuple[str, ...] = KEY, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Append ``outs`` to every series: step takes the rows of ``reads`` in time order and yields a tuple for each."""
 
-    count = len(terms)
+    def values(column: pa.ChunkedArray) -> list:
+        return (pc.if_else(pc.is_nan(column), None, column) if pa.types.is_floating(column.type) else column).to_pylist()
 
-    def step(rows):
-        state = [None] * count
-        for row in rows:
-            out = []
-            for k in range(count):
-                a, b = row[2 * k], row[2 * k + 1]
-                if b is not None:
-                    state[k] = b if state[k] is None else a * state[k] + b
-                out.append(None if b is None else state[k])
-            yield tuple(out)
+    def make(rows: pa.Table) -> list:
+        return list(zip(*step(zip(*(values(rows.column(c)) for c in reads), strict=True)), strict=True))
+
+    return by_series(df, outs, make, by, order)
+
+
+def scan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y = a * y_before + b over a series; NaN in b gives NaN and keeps the state, the first other b is the seed.
+
+    Steps y -> a * y + b compose to such a step, so runs of 1, 2, 4, ... rows are joined until the steps before no longer count.
+    """
+    have = np.flatnonzero(~np.isnan(b))
+    if not len(have):
+        return b.copy()
+    factor, y = a[have].astype(float), b[have].astype(float)
+    factor[0] = 0.0
+    far = 1
+    while far < len(y) and factor[far:].any():
+        y[far:] = y[far:] + factor[far:] * y[:-far]
+        factor[far:] = factor[far:] * factor[:-far]
+        far *= 2
+    out = np.full(len(b), np.nan)
+    out[have] = y
+    return out
+
+
+def smoothed(x: np.ndarray, alpha: float) -> np.ndarray:
+    """Exponential mean with the first value as its seed."""
+    b, first = alpha * x, np.flatnonzero(~np.isnan(x))[:1]
+    b[first] = x[first]
+    return scan(np.full(len(x), 1 - alpha), b)
 
-    return ordered_fold(step_in, reads, list(terms), step).drop(*reads)
+
+def doubles(rows: pa.Table, name: str) -> np.ndarray:
+    """A column as doubles, null as NaN."""
+    return rows.column(name).cast(pa.float64()).to_numpy()
+
+
+def recur(df: DataFrame, **terms: tuple[Column, Column]) -> DataFrame:
+    """For each name=(a, b) the column y = a * y_before + b; null b gives null and keeps the state; the first b is the seed."""
+    step_in = df.withColumns({f"__{side}_{n}": c for n, ab in terms.items() for side, c in zip("ab", ab, strict=True)})
+    names = list(terms)
+    made = by_series(step_in, names, lambda rows: [scan(doubles(rows, f"__a_{n}"), doubles(rows, f"__b_{n}")) for n in names])
+    return made.drop(*(f"__{side}_{n}" for n in terms for side in "ab"))
 
 
 def number() -> Column:
@@ -75,17 +106,39 @@ def after(c: str, n: int, least: int = -1, count: str = "close") -> Column:
     return F.when(F.count(count).over(series()) >= (n if least == -1 else least), F.col(c))
 
 
+#: What each mean adds up from the exponential mean, its own mean, and the mean of that.
+MEANS = {"ema": (1.0, 0.0, 0.0), "dema": (2.0, -1.0, 0.0), "tema": (3.0, -3.0, 1.0)}
+
+
+def means(df: DataFrame, names: dict[str, str], column: str = "close", period: int = 20, min_periods: int = -1) -> DataFrame:
+    """For each output the mean named for it (ema, dema or tema), all in one pass."""
+
+    def make(rows: pa.Table) -> list:
+        levels = [doubles(rows, column)]
+        for _ in range(max(sum(w != 0 for w in MEANS[m]) for m in names.values())):
+            levels.append(smoothed(levels[-1], 2 / (period + 1)))
+        return [sum(w * x for w, x in zip(MEANS[m], levels[1:], strict=False) if w) for m in names.values()]
+
+    made = by_series(df, list(names), make)
+    return made.withColumns({out: after(out, period, min_periods, column) for out in names})
+
+
 def ema(df: DataFrame, column: str = "close", period: int = 20, min_periods: int = -1, out: str = "ema") -> DataFrame:
-    return recur(df, **{out: smooth(column, 2 / (period + 1))}).withColumn(out, after(out, period, min_periods, column))
+    return means(df, {out: "ema"}, column, period, min_periods)
 
 
 def macd(df: DataFrame, column: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, macd_signal, macd_hist; the signal starts on the first valid macd."""
-    out = recur(df, __f=smooth(column, 2 / (fast + 1)), __s=smooth(column, 2 / (slow + 1)))
-    out = out.withColumn("macd", F.when(F.count(column).over(series()) >= slow, F.col("__f") - F.col("__s"))).drop("__f", "__s")
-    out = recur(out, macd_signal=smooth("macd", 2 / (signal + 1)))
-    out = out.withColumn("macd_signal", F.when(F.count("macd").over(series()) >= signal, F.col("macd_signal")))
-    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+
+    def make(rows: pa.Table) -> list:
+        x = doubles(rows, column)
+        line = smoothed(x, 2 / (fast + 1)) - smoothed(x, 2 / (slow + 1))
+        line[np.cumsum(~np.isnan(x)) < slow] = np.nan
+        own = smoothed(line, 2 / (signal + 1))
+        own[np.cumsum(~np.isnan(line)) < signal] = np.nan
+        return [line, own]
+
+    return by_series(df, ["macd", "macd_signal"], make).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def rsi(df: DataFrame, column: str = "close", period: int = 14, method: str = "ema", out: str = "rsi") -> DataFrame:
@@ -113,18 +166,11 @@ def keltner(df: DataFrame, period: int = 20, multiplier: float = 2.0) -> DataFra
 
 
 def dema(df: DataFrame, column: str = "close", period: int = 20, min_periods: int = -1) -> DataFrame:
-    alpha = 2 / (period + 1)
-    out = recur(df, __1=smooth(column, alpha))
-    out = recur(out, __2=smooth("__1", alpha)).withColumn("dema", 2 * F.col("__1") - F.col("__2"))
-    return out.withColumn("dema", after("dema", period, min_periods, column)).drop("__1", "__2")
+    return means(df, {"dema": "dema"}, column, period, min_periods)
 
 
 def tema(df: DataFrame, column: str = "close", period: int = 20, min_periods: int = -1) -> DataFrame:
-    alpha = 2 / (period + 1)
-    out = recur(df, __1=smooth(column, alpha))
-    out = recur(out, __2=smooth("__1", alpha))
-    out = recur(out, __3=smooth("__2", alpha)).withColumn("tema", 3 * F.col("__1") - 3 * F.col("__2") + F.col("__3"))
-    return out.withColumn("tema", after("tema", period, min_periods, column)).drop("__1", "__2", "__3")
+    return means(df, {"tema": "tema"}, column, period, min_periods)
 
 
 def kama(df: DataFrame, column: str = "close", period: int = 10, fast_span: int = 2, slow_span: int = 30, out: str = "kama") -> DataFrame:
@@ -183,11 +229,11 @@ def parabolic_sar(df: DataFrame, af_start: float = 0.02, af_step: float = 0.02,
     return ordered_fold(df, ["high", "low"], [out], step)
 
 
-def supertrend(df: DataFrame, period: int = 10, multiplier: float = 3.0, release: str = "current") -> DataFrame:
+def supertrend(df: DataFrame, period: int = 10, multiplier: float = 3.0, release: str = "previous") -> DataFrame:
     """supertrend (the band that holds) and supertrend_dir (1 up, -1 down; 1 until the ATR has a value).
 
-    release: which close lets go of a band. With ``current`` a band steps aside on the very bar that closes beyond it, so the
-    direction hardly ever turns; ``previous`` is the usual definition.
+    release: which close lets go of a band: that of the bar before (``previous``, the usual definition), or the bar's own (``current``, an
+    older one), with which a band steps aside on the very bar that closes beyond it, so the direction hardly ever turns.
     """
 
     def step(rows):

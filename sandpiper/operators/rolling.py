@@ -281,3 +281,23 @@ def divergence(df: DataFrame, price: str = "close", osc: str = "rsi", k: int = 2
         return F.when((F.col("__p") == kind) & apart, 1).otherwise(0)
 
     return out.withColumns({"div_bear": flag(1, True), "div_bull": flag(-1, False)}).drop("__p")
+
+
+def divergence_values(df: DataFrame, price: str = "close", osc: str = "rsi", k: int = 2, hidden: bool = False) -> DataFrame:
+    """div_bear_value, div_bull_value: at a confirmed price pivot where price and oscillator moved apart since the last pivot of
+    its kind, by how much the oscillator moved; null elsewhere. ``hidden`` asks for the opposite directions."""
+    out = pivots(df, price, k, "__p")
+    past = series().rowsBetween(Window.unboundedPreceding, -1)
+
+    def value(kind: int) -> Column:
+        last_p, last_o = (F.last(F.when(F.col("__p") == kind, F.col(c)), True).over(past) for c in (price, osc))
+        further = kind if not hidden else -kind
+        apart = (F.signum(F.col(price) - last_p) == further) & (F.signum(F.col(osc) - last_o) == -further)
+        return F.when((F.col("__p") == kind) & apart, F.col(osc) - last_o)
+
+    return out.withColumns({"div_bear_value": value(1), "div_bull_value": value(-1)}).drop("__p")
+
+
+def zscore_distance(value: Column, mean_: Column, deviation: Column, eps: float = 1e-12) -> Column:
+    """How many deviations a value is from the mean."""
+    return (value - mean_) / (F.abs(deviation) + eps)

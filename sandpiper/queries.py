@@ -5,23 +5,30 @@ Ticks are ``events``: symbol = event_type, price = value. Doubles are rounded to
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sandpiper.functions.spec import SpecError, parse, replace_params
 from sandpiper.functions.time_features import FEATURES, add_time_features
 from sandpiper.operators import accounts as acc
 from sandpiper.operators import classic
+from sandpiper.operators import confluence as conf
 from sandpiper.operators import joins as j
 from sandpiper.operators import levels as lv
 from sandpiper.operators import patterns as pat
 from sandpiper.operators import recursive as rec
 from sandpiper.operators import rolling as roll
 from sandpiper.operators import structure as st
+from sandpiper.operators import zigzags as zz
 from sandpiper.operators import zones as zn
 from sandpiper.plans import features as plans
+from sandpiper.plans.registry import REGISTRY
 from sandpiper.sources import candles as src
+from sandpiper.sources import requests as req
+from sandpiper.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,7 +187,7 @@ def seed_terms(c: str, n: int, alpha: float, skip: int = 0) -> tuple[str, str]:
 
 
 NB = f"{bars_cte('H1', 'b0')}, b AS (SELECT *, row_number() OVER ({S}) AS rn, {TR} AS tr, close - lag(close) OVER ({S}) AS d, close - lag(close) OVER ({S}) AS diff FROM b0)"
-on_bars("ema_dema_tema", lambda b: rec.tema(rec.dema(rec.ema(b, period=6), period=6), period=6), ["ema", "dema", "tema"], f"""
+on_bars("ema_dema_tema", lambda b: rec.means(b, {m: m for m in rec.MEANS}, period=6), ["ema", "dema", "tema"], f"""
     WITH RECURSIVE {NB}, {recurrence('e1', 'b', *ema_terms('close', 6))}, {recurrence('e2', '(SELECT symbol, rn, out AS x FROM e1)', *ema_terms('x', 6))}, {recurrence('e3', '(SELECT symbol, rn, out AS x FROM e2)', *ema_terms('x', 6))}
     SELECT symbol, ts, {r6('CASE WHEN rn >= 6 THEN e1.out END', 'ema')}, {r6('CASE WHEN rn >= 6 THEN 2 * e1.out - e2.out END', 'dema')}, {r6('CASE WHEN rn >= 6 THEN 3 * e1.out - 3 * e2.out + e3.out END', 'tema')}
     FROM b JOIN e1 USING (symbol, rn) JOIN e2 USING (symbol, rn) JOIN e3 USING (symbol, rn)""")
@@ -217,6 +224,7 @@ on_bars("chaikin_volatility", rec.chaikin_volatility, ["chaikin_vol"], f"""
     SELECT symbol, ts, {r6('(v - v0) / nullif(v0, 0) * 100', 'chaikin_vol')} FROM y""")
 on_bars("parabolic_sar", rec.parabolic_sar, ["psar"])
 on_bars("supertrend", rec.supertrend, ["supertrend", "supertrend_dir"])
+on_bars("supertrend_older", lambda b: rec.supertrend(b, release="current"), ["supertrend", "supertrend_dir"])
 on_bars("market_structure", lambda b: pat.market_structure(rec.zigzag(b, 0.2)).fillna("", ["structure"]), ["zz", "zz_price", "structure", "bos", "choch", "regime"])
 on_bars("divergence", lambda b: roll.divergence(rec.rsi(b)), ["div_bear", "div_bull"])
 
@@ -502,6 +510,10 @@ ORACLE_SQL["commission_profiles"] = f"""WITH p(pb, pt, ps, kind, rate, rt) AS (V
     SELECT broker, account_type, symbol, kind, CAST(CASE WHEN rt THEN rate / 2 ELSE rate END AS DOUBLE) AS rate FROM j WHERE n = 1"""
 QUERIES["slippage_model"] = lambda s, d: tidy(acc.slippage(_fills(s, d).drop("slippage"), 0.3, 0.4, 1.0, 0.01), ["execution_id", "fill_no"], ["slippage_pips", "slippage"])
 
+UNIFORM = lambda salt: f"((CAST('0x' || substr(md5('7:{salt}:' || CAST(execution_id AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 1) / {float((1 << 52) + 1)!r})"
+ORACLE_SQL["slippage_model"] = f"""WITH n AS (SELECT l_orderkey AS execution_id, l_linenumber AS fill_no FROM lineitem), x AS (SELECT *, greatest(0, least(1.0, 0.3 + 0.4 * (sqrt(-2 * ln({UNIFORM('a')})) * cos(2 * pi() * {UNIFORM('b')})))) AS p FROM n)
+    SELECT execution_id, fill_no, {r6('p', 'slippage_pips')}, {r6('p * 0.01', 'slippage')} FROM x"""
+
 
 def _correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bars(spark, sf_dir, "D1").select("ts", "symbol", (F.col("close") / 400).alias("exposure"))
@@ -510,6 +522,11 @@ def _correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["correlation_cap"] = _correlation
+ORACLE_SQL["correlation_cap"] = f"""WITH RECURSIVE {bars_cte('D1')}, x AS (SELECT ts, symbol, close / 400 AS e FROM b), pr AS (SELECT ts, p.symbol AS sa, q.symbol AS sb, row_number() OVER (PARTITION BY ts ORDER BY p.symbol, q.symbol) AS n FROM x p JOIN x q USING (ts) WHERE p.symbol < q.symbol AND length(p.symbol) = length(q.symbol)),
+    f AS (SELECT ts, CAST(0 AS BIGINT) AS n, list(symbol ORDER BY symbol) AS s, list(e ORDER BY symbol) AS v FROM x GROUP BY ts
+        UNION ALL SELECT g.ts, g.n, g.s, list_transform(g.v, lambda y, i: CASE WHEN (g.s[i] = g.sa OR g.s[i] = g.sb) AND g.t > 0.4 THEN y * 0.4 / g.t ELSE y END)
+        FROM (SELECT f.ts, pr.n, f.s, f.v, sa, sb, abs(f.v[list_position(f.s, sa)]) + abs(f.v[list_position(f.s, sb)]) AS t FROM f JOIN pr ON pr.ts = f.ts AND pr.n = f.n + 1) g),
+    l AS (SELECT ts, arg_max(s, n) AS s, arg_max(v, n) AS v FROM f GROUP BY ts), u AS (SELECT ts, unnest(s) AS symbol, unnest(v) AS v FROM l) SELECT ts, symbol, {r6('v', 'capped')} FROM u"""
 QUERIES["trade_intents"] = lambda s, d: tidy(acc.intents(roll.roc(bars(s, d), period=3).selectExpr("symbol", "ts", "close price", "10000D equity", "coalesce(roc, 0) / 100 exposure", "CAST(volume AS DOUBLE) * 100 held")), ["symbol", "ts"], ["target_lots", "side", "trade_lots", "action"])
 ORACLE_SQL["trade_intents"] = f"""WITH {bars_cte()}, x AS (SELECT symbol, ts, close AS p, coalesce((close - lag(close, 3) OVER ({S})) / nullif(lag(close, 3) OVER ({S}), 0) * 100, 0) / 100 AS e, CAST(volume AS DOUBLE) * 100 AS h FROM b), y AS (SELECT *, 10000 * e / nullif(p, 0) AS t FROM x)
     SELECT symbol, ts, {r6('t', 'target_lots')}, CAST(sign(t - h) AS INTEGER) AS side, {r6('abs(t - h)', 'trade_lots')}, CASE WHEN h = t THEN 'HOLD' WHEN h = 0 THEN 'OPEN' WHEN t = 0 THEN 'CLOSE' WHEN sign(h) <> sign(t) THEN 'REVERSE' WHEN abs(t) > abs(h) THEN 'INCREASE' ELSE 'REDUCE' END AS action FROM y"""
@@ -523,12 +540,18 @@ ORACLE_SQL["parabolic_sar"] = f"""WITH RECURSIVE {NB}, p AS (SELECT symbol, rn,
         SELECT *, CASE WHEN e1 <> ep THEN least(af + 0.02, 0.2) ELSE af END AS a1, CASE WHEN up THEN low < s1 ELSE high > s1 END AS x FROM (
             SELECT b.symbol, b.rn, b.high, b.low, p.ep, p.af, p.up, p.sar + p.af * (p.ep - p.sar) AS s1, CASE WHEN p.up THEN greatest(p.ep, b.high) ELSE least(p.ep, b.low) END AS e1 FROM p JOIN b ON b.symbol = p.symbol AND b.rn = p.rn + 1)))
     SELECT symbol, ts, {r6('CASE WHEN rn > 1 THEN sar END', 'psar')} FROM b JOIN p USING (symbol, rn)"""
-ORACLE_SQL["supertrend"] = f"""WITH RECURSIVE {NB}, {recurrence('a', 'b', *seed_terms('tr', 10, 1 / 10))}, x AS (SELECT b.symbol, b.ts, b.rn, close, (high + low) / 2 + 3 * a.out AS top, (high + low) / 2 - 3 * a.out AS bot FROM b JOIN a USING (symbol, rn)),
+
+
+def supertrend_sql(judge: str) -> str:
+    return f"""WITH RECURSIVE {NB}, {recurrence('a', 'b', *seed_terms('tr', 10, 1 / 10))}, x AS (SELECT b.symbol, b.ts, b.rn, close, lag(close) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS was, (high + low) / 2 + 3 * a.out AS top, (high + low) / 2 - 3 * a.out AS bot FROM b JOIN a USING (symbol, rn)),
     s AS (SELECT symbol, rn, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS l, 1 AS d FROM x WHERE rn = 1 UNION ALL
         SELECT symbol, rn, u1, l1, CASE WHEN NOT fresh AND (CASE WHEN d = 1 THEN close <= l1 ELSE close >= u1 END) THEN -d ELSE d END FROM (
-            SELECT x.symbol, x.rn, x.close, s.d, s.u IS NULL AS fresh, CASE WHEN x.top IS NULL THEN s.u WHEN s.u IS NULL OR x.close > s.u THEN x.top ELSE least(x.top, s.u) END AS u1,
-                CASE WHEN x.top IS NULL THEN s.l WHEN s.l IS NULL OR x.close < s.l THEN x.bot ELSE greatest(x.bot, s.l) END AS l1 FROM s JOIN x ON x.symbol = s.symbol AND x.rn = s.rn + 1))
+            SELECT x.symbol, x.rn, x.close, s.d, s.u IS NULL AS fresh, CASE WHEN x.top IS NULL THEN s.u WHEN s.u IS NULL OR x.{judge} > s.u THEN x.top ELSE least(x.top, s.u) END AS u1,
+                CASE WHEN x.top IS NULL THEN s.l WHEN s.l IS NULL OR x.{judge} < s.l THEN x.bot ELSE greatest(x.bot, s.l) END AS l1 FROM s JOIN x ON x.symbol = s.symbol AND x.rn = s.rn + 1))
     SELECT symbol, ts, {r6('CASE WHEN top IS NOT NULL THEN CASE WHEN d = 1 THEN l ELSE u END END', 'supertrend')}, {r6('d', 'supertrend_dir')} FROM x JOIN s USING (symbol, rn)"""
+
+
+ORACLE_SQL["supertrend"], ORACLE_SQL["supertrend_older"] = supertrend_sql("was"), supertrend_sql("close")
 ZIGZAG = f"""{NB}, z AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DOUBLE) AS hi, CAST(NULL AS DOUBLE) AS lo, 0 AS t, 0 AS zz, CAST(NULL AS DOUBLE) AS price FROM b UNION ALL
     SELECT symbol, rn, CASE WHEN c2 THEN high ELSE h1 END, CASE WHEN c1 THEN low ELSE l1 END, CASE WHEN c1 THEN -1 WHEN c2 THEN 1 ELSE t END, CASE WHEN c1 THEN 1 WHEN c2 THEN -1 ELSE 0 END, CASE WHEN c1 THEN h1 WHEN c2 THEN l1 END FROM (
         SELECT *, NOT c1 AND t <= 0 AND high >= l1 * 1.2 AS c2 FROM (SELECT *, t >= 0 AND low <= h1 * (1 - 0.2) AS c1 FROM (
@@ -683,9 +706,69 @@ def _fusion(b: DataFrame) -> DataFrame:
     return zn.fusion(b, list(kinds))
 
 
-on_bars("sr_fusion", lambda b: _fusion(b).fillna("", ["sr_source"]), ["sr_score_raw", "sr_on", "sr_score", "sr_source"])
-on_bars("causal_swings", lambda b: st.causal_swings(b, 0.2), ["cs", "cs_price", "cs_age"])
-on_bars("liquidity_pools", lambda b: st.liquidity_pools(st.swings(b, 3, 3), 0.05), ["pool_high_touches", "pool_low_touches", "swept_highs", "swept_lows"])
+def status_sql(n: str) -> str:
+    """CTE s_{n}: the status of the zones with bottom {n}_b and top {n}_t in ``zones``."""
+    back = lambda c, k: f"lag({n}_{c}, {k}) OVER ({S})"
+    there = lambda k: f"{back('t', k)} IS NOT NULL AND {back('b', k)} IS NOT NULL"
+    hits = " OR ".join(f"coalesce(low <= {back('t', k)} AND high >= {back('b', k)}, false)" for k in (1, 2, 3))
+    pick = lambda c: "CASE " + " ".join(f"WHEN {there(k)} THEN {back(c, k)}" for k in (1, 2, 3)) + " END"
+    return f"""h_{n} AS (SELECT symbol, ts, rn, a, {hits} AS hit, CASE {' '.join(f'WHEN {there(k)} THEN {k}' for k in (1, 2, 3))} END AS age, {there(3)} AS old, {pick('t')} AS tp, {pick('b')} AS bt FROM zones),
+    s_{n} AS (SELECT *, NOT hit AND age IS NOT NULL AS alive, old AND NOT hit AS expired, CASE WHEN NOT hit AND age IS NOT NULL THEN 0.5 * coalesce(abs(tp - bt) / nullif(a, 0), 0) + 0.3 / (1 + age) ELSE 0 END AS score FROM h_{n})"""
+
+
+ZONE_KINDS = ("fvg", "sd", "ob", "bf", "ls")
+ZONES_SQL = f"""{bars_cte()}, zt AS (SELECT *, {TR} AS tr, row_number() OVER ({S}) AS rn, lag(high, 2) OVER ({S}) AS h2, lag(low, 2) OVER ({S}) AS l2, max(high) OVER {P5} AS hi, min(low) OVER {P5} AS lo,
+        {LASTO('close < open', 'low')} AS dl, {LASTO('close < open', 'high')} AS dh, {LASTO('close > open', 'low')} AS ul, {LASTO('close > open', 'high')} AS uh, min(low) OVER {P3} AS b3, max(high) OVER {P3} AS t3 FROM b),
+    za AS (SELECT *, {ATR14} AS a FROM zt), zq AS (SELECT *, CAST(coalesce((high - low) / nullif(a, 0) <= 0.6, false) AS INTEGER) AS q FROM za),
+    zk AS (SELECT *, CASE WHEN h2 < low THEN 1 WHEN l2 > high THEN -1 ELSE 0 END AS fk, CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE 0 END AS ok,
+        coalesce((high - low) / nullif(a, 0) >= 1.2 AND abs(close - open) / nullif(high - low, 0) >= 0.55 AND sum(q) OVER {P3} = 3 AND close <> open, false) AS sk,
+        CASE WHEN high > hi AND close < hi AND (high - greatest(open, close)) / nullif(a, 0) >= 0.5 THEN -1 WHEN low < lo AND close > lo AND (least(open, close) - low) / nullif(a, 0) >= 0.5 THEN 1 ELSE 0 END AS lk FROM zq),
+    zo AS (SELECT *, lag(CASE ok WHEN 1 THEN dl WHEN -1 THEN ul END) OVER ({S}) AS ob_b, lag(CASE ok WHEN 1 THEN dh WHEN -1 THEN uh END) OVER ({S}) AS ob_t,
+        lag(CASE fk WHEN 1 THEN h2 WHEN -1 THEN high END) OVER ({S}) AS fvg_b, lag(CASE fk WHEN 1 THEN low WHEN -1 THEN l2 END) OVER ({S}) AS fvg_t,
+        CASE WHEN sk THEN b3 END AS sd_b, CASE WHEN sk THEN t3 END AS sd_t, CASE lk WHEN -1 THEN high WHEN 1 THEN lo END AS ls_t, CASE lk WHEN -1 THEN hi WHEN 1 THEN low END AS ls_b FROM zk),
+    zb AS (SELECT *, CASE WHEN close > min(ob_t) OVER {P5} THEN 1 WHEN close < max(ob_b) OVER {P5} THEN -1 ELSE 0 END AS bk FROM zo),
+    zones AS (SELECT *, CASE WHEN bk <> 0 THEN least(open, close) END AS bf_b, CASE WHEN bk <> 0 THEN greatest(open, close) END AS bf_t FROM zb), {', '.join(map(status_sql, ZONE_KINDS))}"""
+STATUS = [f"{n}_{c}" for n in ZONE_KINDS for c in ("alive", "filled", "expired", "age", "score")]
+on_bars("zone_status", _fusion, STATUS, f"""
+    WITH {ZONES_SQL} SELECT symbol, ts, {', '.join(f"CAST(s_{n}.alive AS INTEGER) AS {n}_alive, CAST(s_{n}.hit AS INTEGER) AS {n}_filled, CAST(s_{n}.expired AS INTEGER) AS {n}_expired, CAST(CASE WHEN s_{n}.alive THEN s_{n}.age END AS INTEGER) AS {n}_age, {r6(f's_{n}.score', f'{n}_score')}" for n in ZONE_KINDS)}
+    FROM s_fvg {' '.join(f'JOIN s_{n} USING (symbol, ts)' for n in ZONE_KINDS[1:])}""")
+on_bars("sr_fusion", lambda b: _fusion(b).fillna("", ["sr_source"]), ["sr_score_raw", "sr_on", "sr_score", "sr_source"], f"""
+    WITH RECURSIVE {ZONES_SQL}, {', '.join(recurrence(f'e_{n}', f's_{n}', *ema_terms('score', 5)) for n in ZONE_KINDS)},
+    {', '.join(f"w_{n} AS (SELECT s.symbol, s.ts, s.alive, CASE WHEN s.alive THEN s.age END AS age, CASE WHEN s.alive AND max(CAST(s.hit OR s.expired AS INTEGER)) OVER (PARTITION BY s.symbol ORDER BY s.ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 0 THEN e.out / (1 + s.age / 5.0) ELSE 0 END AS v FROM s_{n} s JOIN e_{n} e USING (symbol, rn))" for n in ZONE_KINDS)},
+    r AS (SELECT symbol, ts, greatest({', '.join(f'w_{n}.v' for n in ZONE_KINDS)}, 0) AS raw, [{', '.join(f"{{'v': w_{n}.v, 'idle': 1 - CAST(w_{n}.alive AS INTEGER), 'age': coalesce(w_{n}.age, 0), 'k': {k}, 'name': '{n}'}}" for k, n in enumerate(ZONE_KINDS))}] AS every FROM w_fvg {' '.join(f'JOIN w_{n} USING (symbol, ts)' for n in ZONE_KINDS[1:])}),
+    o AS (SELECT *, coalesce({LAST('CASE WHEN raw >= 0.55 THEN 1 WHEN raw < 0.35 THEN 0 END', ALLW)}, 0) AS sr_on, (SELECT arg_min(z.name, (z.idle, z.age, z.k)) FROM (SELECT unnest(every) AS z) WHERE raw - z.v <= 0.02) AS best FROM r)
+    SELECT symbol, ts, {r6('raw', 'sr_score_raw')}, CAST(sr_on AS INTEGER) AS sr_on, {r6('CASE WHEN sr_on = 1 THEN raw ELSE 0 END', 'sr_score')}, CASE WHEN sr_on = 1 THEN best ELSE '' END AS sr_source FROM o""")
+on_bars("causal_swings", lambda b: st.causal_swings(b, 0.2), ["cs", "cs_price", "cs_age"], f"""
+    WITH RECURSIVE {bars_cte()}, n AS (SELECT symbol, ts, high, low, close, row_number() OVER ({S}) - 1 AS i, first_value(high) OVER ({S}) AS h0, first_value(low) OVER ({S}) AS l0, first_value(close) OVER ({S}) AS c0 FROM b),
+    m AS (SELECT symbol, i, ts, 0 AS seek, CAST(0 AS DOUBLE) AS ext, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS last, 0 AS f, CAST(NULL AS DOUBLE) AS fp, CAST(NULL AS BIGINT) AS age FROM n WHERE i = 0
+        UNION ALL SELECT symbol, i, ts, CASE WHEN seek = 0 THEN way WHEN turn THEN -seek ELSE seek END, CASE WHEN seek = 0 THEN CASE way WHEN 1 THEN greatest(high, h0) WHEN -1 THEN least(low, l0) ELSE 0 END WHEN turn THEN CASE seek WHEN 1 THEN low ELSE high END ELSE e1 END,
+            CASE WHEN seek = 0 THEN CASE WHEN way = 1 AND high >= h0 OR way = -1 AND low <= l0 THEN i ELSE 0 END WHEN turn THEN i ELSE at1 END, CASE WHEN seek = 0 THEN 0 WHEN turn THEN at1 ELSE last END,
+            CASE WHEN seek = 0 THEN -way WHEN turn THEN seek ELSE 0 END, CASE WHEN seek = 0 THEN CASE way WHEN 1 THEN l0 WHEN -1 THEN h0 END WHEN turn THEN e1 END, CASE WHEN seek = 0 THEN CASE WHEN way <> 0 THEN i END WHEN turn THEN i - at1 END
+        FROM (SELECT *, seek <> 0 AND NOT (seek * (e1 - CASE seek WHEN 1 THEN low ELSE high END) / greatest(abs(e1), 1e-12) < 0.2 OR at1 - last < 1) AS turn
+            FROM (SELECT n.*, m.seek, m.last, CASE WHEN n.high > n.h0 OR n.close > n.c0 THEN 1 WHEN n.low < n.l0 OR n.close < n.c0 THEN -1 ELSE 0 END AS way, CASE m.seek WHEN 1 THEN greatest(n.high, m.ext) ELSE least(n.low, m.ext) END AS e1,
+                CASE WHEN m.seek = 1 AND n.high >= m.ext OR m.seek = -1 AND n.low <= m.ext THEN n.i ELSE m.at END AS at1 FROM m JOIN n ON n.symbol = m.symbol AND n.i = m.i + 1)))
+    SELECT symbol, ts, {r6('f', 'cs')}, {r6('fp', 'cs_price')}, {r6('age', 'cs_age')} FROM m""")
+
+
+def pool_sql(side: int, swing: str, n: str) -> tuple[str, str]:
+    """Columns of the pools' state machine for one side: those of the start, and those of a step."""
+    reach = "n.high" if side == 1 else "n.low"
+    beyond = "<" if side == 1 else ">"
+    at = f"list_position(list_transform(m.p{n}, lambda p: abs(n.{swing} - p) / p <= 0.05), true)"
+    founds = f"n.{swing} IS NOT NULL AND coalesce({at}, 0) = 0"
+    p1, a1 = f"CASE WHEN {founds} THEN list_append(m.p{n}, n.{swing}) ELSE m.p{n} END", f"CASE WHEN {founds} THEN list_append(m.a{n}, true) ELSE m.a{n} END"
+    t1 = f"CASE WHEN n.{swing} IS NULL THEN m.t{n} WHEN coalesce({at}, 0) = 0 THEN list_append(m.t{n}, 1) ELSE list_transform(m.t{n}, lambda t, i: CASE WHEN i = {at} THEN t + 1 ELSE t END) END"
+    start = f"CAST([] AS DOUBLE[]) AS p{n}, CAST([] AS INTEGER[]) AS t{n}, CAST([] AS BOOLEAN[]) AS a{n}, CAST(NULL AS INTEGER) AS j{n}, CAST(0 AS BIGINT) AS s{n}"
+    hit = lambda i: f"(({p1})[{i}] {beyond} {reach})"
+    step = f"{p1}, {t1}, list_transform({a1}, lambda a, i: a AND NOT {hit('i')}), CASE WHEN n.{swing} IS NOT NULL THEN ({t1})[coalesce(nullif({at}, 0), len({t1}))] END, CAST(len(list_filter(list_transform({a1}, lambda a, i: a AND {hit('i')}), lambda x: x)) AS BIGINT)"
+    return start, step
+
+
+_high, _low = pool_sql(1, "sh", "h"), pool_sql(-1, "sl", "l")
+on_bars("liquidity_pools", lambda b: st.liquidity_pools(st.swings(b, 3, 3), 0.05), ["pool_high_touches", "pool_low_touches", "swept_highs", "swept_lows"], f"""
+    WITH RECURSIVE {SWINGS_SQL}, n AS (SELECT symbol, ts, high, low, sh, sl, row_number() OVER ({S}) AS i FROM sw),
+    m AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS ts, {_high[0]}, {_low[0]} FROM n UNION ALL SELECT n.symbol, n.i, n.ts, {_high[1]}, {_low[1]} FROM m JOIN n ON n.symbol = m.symbol AND n.i = m.i + 1)
+    SELECT symbol, ts, {r6('jh', 'pool_high_touches')}, {r6('jl', 'pool_low_touches')}, {r6('sh', 'swept_highs')}, {r6('sl', 'swept_lows')} FROM m WHERE i > 0""")
 
 # -- patterns of swings, zones to trade, observed costs and acceptance -------------------------
 
@@ -747,3 +830,231 @@ ORACLE_SQL["acceptance_gates"] = f"""WITH {bars_cte()}, t AS (SELECT *, close -
     g AS (SELECT symbol, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS wr, avg(pnl) AS m, max(peak - eq) / greatest(1.0, abs(max(peak))) AS dd FROM p GROUP BY symbol),
     f AS (SELECT symbol, concat_ws(',', CASE WHEN n < 30 THEN 'trades' END, CASE WHEN wr < 0.25 THEN 'win_rate' END, CASE WHEN m < 0 THEN 'sharpe' END, CASE WHEN dd > 0.95 THEN 'max_drawdown' END) AS failed_gates FROM g)
     SELECT symbol, failed_gates, CAST(failed_gates = '' AS INTEGER) AS accepted FROM f"""
+
+# -- zigzag by depth, its legs and levels ------------------------------------------------------
+
+
+def depth_sql(name: str, source: str, depth: int = 6, deviation: float = 5.0, backstep: int = 3) -> str:
+    """CTEs: {name}_p, the swings of ``source`` as the state machine over its candidates gives them, and {name}_l, the legs."""
+    over, ahead = f"({S} ROWS BETWEEN {depth - 1} PRECEDING AND CURRENT ROW)", f"({S} ROWS BETWEEN 1 FOLLOWING AND {backstep} FOLLOWING)"
+    return f"""{name}_w AS (SELECT *, CASE WHEN count(*) OVER {over} = {depth} THEN min(low) OVER {over} END AS lo, CASE WHEN count(*) OVER {over} = {depth} THEN max(high) OVER {over} END AS hi FROM {source}),
+    {name}_e AS (SELECT *, min(CASE WHEN low - lo <= {deviation} THEN lo END) OVER {ahead} AS under, max(CASE WHEN hi - high <= {deviation} THEN hi END) OVER {ahead} AS beyond FROM {name}_w),
+    {name}_c AS (SELECT *, CASE WHEN low = lo AND NOT coalesce(under < low, false) THEN low END AS l, CASE WHEN high = hi AND NOT coalesce(beyond > high, false) THEN high END AS h FROM {name}_e),
+    {name}_v AS (SELECT symbol, ts, l, h, row_number() OVER ({S}) AS n FROM {name}_c WHERE l IS NOT NULL OR h IS NOT NULL),
+    {name}_m AS (SELECT symbol, n, ts, CASE WHEN h IS NOT NULL THEN 1 ELSE -1 END AS kind, CASE WHEN h IS NOT NULL THEN h ELSE l END AS price, 1 AS run, ts AS began FROM {name}_v WHERE n = 1
+        UNION ALL SELECT v.symbol, v.n, v.ts, k.kind, CASE WHEN k.kind = 1 THEN v.h ELSE v.l END, m.run + CAST(k.kind <> m.kind AS INTEGER), CASE WHEN k.kind <> m.kind THEN v.ts ELSE m.began END
+        FROM {name}_m m JOIN {name}_v v ON v.symbol = m.symbol AND v.n = m.n + 1, LATERAL (SELECT CASE WHEN v.l IS NOT NULL AND v.h IS NOT NULL THEN -m.kind WHEN v.h IS NOT NULL THEN 1 ELSE -1 END AS kind) k),
+    {name}_r AS (SELECT symbol, run, any_value(kind) AS kind, arg_min(ts, (-kind * price, ts)) AS ts, arg_min(price, (-kind * price, ts)) AS price, any_value(began) AS began FROM {name}_m GROUP BY symbol, run),
+    {name}_p AS (SELECT *, lead(began) OVER (PARTITION BY symbol ORDER BY run) AS stands FROM {name}_r),
+    {name}_d AS (SELECT symbol, ts AS a, lead(ts) OVER ({S}) AS z, price AS ap, lead(price) OVER ({S}) AS zp, lead(kind) OVER ({S}) AS zk, lead(stands) OVER ({S}) AS zs FROM {name}_p),
+    {name}_g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY a) AS leg FROM (SELECT *, coalesce(sign(zp - ap) = lag(sign(zp - ap)) OVER (PARTITION BY symbol ORDER BY a), false) AS same FROM {name}_d WHERE z IS NOT NULL)),
+    {name}_l AS (SELECT symbol, min(a) AS start_ts, max(z) AS end_ts, CASE WHEN count(*) = 1 THEN max(zk) ELSE max(CAST(sign(zp - ap) AS INTEGER)) END AS direction, arg_min(ap, a) AS start_price, arg_max(zp, a) AS end_price, arg_max(zs, a) AS confirmed FROM {name}_g GROUP BY symbol, leg)"""
+
+
+def _depth(b: DataFrame) -> DataFrame:
+    return zz.depth_swings(b, 6, 5.0, 3)
+
+
+on_bars("zigzag_depth", _depth, ["zz_state", "zz_price", "zz_confirmed", "zz_leg"], f"""
+    WITH RECURSIVE {bars_cte()}, {depth_sql('q', 'b')}, before AS (SELECT b.symbol, b.ts, max(m.n) AS n FROM b JOIN q_m m ON m.symbol = b.symbol AND m.ts < b.ts GROUP BY ALL)
+    SELECT b.symbol, b.ts, CAST(coalesce(p.kind, 0) AS INTEGER) AS zz_state, {r6('p.price', 'zz_price')}, p.stands AS zz_confirmed, CAST(-coalesce(m.kind, 0) AS INTEGER) AS zz_leg
+    FROM b LEFT JOIN q_p p ON p.symbol = b.symbol AND p.ts = b.ts LEFT JOIN before ON before.symbol = b.symbol AND before.ts = b.ts LEFT JOIN q_m m ON m.symbol = b.symbol AND m.n = before.n""")
+LEG = ["end_ts", "direction", "start_price", "end_price", "confirmed"]
+QUERIES["zigzag_legs"] = lambda s, d: tidy(zz.depth_legs(_depth(bars(s, d))), ["symbol", "start_ts"], LEG)
+ORACLE_SQL["zigzag_legs"] = f"WITH RECURSIVE {bars_cte()}, {depth_sql('q', 'b')} SELECT symbol, start_ts, end_ts, CAST(direction AS INTEGER) AS direction, {r6('start_price', 'start_price')}, {r6('end_price', 'end_price')}, confirmed FROM q_l"
+
+
+def along_sql(shift: int = 0, extend: bool = False) -> str:
+    """CTE along: bars with the boundaries of the legs q_l that fall before the next bar; the newest says what holds."""
+    keep = "direction" if extend else "0"
+    level = lambda test: f"CASE WHEN {test} THEN end_price END" if extend else "NULL"
+    at = f"+ INTERVAL {shift} MINUTE"
+    return f"""u AS (SELECT symbol, start_ts {at} AS t, 2 AS o, direction AS dir, -direction AS mark, CASE WHEN direction > 0 THEN start_price END AS sup, CASE WHEN direction <= 0 THEN start_price END AS res FROM q_l
+        UNION ALL SELECT symbol, end_ts {at}, 1, {keep}, direction, {level('direction < 0')}, {level('direction >= 0')} FROM q_l),
+    nx AS (SELECT *, coalesce(lead(ts) OVER ({S}), TIMESTAMP '9999-12-31') AS nxt FROM b),
+    along AS (SELECT nx.*, x.t, x.dir, x.mark, x.sup, x.res FROM nx LEFT JOIN LATERAL (SELECT * FROM u WHERE u.symbol = nx.symbol AND u.t < nx.nxt ORDER BY u.t DESC, u.o DESC LIMIT 1) x ON true)"""
+
+
+QUERIES["zigzag_higher"] = lambda s, d: tidy(zz.along_legs(bars(s, d), zz.depth_legs(zz.depth_swings(src.resample(bars(s, d), "H4"), 4, 5.0, 2))), ["symbol", "ts"], ["leg_dir", "leg_mark"])
+ORACLE_SQL["zigzag_higher"] = f"""WITH RECURSIVE {bars_cte()}, {H4}, {depth_sql('q', 'h4', 4, 5.0, 2)}, {along_sql()}
+    SELECT symbol, ts, CAST(coalesce(dir, 0) AS INTEGER) AS leg_dir, CAST(CASE WHEN t >= ts THEN mark ELSE 0 END AS INTEGER) AS leg_mark FROM along"""
+QUERIES["zigzag_levels"] = lambda s, d: tidy(zz.level_distance(zz.along_legs(roll.atr_classic(bars(s, d)), zz.depth_legs(zz.depth_swings(bars(s, d, "H4"), 4, 5.0, 2)), "INTERVAL 180 MINUTE", True)), ["symbol", "ts"], ["sr_support", "sr_resistance", "dist_to_support_norm", "dist_to_resistance_norm"])
+ORACLE_SQL["zigzag_levels"] = f"""WITH RECURSIVE {bars_cte()}, {H4}, {depth_sql('q', 'h4', 4, 5.0, 2)}, {along_sql(180, True)}, tr AS (SELECT symbol, ts, close, {TR} AS tr FROM b), a AS (SELECT symbol, ts, {ATR14} AS a FROM tr)
+    SELECT symbol, ts, {r6('sup', 'sr_support')}, {r6('res', 'sr_resistance')}, {r6('(close - sup) / (a + 1e-8)', 'dist_to_support_norm')}, {r6('(res - close) / (a + 1e-8)', 'dist_to_resistance_norm')} FROM along JOIN a USING (symbol, ts)"""
+on_bars("zigzag_state", lambda b: zz.swing_state(_depth(b)), ["pivot_age", "pivot_price", "pivot_distance"], f"""
+    WITH RECURSIVE {bars_cte()}, {depth_sql('q', 'b')}, x AS (SELECT b.*, p.price, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts) AS rn FROM b LEFT JOIN q_p p USING (symbol, ts)),
+    y AS (SELECT *, last_value(price IGNORE NULLS) OVER {ALLW} AS lp, last_value(CASE WHEN price IS NOT NULL THEN rn END IGNORE NULLS) OVER {ALLW} AS seen FROM x)
+    SELECT symbol, ts, CAST(coalesce(rn - seen, -1) AS INTEGER) AS pivot_age, {r6('coalesce(lp, 0)', 'pivot_price')}, {r6('coalesce(abs(close - lp), 0)', 'pivot_distance')} FROM y""")
+
+
+def _regime_pro(s: SparkSession, d: str) -> DataFrame:
+    legs = zz.depth_legs(zz.depth_swings(bars(s, d, "H4"), 4, 5.0, 2))
+    marked = zz.along_legs(roll.atr_classic(bars(s, d)), legs).withColumns({"bos": F.signum(F.when(F.abs(F.col("close") - F.col("open")) > 40, F.col("close") - F.col("open"))).cast("int"), "choch": F.lit(0)})
+    return tidy(zz.regime_with_legs(marked), ["symbol", "ts"], ["regime_pro"])
+
+
+QUERIES["regime_with_legs"] = _regime_pro
+ORACLE_SQL["regime_with_legs"] = f"""WITH RECURSIVE {bars_cte()}, {H4}, {depth_sql('q', 'h4', 4, 5.0, 2)}, {along_sql()}, tr AS (SELECT symbol, ts, close, {TR} AS tr FROM b), a AS (SELECT symbol, ts, {ATR14} AS a FROM tr),
+    k AS (SELECT *, CASE WHEN a IS NOT NULL AND close - open > 40 OR dir = 1 THEN 1 WHEN a IS NOT NULL AND close - open < -40 OR dir = -1 THEN -1 END AS k FROM along JOIN a USING (symbol, ts))
+    SELECT symbol, ts, CAST(coalesce(last_value(k IGNORE NULLS) OVER {ALLW}, 0) AS INTEGER) AS regime_pro FROM k"""
+
+# -- what becomes of breaks, scores of baskets, clusters -----------------------------------------
+
+OUTCOMES = ["retest_up", "retest_down", "fail_up", "fail_down"]
+for _known, _late in ((True, 5), (False, 1)):
+    _past = lambda n: f"({S} ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
+    on_bars("break_outcomes" if _known else "break_outcomes_older", lambda b, k=_known: pat.break_outcomes(b, known=k), OUTCOMES, f"""
+    WITH {bars_cte()}, x AS (SELECT *, CASE WHEN count(high) OVER {w(20)} >= 10 THEN max(high) OVER {w(20)} END AS hi0, CASE WHEN count(low) OVER {w(20)} >= 10 THEN min(low) OVER {w(20)} END AS lo0 FROM b),
+    y AS (SELECT *, lag(hi0) OVER ({S}) AS hi, lag(lo0) OVER ({S}) AS lo, min(low) OVER {_past(5)} AS l5, max(high) OVER {_past(5)} AS h5, min(close) OVER {_past(3)} AS c3, max(close) OVER {_past(3)} AS d3 FROM x),
+    f AS (SELECT *, close > hi AND l5 <= hi AS a, close < lo AND h5 >= lo AS b, close > hi AND c3 < hi AS c, close < lo AND d3 > lo AS d FROM y)
+    SELECT symbol, ts, {', '.join(f'coalesce(lag(CAST(coalesce({x}, false) AS INTEGER), {_late}) OVER ({S}), 0) AS {n}' for x, n in zip('abcd', OUTCOMES, strict=True))} FROM f""")
+DIV_PAST = "last_value(CASE WHEN p = {k} THEN {c} END IGNORE NULLS) OVER {over}"
+for _hidden, _sign in ((False, 1), (True, -1)):
+    on_bars("divergence_values_hidden" if _hidden else "divergence_values", lambda b, h=_hidden: roll.divergence_values(b.withColumn("osc", F.col("high") - F.col("low")), osc="osc", hidden=h), ["div_bear_value", "div_bull_value"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, high - low AS o, list(close) OVER {w(5)} AS l FROM b),
+    y AS (SELECT *, CASE WHEN len(l) < 5 THEN 0 WHEN l[3] = list_max(l) AND l[4] < l[3] AND l[5] < l[3] THEN 1 WHEN l[3] = list_min(l) AND l[4] > l[3] AND l[5] > l[3] THEN -1 ELSE 0 END AS p FROM x),
+    z AS (SELECT *, {DIV_PAST.format(k=1, c='close', over=PASTW)} AS hp, {DIV_PAST.format(k=1, c='o', over=PASTW)} AS ho, {DIV_PAST.format(k=-1, c='close', over=PASTW)} AS lp, {DIV_PAST.format(k=-1, c='o', over=PASTW)} AS lo FROM y)
+    SELECT symbol, ts, {r6(f'CASE WHEN p = 1 AND sign(close - hp) = {_sign} AND sign(o - ho) = {-_sign} THEN o - ho END', 'div_bear_value')}, {r6(f'CASE WHEN p = -1 AND sign(close - lp) = {-_sign} AND sign(o - lo) = {_sign} THEN o - lo END', 'div_bull_value')} FROM z""")
+on_bars("zscore_distance", lambda b: b.withColumn("z", roll.zscore_distance(F.col("close"), roll.mean("close", 20), F.stddev_pop("close").over(roll.frame(20)))), ["z"], f"""
+    WITH {bars_cte()} SELECT symbol, ts, {r6(full(f'(close - avg(close) OVER {w(20)}) / (abs(stddev_pop(close) OVER {w(20)}) + 1e-12)', 20), 'z')} FROM b""")
+
+
+def _confluence_score(b: DataFrame) -> DataFrame:
+    b = pat.break_outcomes(pat.breakouts(pat.fair_value_gap(roll.atr_classic(b))))
+    signals = {"fvg_near": conf.nearness(conf.zone_distance("fvg_bottom", "fvg_top")), "bos": F.col("break_up"), "choch": F.col("break_down"), "confluence": F.lit(0.5), "conflict": F.col("retest_up"), "fail_up": F.col("fail_up"), "spike": F.col("break_down")}
+    return conf.score(b, signals, {"extras": 0.5}, strong=0.3, passes=0.15)
+
+
+BASKET = [*(f"conf_{b}" for b in conf.BASKETS), "conf_score", "conf_strong", "conf_pass"]
+on_bars("confluence_score", _confluence_score, BASKET, f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr, lag(high, 2) OVER ({S}) AS h2, lag(low, 2) OVER ({S}) AS l2 FROM b), g AS (SELECT *, {ATR14} AS a, CASE WHEN h2 < low THEN h2 WHEN l2 > high THEN high END AS bo, CASE WHEN h2 < low THEN low WHEN l2 > high THEN l2 END AS tp FROM t),
+    z0 AS (SELECT *, lag(bo) OVER ({S}) AS fb, lag(tp) OVER ({S}) AS ft, CASE WHEN count(high) OVER {w(20)} >= 10 THEN max(high) OVER {w(20)} END AS hi0, CASE WHEN count(low) OVER {w(20)} >= 10 THEN min(low) OVER {w(20)} END AS lo0 FROM g),
+    z AS (SELECT *, last_value(fb IGNORE NULLS) OVER {ALLW} AS lb, last_value(ft IGNORE NULLS) OVER {ALLW} AS lt, lag(hi0) OVER ({S}) AS hi, lag(lo0) OVER ({S}) AS lo, min(low) OVER ({S} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS l5, min(close) OVER ({S} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS c3 FROM z0),
+    k AS (SELECT *, CAST(coalesce(close > hi, false) AS INTEGER) AS u, CAST(coalesce(close < lo, false) AS INTEGER) AS dn, CAST(coalesce(close > hi AND l5 <= hi, false) AS INTEGER) AS rt, CAST(coalesce(close > hi AND c3 < hi, false) AS INTEGER) AS fl FROM z),
+    q AS (SELECT *, coalesce(lag(u) OVER ({S}), 0) AS up, coalesce(lag(dn) OVER ({S}), 0) AS down, coalesce(lag(rt, 5) OVER ({S}), 0) AS retest, coalesce(lag(fl, 5) OVER ({S}), 0) AS fail, coalesce(1 / (1 + CASE WHEN lb IS NOT NULL THEN greatest(lb - close, close - lt, 0) END / nullif(a, 0)), 0) AS near FROM k),
+    s AS (SELECT *, least(1.0, 0.5 * up + 0.35 * down) AS s1, 0.0 AS s2, least(1.0, 0.6 * near) AS s3, greatest(0.0, 0.4 - 0.5 * retest) AS s4, greatest(0.0, 0.25 * down - 0.15 * fail) AS s5 FROM q),
+    v AS (SELECT *, least(1.0, (0.3 * s1 + 0.3 * s2 + 0.2 * s3 + 0.2 * s4 + 0.5 * s5) / 1.5) AS v FROM s)
+    SELECT symbol, ts, {', '.join(r6(f'lag(s{k}) OVER ({S})', f'conf_{n}') for k, n in enumerate(conf.BASKETS, 1))}, {r6(f'coalesce(lag(v) OVER ({S}), 0.5)', 'conf_score')},
+        CAST(coalesce(lag(v) OVER ({S}) >= 0.3, false) AS INTEGER) AS conf_strong, CAST(coalesce(lag(v) OVER ({S}) >= 0.15, false) AS INTEGER) AS conf_pass FROM v""")
+on_bars("price_action", conf.price_action, BASKET)
+FRACTALS_SQL = f"""f5 AS (SELECT *, count(*) OVER {w(5)} = 5 AS whole, lag(high, 2) OVER ({S}) AS fh, lag(low, 2) OVER ({S}) AS fl, max(high) OVER {w(5)} AS mh, min(low) OVER {w(5)} AS ml FROM b),
+    fr AS (SELECT symbol, ts, 1 AS side, fh AS level FROM f5 WHERE whole AND fh = mh UNION ALL SELECT symbol, ts, -1, fl FROM f5 WHERE whole AND fl = ml),
+    fl AS (SELECT DISTINCT symbol, level FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY ts DESC) AS n FROM fr) WHERE n <= 10)"""
+QUERIES["fractal_levels"] = lambda s, d: tidy(lv.fractal_levels(bars(s, d), 2, 10), ["symbol"], ["level"])
+ORACLE_SQL["fractal_levels"] = f"WITH {bars_cte()}, {FRACTALS_SQL} SELECT symbol, {r6('level', 'level')} FROM fl"
+
+
+def _clusters(s: SparkSession, d: str) -> DataFrame:
+    b = bars(s, d)
+    days = bars(s, d, "D1")
+    context = days.groupBy("symbol", "tf").agg((F.max_by("close", "ts") - F.min_by("close", "ts")).alias("slope"), F.avg(F.col("high") - F.col("low")).alias("adr")).withColumn("tf", F.lit("H1"))
+    clusters = days.select("symbol", F.lit("H1").alias("tf"), "ts", F.col("close").alias("price"), F.col("volume").cast("double").alias("score"))
+    return tidy(lv.enhanced_scores(clusters, context, lv.fractal_levels(b, 2, 10)), ["symbol", "ts"], ["price", "trend_score", "sr_score", "score"])
+
+
+QUERIES["cluster_scores"] = _clusters
+ORACLE_SQL["cluster_scores"] = f"""WITH {bars_cte()}, {FRACTALS_SQL}, {bars_cte('D1', 'd1')}, c AS (SELECT symbol, arg_max(close, ts) - arg_min(close, ts) AS sl, avg(high - low) AS adr FROM d1 GROUP BY symbol),
+    h AS (SELECT d1.symbol, d1.ts, max(1 - abs(close - level) / (close * 0.05)) AS m, count(*) AS n FROM d1 JOIN fl ON fl.symbol = d1.symbol AND 1 - abs(close - level) / (close * 0.05) > 0 GROUP BY ALL),
+    x AS (SELECT d1.symbol, d1.ts, close AS price, volume, tanh(CASE WHEN adr > 0 THEN sl / adr ELSE sl END) AS t, CASE WHEN m IS NULL THEN 0 ELSE least(1.0, m + 0.1 * (n - 1)) END AS sr FROM d1 JOIN c USING (symbol) LEFT JOIN h USING (symbol, ts))
+    SELECT symbol, ts, {r6('price', 'price')}, {r6('t', 'trend_score')}, {r6('sr', 'sr_score')}, {r6('volume + 10 * t + 10 * sr', 'score')} FROM x"""
+QUERIES["nearest_cluster"] = lambda s, d: tidy(lv.nearest_cluster(bars(s, d), bars(s, d, "D1").selectExpr("symbol", "'H1' tf", "ts + INTERVAL 1 DAY known_ts", "close price", "CAST(volume AS DOUBLE) score")), ["symbol", "ts"], ["nearest_price", "nearest_score", "nearest_signed"])
+ORACLE_SQL["nearest_cluster"] = f"""WITH {bars_cte()}, {bars_cte('D1', 'd1')}, x AS (SELECT b.symbol, b.ts, b.close, d1.close AS p, d1.volume AS s, row_number() OVER (PARTITION BY b.symbol, b.ts ORDER BY abs(b.close - d1.close), d1.close, d1.volume) AS n FROM b LEFT JOIN d1 ON d1.symbol = b.symbol AND d1.ts + INTERVAL 1 DAY <= b.ts)
+    SELECT symbol, ts, {r6('p', 'nearest_price')}, {r6('s', 'nearest_score')}, {r6('close - p', 'nearest_signed')} FROM x WHERE n = 1"""
+on_bars("adaptive_tolerance", lambda b: roll.mfi(roll.atr_classic(b)).withColumns({"tol": lv.adaptive_tolerance(F.col("close"), F.col("atr"), 0.5, 0.05, 0.4), "extreme": lv.extreme_score(F.col("close"), 20.0, 80.0)}), ["tol", "extreme"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr FROM b), x AS (SELECT *, {ATR14} AS a FROM t)
+    SELECT symbol, ts, {r6('CASE WHEN a IS NOT NULL THEN greatest(0.05, least(0.4, a / nullif(close, 0) * 0.5)) END', 'tol')}, {r6('CASE WHEN close >= 80 OR close <= 20 THEN 1 ELSE 1 - abs(close - 50) / 30 END', 'extreme')} FROM x""")
+
+# -- rules of risk beyond caps ----------------------------------------------------------------------
+
+WANTED = ("symbol", "ts", "close price", "10000D equity", "coalesce(roc, 0) / 200 exposure", "0.01D risk", "close - CASE WHEN volume % 3 = 0 THEN -5 ELSE 5 END * sign(coalesce(roc, 0)) stop_price")
+WANTED_SQL = f"{bars_cte()}, x0 AS (SELECT *, (close - lag(close, 3) OVER ({S})) / nullif(lag(close, 3) OVER ({S}), 0) * 100 AS roc FROM b), x AS (SELECT symbol, ts, close AS p, coalesce(roc, 0) / 200 AS e, close - CASE WHEN volume % 3 = 0 THEN -5 ELSE 5 END * sign(coalesce(roc, 0)) AS st FROM x0)"
+
+
+def _wanted(s: SparkSession, d: str) -> DataFrame:
+    return roll.roc(bars(s, d), period=3).selectExpr(*WANTED)
+
+
+QUERIES["stop_alignment"] = lambda s, d: tidy(acc.stop_alignment(_wanted(s, d)).fillna("", ["stop_problem"]), ["symbol", "ts"], ["stop_problem"])
+ORACLE_SQL["stop_alignment"] = f"WITH {WANTED_SQL} SELECT symbol, ts, CASE WHEN abs(e) <= 1e-12 THEN 'flat' WHEN e > 0 AND st >= p THEN 'long_stop_not_below' WHEN e < 0 AND st <= p THEN 'short_stop_not_above' ELSE '' END AS stop_problem FROM x"
+CAPS_SQL = f"{WANTED_SQL}, y AS (SELECT *, 10000 * abs(e) / nullif(p, 0) AS lots, 100 / nullif(abs(p - st), 0) AS stop_lots FROM x), c AS (SELECT *, coalesce(abs(e) > 1e-12 AND lots > stop_lots, false) AS over, CASE WHEN abs(e) > 1e-12 AND lots > stop_lots THEN e * stop_lots / lots ELSE e END AS cap FROM y)"
+QUERIES["stop_caps"] = lambda s, d: tidy(acc.stop_caps(_wanted(s, d)), ["symbol", "ts"], ["exposure", "capped_exposure", "stop_capped"])
+ORACLE_SQL["stop_caps"] = f"WITH {CAPS_SQL} SELECT symbol, ts, {r6('e', 'exposure')}, {r6('cap', 'capped_exposure')}, CAST(over AS INTEGER) AS stop_capped FROM c"
+
+
+def _modifications(s: SparkSession, d: str) -> DataFrame:
+    limited = acc.risk_limits(acc.stop_caps(_wanted(s, d)).withColumns({"wanted": F.col("exposure"), "exposure": F.col("capped_exposure")}), "ts")
+    return tidy(acc.modifications(limited, "ts", {"STOP_LOSS_RISK_CAP": ("wanted", "exposure"), "MAX_SYMBOL_EXPOSURE": ("exposure", "capped"), "MAX_TOTAL_EXPOSURE": ("capped", "final")}), ["ts", "symbol", "code"], ["requested", "final"])
+
+
+QUERIES["risk_modifications"] = _modifications
+ORACLE_SQL["risk_modifications"] = f"""WITH {CAPS_SQL}, l AS (SELECT *, sign(cap) * least(abs(cap), 0.3) AS lim FROM c), t AS (SELECT *, sum(abs(lim)) OVER (PARTITION BY ts) AS t FROM l), f AS (SELECT *, CASE WHEN t > 1 THEN lim / t ELSE lim END AS f FROM t)
+    SELECT ts, symbol, 'STOP_LOSS_RISK_CAP' AS code, {r6('e', 'requested')}, {r6('cap', '"final"')} FROM f WHERE e <> cap UNION ALL SELECT ts, symbol, 'MAX_SYMBOL_EXPOSURE', {r6('cap', 'requested')}, {r6('lim', '"final"')} FROM f WHERE cap <> lim
+    UNION ALL SELECT ts, symbol, 'MAX_TOTAL_EXPOSURE', {r6('lim', 'requested')}, {r6('f', '"final"')} FROM f WHERE lim <> f"""
+QUERIES["resize"] = lambda s, d: tidy(acc.resize(bars(s, d).selectExpr("symbol", "ts", "close - 50 AS own", "high - low + 1 AS reference"), "ts", "own", "reference"), ["symbol", "ts"], ["resized"])
+ORACLE_SQL["resize"] = f"WITH {bars_cte()}, x AS (SELECT symbol, ts, greatest(0, close - 50) AS v, sum(greatest(0, close - 50)) OVER (PARTITION BY ts) AS h, sum(high - low + 1) OVER (PARTITION BY ts) AS r FROM b) SELECT symbol, ts, {r6('CASE WHEN h > 0 THEN v * r / h ELSE 0 END', 'resized')} FROM x"
+on_bars("affordable_lots", lambda b: b.withColumn("lots", acc.affordable_lots(F.col("volume").cast("double") / 3, F.col("close") - 20, F.col("open"), 0.1, 0.1, 50.0)), ["lots"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, round(round_even(greatest(0.1, least(50.0, volume / 3.0)) / 0.1, 0) * 0.1, 4) AS want, round(floor((close - 20) / open / 0.1 + 1e-9) * 0.1, 4) AS room FROM b),
+    y AS (SELECT *, CASE WHEN want * open <= close - 20 THEN want ELSE least(want, room) END AS fits FROM x) SELECT symbol, ts, {r6('CASE WHEN close <= 20 OR fits < 0.1 THEN 0 ELSE fits END', 'lots')} FROM y""")
+
+# -- wide frames and rows at a time --------------------------------------------------------------------
+
+
+def _wide(s: SparkSession, d: str) -> DataFrame:
+    return j.align(bars(s, d), "H1", {tf: bars(s, d, tf).withColumn("volume", F.col("volume").cast("double")) for tf in ("H4", "D1")}, ["close", "volume"])
+
+
+QUERIES["timeframe_view"] = lambda s, d: tidy(views.of_timeframe(_wide(s, d), "H4"), ["symbol", "ts"], ["close", "volume"])
+ORACLE_SQL["timeframe_view"] = f"""WITH {bars_cte()}, {H4}, x AS (SELECT *, ts + INTERVAL 60 MINUTE AS at FROM b), a AS (SELECT *, ts + INTERVAL 240 MINUTE AS at FROM h4)
+    SELECT x.symbol, x.ts, {r6('a.close', 'close')}, {r6('a.volume', 'volume')} FROM x ASOF JOIN a ON x.symbol = a.symbol AND x.at >= a.at"""
+on_bars("finite_values", lambda b: views.finite(b.withColumn("x", F.when(F.col("volume") % 5 == 0, F.lit(float("inf"))).when(F.col("volume") % 5 == 1, F.lit(float("nan"))).otherwise((F.col("volume") / 4).cast("double"))), ["x"]).withColumn("x", F.col("x").cast("double")), ["x"], f"""
+    WITH {bars_cte()} SELECT symbol, ts, {r6('CASE WHEN volume % 5 > 1 THEN volume / 4 END', 'x')} FROM b""")
+AT = [("click", "2024-01-10 10:30:00"), ("view", None), ("purchase", "2020-01-01 00:00:00"), ("nobody", None)]
+QUERIES["at_or_before"] = lambda s, d: tidy(views.at_or_before(bars(s, d), s.createDataFrame(AT, "symbol string, at string").withColumn("at", F.col("at").cast("timestamp_ntz")), "close"), ["symbol", "at"], ["close"])
+ORACLE_SQL["at_or_before"] = f"""WITH {bars_cte()}, a(symbol, moment) AS (VALUES {', '.join(f'({s!r}, CAST({t!r} AS TIMESTAMP))' if t else f'({s!r}, CAST(NULL AS TIMESTAMP))' for s, t in AT)}) SELECT a.symbol, moment AS "at", {r6('(SELECT arg_max(close, ts) FROM b WHERE b.symbol = a.symbol AND (moment IS NULL OR ts <= moment))', 'close')} FROM a"""
+
+# -- specifications, scan requests, instruments and news ranges --------------------------------------------
+
+#: Specifications, and what each means with its defaults or why it means nothing.
+SPECS = [
+    ("sma", "sma(column=close,period=20,min_periods=-1)"), ("EMA(high, 9)@m15", "ema(column=high,period=9,min_periods=-1)@M15"), ("rsi(n=7, method=wilders)@4h", "rsi(column=close,period=7,method=wilders)@H4"),
+    ("bb(close, 10, k=1.5)", "bollinger_bands(column=close,period=10,multiplier=1.5,min_periods=-1)"), ("macd(fast=5, slow=9)@D1", "macd(column=close,fast=5,slow=9,signal=9)@D1"),
+    ("sma(close, 0)", None), ("sma(volume)", None), ("nothing(3)", None), ("ema(3, period=4, period=5)", None), ("sma(close,", None), ("atr(14)@H7", None), ("rsi(true)", None), ("cci(1, 2, 3, 4)", None),
+]
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def meaning(text: str) -> str | None:
+        try:
+            return parse(text, REGISTRY).canonical
+        except SpecError:
+            return None
+
+    return spark.createDataFrame([(text, meaning(text)) for text, _ in SPECS], "spec string, meaning string").fillna("", ["meaning"])
+
+
+QUERIES["spec_parse"] = _parsed
+ORACLE_SQL["spec_parse"] = f"SELECT spec, meaning FROM (VALUES {', '.join(f'({a!r}, {b or ""!r})' for a, b in SPECS)}) t(spec, meaning)"
+QUERIES["spec_replace"] = lambda s, d: s.createDataFrame([(replace_params("rsi(close,14)@H1", REGISTRY, period=9),), (replace_params("macd", REGISTRY, fast=3, signal=4),)], "spec string")
+ORACLE_SQL["spec_replace"] = "SELECT unnest(['rsi(column=close,period=9,method=ema)@H1', 'macd(column=close,fast=3,slow=26,signal=4)']) AS spec"
+FEATURE_SET = ["sma(close,30)@H1", "ema(close,50)@H4", "rsi(close,14)", "tema(close,10)@D1", "adx(14)@H4", "macd@D1"]
+
+
+def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [("click", tf, n) for tf, n in plans.warmup(plans.plan(FEATURE_SET, "H1")).items()]
+    return req.required_bars(spark.createDataFrame(own, "symbol string, tf string, needed long"), spark.createDataFrame([("click", "H1", 12), ("click", "D1", 90), ("view", "H1", 5)], "symbol string, tf string, needed long"))
+
+
+QUERIES["required_bars"] = _required
+ORACLE_SQL["required_bars"] = "SELECT * FROM (VALUES ('click', 'H1', 30::BIGINT), ('click', 'H4', 50::BIGINT), ('click', 'D1', 90::BIGINT), ('view', 'H1', 5::BIGINT)) t(symbol, tf, needed)"
+QUERIES["scan_periods"] = lambda s, d: tidy(req.ScanRequest("view", "H1", ("H4",), "periods", 5, 2, "D1").apply(bars(s, d).unionByName(bars(s, d, "H4")), dt.datetime(2024, 1, 20, 13, 30)), ["symbol", "tf", "ts"], ["close"])
+ORACLE_SQL["scan_periods"] = f"""WITH {bars_cte()}, {H4}, u AS (SELECT *, 'H1' AS tf FROM b UNION ALL SELECT *, 'H4' FROM h4) SELECT symbol, tf, ts, {r6('close', 'close')} FROM u WHERE symbol = 'view' AND ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-18'"""
+QUERIES["scan_number"] = lambda s, d: tidy(req.ScanRequest("click", "H1", (), "number", 40, 5).apply(bars(s, d)), ["symbol", "ts"], ["close"])
+ORACLE_SQL["scan_number"] = f"WITH {bars_cte()}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM b) SELECT symbol, ts, {r6('close', 'close')} FROM n WHERE symbol = 'click' AND k BETWEEN 6 AND 40"
+QUERIES["picked_volume"] = lambda s, d: req.pick_volume(bars(s, d).withColumns({"tick_volume": F.when(F.col("symbol") != "view", F.col("volume")), "real_volume": F.col("volume") * 3})).select("symbol", "ts", "volume")
+ORACLE_SQL["picked_volume"] = f"WITH {bars_cte()} SELECT symbol, ts, CAST(volume * CASE WHEN symbol = 'view' THEN 3 ELSE 1 END AS BIGINT) AS volume FROM b"
+QUERIES["instrument_values"] = lambda s, d: tidy(req.instruments(s.read.parquet(f"{d}/part.parquet").selectExpr("CAST(p_partkey AS STRING) symbol", "p_size / 100D tick_size", "p_size / 50D tick_value", "0.1D pip_size", "0.01D point", "CAST(CASE WHEN p_size % 3 > 0 THEN p_size END AS INT) stop_level", "100D contract_size", "0.01D volume_step", "0.01D volume_min", "50D volume_max")), ["symbol"], ["value_per_unit", "pip_value", "stop_distance"])
+ORACLE_SQL["instrument_values"] = f"SELECT CAST(p_partkey AS VARCHAR) AS symbol, {r6('(p_size / 50) / (p_size / 100)', 'value_per_unit')}, {r6('(p_size / 50) / (p_size / 100) * 0.1', 'pip_value')}, {r6('CASE WHEN p_size % 3 > 0 THEN p_size * 0.01 ELSE 0 END', 'stop_distance')} FROM part"
+QUERIES["news_ranges"] = lambda s, d: req.news_range(s.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "ts time_utc", "upper(substr(event_type, 1, 3)) currency", "CASE event_id % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'medium' ELSE 'low' END impact"), "2024-01-05", "2024-01-09", ["vie", "CLI"], ["high", "medium"]).select("event_id", "time_utc", "currency")
+ORACLE_SQL["news_ranges"] = f"SELECT event_id, ts AS time_utc, upper(substr(event_type, 1, 3)) AS currency FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09' AND event_type IN ('view', 'click') AND event_id % 3 < 2"
+QUERIES["observation_vectors"] = lambda s, d: plans.vectors(roll.sma(roll.roc(bars(s, d), period=5), period=8), ["roc", "sma"]).selectExpr("symbol", "ts", "round(vector[0], 6) + 0 AS first", "round(vector[1], 6) + 0 AS second")
+ORACLE_SQL["observation_vectors"] = f"""WITH {bars_cte()}, x AS (SELECT *, (close - lag(close, 5) OVER ({S})) / nullif(lag(close, 5) OVER ({S}), 0) * 100 AS r, {full(f'avg(close) OVER {w(8)}', 8)} AS m FROM b) SELECT symbol, ts, {r6('r', '"first"')}, {r6('m', '"second"')} FROM x WHERE r IS NOT NULL AND m IS NOT NULL"""

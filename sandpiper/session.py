@@ -68,3 +68,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system holds it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder that were written to the end; none where there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    done = (f.getPath() for f in files.listStatus(path) if f.isDirectory())
+    return [p.getName() for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sandpiper.operators.structure import advance
 from sandpiper.plans.features import features, plan, warmup
-from sandpiper.session import ship
+from sandpiper.session import remove, ship, written
 from sandpiper.sources.candles import KEY, MINUTES, last_rows, timeframe, upsert
 
 
@@ -99,21 +99,25 @@ class LiveFeatures:
     The cache keeps each series' newest bars, ``keep`` times the longest warm-up, in a folder that driver and executors share. A
     batch's bars replace or join it, features are computed over it, and only rows newer than their series' last are handed on.
     Window indicators equal the batch ones; recursive ones differ by what is older than the cache.
+
+    A batch's cache is written under its number and made from that of the newest finished batch before it, so a restart goes on
+    where the stream stood, and a batch that is run again writes and hands on the same. Older caches are removed.
     """
 
     def __init__(self, folder: str, specs: list[str], tf: str, emit, keep: int = 10):
         self.specs, self.tf, self.emit, self.folder = specs, timeframe(tf), emit, folder.rstrip("/")
         self.rows = keep * max(warmup(plan(specs, tf)).values())
-        self.turn = 0
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, fresh = batch.sparkSession, batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        old = spark.read.parquet(f"{self.folder}/{self.turn}") if self.turn else None
-        self.turn += 1
-        now = f"{self.folder}/{self.turn}"
+        done = sorted(n for n in map(int, written(spark, self.folder)) if n < batch_id)
+        old = spark.read.parquet(f"{self.folder}/{done[-1]}") if done else None
+        now = f"{self.folder}/{batch_id}"
         (fresh if old is None else update_cache(old, fresh, self.rows)).write.mode("overwrite").parquet(now)
         out = features({self.tf: spark.read.parquet(now)}, self.specs, self.tf)[self.tf]
         if old is not None:
             seen = old.groupBy(*KEY).agg(F.max("ts").alias("__seen"))
             out = out.join(seen, list(KEY), "left").filter("__seen IS NULL OR ts > __seen").drop("__seen")
         self.emit(out)
+        for n in done[:-1]:
+            remove(spark, f"{self.folder}/{n}")

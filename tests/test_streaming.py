@@ -57,3 +57,20 @@ def test_live_features_equal_the_batch(spark, tmp_path):
     assert len(seen) == 120
     by = {key(r): r for r in want}
     assert all(tuple(r) == tuple(by[key(r)]) for r in seen)
+
+
+def test_a_restart_goes_on_and_a_replay_gives_the_same(spark, tmp_path):
+    b = bars(spark, 60)
+    rows = sorted(b.collect(), key=lambda r: r.ts)
+    parts = [spark.createDataFrame(p, b.schema) for p in (rows[:60], rows[60:90], rows[90:])]
+    out = {}
+
+    def live(k):
+        LiveFeatures(str(tmp_path / "cache"), ["sma(close,5)"], "H1", lambda df: out.setdefault(k, []).append(sorted(map(tuple, df.collect()))))(parts[k], k)
+
+    for k in (0, 1, 1, 2):  # each from a new object, the second batch twice
+        live(k)
+    assert out[1][0] == out[1][1] and len(out[1][0]) == 30
+    want = features({"H1": b}, ["sma(close,5)"], "H1")["H1"].collect()
+    assert sorted(out[0][0] + out[1][0] + out[2][0]) == sorted(map(tuple, want))
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == ["1", "2"]
