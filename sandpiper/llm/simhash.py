@@ -91,7 +91,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     shuffled = "Exchange" in docs._jdf.queryExecution().executedPlan().toString()
     rows = (cut(docs) if shuffled else docs).withColumn("__row", F.monotonically_increasing_id())
     found = cut(grouped(rows.select(F.col("__row").alias("row"), "doc_id", "text"), shingle, similarity))
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", F.col("first.row").alias("kept"))
-    gone = cut(found.join(kept, "component").filter("row <> kept").select(F.col("row").alias("__gone")))
+    kept = cut(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("__n")).filter("__n > 1").select("component", F.col("first.row").alias("kept"), "__n"))
+    gone = cut(join_by(found, "component", kept, found.count()).filter("row <> kept").select(F.col("row").alias("__gone")))
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return rows.join(few, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
