@@ -28,7 +28,7 @@ PART_ROWS, BLOCK_BYTES, PROBING = 1_000_000, 16 << 20, 64
 #: Languages whose bands are broadcast at most; with more, they are joined.
 LANGS_LIMIT = 10_000
 #: They bound the memory of a task: text taken at a time, n-grams merged at a time, held, and sent at a time.
-PARCEL_BYTES, MERGE_ROWS, GRAMS_HELD, EMIT_ROWS = 1 << 20, 400_000, 1_000_000, 50_000
+PARCEL_BYTES, MERGE_ROWS, GRAMS_HELD, EMIT_ROWS = 1 << 20, 300_000, 800_000, 50_000
 
 
 # -- surface counts ---------------------------------------------------------
@@ -139,7 +139,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             for at in range(0, len(counts), EMIT_ROWS):
                 text = np.ascontiguousarray(codes[at : at + EMIT_ROWS]).tobytes().decode("utf-32-le")
                 rows = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
-                c = [pa.array(np.ascontiguousarray(counts[at : at + EMIT_ROWS, f])) for f in (0, 1)]
+                c = [pa.array(counts[at : at + EMIT_ROWS, f].astype(np.int64)) for f in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in owner[at : at + EMIT_ROWS]]), pa.array(rows), *c], names=["lang", "gram", "c0", "c1"])
 
         for batch in parcels(batches, most_bytes=PARCEL_BYTES):
@@ -153,7 +153,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
             ranked = g.keys[order]
             runs = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
             where = order[runs]
-            outside = np.stack([folds(raw) == 1, folds(raw) == 0], axis=1).astype(np.int64)
+            fold = folds(raw)
+            outside = np.stack([fold == 1, fold == 0], axis=1).astype(np.int32)
             times = np.add.reduceat(np.repeat(outside, g.size, axis=0)[order], runs)
             of = np.repeat(np.array([index[x] for x in langs], np.int32), g.size)[where]
             held.append((ranked[runs], times, g.codes[g.at[where][:, None] + np.arange(ORDER)], of))
@@ -288,11 +289,12 @@ def scored_in_parts(rows: DataFrame, packed: DataFrame, entries: int) -> DataFra
     return blocks.groupBy("__block").cogroup(known.groupBy("block")).applyInArrow(score, SCORED)
 
 
-def scored(docs: DataFrame, model_limit: int = MODEL_LIMIT) -> DataFrame:
+def scored(docs: DataFrame, model_limit: int = MODEL_LIMIT, held: list | None = None) -> DataFrame:
     """doc_id, lang (null: ''), the surface counts, and bits: -log2 p of a document's characters for each of its words.
 
     The models have every n-gram of all documents of the language. Their bits are held in arrays sorted by 64-bit hashes of the
-    n-grams: broadcast if there are at most model_limit of them, else in parts (see scored_in_parts).
+    n-grams: broadcast if there are at most model_limit of them, else in parts (see scored_in_parts). What is broadcast is added
+    to ``held``, so that the caller can let go of it.
     """
     spark = ship(docs.sparkSession)
     packed = cut(packed_model(kneser_ney(cut(count_grams(docs)))))
@@ -301,6 +303,8 @@ def scored(docs: DataFrame, model_limit: int = MODEL_LIMIT) -> DataFrame:
     if entries > model_limit:
         return scored_in_parts(rows, packed, entries)
     table = spark.sparkContext.broadcast(sorted_arrays(packed.toArrow()))
+    if held is not None:
+        held.append(table)
 
     def direct(batches):
         hashes: dict[str, int] = {}
@@ -322,7 +326,10 @@ def judged(docs: DataFrame, least_words: int = 20, most_repeat: int = 30, spread
     some 100 bytes for each of its characters.
     """
     base = failed({n: F.col(n) for n in STATS}, least_words, most_repeat)
-    rows = cut(scored(docs, model_limit).withColumn("bits", F.round("bits", 4)).withColumn("base_failed", base))
+    held: list = []
+    rows = cut(scored(docs, model_limit, held).withColumn("bits", F.round("bits", 4)).withColumn("base_failed", base))
+    for table in held:
+        table.destroy()
     q = rows.filter("not base_failed").groupBy("lang", "bits").count().groupBy("lang").agg(F.percentile("bits", [0.25, 0.75], F.col("count")).alias("q"))
     margin = F.greatest(F.lit(least_spread), spread * (F.col("q")[1] - F.col("q")[0]))
     bands = cut(q.select(F.col("lang").alias("b_lang"), (F.col("q")[0] - margin).alias("lower"), (F.col("q")[1] + margin).alias("upper")))
