@@ -24,10 +24,11 @@ def engulfing(df: DataFrame) -> DataFrame:
     return df.withColumns({"engulf_bull": flag((pc < po) & (F.col("close") > F.col("open")) & (F.col("close") >= po) & (F.col("open") <= pc)), "engulf_bear": flag((pc > po) & (F.col("close") < F.col("open")) & (F.col("open") >= pc) & (F.col("close") <= po))})
 
 
-def doji(df: DataFrame, share: float = 0.2) -> DataFrame:
-    """Body small against the bar's range."""
+def doji(df: DataFrame, share: float = 0.2, atr: str | None = None, atr_share: float = 0.1) -> DataFrame:
+    """Body small against the bar's range, and against ATR where a column of it is named."""
     body, _, _, span = parts()
-    return df.withColumn("doji", flag(ratio(body, span) <= share))
+    small = ratio(body, span) <= share
+    return df.withColumn("doji", flag(small if atr is None else small & (ratio(body, F.col(atr)) <= atr_share)))
 
 
 def pinbar(df: DataFrame, times: float = 2.0) -> DataFrame:
@@ -47,9 +48,12 @@ def harami(df: DataFrame) -> DataFrame:
     return df.withColumns({"harami_bull": flag((pc < po) & (F.col("close") > F.col("open")) & inside), "harami_bear": flag((pc > po) & (F.col("close") < F.col("open")) & inside)})
 
 
-def inside_outside(df: DataFrame) -> DataFrame:
-    ph, pl = prev("high"), prev("low")
-    return df.withColumns({"inside_bar": flag((F.col("high") < ph) & (F.col("low") > pl)), "outside_bar": flag((F.col("high") > ph) & (F.col("low") < pl))})
+def inside_outside(df: DataFrame, atr: str | None = None, least: float = 0.0, strict: bool = True) -> DataFrame:
+    """A bar within the last one's range, or around it; equal ends count unless ``strict``. With an ATR column the range has to be ``least`` of it."""
+    ph, pl, h, lo = prev("high"), prev("low"), F.col("high"), F.col("low")
+    inside, outside = ((h < ph) & (lo > pl), (h > ph) & (lo < pl)) if strict else ((h <= ph) & (lo >= pl), (h >= ph) & (lo <= pl))
+    wide = F.lit(True) if atr is None else h - lo >= least * F.nullif(F.col(atr), F.lit(0.0))
+    return df.withColumns({"inside_bar": flag(inside & wide), "outside_bar": flag(outside & wide)})
 
 
 def marubozu(df: DataFrame, share: float = 0.1) -> DataFrame:
@@ -58,8 +62,12 @@ def marubozu(df: DataFrame, share: float = 0.1) -> DataFrame:
     return df.withColumns({"marubozu_bull": flag(small & (F.col("close") > F.col("open"))), "marubozu_bear": flag(small & (F.col("close") < F.col("open")))})
 
 
-def tweezer(df: DataFrame, share: float = 0.001) -> DataFrame:
+def tweezer(df: DataFrame, share: float = 0.001, atr: str | None = None) -> DataFrame:
+    """Two highs, or lows, no further apart than a share of price; with an ATR column, than ``share`` times what it is of the bar's middle."""
     ph, pl = prev("high"), prev("low")
+    if atr is not None:
+        reach = share * ratio(F.nullif(F.col(atr), F.lit(0.0)), (F.col("high") + F.col("low")) / 2)
+        return df.withColumns({"tweezer_top": flag(F.abs(F.col("high") - ph) <= reach * F.abs(ph)), "tweezer_bottom": flag(F.abs(F.col("low") - pl) <= reach * F.abs(pl))})
     return df.withColumns({"tweezer_top": flag(ratio(F.abs(F.col("high") - ph), ph) <= share), "tweezer_bottom": flag(ratio(F.abs(F.col("low") - pl), pl) <= share)})
 
 
@@ -70,6 +78,14 @@ def three_in_a_row(df: DataFrame) -> DataFrame:
     return df.withColumns({"three_soldiers": flag(up), "three_crows": flag(down)})
 
 
+def strong_three(df: DataFrame, atr: str, least: float = 0.2) -> DataFrame:
+    """strong_soldiers, strong_crows: three bars of one direction whose bodies are each ``least`` of ATR."""
+    body = F.col("close") - F.col("open")
+    out = df.withColumn("__s", F.when(ratio(F.abs(body), F.col(atr)) >= least, F.signum(body)))
+    three = lambda way: flag((F.col("__s") == way) & (prev("__s") == way) & (prev("__s", 2) == way))
+    return out.withColumns({"strong_soldiers": three(1), "strong_crows": three(-1)}).drop("__s")
+
+
 def stars(df: DataFrame, small: float = 0.3) -> DataFrame:
     """A long bar, a small one, and a close beyond the middle of the first."""
     o2, c2, b2 = prev("open", 2), prev("close", 2), F.abs(prev("close", 2) - prev("open", 2))
@@ -101,10 +117,18 @@ def all_patterns(df: DataFrame) -> DataFrame:
 # -- zones and breaks ---------------------------------------------------------
 
 
-def fair_value_gap(df: DataFrame, lookback: int = 2) -> DataFrame:
-    """fvg (1 bullish, -1 bearish), its bottom and top, given one bar after the gap shows."""
+def fair_value_gap(df: DataFrame, lookback: int = 2, atr: str | None = None, least: float = 0.5, middle: bool = True) -> DataFrame:
+    """fvg (1 bullish, -1 bearish), its bottom and top, given one bar after the gap shows.
+
+    With an ATR column the gap has to be ``least`` of it, and, with ``middle``, so has the body of the bar before.
+    """
     ph, pl = prev("high", lookback), prev("low", lookback)
-    out = df.withColumn("__k", F.when(ph < F.col("low"), 1).when(pl > F.col("high"), -1).otherwise(0))
+    up, down = ph < F.col("low"), pl > F.col("high")
+    if atr is not None:
+        reach = least * F.col(atr)
+        body = F.abs(prev("close") - prev("open")) >= reach if middle else F.lit(True)
+        up, down = up & (F.col("low") - ph >= reach) & body, down & (pl - F.col("high") >= reach) & body
+    out = df.withColumn("__k", F.when(up, 1).when(down, -1).otherwise(0))
     bottom = F.when(F.col("__k") == 1, ph).when(F.col("__k") == -1, F.col("high"))
     top = F.when(F.col("__k") == 1, F.col("low")).when(F.col("__k") == -1, pl)
     out = out.withColumns({"__b": bottom, "__t": top})
@@ -149,6 +173,24 @@ def order_block(df: DataFrame, lookback: int = 5) -> DataFrame:
     return out.withColumns({"ob": F.when(prev("__t").isNotNull(), prev("__k")).otherwise(0), "ob_bottom": prev("__b"), "ob_top": prev("__t")}).drop("__k", "__b", "__t")
 
 
+def strong_order_block(df: DataFrame, atr: str, least_body: float = 0.6, most_wick: float = 0.6, lookback: int = 5) -> DataFrame:
+    """ob (1, -1) on the bar after a close beyond the extreme of ``lookback`` bars, with the body of the last strong bar against it.
+
+    Strong is a body of least_body of ATR or more whose wicks are together at most most_wick of it.
+    """
+    body, _, _, span = parts()
+    past, upto = series().rowsBetween(-lookback, -1), series().rowsBetween(Window.unboundedPreceding, 0)
+    strong = (ratio(body, F.col(atr)) >= least_body) & (ratio(span - body, body) <= most_wick)
+    way = F.signum(F.col("close") - F.col("open"))
+    out = df.withColumns({"__u": flag(F.col("close") > F.max("high").over(past)), "__d": flag(F.col("close") < F.min("low").over(past)), "__s": F.when(strong, way)})
+    last = lambda kind, c: F.last(F.when(F.col("__s") == kind, F.col(c)), True).over(upto)
+    out = out.withColumns({"__bt": last(-1, "open"), "__bb": last(-1, "close"), "__rt": last(1, "close"), "__rb": last(1, "open")})
+    bull, bear = (prev("__u") == 1) & F.col("__bt").isNotNull(), (prev("__d") == 1) & F.col("__rt").isNotNull()
+    return out.withColumns({
+        "ob": F.when(bull, 1).when(bear, -1).otherwise(0), "ob_bottom": F.when(bull, F.col("__bb")).when(bear, F.col("__rb")), "ob_top": F.when(bull, F.col("__bt")).when(bear, F.col("__rt")),
+    }).drop("__u", "__d", "__s", "__bt", "__bb", "__rt", "__rb")
+
+
 def run_length(df: DataFrame, test: str, out: str) -> DataFrame:
     """How many rows in a row, this one included, have ``test`` (0/1)."""
     step = df.withColumn("__g", F.sum(1 - F.col(test)).over(series().rowsBetween(Window.unboundedPreceding, 0)))

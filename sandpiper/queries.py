@@ -1058,3 +1058,50 @@ QUERIES["news_ranges"] = lambda s, d: req.news_range(s.read.parquet(f"{d}/events
 ORACLE_SQL["news_ranges"] = f"SELECT event_id, ts AS time_utc, upper(substr(event_type, 1, 3)) AS currency FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09' AND event_type IN ('view', 'click') AND event_id % 3 < 2"
 QUERIES["observation_vectors"] = lambda s, d: plans.vectors(roll.sma(roll.roc(bars(s, d), period=5), period=8), ["roc", "sma"]).selectExpr("symbol", "ts", "round(vector[0], 6) + 0 AS first", "round(vector[1], 6) + 0 AS second")
 ORACLE_SQL["observation_vectors"] = f"""WITH {bars_cte()}, x AS (SELECT *, (close - lag(close, 5) OVER ({S})) / nullif(lag(close, 5) OVER ({S}), 0) * 100 AS r, {full(f'avg(close) OVER {w(8)}', 8)} AS m FROM b) SELECT symbol, ts, {r6('r', '"first"')}, {r6('m', '"second"')} FROM x WHERE r IS NOT NULL AND m IS NOT NULL"""
+
+# -- older definitions and thresholds in ATR -----------------------------------------------------------------
+
+ZERO_WMA = lambda c, n: f"CASE WHEN count(*) OVER {w(n)} = {n} THEN list_sum([z[1] * z[2] FOR z IN list_zip(list(coalesce({c}, 0)) OVER {w(n)}, range(1, {n + 1}))]) / {n * (n + 1) / 2} END"
+on_bars("classic_weighted", lambda b: classic.hma(classic.wma(b, period=10), period=16), ["classic_wma", "classic_hma"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, {ZERO_WMA('close', 10)} AS w10, 2 * {ZERO_WMA('close', 8)} - {ZERO_WMA('close', 16)} AS d FROM b) SELECT symbol, ts, {r6('w10', 'classic_wma')}, {r6(ZERO_WMA('d', 4), 'classic_hma')} FROM x""")
+on_bars("classic_means", lambda b: classic.keltner(classic.tema(classic.dema(b, period=6), period=6), 8), ["classic_dema", "classic_tema", "classic_kc_middle", "classic_kc_upper", "classic_kc_lower"], f"""
+    WITH RECURSIVE {NB}, {recurrence('e1', 'b', *seed_terms('close', 6, 2 / 7))}, {recurrence('e2', '(SELECT symbol, rn, out AS x, rn AS ts FROM e1)', *seed_terms('x', 6, 2 / 7, 5))}, {recurrence('e3', '(SELECT symbol, rn, out AS x, rn AS ts FROM e2)', *seed_terms('x', 6, 2 / 7, 10))}, {recurrence('m', 'b', *seed_terms('close', 8, 2 / 9))},
+    a AS (SELECT symbol, rn, {full(f'avg(tr) OVER {w(8)}', 8)} AS a FROM b)
+    SELECT symbol, ts, {r6('2 * e1.out - e2.out', 'classic_dema')}, {r6('3 * e1.out - 3 * e2.out + e3.out', 'classic_tema')}, {r6('m.out', 'classic_kc_middle')}, {r6('m.out + 2 * a', 'classic_kc_upper')}, {r6('m.out - 2 * a', 'classic_kc_lower')}
+    FROM b JOIN e1 USING (symbol, rn) JOIN e2 USING (symbol, rn) JOIN e3 USING (symbol, rn) JOIN m USING (symbol, rn) JOIN a USING (symbol, rn)""")
+on_bars("classic_kama", lambda b: classic.kama(b), ["classic_kama"], f"""
+    WITH RECURSIVE {NB}, c AS (SELECT *, abs(d) AS ad FROM b), e AS (SELECT *, abs(close - lag(close, 10) OVER ({S})) / nullif(CASE WHEN count(ad) OVER {w(10)} = 10 THEN sum(ad) OVER {w(10)} END, 0) AS er FROM c), s AS (SELECT *, pow(er * ({2 / 3} - {2 / 31}) + {2 / 31}, 2) AS sc FROM e),
+    {recurrence('k', 's', 'CASE WHEN rn <= 10 THEN 0 ELSE 1 - coalesce(sc, 0) END', 'CASE WHEN rn <= 10 THEN close ELSE coalesce(sc * close, 0) END')} SELECT symbol, ts, {r6('k.out', 'classic_kama')} FROM b JOIN k USING (symbol, rn)""")
+on_bars("adxr", lambda b: classic.adxr(b.withColumn("adx", F.when(F.row_number().over(src.series()) > 5, F.col("close"))), period=4), ["adxr"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, CASE WHEN row_number() OVER ({S}) > 5 THEN close END AS a FROM b) SELECT symbol, ts, {r6(f'0.5 * (a + lag(a, 4) OVER ({S}))', 'adxr')} FROM x""")
+on_bars("classic_psar", classic.parabolic_sar, ["classic_psar"], f"""
+    WITH RECURSIVE {NB}, x AS (SELECT symbol, rn, high, low, lag(high) OVER ({S}) AS h1, lag(high, 2) OVER ({S}) AS h2, lag(low) OVER ({S}) AS l1, lag(low, 2) OVER ({S}) AS l2 FROM b),
+    p AS (SELECT symbol, rn, CASE WHEN high > h1 THEN l1 ELSE h1 END AS sar, CASE WHEN high > h1 THEN high ELSE low END AS ep, 0.02::DOUBLE AS af, high > h1 AS up FROM x WHERE rn = 2 UNION ALL
+        SELECT symbol, rn, CASE WHEN turn THEN ep ELSE s1 END, CASE WHEN turn THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(ep, high) ELSE least(ep, low) END,
+            CASE WHEN turn THEN 0.02 WHEN up AND high > ep OR NOT up AND low < ep THEN least(af + 0.02, 0.2) ELSE af END, up <> turn
+        FROM (SELECT *, CASE WHEN up THEN low < s1 ELSE high > s1 END AS turn FROM (SELECT x.*, p.ep, p.af, p.up, CASE WHEN p.up THEN least(p.sar + p.af * (p.ep - p.sar), x.l1, x.l2) ELSE greatest(p.sar + p.af * (p.ep - p.sar), x.h1, x.h2) END AS s1 FROM p JOIN x ON x.symbol = p.symbol AND x.rn = p.rn + 1)))
+    SELECT symbol, ts, {r6('CASE WHEN rn > 2 THEN sar END', 'classic_psar')} FROM b LEFT JOIN p USING (symbol, rn)""")
+on_bars("classic_supertrend", classic.supertrend, ["classic_st", "classic_st_dir"], f"""
+    WITH RECURSIVE {NB}, x AS (SELECT symbol, ts, rn, close, (high + low) / 2 + 3 * a AS top, (high + low) / 2 - 3 * a AS bot FROM (SELECT *, {full(f'avg(tr) OVER {w(10)}', 10)} AS a FROM b)),
+    s AS (SELECT symbol, rn, top AS line FROM x WHERE rn = 1 UNION ALL SELECT x.symbol, x.rn, CASE WHEN s.line IS NULL THEN x.top WHEN x.close > s.line THEN greatest(s.line, x.bot) ELSE least(s.line, x.top) END FROM s JOIN x ON x.symbol = s.symbol AND x.rn = s.rn + 1)
+    SELECT symbol, ts, {r6('line', 'classic_st')}, {r6('CASE WHEN line IS NOT NULL THEN CASE WHEN close > line THEN 1 ELSE -1 END END', 'classic_st_dir')} FROM x JOIN s USING (symbol, rn)""")
+
+
+def _atr_patterns(b: DataFrame) -> DataFrame:
+    b = roll.atr_classic(b)
+    return pat.strong_three(pat.tweezer(pat.inside_outside(pat.doji(b, 0.5, "atr", 0.3), "atr", 0.3, strict=False), 0.2, "atr"), "atr", 0.1)
+
+
+on_bars("candle_patterns_atr", _atr_patterns, ["doji", "inside_bar", "outside_bar", "tweezer_top", "tweezer_bottom", "strong_soldiers", "strong_crows"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr, lag(high) OVER ({S}) AS h1, lag(low) OVER ({S}) AS l1 FROM b), x AS (SELECT *, {ATR14} AS a, abs(close - open) AS body, high - low AS span FROM t),
+    y AS (SELECT *, body / nullif(span, 0) <= 0.5 AND body / nullif(a, 0) <= 0.3 AS d, span >= 0.3 * nullif(a, 0) AS wide, 0.2 * nullif(a, 0) / nullif((high + low) / 2, 0) AS reach, CASE WHEN body / nullif(a, 0) >= 0.1 THEN sign(close - open) END AS s FROM x),
+    z AS (SELECT *, lag(s) OVER ({S}) AS s1, lag(s, 2) OVER ({S}) AS s2 FROM y)
+    SELECT symbol, ts, {', '.join(f'CAST(coalesce({v}, false) AS INTEGER) AS {k}' for k, v in {'doji': 'd', 'inside_bar': 'high <= h1 AND low >= l1 AND wide', 'outside_bar': 'high >= h1 AND low <= l1 AND wide', 'tweezer_top': 'abs(high - h1) <= reach * abs(h1)', 'tweezer_bottom': 'abs(low - l1) <= reach * abs(l1)', 'strong_soldiers': 's = 1 AND s1 = 1 AND s2 = 1', 'strong_crows': 's = -1 AND s1 = -1 AND s2 = -1'}.items())} FROM z""")
+on_bars("strong_zones", lambda b: pat.strong_order_block(pat.fair_value_gap(roll.atr_classic(b), 2, "atr", 0.1), "atr", 0.3, 1.5), ["fvg", "fvg_bottom", "fvg_top", "ob", "ob_bottom", "ob_top"], f"""
+    WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr, lag(high, 2) OVER ({S}) AS h2, lag(low, 2) OVER ({S}) AS l2, abs(lag(close) OVER ({S}) - lag(open) OVER ({S})) AS mb FROM b), x AS (SELECT *, {ATR14} AS a FROM t),
+    k AS (SELECT *, CASE WHEN low > h2 AND low - h2 >= 0.1 * a AND mb >= 0.1 * a THEN 1 WHEN high < l2 AND l2 - high >= 0.1 * a AND mb >= 0.1 * a THEN -1 ELSE 0 END AS f, coalesce(close > max(high) OVER {P5}, false) AS up, coalesce(close < min(low) OVER {P5}, false) AS dn,
+        CASE WHEN abs(close - open) / nullif(a, 0) >= 0.3 AND (high - low - abs(close - open)) / nullif(abs(close - open), 0) <= 1.5 THEN sign(close - open) END AS s FROM x),
+    z AS (SELECT *, {', '.join(f"last_value(CASE WHEN s = {v} THEN {c} END IGNORE NULLS) OVER {ALLW} AS {n}" for v, c, n in ((-1, 'open', 'bt'), (-1, 'close', 'bb'), (1, 'close', 'rt'), (1, 'open', 'rb')))}, lag(up) OVER ({S}) AS up1, lag(dn) OVER ({S}) AS dn1 FROM k),
+    o AS (SELECT *, CASE WHEN up1 AND bt IS NOT NULL THEN 1 WHEN dn1 AND rt IS NOT NULL THEN -1 ELSE 0 END AS o FROM z)
+    SELECT symbol, ts, CAST(coalesce(lag(f) OVER ({S}), 0) AS INTEGER) AS fvg, {r6(f'lag(CASE f WHEN 1 THEN h2 WHEN -1 THEN high END) OVER ({S})', 'fvg_bottom')}, {r6(f'lag(CASE f WHEN 1 THEN low WHEN -1 THEN l2 END) OVER ({S})', 'fvg_top')},
+        CAST(o AS INTEGER) AS ob, {r6('CASE o WHEN 1 THEN bb WHEN -1 THEN rb END', 'ob_bottom')}, {r6('CASE o WHEN 1 THEN bt WHEN -1 THEN rt END', 'ob_top')} FROM o""")
