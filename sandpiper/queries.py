@@ -1015,7 +1015,7 @@ ORACLE_SQL["at_or_before"] = f"""WITH {bars_cte()}, a(symbol, moment) AS (VALUES
 # -- specifications, scan requests, instruments and news ranges --------------------------------------------
 
 #: Specifications, and what each means with its defaults or why it means nothing.
-SPECS = [
+SPEC_CASES = [
     ("sma", "sma(column=close,period=20,min_periods=-1)"), ("EMA(high, 9)@m15", "ema(column=high,period=9,min_periods=-1)@M15"), ("rsi(n=7, method=wilders)@4h", "rsi(column=close,period=7,method=wilders)@H4"),
     ("bb(close, 10, k=1.5)", "bollinger_bands(column=close,period=10,multiplier=1.5,min_periods=-1)"), ("macd(fast=5, slow=9)@D1", "macd(column=close,fast=5,slow=9,signal=9)@D1"),
     ("sma(close, 0)", None), ("sma(volume)", None), ("nothing(3)", None), ("ema(3, period=4, period=5)", None), ("sma(close,", None), ("atr(14)@H7", None), ("rsi(true)", None), ("cci(1, 2, 3, 4)", None),
@@ -1029,11 +1029,11 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
         except SpecError:
             return None
 
-    return spark.createDataFrame([(text, meaning(text)) for text, _ in SPECS], "spec string, meaning string").fillna("", ["meaning"])
+    return spark.createDataFrame([(text, meaning(text)) for text, _ in SPEC_CASES], "spec string, meaning string").fillna("", ["meaning"])
 
 
 QUERIES["spec_parse"] = _parsed
-ORACLE_SQL["spec_parse"] = f"SELECT spec, meaning FROM (VALUES {', '.join(f'({a!r}, {b or ""!r})' for a, b in SPECS)}) t(spec, meaning)"
+ORACLE_SQL["spec_parse"] = f"SELECT spec, meaning FROM (VALUES {', '.join(f'({a!r}, {b or ""!r})' for a, b in SPEC_CASES)}) t(spec, meaning)"
 QUERIES["spec_replace"] = lambda s, d: s.createDataFrame([(replace_params("rsi(close,14)@H1", REGISTRY, period=9),), (replace_params("macd", REGISTRY, fast=3, signal=4),)], "spec string")
 ORACLE_SQL["spec_replace"] = "SELECT unnest(['rsi(column=close,period=9,method=ema)@H1', 'macd(column=close,fast=3,slow=26,signal=4)']) AS spec"
 FEATURE_SET = ["sma(close,30)@H1", "ema(close,50)@H4", "rsi(close,14)", "tema(close,10)@D1", "adx(14)@H4", "macd@D1"]
