@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandpiper.llm.bpe import encode_decode
+from sandpiper.llm.factorisation import quality
 from sandpiper.llm.lines import drop_lines
+from sandpiper.llm.negatives import hard_negatives
 from sandpiper.llm.packing import pack
 from sandpiper.llm.quality import judged
 from sandpiper.llm.shards import shard_documents
@@ -16,6 +18,7 @@ from sandpiper.llm.substrings import removal_digest
 from sandpiper.llm.topk import quantised, topk
 from sandpiper.llm.toxicity import toxicity
 from sandpiper.llm.urls import filter_urls
+from sandpiper.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +70,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_exact_topk, op4_simhash_neardup, op5_bpe, op6_packing, op7_line_dedup, op8_sharding, op9_toxicity, op10_substring_dedup)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), 4).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_exact_topk, op4_simhash_neardup, op5_bpe, op6_packing, op7_line_dedup, op8_sharding, op9_toxicity, op10_substring_dedup, op11_embedding_whitening, op12_quality_classifier, op13_hard_negatives)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": """
@@ -139,4 +156,17 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.left_text, '')) AS kept_sha256
         FROM w LEFT JOIN kept k USING (doc_id)""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), pairs AS (
+            SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.e, v.e)]) AS BIGINT) AS score
+            FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY "rank" <= 5""",
 }
