@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, insort
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,69 +105,116 @@ def volatility_threshold(df: DataFrame, period: int = 14, low: float = 1.2, norm
     return out.withColumn("vol_threshold", F.col("__atr") * factor).drop("__atr", "__tr", "__mean")
 
 
-def gap_register(df: DataFrame) -> DataFrame:
-    """gap_new (1, -1, 0) on the third bar of a gap, gaps_filled and gaps_open on every bar.
+class Gaps:
+    """Open gaps, which fill once the low reaches their bottom (bullish) or the high their top (bearish), or expire ``keep`` after their bar (never, if None).
 
-    A gap fills once the low reaches its bottom (bullish) or the high its top (bearish), however late; open ones wait in heaps.
+    open: birth -> (kind, edge); a bar brings one gap at most. added and gone since the last clear(), for a store.
     """
+
+    def __init__(self, keep=None, stored: dict | None = None) -> None:
+        self.keep, self.open = keep, dict(sorted((stored or {}).items()))
+        self.heaps: dict[int, list] = {1: [], -1: []}
+        for born, (kind, edge) in self.open.items():
+            self.heaps[kind].append((-kind * edge, born))
+        for heap in self.heaps.values():
+            heapq.heapify(heap)
+        self.clear()
+
+    def clear(self) -> None:
+        self.added: dict = {}
+        self.gone: set = set()
+
+    def _drop(self, born) -> None:
+        del self.open[born]
+        if self.added.pop(born, None) is None:
+            self.gone.add(born)
+
+    def expire(self, now) -> None:
+        while self.keep is not None and self.open and (oldest := next(iter(self.open))) + self.keep < now:
+            self._drop(oldest)
+
+    def bar(self, ts, high: float, low: float, kind: int, edge: float) -> tuple[int, int]:
+        """(filled by this bar, open after it)."""
+        self.expire(ts)
+        if kind:
+            self.open[ts] = self.added[ts] = (kind, edge)
+            heapq.heappush(self.heaps[kind], (-kind * edge, ts))
+        filled = 0
+        for side, heap in self.heaps.items():
+            while heap and (low <= -heap[0][0] if side == 1 else high >= heap[0][0]):
+                born = heapq.heappop(heap)[1]
+                if born in self.open:  # else it has expired
+                    self._drop(born)
+                    filled += 1
+        return filled, len(self.open)
+
+
+def gap_register(df: DataFrame, keep: timedelta | None = None) -> DataFrame:
+    """gap_new (1, -1, 0) on the third bar of a gap, gaps_filled and gaps_open on every bar (see Gaps)."""
     h2, l2 = prev("high", 2), prev("low", 2)
     kind = F.when(F.col("low") > h2, 1).when(F.col("high") < l2, -1).otherwise(0)
     rows = df.withColumns({"__k": kind, "__edge": F.when(F.col("low") > h2, h2).when(F.col("high") < l2, l2)})
 
     def step(rows):
-        bulls: list[float] = []
-        bears: list[float] = []
-        for high, low, kind, edge in rows:
-            if kind == 1:
-                heapq.heappush(bulls, -edge)
-            elif kind == -1:
-                heapq.heappush(bears, edge)
-            filled = 0
-            while bulls and low <= -bulls[0]:
-                heapq.heappop(bulls)
-                filled += 1
-            while bears and high >= bears[0]:
-                heapq.heappop(bears)
-                filled += 1
-            yield kind, filled, len(bulls) + len(bears)
-
-    return ordered_fold(rows, ["high", "low", "__k", "__edge"], ["gap_new", "gaps_filled", "gaps_open"], step).drop("__k", "__edge")
+        gaps = Gaps(keep)
+        for ts, high, low, kind, edge in rows:
+            yield kind, *gaps.bar(ts, high, low, kind, edge)
 
+    return ordered_fold(rows, ["ts", "high", "low", "__k", "__edge"], ["gap_new", "gaps_filled", "gaps_open"], step).drop("__k", "__edge")
 
-def liquidity_pools(df: DataFrame, tolerance: float = 0.001) -> DataFrame:
-    """Pools of equal swing highs and lows (from swings()): touches of the pool a swing joins or founds, and how many each bar sweeps.
+
+class Pools:
+    """Pools of equal swing highs (side 1) and lows (side -1): (side, number) -> [price, touches, swept].
 
     A swing joins the oldest pool of its side within ``tolerance`` of the pool's price. A pool is swept once, by the first bar
-    beyond its price. Prices are expected to be positive. Pools are further apart than the tolerance, so few are compared.
+    beyond its price. Prices are expected to be positive. Pools are further apart than the tolerance, so few are compared, and
+    their number is bounded by the range of prices. changed: pools that differ from what was stored.
     """
 
+    def __init__(self, tolerance: float, stored: dict | None = None) -> None:
+        self.tolerance, self.pools = tolerance, {k: list(v) for k, v in (stored or {}).items()}
+        self.prices = {side: sorted((p[0], n) for (s, n), p in self.pools.items() if s == side) for side in (1, -1)}
+        self.waiting = {side: [(side * p[0], n) for (s, n), p in self.pools.items() if s == side and not p[2]] for side in (1, -1)}
+        for heap in self.waiting.values():
+            heapq.heapify(heap)
+        self.changed: set = set()
+
+    def join(self, side: int, price: float) -> int:
+        """Touches of the pool that a swing joins or founds."""
+        own = self.prices[side]
+        lo = bisect_left(own, (price / (1 + self.tolerance) * (1 - 1e-12), -1))
+        hi = bisect_left(own, (price / (1 - self.tolerance) * (1 + 1e-12), 1 << 62))
+        near = [number for p, number in own[lo:hi] if abs(price - p) / p <= self.tolerance]
+        number = min(near, default=len(own))
+        if not near:
+            insort(own, (price, number))
+            heapq.heappush(self.waiting[side], (side * price, number))
+            self.pools[side, number] = [price, 0, False]
+        self.pools[side, number][1] += 1
+        self.changed.add((side, number))
+        return self.pools[side, number][1]
+
+    def bar(self, high: float, low: float, top: float | None, bottom: float | None) -> tuple:
+        joined = [None if p is None else self.join(side, p) for side, p in ((1, top), (-1, bottom))]
+        swept = []
+        for side, reach in ((1, high), (-1, low)):
+            n, heap = 0, self.waiting[side]
+            while heap and heap[0][0] < side * reach:
+                number = heapq.heappop(heap)[1]
+                self.pools[side, number][2] = True
+                self.changed.add((side, number))
+                n += 1
+            swept.append(n)
+        return (*joined, *swept)
+
+
+def liquidity_pools(df: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """Touches of the pool that a swing (from swings()) joins or founds, and how many pools each bar sweeps (see Pools)."""
+
     def step(rows):
-        prices = {1: [], -1: []}  # (price, number) in order of price
-        touches: dict[tuple[int, int], int] = {}
-        waiting = {1: [], -1: []}  # heaps of side * price
-
-        def join(side: int, price: float) -> int:
-            own = prices[side]
-            lo = bisect_left(own, (price / (1 + tolerance) * (1 - 1e-12), -1))
-            hi = bisect_left(own, (price / (1 - tolerance) * (1 + 1e-12), 1 << 62))
-            near = [number for p, number in own[lo:hi] if abs(price - p) / p <= tolerance]
-            number = min(near, default=len(own))
-            if not near:
-                insort(own, (price, number))
-                heapq.heappush(waiting[side], side * price)
-            touches[side, number] = touches.get((side, number), 0) + 1
-            return touches[side, number]
-
-        for high, low, top, bottom in rows:
-            joined = [None if p is None else join(side, p) for side, p in ((1, top), (-1, bottom))]
-            swept = []
-            for side, reach in ((1, high), (-1, low)):
-                n = 0
-                while waiting[side] and waiting[side][0] < side * reach:
-                    heapq.heappop(waiting[side])
-                    n += 1
-                swept.append(n)
-            yield (*joined, *swept)
+        pools = Pools(tolerance)
+        for row in rows:
+            yield pools.bar(*row)
 
     return ordered_fold(df, ["high", "low", "swing_high", "swing_low"], ["pool_high_touches", "pool_low_touches", "swept_highs", "swept_lows"], step)
 

@@ -38,9 +38,9 @@ ALL = (
     Feature("tema", r.tema, (COLUMN, period(20), MINP), ("tema",), lambda p: 3 * p["period"] - 2),
     Feature("kama", r.kama, (COLUMN, period(10, 2), Param("fast_span", int, 2, least=1), Param("slow_span", int, 30, least=1)), ("kama",)),
     Feature("hma", w.hma, (COLUMN, period(20, 2)), ("hma",), lambda p: p["period"] + int(p["period"] ** 0.5) - 1),
-    Feature("donchian", w.donchian, (period(20),), ("dc_upper", "dc_lower", "dc_mid", "dc_width", "dc_pos"), requires=("high", "low", "close")),
-    Feature("zscore", w.zscore, (COLUMN, period(20, 2)), ("zscore",)),
-    Feature("linreg_slope", w.linreg_slope, (COLUMN, period(14, 2)), ("slope",)),
+    Feature("donchian", lambda df, period: w.donchian(df, period), (period(20),), ("dc_upper", "dc_lower", "dc_mid", "dc_width", "dc_pos"), requires=("high", "low", "close")),
+    Feature("zscore", lambda df, column, period: w.zscore(df, column, period), (COLUMN, period(20, 2)), ("zscore",)),
+    Feature("linreg_slope", lambda df, column, period: w.linreg_slope(df, column, period), (COLUMN, period(14, 2)), ("slope",)),
     Feature("adx", r.adx, (period(14),), ("plus_di", "minus_di", "adx"), lambda p: 2 * p["period"], ("high", "low", "close")),
 )
 REGISTRY = {f.name: f for f in ALL}
