@@ -109,20 +109,33 @@ def top_zones(zones: DataFrame, by: str, k: int, least_members: int = 1) -> Data
     return zones.filter(F.col("members") >= least_members).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def resolve_commission(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+#: Default profiles (those for any symbol) that are broadcast at most; more are joined by shuffle.
+DEFAULTS_LIMIT = 100_000
+
+
+def resolve_commission(requests: DataFrame, profiles: DataFrame, strict: bool = False) -> DataFrame:
     """For every (broker, account_type, symbol) the most specific profile: its symbol, then the account's default, then the global one.
 
     profiles: (broker, account_type, symbol, kind, rate, round_turn), ``*`` standing for any. A round-turn rate is halved. A
-    request that nothing fits has a null rate.
+    request that nothing fits has a null rate, or is an error if strict. Each request looks its four keys of broker and type up, with its symbol and
+    among the defaults; all of it is by equality.
     """
-    # profiles with a symbol meet requests on it; the few without one are added to every symbol asked for
-    asked = requests.select(F.col("symbol").alias("for_symbol")).distinct()
-    named = profiles.join(asked, (profiles.symbol == asked.for_symbol) | (profiles.symbol == "*"))
-    rank = (named.symbol != "*").cast("int") * 4 + (named.broker != "*").cast("int") * 2 + (named.account_type != "*").cast("int")
-    named = named.select("for_symbol", F.col("broker").alias("p_broker"), F.col("account_type").alias("p_type"), "kind", F.when(F.col("round_turn"), F.col("rate") / 2).otherwise(F.col("rate")).alias("rate"), rank.alias("score"))
-    both = requests.join(named, (requests.symbol == named.for_symbol) & ((named.p_broker == requests.broker) | (named.p_broker == "*")) & ((named.p_type == requests.account_type) | (named.p_type == "*")), "left")
-    best = both.groupBy("broker", "account_type", "symbol").agg(F.max_by(F.struct("kind", "rate"), F.col("score")).alias("p"))
-    return best.select("broker", "account_type", "symbol", "p.kind", "p.rate")
+    ways = [(b, t) for b in (True, False) for t in (True, False)]
+    key = F.array(*(F.struct((F.col("broker") if b else F.lit("*")).alias("p_broker"), (F.col("account_type") if t else F.lit("*")).alias("p_type"), F.lit(2 * b + t).alias("score")) for b, t in ways))
+    asked = requests.select("broker", "account_type", "symbol").distinct()
+    keys = asked.withColumn("k", F.explode(key)).select("broker", "account_type", "symbol", "k.*")
+    rate = F.when(F.col("round_turn"), F.col("rate") / 2).otherwise(F.col("rate"))
+    known = profiles.select(F.col("broker").alias("p_broker"), F.col("account_type").alias("p_type"), F.col("symbol").alias("p_symbol"), F.struct("kind", rate.alias("rate")).alias("p"))
+    defaults = known.filter("p_symbol = '*'").drop("p_symbol")
+    few = defaults.limit(DEFAULTS_LIMIT + 1).count() <= DEFAULTS_LIMIT
+    named = keys.join(known.withColumnRenamed("p_symbol", "symbol"), ["p_broker", "p_type", "symbol"]).withColumn("score", F.col("score") + 4)
+    plain = keys.join(F.broadcast(defaults) if few else defaults, ["p_broker", "p_type"])
+    best = named.unionByName(plain).groupBy("broker", "account_type", "symbol").agg(F.max_by("p", "score").alias("p"))
+    out = asked.join(best, ["broker", "account_type", "symbol"], "left").select("broker", "account_type", "symbol", "p.kind", "p.rate")
+    if not strict:
+        return out
+    missing = F.raise_error(F.concat(F.lit("no commission profile for "), F.concat_ws(" ", "broker", "account_type", "symbol"))).cast("double")
+    return out.withColumn("rate", F.coalesce("rate", missing))
 
 
 def slippage(df: DataFrame, mean_pips: float, std_pips: float, cap_pips: float, pip: float, seed: int = 7, key: str = "execution_id") -> DataFrame:

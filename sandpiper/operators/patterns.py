@@ -229,15 +229,27 @@ def break_outcomes(df: DataFrame, window: int = 20, least: int = 10, closes: int
 
 
 def microchannels(df: DataFrame, least: int = 3, near: float = 0.2) -> DataFrame:
-    """Runs of bars that close near their extreme or keep raising their low (lowering their high): mc is 1, -1 or 0, with its length."""
+    """Runs of bars that close near their extreme or keep raising their low (lowering their high): mc is 1, -1 or 0, with its length.
+
+    mc_quality: the mean of two shares of the run's bars, of those that close near the extreme and of those that move on.
+    """
     span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    up = (F.coalesce((F.col("high") - F.col("close")) / span <= near, F.lit(False))) | F.coalesce(F.col("low") > prev("low"), F.lit(False))
-    down = (F.coalesce((F.col("close") - F.col("low")) / span <= near, F.lit(False))) | F.coalesce(F.col("high") < prev("high"), F.lit(False))
-    out = df.withColumns({"__u": up.cast("int"), "__d": down.cast("int")})
-    out = run_length(run_length(out, "__u", "__ru"), "__d", "__rd")
+    flags = {
+        "u": ((F.col("high") - F.col("close")) / span <= near, F.col("low") > prev("low")),
+        "d": ((F.col("close") - F.col("low")) / span <= near, F.col("high") < prev("high")),
+    }
+    out = df.withColumns({f"__n{k}": flag(a) + flag(b) for k, (a, b) in flags.items()})
+    for k in flags:
+        out = run_length(out.withColumn(f"__{k}", (F.col(f"__n{k}") > 0).cast("int")), f"__{k}", f"__r{k}")
+        # the bar before a run has neither sign, so sums over the run may start on it
+        out = out.withColumn(f"__i{k}", F.sum(1 - F.col(f"__{k}")).over(series().rowsBetween(Window.unboundedPreceding, 0)))
+        run = Window.partitionBy(*KEY, f"__i{k}").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(f"__s{k}", F.sum(f"__n{k}").over(run))
     kind = F.when((F.col("__ru") >= least) & (F.col("__ru") >= F.col("__rd")), 1).when(F.col("__rd") >= least, -1).otherwise(0)
     out = out.withColumn("mc", kind)
-    return out.withColumn("mc_length", F.when(F.col("mc") == 1, F.col("__ru")).when(F.col("mc") == -1, F.col("__rd")).otherwise(0)).drop("__u", "__d", "__ru", "__rd")
+    of = lambda up, down, zero: F.when(F.col("mc") == 1, up).when(F.col("mc") == -1, down).otherwise(zero)
+    out = out.withColumns({"mc_length": of(F.col("__ru"), F.col("__rd"), 0), "mc_quality": of(F.col("__su") / F.col("__ru") / 2, F.col("__sd") / F.col("__rd") / 2, 0.0)})
+    return out.drop(*(f"__{c}{k}" for c in ("", "n", "r", "i", "s") for k in flags))
 
 
 def market_structure(df: DataFrame, swing: str = "zz", price: str = "zz_price", eps: float = 1e-6) -> DataFrame:

@@ -50,7 +50,9 @@ def depth_swings(df: DataFrame, depth: int = 12, deviation: float = 5.0, backste
     best = Window.partitionBy(*KEY, "__run").orderBy(F.desc_nulls_last(F.when(F.col("__kind") == 1, F.col("high")).when(F.col("__kind") == -1, -F.col("low"))), "ts")
     out = out.withColumn("__pivot", F.row_number().over(best))
     swing = event & (F.col("__pivot") == 1)
-    later = F.min(F.when(F.col("__new") == 1, F.col("ts"))).over(series().rowsBetween(1, Window.unboundedFollowing))
+    # from the end backwards, so that the frame grows and every bar is added once
+    back = Window.partitionBy(*KEY).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.min(F.when(F.col("__new") == 1, F.col("ts"))).over(back)
     return out.withColumns({
         "zz_state": F.when(swing, F.col("__kind")).otherwise(0),
         "zz_price": F.when(swing, F.when(F.col("__kind") == 1, F.col("high")).otherwise(F.col("low"))),

@@ -16,6 +16,7 @@ from sandpiper.functions.time_features import FEATURES, add_time_features
 from sandpiper.operators import accounts as acc
 from sandpiper.operators import classic
 from sandpiper.operators import confluence as conf
+from sandpiper.operators import decisions as dec
 from sandpiper.operators import joins as j
 from sandpiper.operators import levels as lv
 from sandpiper.operators import patterns as pat
@@ -26,6 +27,7 @@ from sandpiper.operators import zigzags as zz
 from sandpiper.operators import zones as zn
 from sandpiper.plans import features as plans
 from sandpiper.plans.registry import REGISTRY
+from sandpiper.session import ship
 from sandpiper.sources import candles as src
 from sandpiper.sources import requests as req
 from sandpiper.sources import views
@@ -349,10 +351,13 @@ def _news(spark: SparkSession) -> DataFrame:
     return j.normalise_news(spark.createDataFrame(NEWS, "date string, time string, currency string, impact string, event string, seq int"))
 
 
-QUERIES["news_events"] = lambda s, d: _news(s)
+RAW_NEWS = {"clock": "CASE event_id % 5 WHEN 0 THEN 'All Day' WHEN 1 THEN ' ' ELSE {hhmm} END", "impact": "CASE event_id % 6 WHEN 0 THEN ' High' WHEN 1 THEN 'ORANGE' WHEN 2 THEN '3' WHEN 3 THEN 'med' ELSE '??' END"}
+QUERIES["news_events"] = lambda s, d: j.normalise_news(s.read.parquet(f"{d}/events.parquet").selectExpr("CASE WHEN event_id % 11 = 0 THEN 'never' ELSE date_format(ts, 'yyyy-MM-dd') END date", RAW_NEWS["clock"].format(hhmm="date_format(ts, 'HH:mm')") + " time", "concat(' ', substr(event_type, 1, 3)) currency", RAW_NEWS["impact"] + " impact", "event_type event", "event_id seq"))
 NEWS_SQL = """(VALUES (TIMESTAMP '2024-01-03 09:30:00', 'USD', 'high', 'Jobs', 30, 15), (TIMESTAMP '2024-01-03 10:00:00', 'EUR', 'medium', 'Rates', 15, 15), (TIMESTAMP '2024-01-10 00:00:00', 'USD', 'medium', 'Holiday talks', 15, 15),
     (TIMESTAMP '2024-01-11 00:00:00', 'GBP', 'low', 'Speech', 0, 0), (TIMESTAMP '2024-01-12 13:05:00', 'USD', 'high', 'Prices', 30, 15)) v(time_utc, currency, impact, title, before_min, after_min)"""
-ORACLE_SQL["news_events"] = f"SELECT * FROM {NEWS_SQL}"
+ORACLE_SQL["news_events"] = f"""WITH x AS (SELECT CASE WHEN event_id % 5 < 2 THEN date_trunc('day', ts) ELSE date_trunc('minute', ts) END AS t, upper(substr(event_type, 1, 3)) AS c, lower(trim({RAW_NEWS['impact']})) AS w, event_type AS title, event_id FROM events WHERE event_id % 11 <> 0 AND ts IS NOT NULL),
+    y AS (SELECT *, CASE WHEN w IN ('high', '3') THEN 'high' WHEN w IN ('orange', 'med') THEN 'medium' ELSE 'low' END AS impact, row_number() OVER (PARTITION BY t, c, title ORDER BY event_id) AS n FROM x)
+    SELECT CAST(t AS TIMESTAMP) AS time_utc, c AS currency, impact, title, CASE impact WHEN 'high' THEN 30 WHEN 'medium' THEN 15 ELSE 0 END AS before_min, CASE impact WHEN 'low' THEN 0 ELSE 15 END AS after_min FROM y WHERE n = 1"""
 
 
 def _news_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,18 +501,23 @@ QUERIES["fibonacci_levels"] = lambda s, d: tidy(lv.fibonacci(lv.legs(rec.zigzag(
 QUERIES["fibonacci_golden_zone"] = lambda s, d: tidy(lv.golden_zone(lv.legs(rec.zigzag(bars(s, d), 0.2))), ["symbol"], ["zone_low", "zone_high", "zone_mid", "zone_width_pct"])
 QUERIES["fibonacci_targets"] = lambda s, d: tidy(lv.targets(lv.legs(rec.zigzag(bars(s, d), 0.2))), ["symbol"], ["ratio", "target", "reward_risk"])
 QUERIES["fibonacci_clusters"] = lambda s, d: tidy(lv.clusters(lv.fibonacci(lv.legs(rec.zigzag(bars(s, d), 0.2)).filter("nth <= 5 AND end_price > 0")), ["symbol"], tol_pct=2.0), ["symbol", "cluster"], ["anchor", "members", "centre"])
-PROFILES = [("*", "*", "*", "per_lot", 7.0, True), ("acme", "*", "*", "per_lot", 6.0, False), ("acme", "raw", "*", "percent_notional", 0.1, False), ("acme", "raw", "click", "fixed", 2.0, True), ("*", "*", "view", "fixed", 1.0, False)]
-ASKED = [(b, t, s) for b in ("acme", "other") for t in ("raw", "std") for s in ("click", "view", "error")]
+#: Of suppliers: a profile for each, any of whose parts may stand for all.
+PROFILE = {"broker": "CASE s_suppkey % 3 WHEN 0 THEN '*' ELSE CONCAT('b', s_nationkey % 4) END", "account_type": "CASE s_suppkey % 2 WHEN 0 THEN '*' ELSE CONCAT('t', s_nationkey % 3) END", "symbol": "CASE s_suppkey % 5 WHEN 0 THEN '*' ELSE CONCAT('s', s_nationkey) END"}
+REQUEST = {"broker": "CONCAT('b', c_custkey % 6)", "account_type": "CONCAT('t', c_custkey % 4)", "symbol": "CONCAT('s', c_nationkey)"}
 
 
 def _commission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return acc.resolve_commission(spark.createDataFrame(ASKED, "broker string, account_type string, symbol string"), spark.createDataFrame(PROFILES, "broker string, account_type string, symbol string, kind string, rate double, round_turn boolean"))
+    found = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(*(f"{e} AS {c}" for c, e in PROFILE.items()), "s_suppkey % 2 = 1 AS round_turn", "CAST(s_acctbal AS DOUBLE) AS rate")
+    profiles = found.groupBy("broker", "account_type", "symbol").agg(F.min("rate").alias("rate"), F.min("round_turn").alias("round_turn"), F.lit("per_lot").alias("kind"))
+    requests = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(*(f"{e} AS {c}" for c, e in REQUEST.items()))
+    return tidy(acc.resolve_commission(requests, profiles), ["broker", "account_type", "symbol"], ["kind", "rate"])
 
 
 QUERIES["commission_profiles"] = _commission
-ORACLE_SQL["commission_profiles"] = f"""WITH p(pb, pt, ps, kind, rate, rt) AS (VALUES {', '.join(str(p) for p in PROFILES)}), a(broker, account_type, symbol) AS (VALUES {', '.join(map(str, ASKED))}),
-    j AS (SELECT *, row_number() OVER (PARTITION BY broker, account_type, symbol ORDER BY (ps <> '*')::INT * 4 + (pb <> '*')::INT * 2 + (pt <> '*')::INT DESC) AS n FROM a JOIN p ON (ps = symbol OR ps = '*') AND (pb = broker OR pb = '*') AND (pt = account_type OR pt = '*'))
-    SELECT broker, account_type, symbol, kind, CAST(CASE WHEN rt THEN rate / 2 ELSE rate END AS DOUBLE) AS rate FROM j WHERE n = 1"""
+ORACLE_SQL["commission_profiles"] = f"""WITH p AS (SELECT {PROFILE['broker']} AS pb, {PROFILE['account_type']} AS pt, {PROFILE['symbol']} AS ps, min(CAST(s_acctbal AS DOUBLE)) AS rate, bool_and(s_suppkey % 2 = 1) AS rt FROM supplier GROUP BY 1, 2, 3),
+    a AS (SELECT DISTINCT {REQUEST['broker']} AS broker, {REQUEST['account_type']} AS account_type, {REQUEST['symbol']} AS symbol FROM customer),
+    j AS (SELECT *, row_number() OVER (PARTITION BY broker, account_type, symbol ORDER BY (ps <> '*')::INT * 4 + (pb <> '*')::INT * 2 + (pt <> '*')::INT DESC) AS n FROM a LEFT JOIN p ON (ps = symbol OR ps = '*') AND (pb = broker OR pb = '*') AND (pt = account_type OR pt = '*'))
+    SELECT broker, account_type, symbol, CASE WHEN pb IS NOT NULL THEN 'per_lot' END AS kind, {r6('CASE WHEN rt THEN rate / 2 ELSE rate END', 'rate')} FROM j WHERE n = 1"""
 QUERIES["slippage_model"] = lambda s, d: tidy(acc.slippage(_fills(s, d).drop("slippage"), 0.3, 0.4, 1.0, 0.01), ["execution_id", "fill_no"], ["slippage_pips", "slippage"])
 
 UNIFORM = lambda salt: f"((CAST('0x' || substr(md5('7:{salt}:' || CAST(execution_id AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 1) / {float((1 << 52) + 1)!r})"
@@ -625,6 +635,62 @@ ORACLE_SQL["risk_decisions"] = f"""WITH {H4}, x AS (SELECT symbol, ts, (close -
     o AS (SELECT *, CASE WHEN v IS NOT NULL THEN 0 WHEN need > free * 0.02 THEN f * (free * 0.02) / need ELSE f END AS g FROM n)
     SELECT symbol, ts, {r6('e', 'exposure')}, coalesce(v, '') AS violation, {r6('g', 'final')}, CASE WHEN v IS NOT NULL THEN 'REJECTED' WHEN g = e THEN 'APPROVED' ELSE 'MODIFIED' END AS verdict FROM o"""
 
+# -- ordered decisions --------------------------------------------------------------------------
+
+LIMITS = dec.Limits(total_exposure=0.8, symbol_exposure=0.3, symbol_concentration=0.25, margin_utilisation=0.1, portfolio_risk=0.45, correlation=0.8, correlated_exposure=0.35, open_positions=8, positions_per_symbol=3)
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each H4 bar time is a decision over the symbols that have a bar then."""
+    asked = roll.roc(bars(spark, sf_dir, "H4"), period=3).filter("roc IS NOT NULL").selectExpr(
+        "ts", "symbol", "roc / 100 target", "roc / 100 * 0.9 capital", "volume * 100D margin", "CASE WHEN volume % 3 = 0 THEN 0D ELSE (volume % 4) * 0.1D END current", "(volume % 5) * 300D current_margin",
+        "CAST(volume % 5 AS INT) positions", "CASE WHEN volume % 2 = 0 THEN 0.3D END margin_rate", "CASE WHEN volume % 7 = 0 THEN 0.02D END stop_lots", "close * 100 lot_value",
+    )
+    accounts = asked.select("ts").distinct().selectExpr(
+        "ts", "10000D - 40 * day(ts) * hour(ts) equity", "30D * hour(ts) * day(ts) used_margin", "10000D - 70 * day(ts) * hour(ts) free_margin", "10000D margin_level", "100D leverage", "day(ts) / 150D drawdown", "hour(ts) / 500D daily_drawdown", "day(ts) * 0.016D portfolio_risk", "day(ts) = 13 AND hour(ts) = 8 blocked",
+    )
+    pairs = asked.alias("a").join(asked.alias("b"), "ts").filter("a.symbol < b.symbol").selectExpr("ts", "a.symbol symbol_a", "b.symbol symbol_b", "CASE WHEN length(a.symbol) = length(b.symbol) THEN 0.9 ELSE 0.1 END rho")
+    return dec.evaluate(accounts, asked, "ts", LIMITS, pairs)
+
+
+def _ordered_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _ordered(spark, sf_dir).selectExpr("ts", "verdict", "array_join(transform(notes, n -> concat_ws(':', n.code, n.symbol)), ',') AS notes", "exposure", "margin", "positions")
+    return tidy(out, ["ts"], ["verdict", "notes", "exposure", "margin", "positions"])
+
+
+QUERIES["ordered_decisions"] = _ordered_verdicts
+QUERIES["ordered_targets"] = lambda s, d: tidy(dec.targets(_ordered(s, d), "ts"), ["ts", "symbol"], ["target", "capital", "margin"])
+QUERIES["ordered_changes"] = lambda s, d: tidy(dec.audit(_ordered(s, d), "ts"), ["ts", "code", "symbol", "field"], ["requested", "final"])
+_OF = "OVER (PARTITION BY ts)"
+_MARGIN = lambda t: f"CASE WHEN abs({t}) <= 1e-12 THEN 0 WHEN rate IS NOT NULL THEN abs({t}) * eq * rate WHEN abs(cur) > 1e-12 THEN cm * abs({t}) / abs(cur) ELSE 0 END"
+_CAP = lambda v, most: f"CASE WHEN abs({v}) > {most} THEN sign({v}) * {most} ELSE {v} END"
+ORDERED_SQL = f"""WITH RECURSIVE {H4}, r AS (SELECT *, lag(close, 3) OVER ({S}) AS l3 FROM h4),
+    x AS (SELECT ts, symbol, (close - l3) / nullif(l3, 0) * 100 / 100 AS t0, (close - l3) / nullif(l3, 0) * 100 / 100 * 0.9 AS c0, volume * 100.0::DOUBLE AS mg, CASE WHEN volume % 3 = 0 THEN 0 ELSE (volume % 4) * 0.1::DOUBLE END AS cur, (volume % 5) * 300.0::DOUBLE AS cm,
+        volume % 5 AS pos, CASE WHEN volume % 2 = 0 THEN 0.3::DOUBLE END AS rate, CASE WHEN volume % 7 = 0 THEN 0.02::DOUBLE END AS stop, close * 100 AS lot, 10000.0::DOUBLE - 40 * day(ts) * hour(ts) AS eq, 10000.0::DOUBLE - 70 * day(ts) * hour(ts) AS free FROM r WHERE l3 IS NOT NULL AND l3 <> 0),
+    g AS (SELECT *, CASE WHEN eq <= 0 THEN 'NO_USABLE_CAPITAL' WHEN free < 0 THEN 'INSUFFICIENT_FREE_MARGIN' WHEN day(ts) = 13 AND hour(ts) = 8 THEN 'RISK_BLOCKED' WHEN day(ts) / 150.0::DOUBLE >= 0.2 THEN 'MAX_DRAWDOWN' WHEN hour(ts) / 500.0::DOUBLE >= 0.05 THEN 'MAX_DAILY_DRAWDOWN' WHEN day(ts) * 0.016::DOUBLE > 0.45 THEN 'MAX_PORTFOLIO_RISK' END AS guard,
+        {_CAP('t0', 0.3)} AS t1 FROM x),
+    w AS (SELECT *, sum(abs(t1)) {_OF} AS whole FROM g), s AS (SELECT *, CASE WHEN whole > 0.8 THEN t1 * 0.8 / whole ELSE t1 END AS t2 FROM w),
+    pr AS (SELECT ts, p.symbol AS sa, q.symbol AS sb, row_number() OVER (PARTITION BY ts ORDER BY p.symbol, q.symbol) AS n FROM x p JOIN x q USING (ts) WHERE p.symbol < q.symbol AND length(p.symbol) = length(q.symbol)),
+    f AS (SELECT ts, CAST(0 AS BIGINT) AS n, 0 AS hits, list(symbol ORDER BY symbol) AS s, list(t2 ORDER BY symbol) AS v FROM s GROUP BY ts
+        UNION ALL SELECT k.ts, k.n, k.hits + CAST(k.t > 0.35 AS INTEGER), k.s, list_transform(k.v, lambda y, i: CASE WHEN (k.s[i] = k.sa OR k.s[i] = k.sb) AND k.t > 0.35 THEN y * 0.35 / k.t ELSE y END)
+        FROM (SELECT f.ts, pr.n, f.hits, f.s, f.v, sa, sb, abs(f.v[list_position(f.s, sa)]) + abs(f.v[list_position(f.s, sb)]) AS t FROM f JOIN pr ON pr.ts = f.ts AND pr.n = f.n + 1) k),
+    l AS (SELECT ts, arg_max(s, n) AS s, arg_max(v, n) AS v, max(hits) AS hits FROM f GROUP BY ts), c AS (SELECT ts, hits, unnest(s) AS symbol, unnest(v) AS t3 FROM l),
+    m AS (SELECT s.*, c.t3, c.hits, {_CAP('s.c0', 0.25)} AS c1 FROM s JOIN c USING (ts, symbol)), n AS (SELECT *, sum({_MARGIN('t3')}) {_OF} AS need FROM m),
+    k AS (SELECT *, need > 0 AND eq > 0 AND need / eq > 0.1 AS tight, least(1.0, greatest(0.0, 0.1 * eq / nullif(need, 0))) AS factor FROM n),
+    o AS (SELECT *, CASE WHEN tight THEN t3 * factor ELSE t3 END AS t4, CASE WHEN tight THEN c1 * factor ELSE c1 END AS c2, CASE WHEN tight THEN mg * factor ELSE mg END AS mg2 FROM k),
+    u AS (SELECT *, abs(t4) * eq / nullif(lot, 0) AS lots FROM o), e AS (SELECT *, abs(t4) > 1e-12 AND lots > stop AS over, CASE WHEN abs(t4) > 1e-12 AND lots > stop THEN t4 * (stop / lots) ELSE t4 END AS t5 FROM u),
+    z AS (SELECT *, {_MARGIN('t5')} AS own, CASE WHEN abs(t5) <= 1e-12 THEN 0 WHEN abs(cur) <= 1e-12 THEN 1 ELSE pos END AS npos FROM e),
+    d AS (SELECT ts, any_value(guard) AS guard, sum(abs(t5)) AS exposure, sum(own) AS margin, CAST(sum(npos) AS INTEGER) AS positions, any_value(eq) AS eq, min(symbol) FILTER (npos > 3) AS crowded,
+        list_concat(coalesce(list('MAX_SYMBOL_EXPOSURE:' || symbol ORDER BY symbol) FILTER (abs(t0) > 0.3), []), CASE WHEN any_value(whole) > 0.8 THEN ['MAX_TOTAL_EXPOSURE'] ELSE [] END, [CAST('MAX_CORRELATED_EXPOSURE' AS VARCHAR) FOR i IN range(any_value(hits))],
+            coalesce(list('MAX_SYMBOL_CONCENTRATION:' || symbol ORDER BY symbol) FILTER (abs(c0) > 0.25), []), CASE WHEN bool_or(tight) THEN ['MAX_MARGIN_UTILISATION'] ELSE [] END, coalesce(list('STOP_LOSS_RISK_CAP:' || symbol ORDER BY symbol) FILTER (over), [])) AS warned FROM z GROUP BY ts),
+    v AS (SELECT *, CASE WHEN positions > 8 THEN 'MAX_OPEN_POSITIONS' WHEN crowded IS NOT NULL THEN 'MAX_POSITIONS_PER_SYMBOL:' || crowded WHEN eq - margin <= 0 THEN 'NO_FREE_MARGIN' END AS refused FROM d)"""
+ORACLE_SQL["ordered_decisions"] = f"""{ORDERED_SQL}
+    SELECT ts, CASE WHEN guard IS NOT NULL OR refused IS NOT NULL THEN 'REJECTED' WHEN len(warned) > 0 THEN 'MODIFIED' ELSE 'APPROVED' END AS verdict,
+        CASE WHEN guard IS NOT NULL THEN guard ELSE array_to_string(CASE WHEN refused IS NOT NULL THEN list_append(warned, refused) ELSE warned END, ',') END AS notes, {r6('exposure', 'exposure')}, {r6('margin', 'margin')}, positions FROM v"""
+ORACLE_SQL["ordered_targets"] = f"{ORDERED_SQL} SELECT z.ts, symbol, {r6('t5', 'target')}, {r6('c2', 'capital')}, {r6('mg2', 'margin')} FROM z JOIN v USING (ts) WHERE v.guard IS NULL AND v.refused IS NULL"
+_CHANGES = [("MAX_SYMBOL_EXPOSURE", "target", "t0", "t1"), ("MAX_TOTAL_EXPOSURE", "target", "t1", "t2"), ("MAX_CORRELATED_EXPOSURE", "target", "t2", "t3"), ("MAX_SYMBOL_CONCENTRATION", "capital", "c0", "c1"), *(("MAX_MARGIN_UTILISATION", n, a, b) for n, a, b in (("target", "t3", "t4"), ("capital", "c1", "c2"), ("margin", "mg", "mg2"))), ("STOP_LOSS_RISK_CAP", "target", "t4", "t5")]
+ORACLE_SQL["ordered_changes"] = f"{ORDERED_SQL}, ch AS ({' UNION ALL '.join(f"""SELECT ts, '{code}' AS code, symbol, '{field}' AS field, {a} AS a, {b} AS b FROM z WHERE guard IS NULL AND {a} IS DISTINCT FROM {b}""" for code, field, a, b in _CHANGES)}) SELECT ts, code, symbol, field, {r6('a', 'requested')}, {r6('b', 'final')} FROM ch"
+
 # -- structure and zones -----------------------------------------------------------------
 
 LAST = lambda v, over: f"last_value({v} IGNORE NULLS) OVER {over}"
@@ -937,6 +1003,17 @@ on_bars("confluence_score", _confluence_score, BASKET, f"""
     SELECT symbol, ts, {', '.join(r6(f'lag(s{k}) OVER ({S})', f'conf_{n}') for k, n in enumerate(conf.BASKETS, 1))}, {r6(f'coalesce(lag(v) OVER ({S}), 0.5)', 'conf_score')},
         CAST(coalesce(lag(v) OVER ({S}) >= 0.3, false) AS INTEGER) AS conf_strong, CAST(coalesce(lag(v) OVER ({S}) >= 0.15, false) AS INTEGER) AS conf_pass FROM v""")
 on_bars("price_action", conf.price_action, BASKET)
+on_bars("confluence_two_clips", lambda b: conf.score(b.withColumn("up", (F.col("close") > F.col("open")).cast("int")), {"confluence": F.lit(0.5), "conflict": F.col("up"), "bias_high": (F.col("high") - F.col("low")) / F.col("high"), "mc_quality": F.col("up") / 2, "break_up": F.col("up")}, {"extras": 1.0}), BASKET, f"""
+    WITH {bars_cte()}, x AS (SELECT *, CAST(close > open AS INTEGER) AS up FROM b), y AS (SELECT *, least(1.0, greatest(0.0, 0.4 - 0.5 * up) + 0.2 * (high - low) / nullif(high, 0)) AS m, 0.2 * up + 0.1 * up AS e FROM x),
+    v AS (SELECT *, (0.2 * m + e) / 2 AS v FROM y)
+    SELECT symbol, ts, {', '.join(r6(f'lag({c}) OVER ({S})', f'conf_{n}') for c, n in (('0 * up', 'structure'), ('0 * up', 'zones'), ('0 * up', 'imbalance'), ('m', 'mtf'), ('e', 'extras')))}, {r6(f'coalesce(lag(v) OVER ({S}), 0.5)', 'conf_score')},
+        CAST(coalesce(lag(v) OVER ({S}) >= 0.7, false) AS INTEGER) AS conf_strong, CAST(coalesce(lag(v) OVER ({S}) >= 0.35, false) AS INTEGER) AS conf_pass FROM v""")
+on_bars("microchannel_quality", pat.microchannels, ["mc", "mc_length", "mc_quality"], f"""
+    WITH {bars_cte()}, x AS (SELECT *, coalesce(CAST((high - close) / nullif(high - low, 0) <= 0.2 AS INTEGER), 0) AS nu, coalesce(CAST(low > lag(low) OVER ({S}) AS INTEGER), 0) AS hu, coalesce(CAST((close - low) / nullif(high - low, 0) <= 0.2 AS INTEGER), 0) AS nd, coalesce(CAST(high < lag(high) OVER ({S}) AS INTEGER), 0) AS hd FROM b),
+    g AS (SELECT *, sum(CAST(nu + hu = 0 AS INTEGER)) OVER {ALLW} AS iu, sum(CAST(nd + hd = 0 AS INTEGER)) OVER {ALLW} AS id FROM x),
+    r AS (SELECT *, sum(CAST(nu + hu > 0 AS INTEGER)) OVER u AS lu, sum(CAST(nd + hd > 0 AS INTEGER)) OVER d AS ld, sum(nu) OVER u AS cu, sum(hu) OVER u AS eu, sum(nd) OVER d AS cd, sum(hd) OVER d AS ed FROM g WINDOW u AS (PARTITION BY symbol, iu ORDER BY ts), d AS (PARTITION BY symbol, id ORDER BY ts)),
+    k AS (SELECT *, CASE WHEN lu >= 3 AND lu >= ld THEN 1 WHEN ld >= 3 THEN -1 ELSE 0 END AS mc FROM r)
+    SELECT symbol, ts, CAST(mc AS INTEGER) AS mc, CAST(CASE mc WHEN 1 THEN lu WHEN -1 THEN ld ELSE 0 END AS BIGINT) AS mc_length, {r6('CASE mc WHEN 1 THEN 0.5 * cu / lu + 0.5 * eu / lu WHEN -1 THEN 0.5 * cd / ld + 0.5 * ed / ld ELSE 0 END', 'mc_quality')} FROM k""")
 FRACTALS_SQL = f"""f5 AS (SELECT *, count(*) OVER {w(5)} = 5 AS whole, lag(high, 2) OVER ({S}) AS fh, lag(low, 2) OVER ({S}) AS fl, max(high) OVER {w(5)} AS mh, min(low) OVER {w(5)} AS ml FROM b),
     fr AS (SELECT symbol, ts, 1 AS side, fh AS level FROM f5 WHERE whole AND fh = mh UNION ALL SELECT symbol, ts, -1, fl FROM f5 WHERE whole AND fl = ml),
     fl AS (SELECT DISTINCT symbol, level FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY ts DESC) AS n FROM fr) WHERE n <= 10)"""
@@ -1014,38 +1091,62 @@ ORACLE_SQL["at_or_before"] = f"""WITH {bars_cte()}, a(symbol, moment) AS (VALUES
 
 # -- specifications, scan requests, instruments and news ranges --------------------------------------------
 
-#: Specifications, and what each means with its defaults or why it means nothing.
+#: Specifications made of a part's size n, and what each means with its defaults, or why it means nothing.
 SPEC_CASES = [
-    ("sma", "sma(column=close,period=20,min_periods=-1)"), ("EMA(high, 9)@m15", "ema(column=high,period=9,min_periods=-1)@M15"), ("rsi(n=7, method=wilders)@4h", "rsi(column=close,period=7,method=wilders)@H4"),
-    ("bb(close, 10, k=1.5)", "bollinger_bands(column=close,period=10,multiplier=1.5,min_periods=-1)"), ("macd(fast=5, slow=9)@D1", "macd(column=close,fast=5,slow=9,signal=9)@D1"),
-    ("sma(close, 0)", None), ("sma(volume)", None), ("nothing(3)", None), ("ema(3, period=4, period=5)", None), ("sma(close,", None), ("atr(14)@H7", None), ("rsi(true)", None), ("cci(1, 2, 3, 4)", None),
+    ("sma(close, {n})", "sma(column=close,period={n},min_periods=-1)"), ("EMA(high, {n})@m15", "ema(column=high,period={n},min_periods=-1)@M15"), ("rsi(n={n}, method=wilders)@4h", "rsi(column=close,period={n},method=wilders)@H4"),
+    ("bb(close, {n}, k=1.5)", "bollinger_bands(column=close,period={n},multiplier=1.5,min_periods=-1)"), ("macd(fast=5, slow={n})@D1", "macd(column=close,fast=5,slow={n},signal=9)@D1"), ("sma(volume, {n})", ""), ("nothing({n})", ""), ("ema({n}, period=4, period=5)", ""), ("sma(close, {n}", ""), ("atr({n})@H7", ""), ("cci({n}, 2, 3, 4)", ""),
 ]
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def meaning(text: str) -> str | None:
-        try:
-            return parse(text, REGISTRY).canonical
-        except SpecError:
-            return None
+def _specs(spark: SparkSession, sf_dir: str, make: Callable[[str, int], str]) -> DataFrame:
+    """Each distinct specification text that the parts give, with what ``make`` finds of it."""
+    size = F.col("p_size").cast("string")
+    text = F.get(F.array(*(F.concat(F.lit(a), size, F.lit(b)) for a, b in (t.split("{n}") for t, _ in SPEC_CASES))), (F.col("p_partkey") % len(SPEC_CASES)).cast("int"))
+    texts = spark.read.parquet(f"{sf_dir}/part.parquet").select(text.alias("spec"), F.col("p_size").cast("int").alias("n")).distinct()
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(meaning=[make(t, n) for t, n in zip(frame.spec, frame.n, strict=True)])[["spec", "meaning"]]
+
+    return texts.mapInPandas(run, "spec string, meaning string")
+
+
+def _meaning(text: str, n: int) -> str:
+    try:
+        return parse(text, REGISTRY).canonical
+    except SpecError:
+        return ""
+
+
+def _replaced(text: str, n: int) -> str:
+    found = _meaning(text, n)
+    return replace_params(found, REGISTRY, **({"slow": n + 1} if found.startswith("macd") else {"period": n + 1})) if found else ""
+
 
-    return spark.createDataFrame([(text, meaning(text)) for text, _ in SPEC_CASES], "spec string, meaning string").fillna("", ["meaning"])
+def _specs_sql(of: Callable[[str], str]) -> str:
+    put = lambda t: "'" + t.replace("{n}", "' || n || '").replace("{m}", "' || (n + 1) || '") + "'"
+    cases = lambda texts: "CASE k " + " ".join(f"WHEN {i} THEN {put(t)}" for i, t in enumerate(texts)) + " END"
+    return f"SELECT DISTINCT {cases([t for t, _ in SPEC_CASES])} AS spec, {cases([of(m) for _, m in SPEC_CASES])} AS meaning FROM (SELECT p_partkey % {len(SPEC_CASES)} AS k, CAST(p_size AS INTEGER) AS n FROM part)"
 
 
-QUERIES["spec_parse"] = _parsed
-ORACLE_SQL["spec_parse"] = f"SELECT spec, meaning FROM (VALUES {', '.join(f'({a!r}, {b or ""!r})' for a, b in SPEC_CASES)}) t(spec, meaning)"
-QUERIES["spec_replace"] = lambda s, d: s.createDataFrame([(replace_params("rsi(close,14)@H1", REGISTRY, period=9),), (replace_params("macd", REGISTRY, fast=3, signal=4),)], "spec string")
-ORACLE_SQL["spec_replace"] = "SELECT unnest(['rsi(column=close,period=9,method=ema)@H1', 'macd(column=close,fast=3,slow=26,signal=4)']) AS spec"
+QUERIES["spec_parse"] = lambda s, d: _specs(ship(s), d, _meaning)
+ORACLE_SQL["spec_parse"] = _specs_sql(lambda m: m)
+QUERIES["spec_replace"] = lambda s, d: _specs(ship(s), d, _replaced)
+ORACLE_SQL["spec_replace"] = _specs_sql(lambda m: m.replace("{n}", "{m}"))
 FEATURE_SET = ["sma(close,30)@H1", "ema(close,50)@H4", "rsi(close,14)", "tema(close,10)@D1", "adx(14)@H4", "macd@D1"]
 
 
 def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = [("click", tf, n) for tf, n in plans.warmup(plans.plan(FEATURE_SET, "H1")).items()]
-    return req.required_bars(spark.createDataFrame(own, "symbol string, tf string, needed long"), spark.createDataFrame([("click", "H1", 12), ("click", "D1", 90), ("view", "H1", 5)], "symbol string, tf string, needed long"))
+    """What the features need for every symbol there is, against a depth by how many ticks it has."""
+    need = spark.createDataFrame(list(plans.warmup(plans.plan(FEATURE_SET, "H1")).items()), "tf string, needed long")
+    symbols = ticks(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
+    depths = symbols.select("symbol", F.explode(F.array(F.struct(F.lit("H1").alias("tf"), (F.col("n") % 60).alias("needed")), F.struct(F.lit("M5").alias("tf"), (F.col("n") % 7).alias("needed")))).alias("d")).select("symbol", "d.*")
+    return req.required_bars(symbols.select("symbol").crossJoin(F.broadcast(need)), depths)
 
 
 QUERIES["required_bars"] = _required
-ORACLE_SQL["required_bars"] = "SELECT * FROM (VALUES ('click', 'H1', 30::BIGINT), ('click', 'H4', 50::BIGINT), ('click', 'D1', 90::BIGINT), ('view', 'H1', 5::BIGINT)) t(symbol, tf, needed)"
+ORACLE_SQL["required_bars"] = """WITH s AS (SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1), u AS (SELECT symbol, tf, needed FROM s, (VALUES ('H1', 30), ('H4', 50), ('D1', 34)) v(tf, needed)
+    UNION ALL SELECT symbol, 'H1', n % 60 FROM s UNION ALL SELECT symbol, 'M5', n % 7 FROM s) SELECT symbol, tf, CAST(max(needed) AS BIGINT) AS needed FROM u GROUP BY ALL"""
 QUERIES["scan_periods"] = lambda s, d: tidy(req.ScanRequest("view", "H1", ("H4",), "periods", 5, 2, "D1").apply(bars(s, d).unionByName(bars(s, d, "H4")), dt.datetime(2024, 1, 20, 13, 30)), ["symbol", "tf", "ts"], ["close"])
 ORACLE_SQL["scan_periods"] = f"""WITH {bars_cte()}, {H4}, u AS (SELECT *, 'H1' AS tf FROM b UNION ALL SELECT *, 'H4' FROM h4) SELECT symbol, tf, ts, {r6('close', 'close')} FROM u WHERE symbol = 'view' AND ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-18'"""
 QUERIES["scan_number"] = lambda s, d: tidy(req.ScanRequest("click", "H1", (), "number", 40, 5).apply(bars(s, d)), ["symbol", "ts"], ["close"])
