@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sandpiper.llm.vectors import integers, quantise, sound
 from sandpiper.session import ship
 
 #: Rows of a block of candidates and of a block of queries; they bound a task's memory.
@@ -57,32 +58,30 @@ def threshold_topk(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: i
 
 
 def quantised(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(256 * x) of every component, as doubles, which hold these whole numbers exactly.
+    """(vec_id, v): floor(256 * x) / 256 of every component, which doubles hold exactly however large x is.
 
-    Rows with null ids, and null vectors or those with null or non-finite components, are left out. From 2 ** 52 on doubles
-    are whole numbers and stay as they are.
+    Rows with null ids, and null vectors or those with null or non-finite components, are left out. From 2 ** 44 on doubles are
+    whole numbers of 256ths and stay as they are.
     """
-    x = F.transform("embedding", lambda c: F.when(F.abs(256 * c.cast("double")) < float(1 << 52), F.floor(256 * c.cast("double")).cast("double")).otherwise(256 * c.cast("double")))
-    sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
-    finite = F.forall("embedding", lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), F.lit(False)))
-    return rows.filter(sound).filter(finite).select(F.col("vec_id").cast("long"), x.alias("v"))
+    x = F.transform("embedding", lambda c: F.when(F.abs(c.cast("double")) < float(1 << 44), F.floor(256 * c.cast("double")).cast("double") / 256).otherwise(c.cast("double")))
+    return rows.filter(F.col("vec_id").isNotNull()).filter(sound()).select(F.col("vec_id").cast("long"), x.alias("v"))
 
 
 def as_exact(rows: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both in a type in which every sum of their products is exact: doubles, longs, else Python's integers."""
-    most = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
+    """256 times both, in a type in which every sum of their products is exact: doubles, longs, else Python's integers."""
+    with np.errstate(over="ignore"):
+        most = 65536 * float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
     if most < 1 << 53:
-        return rows, queries
-    if most < 1 << 62:
-        return rows.astype(np.int64), queries.astype(np.int64)
-    whole = np.frompyfunc(int, 1, 1)
-    return whole(rows), whole(queries)
+        return 256 * rows, 256 * queries
+    if most < 1 << 62 and max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)) < float(1 << 54):
+        return (256 * rows).astype(np.int64), (256 * queries).astype(np.int64)
+    return integers(quantise(rows)), integers(quantise(queries))
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of ``vectors`` for every row of ``queries``.
 
-    Both hold (vec_id, v) with v an array of whole numbers as doubles. A query's own row, one of those equal to it in id
+    Both hold (vec_id, v) as quantised() gives them, v being whole numbers in 256ths; scores are inner products of the whole numbers. A query's own row, one of those equal to it in id
     and vector, is not its candidate; other rows with its id are. Ties go to the smaller vec_id; with fewer than k
     candidates all are returned. A vector shorter than the longest counts as filled up with zeros. Of repeated vec_ids
     every row takes part, and every query row has a ranking of its own. Scores are exact; one among the k best that doesn't

@@ -73,6 +73,16 @@ def test_large_components_stay_exact_or_raise(spark):
         topk(big, big.filter("vec_id = 0")).collect()
 
 
+def test_every_finite_double_takes_part(spark):
+    """Components that overflow when multiplied by 256 rank as they should; a score that fits no long is named."""
+    rows = [(0, [0.0, 1.0]), (1, [1e307, 2.0]), (2, [-1.7e308, 3.0]), (3, [5e-324, -1e-300])]
+    v = quantised(spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<double>, label int"))
+    got = [tuple(r) for r in topk(v, v.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 3 * 65536), (0, 2, 1, 2 * 65536), (0, 3, 3, -256)]
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk(v, v.filter("vec_id = 1")).collect()
+
+
 def test_repeated_ids(spark):
     rows = [(50, [1.0, 0.0], 0), (50, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (7, [0.5, 0.5], 0), (7, [0.5, 0.5], 0)]
     v = quantised(spark.createDataFrame(rows, ROWS))
