@@ -6,6 +6,7 @@ neither its own n-grams nor those of its exact copies vouch for it. All document
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -23,10 +24,12 @@ START, END = "\x02", "\x03"
 SYMBOLS = "#*$%&|<>"
 #: Entries of the sorted arrays that are broadcast at most (16 bytes each); larger ones are probed in parts.
 MODEL_LIMIT = 4_000_000
-#: Of the parts: entries of one, bytes of text in a block of documents, and blocks that probe one copy of a part.
-PART_ROWS, BLOCK_BYTES, PROBING = 1_000_000, 16 << 20, 64
+#: Of the parts: entries of one at most, bytes of text in a block of documents, and blocks for each part at most.
+PART_ROWS, BLOCK_BYTES, PROBING = 1_000_000, 16 << 20, 16
 #: Languages whose bands are broadcast at most; with more, they are joined.
 LANGS_LIMIT = 10_000
+#: Rejected texts that are broadcast at most (some 30 bytes each); more are joined.
+REJECTED_LIMIT = 1_000_000
 #: They bound the memory of a task: text taken at a time, n-grams merged at a time, held, and sent at a time.
 PARCEL_BYTES, MERGE_ROWS, GRAMS_HELD, EMIT_ROWS = 1 << 20, 300_000, 800_000, 50_000
 
@@ -230,7 +233,15 @@ def sorted_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 # -- the operator -----------------------------------------------------------
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCORED = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()), *(StructField(s, LongType()) for s in STATS), StructField("bits", DoubleType())])
+#: What tells texts apart: a verdict depends on the language and the text alone, so rows equal in these share it.
+KEY = ("lang", "k1", "k2")
+GIVEN = ("doc_id", *KEY)
+SCORED = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()), StructField("k1", LongType()), StructField("k2", LongType()), *(StructField(s, LongType()) for s in STATS), StructField("bits", DoubleType())])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, lang (null: ''), text, and two hashes of the text."""
+    return docs.select(F.col("doc_id").cast("long"), lang_key(), "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("k"), "text").alias("k2"))
 
 
 def scores(batch, keys: np.ndarray, bits: np.ndarray, hashes: dict[str, int]) -> pa.RecordBatch:
@@ -241,8 +252,7 @@ def scores(batch, keys: np.ndarray, bits: np.ndarray, hashes: dict[str, int]) ->
     unique, back = np.unique(g.keys, return_inverse=True)
     value = bits[2 * np.searchsorted(keys, unique)[back] + np.repeat(folds(raw), g.size)]
     total = np.add.reduceat(value.astype(np.float64), g.first[:-1]) if len(raw) else np.zeros(0)
-    mean = total / np.maximum(found["n_words"], 1)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(found[s].astype(np.int64)) for s in STATS), pa.array(mean)], names=SCORED.names)
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in GIVEN), *(pa.array(found[s].astype(np.int64)) for s in STATS), pa.array(total / g.size)], names=SCORED.names)
 
 
 def scored_in_parts(rows: DataFrame, packed: DataFrame, entries: int) -> DataFrame:
@@ -250,15 +260,15 @@ def scored_in_parts(rows: DataFrame, packed: DataFrame, entries: int) -> DataFra
 
     The arrays are cut into parts by ranges of the hash, the documents into blocks of some BLOCK_BYTES. A block sends its
     distinct keys to their parts, which look them up and send them back with their bits; the parts of a block's answer in
-    order are a sorted array again. Blocks are dealt by a hash of id and text, and PROBING of them share one copy of a
-    part, so neither copies nor common n-grams make a task larger.
+    order are a sorted array again. No part is copied, and there are as many as entries or blocks ask for, so what is sent grows
+    with the text, and neither more text nor common n-grams make a task larger. Blocks are dealt by a hash of id and text.
     """
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    n_blocks, n_parts = math.ceil((total + 1) / BLOCK_BYTES), max(1, math.ceil(entries / PART_ROWS))
-    n_copies = math.ceil(n_blocks / PROBING)
+    n_blocks = math.ceil((total + 1) / BLOCK_BYTES)
+    n_parts = max(1, math.ceil(entries / PART_ROWS), math.ceil(n_blocks / PROBING))
     blocks = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
     part = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(n_parts), 32).cast("int")
-    copies = packed.select(part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_copies - 1))).alias("copy"), "key", "b0", "b1")
+    parts = packed.select(part.alias("part"), "key", "b0", "b1")
 
     def send(table: pa.Table) -> pa.Table:
         hashes: dict[str, int] = {}
@@ -270,7 +280,7 @@ def scored_in_parts(rows: DataFrame, packed: DataFrame, entries: int) -> DataFra
         edges = np.searchsorted(at, np.arange(n_parts + 1, dtype=U))
         have = np.flatnonzero(np.diff(edges))
         block = table.column("__block")[0].as_py()
-        return pa.table({"part": pa.array(have.astype(np.int32)), "copy": pa.array([block % n_copies] * len(have), pa.int32()), "block": pa.array([block] * len(have), pa.int32()), "keys": pa.array([keys[edges[p] : edges[p + 1]].tobytes() for p in have], pa.binary())})
+        return pa.table({"part": pa.array(have.astype(np.int32)), "block": pa.array([block] * len(have), pa.int32()), "keys": pa.array([keys[edges[p] : edges[p + 1]].tobytes() for p in have], pa.binary())})
 
     def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
         keys, bits = sorted_arrays(table)
@@ -284,13 +294,13 @@ def scored_in_parts(rows: DataFrame, packed: DataFrame, entries: int) -> DataFra
         hashes: dict[str, int] = {}
         return pa.Table.from_batches([scores(batch, keys, bits, hashes) for batch in parcels(table.to_batches(), most_bytes=PARCEL_BYTES)])
 
-    asked = blocks.groupBy("__block").applyInArrow(send, "part int, copy int, block int, keys binary")
-    known = asked.groupBy("part", "copy").cogroup(copies.groupBy("part", "copy")).applyInArrow(look_up, "block int, part int, keys binary, bits binary")
+    asked = blocks.groupBy("__block").applyInArrow(send, "part int, block int, keys binary")
+    known = asked.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(look_up, "block int, part int, keys binary, bits binary")
     return blocks.groupBy("__block").cogroup(known.groupBy("block")).applyInArrow(score, SCORED)
 
 
 def scored(docs: DataFrame, model_limit: int = MODEL_LIMIT, held: list | None = None) -> DataFrame:
-    """doc_id, lang (null: ''), the surface counts, and bits: -log2 p of a document's characters for each of its words.
+    """doc_id, KEY, the surface counts, and bits: the mean -log2 p of a document's characters and its end.
 
     The models have every n-gram of all documents of the language. Their bits are held in arrays sorted by 64-bit hashes of the
     n-grams: broadcast if there are at most model_limit of them, else in parts (see scored_in_parts). What is broadcast is added
@@ -298,8 +308,7 @@ def scored(docs: DataFrame, model_limit: int = MODEL_LIMIT, held: list | None =
     """
     spark = ship(docs.sparkSession)
     packed = cut(packed_model(kneser_ney(cut(count_grams(docs)))))
-    rows = docs.select(F.col("doc_id").cast("long"), lang_key(), "text")
-    entries = packed.count()
+    rows, entries = keyed(docs), packed.count()
     if entries > model_limit:
         return scored_in_parts(rows, packed, entries)
     table = spark.sparkContext.broadcast(sorted_arrays(packed.toArrow()))
@@ -314,32 +323,45 @@ def scored(docs: DataFrame, model_limit: int = MODEL_LIMIT, held: list | None =
     return rows.mapInArrow(direct, SCORED)
 
 
-def judged(docs: DataFrame, least_words: int = 20, most_repeat: int = 30, spread: float = 5.0, least_spread: float = 3.0, model_limit: int = MODEL_LIMIT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, bits, lower, upper.
-
-    base_failed: under least_words words, or over most_repeat percent of the words in repeated 8-word windows.
-    kept: not base_failed, and the perplexity (2 ** bits for a word with the blanks beside it) is inside the language's band.
-    The band is set on bits, over the documents of the language that pass the base rules: from the first quartile to the
-    third, widened on both sides by ``spread`` interquartile ranges, and by least_spread bits at least (else a large group of
-    copies would leave no width). Null text has no words and fails; a null language is a language of its own, and so is a
-    rare one. One row for each input row; other columns are not read. A text is held whole by the task that reads it, with
-    some 100 bytes for each of its characters.
-    """
+def verdicts(docs: DataFrame, least_words: int = 20, most_repeat: int = 30, below: float = 6.0, above: float = 8.0, least_spread: float = 0.35, model_limit: int = MODEL_LIMIT) -> DataFrame:
+    """What judged() returns, with KEY."""
     base = failed({n: F.col(n) for n in STATS}, least_words, most_repeat)
     held: list = []
-    rows = cut(scored(docs, model_limit, held).withColumn("bits", F.round("bits", 4)).withColumn("base_failed", base))
+    rows = cut(scored(docs, model_limit, held).withColumn("bits", F.round("bits", 5)).withColumn("base_failed", base))
     for table in held:
         table.destroy()
     q = rows.filter("not base_failed").groupBy("lang", "bits").count().groupBy("lang").agg(F.percentile("bits", [0.25, 0.75], F.col("count")).alias("q"))
-    margin = F.greatest(F.lit(least_spread), spread * (F.col("q")[1] - F.col("q")[0]))
-    bands = cut(q.select(F.col("lang").alias("b_lang"), (F.col("q")[0] - margin).alias("lower"), (F.col("q")[1] + margin).alias("upper")))
+    margin = lambda times: F.greatest(F.lit(least_spread), times * (F.col("q")[1] - F.col("q")[0]))
+    bands = cut(q.select(F.col("lang").alias("b_lang"), (F.col("q")[0] - margin(below)).alias("lower"), (F.col("q")[1] + margin(above)).alias("upper")))
     few = F.broadcast(bands) if bands.count() <= LANGS_LIMIT else bands
     out = rows.join(few, rows.lang == F.col("b_lang"), "left")
     kept = ~F.col("base_failed") & F.coalesce((F.col("bits") >= F.col("lower")) & (F.col("bits") <= F.col("upper")), F.lit(False))
-    return out.select("doc_id", *STATS, "base_failed", kept.alias("kept"), "bits", "lower", "upper")
+    return out.select("doc_id", *KEY, *STATS, "base_failed", kept.alias("kept"), "bits", "lower", "upper")
+
+
+def judged(docs: DataFrame, **rules) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, bits, lower, upper.
+
+    base_failed: under least_words words, or over most_repeat percent of the words in repeated 8-word windows.
+    kept: not base_failed, and the perplexity (2 ** bits for a character) is inside the language's band. By the character, as the model
+    predicts characters: words that are long or joined don't count against a text.
+    The band is set on bits, over the documents of the language that pass the base rules: from the first quartile to the
+    third, widened by ``below`` and ``above`` interquartile ranges, and by least_spread bits at least (else a large group of
+    copies would leave no width). Null text has no words and fails; a null language is a language of its own, and so is a
+    rare one. One row for each input row; other columns are not read. A text is held whole by the task that reads it, with
+    some 100 bytes for each of its characters. rules: see verdicts().
+    """
+    return verdicts(docs, **rules).drop(*KEY)
 
 
 def keep_good(docs: DataFrame, **rules) -> DataFrame:
-    """The documents that judged() keeps, with their columns. A doc_id stays if any of its rows is kept."""
-    good = judged(docs, **rules).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, docs.doc_id.eqNullSafe(good["__id"]), "left_semi")
+    """The rows that judged() keeps, with their columns: each by its own language and text, whatever its doc_id or those of others.
+
+    Nothing is joined by id: what is rejected is known by language and two hashes of the text, once each; it is broadcast up to
+    REJECTED_LIMIT, else joined.
+    """
+    bad = cut(verdicts(docs, **rules).filter("not kept").select(*(F.col(c).alias(f"__{c}") for c in KEY)).distinct())
+    few = F.broadcast(bad) if bad.count() <= REJECTED_LIMIT else bad
+    own = {"lang": F.coalesce(F.col("lang"), F.lit("")), "k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("k"), "text")}
+    same = functools.reduce(lambda a, b: a & b, (own[c] == F.col(f"__{c}") for c in KEY))
+    return docs.join(few, same, "left_anti")
