@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sandpiper.operators.blocks import BLOCK, OWN, block_of
+from sandpiper.operators.recursive import rolling_quantiles
 from sandpiper.operators.rolling import frame, prev, ratio
+from sandpiper.session import ship
 from sandpiper.sources.candles import KEY, series
 
 #: Fixed ratios of retracements and extensions.
@@ -87,11 +94,11 @@ def soft_bias(df: DataFrame, column: str = "close", window: int = 8, least: int
     """Change over the window against its median and interquartile range, clipped and scaled to -1 .. 1."""
     step = df.withColumn("__c", F.col(column) - prev(column))
     step = step.withColumn("__s", F.when(F.count("__c").over(frame(window)) >= least, F.sum("__c").over(frame(window))))
-    q = lambda p: F.percentile("__s", F.lit(p)).over(frame(window))
-    robust = F.when(F.count("__s").over(frame(window)) >= least, ratio(F.col("__s") - q(0.5), q(0.75) - q(0.25)))
+    step = rolling_quantiles(step, "__s", window, {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75})
+    robust = F.when(F.count("__s").over(frame(window)) >= least, ratio(F.col("__s") - F.col("__q2"), F.col("__q3") - F.col("__q1")))
     step = step.withColumn("__r", robust)
     # least and greatest skip nulls, so they are kept out
-    return step.withColumn(out, F.when(F.col("__r").isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("__r"))) / clip)).drop("__c", "__s", "__r")
+    return step.withColumn(out, F.when(F.col("__r").isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("__r"))) / clip)).drop("__c", "__s", "__r", "__q1", "__q2", "__q3")
 
 
 def confluence(df: DataFrame, local: str = "bias", higher: str = "bias_high") -> DataFrame:
@@ -209,12 +216,47 @@ def enhanced_scores(clusters: DataFrame, context: DataFrame, near: DataFrame, tr
     return out.withColumn("score", F.col("score") + trend_weight * F.col("trend_score") + level_weight * F.col("sr_score")).drop("slope", "adr", "__levels")
 
 
-def nearest_cluster(df: DataFrame, clusters: DataFrame, price: str = "close") -> DataFrame:
+def nearest_cluster(df: DataFrame, clusters: DataFrame, price: str = "close", length: str = BLOCK) -> DataFrame:
     """nearest_price, nearest_score and nearest_signed (price less the cluster's) of the cluster nearest to each bar among those
-    known by then (clusters: key, known_ts, price, score; few for each key). Ties go to the lower price."""
-    of = clusters.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("known_ts", F.col("price").alias("p"), F.col("score").alias("s")))).alias("__c"))
-    out = df.join(of, list(KEY), "left")
-    known = F.filter("__c", lambda c: c["known_ts"] <= F.col("ts"))
-    ranked = F.transform(known, lambda c: F.struct(F.abs(F.col(price) - c["p"]).alias("d"), c["p"].alias("p"), c["s"].alias("s")))
-    best = F.array_min(ranked)
-    return out.withColumns({"nearest_price": best["p"], "nearest_score": best["s"], "nearest_signed": F.col(price) - best["p"]}).drop("__c")
+    known by then (clusters: key, known_ts, price, score). Ties go to the lower price, then the lower score; a bar without a price has none.
+
+    Bars go in blocks of time. A block needs the clusters that become known in it, and of those known before it the ones within its
+    range of prices and the next on either side; it is swept in order of time over a sorted list, so its memory is bounded by
+    these and time grows with bars and clusters, not with their product.
+    """
+    ship(df.sparkSession)
+    names = df.columns
+    own = df.withColumn("__block", block_of("ts", length))
+    spans = own.groupBy(*OWN).agg(F.min("ts").alias("__a"), F.max("ts").alias("__b"), F.min(price).alias("__lo"), F.max(price).alias("__hi"))
+    of = clusters.select(*KEY, "known_ts", F.col("price").alias("__p"), F.col("score").cast("double").alias("__s"))
+    met = spans.join(of, list(KEY)).filter("known_ts <= __b AND __p IS NOT NULL")
+    near = met.filter("known_ts > __a OR __p BETWEEN __lo AND __hi").select(*OWN, "known_ts", "__p", "__s")
+    early = met.filter("known_ts <= __a")
+    side = lambda test, way: early.filter(test).groupBy(*OWN).agg(F.max("__a").alias("known_ts"), F.min(F.struct((way * F.col("__p")).alias("k"), "__s")).alias("e")).select(*OWN, "known_ts", (way * F.col("e.k")).alias("__p"), F.col("e.__s").alias("__s"))
+    wanted = near.unionByName(side("__p < __lo", F.lit(-1.0))).unionByName(side("__p > __hi", F.lit(1.0)))
+
+    def sweep(bars: pa.Table, known: pa.Table) -> pa.Table:
+        bars, known = bars.sort_by("ts"), known.sort_by("known_ts")
+        prices: list[float] = []
+        scores: dict[float, float] = {}
+        waiting = list(zip(known.column("known_ts").to_pylist(), known.column("__p").to_pylist(), known.column("__s").to_pylist(), strict=True))
+        at, found = 0, []
+        for ts, x in zip(bars.column("ts").to_pylist(), bars.column(price).to_pylist(), strict=True):
+            while at < len(waiting) and waiting[at][0] <= ts:
+                _, p, s = waiting[at]
+                if p not in scores:
+                    insort(prices, p)
+                    scores[p] = s
+                elif s is None or (scores[p] is not None and s < scores[p]):
+                    scores[p] = s
+                at += 1
+            i = 0 if x is None else bisect_left(prices, x)
+            best = None if x is None else min(prices[max(0, i - 1) : i + 1], key=lambda p: (abs(x - p), p), default=None)  # noqa: B023
+            found.append((best, scores.get(best)))
+        near = [pa.array(c, pa.float64()) for c in (zip(*found, strict=True) if found else ((), ()))]
+        return pa.table([*(bars.column(c) for c in names), *near], names=[*names, "nearest_price", "nearest_score"])
+
+    schema = StructType([*df.schema.fields, StructField("nearest_price", DoubleType()), StructField("nearest_score", DoubleType())])
+    wanted = wanted.select(*(F.col(c).alias(f"{c}_w") for c in OWN), "known_ts", "__p", "__s")
+    out = own.groupBy(*OWN).cogroup(wanted.groupBy(*(f"{c}_w" for c in OWN))).applyInArrow(sweep, schema)
+    return out.withColumn("nearest_signed", F.col(price) - F.col("nearest_price"))

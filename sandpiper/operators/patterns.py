@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sandpiper.operators.recursive import rolling_quantiles
 from sandpiper.operators.rolling import frame, highest, linreg_slope, lowest, prev, ratio
 from sandpiper.sources.candles import KEY, series
 
@@ -267,8 +268,7 @@ def market_structure(df: DataFrame, swing: str = "zz", price: str = "zz_price",
 
 def regime(df: DataFrame, width_window: int = 20, slope_window: int = 12, atr: str = "atr") -> DataFrame:
     """Interquartile width and last range against ATR, and the slope of closes: ``regime_label`` names the largest that stands out."""
-    q = lambda p: F.percentile("close", F.lit(p)).over(frame(width_window))
-    out = linreg_slope(df, "close", slope_window, "__s")
-    out = out.withColumns({"width_atr": ratio(q(0.75) - q(0.25), F.col(atr)), "spike_atr": ratio(F.col("high") - F.col("low"), F.col(atr)), "slope_atr": ratio(F.col("__s"), F.col(atr))}).drop("__s")
+    out = rolling_quantiles(linreg_slope(df, "close", slope_window, "__s"), "close", width_window, {"__q1": 0.25, "__q3": 0.75})
+    out = out.withColumns({"width_atr": ratio(F.col("__q3") - F.col("__q1"), F.col(atr)), "spike_atr": ratio(F.col("high") - F.col("low"), F.col(atr)), "slope_atr": ratio(F.col("__s"), F.col(atr))}).drop("__s", "__q1", "__q3")
     label = F.when(F.col("spike_atr") >= 2.5, "spike").when(F.abs("slope_atr") >= 0.1, "trend").when(F.col("width_atr").isNotNull(), "range")
     return out.withColumn("regime_label", label)

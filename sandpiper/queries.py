@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sandpiper.functions.spec import SpecError, parse, replace_params
 from sandpiper.functions.time_features import FEATURES, add_time_features
 from sandpiper.operators import accounts as acc
+from sandpiper.operators import blocks as blk
 from sandpiper.operators import classic
 from sandpiper.operators import confluence as conf
 from sandpiper.operators import decisions as dec
@@ -30,6 +31,7 @@ from sandpiper.plans.registry import REGISTRY
 from sandpiper.session import ship
 from sandpiper.sources import candles as src
 from sandpiper.sources import requests as req
+from sandpiper.sources import store
 from sandpiper.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1041,6 +1043,32 @@ on_bars("adaptive_tolerance", lambda b: roll.mfi(roll.atr_classic(b)).withColumn
     WITH {bars_cte()}, t AS (SELECT *, {TR} AS tr FROM b), x AS (SELECT *, {ATR14} AS a FROM t)
     SELECT symbol, ts, {r6('CASE WHEN a IS NOT NULL THEN greatest(0.05, least(0.4, a / nullif(close, 0) * 0.5)) END', 'tol')}, {r6('CASE WHEN close >= 80 OR close <= 20 THEN 1 ELSE 1 - abs(close - 50) / 30 END', 'extreme')} FROM x""")
 
+# -- grids, coverage and blocks ---------------------------------------------------------------------
+
+QUERIES["observation_grid"] = lambda s, d: tidy(store.observation_grid(bars(s, d, "M30"), "M30", ["close", "volume"], [(2, 4)], False), ["symbol", "ts"], ["close", "volume", "filled"])
+ORACLE_SQL["observation_grid"] = f"""WITH {bars_cte('M30')}, g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS t FROM b GROUP BY 1)
+    SELECT g.symbol, g.t AS ts, {r6('b.close', 'close')}, b.volume, CAST(b.ts <> g.t AS INTEGER) AS filled FROM g ASOF LEFT JOIN b ON b.symbol = g.symbol AND g.t >= b.ts WHERE hour(g.t) NOT BETWEEN 2 AND 3 AND dayofweek(g.t) BETWEEN 1 AND 5"""
+
+
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two ranges for every symbol have no M15 bar."""
+    made = bars(spark, sf_dir, "M15").select("symbol", "tf", "ts")
+    wanted = made.select("symbol", "tf").distinct().withColumn("r", F.explode(F.expr("array(struct(TIMESTAMP_NTZ '2024-01-03' AS start, TIMESTAMP_NTZ '2024-01-09' AS end), struct(TIMESTAMP_NTZ '2023-12-30' AS start, TIMESTAMP_NTZ '2024-01-02' AS end))"))).select("symbol", "tf", "r.*")
+    return store.missing_ranges(made, wanted).select("symbol", "start", "end")
+
+
+QUERIES["missing_ranges"] = _missing
+ORACLE_SQL["missing_ranges"] = f"""WITH {bars_cte('M15')}, w(a, e) AS (VALUES (TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-09'), (TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-02')), q AS (SELECT symbol, a, e, unnest(generate_series(a, e - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE)) AS t FROM (SELECT DISTINCT symbol FROM b), w),
+    m AS (SELECT q.*, row_number() OVER (PARTITION BY q.symbol, q.a ORDER BY t) AS n FROM q LEFT JOIN b ON b.symbol = q.symbol AND b.ts = q.t WHERE b.ts IS NULL)
+    SELECT symbol, min(t) AS start, max(t) + INTERVAL 15 MINUTE AS "end" FROM m GROUP BY symbol, a, t - n * INTERVAL 15 MINUTE"""
+QUERIES["blocks_kama_rsi_ema"] = lambda s, d: tidy(blk.ema(blk.rsi(blk.kama(bars(s, d), period=8, length="3 days"), period=6, length="1 day"), period=9, length="7 days"), ["symbol", "ts"], ["ema", "rsi", "kama"])
+ORACLE_SQL["blocks_kama_rsi_ema"] = f"""WITH RECURSIVE {bars_cte()}, x AS (SELECT *, row_number() OVER ({S}) AS n, close - lag(close) OVER ({S}) AS c, lag(close, 7) OVER ({S}) AS far FROM b), y AS (SELECT *, greatest(c, 0) AS g, greatest(-c, 0) AS l, sum(abs(c)) OVER {w(7)} AS way FROM x),
+    z AS (SELECT *, avg(g) OVER {w(6)} AS mg, avg(l) OVER {w(6)} AS ml, power(CASE WHEN way < 1e-9 THEN 0 ELSE abs(close - far) / way END * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS sc FROM y),
+    r AS (SELECT symbol, ts, n, close AS e, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS d, CAST(NULL AS DOUBLE) AS k FROM z WHERE n = 1
+        UNION ALL SELECT z.symbol, z.ts, z.n, 0.2 * z.close + 0.8 * r.e, CASE WHEN z.n = 7 THEN z.mg WHEN z.n > 7 THEN 2.0 / 7 * z.g + 5.0 / 7 * r.u END, CASE WHEN z.n = 7 THEN z.ml WHEN z.n > 7 THEN 2.0 / 7 * z.l + 5.0 / 7 * r.d END, CASE WHEN z.n = 8 THEN z.close WHEN z.n > 8 THEN z.sc * z.close + (1 - z.sc) * r.k END
+        FROM r JOIN z ON z.symbol = r.symbol AND z.n = r.n + 1)
+    SELECT symbol, ts, {r6('CASE WHEN n >= 9 THEN e END', 'ema')}, {r6('CASE WHEN d = 0 THEN CASE WHEN u = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + u / d) END', 'rsi')}, {r6('k', 'kama')} FROM r"""
+
 # -- rules of risk beyond caps ----------------------------------------------------------------------
 
 WANTED = ("symbol", "ts", "close price", "10000D equity", "coalesce(roc, 0) / 200 exposure", "0.01D risk", "close - CASE WHEN volume % 3 = 0 THEN -5 ELSE 5 END * sign(coalesce(roc, 0)) stop_price")
