@@ -1061,13 +1061,14 @@ QUERIES["missing_ranges"] = _missing
 ORACLE_SQL["missing_ranges"] = f"""WITH {bars_cte('M15')}, w(a, e) AS (VALUES (TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-09'), (TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-02')), q AS (SELECT symbol, a, e, unnest(generate_series(a, e - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE)) AS t FROM (SELECT DISTINCT symbol FROM b), w),
     m AS (SELECT q.*, row_number() OVER (PARTITION BY q.symbol, q.a ORDER BY t) AS n FROM q LEFT JOIN b ON b.symbol = q.symbol AND b.ts = q.t WHERE b.ts IS NULL)
     SELECT symbol, min(t) AS start, max(t) + INTERVAL 15 MINUTE AS "end" FROM m GROUP BY symbol, a, t - n * INTERVAL 15 MINUTE"""
-QUERIES["blocks_kama_rsi_ema"] = lambda s, d: tidy(blk.ema(blk.rsi(blk.kama(bars(s, d), period=8, length="3 days"), period=6, length="1 day"), period=9, length="7 days"), ["symbol", "ts"], ["ema", "rsi", "kama"])
-ORACLE_SQL["blocks_kama_rsi_ema"] = f"""WITH RECURSIVE {bars_cte()}, x AS (SELECT *, row_number() OVER ({S}) AS n, close - lag(close) OVER ({S}) AS c, lag(close, 7) OVER ({S}) AS far FROM b), y AS (SELECT *, greatest(c, 0) AS g, greatest(-c, 0) AS l, sum(abs(c)) OVER {w(7)} AS way FROM x),
+BLOCKS = {"ema": lambda b: blk.ema(b, period=9, length="7 days"), "rsi": lambda b: blk.rsi(b, period=6, length="1 day"), "kama": lambda b: blk.kama(b, period=8, length="3 days")}
+BLOCKS_SQL = f"""WITH RECURSIVE {bars_cte()}, x AS (SELECT *, row_number() OVER ({S}) AS n, close - lag(close) OVER ({S}) AS c, lag(close, 7) OVER ({S}) AS far FROM b), y AS (SELECT *, greatest(c, 0) AS g, greatest(-c, 0) AS l, sum(abs(c)) OVER {w(7)} AS way FROM x),
     z AS (SELECT *, avg(g) OVER {w(6)} AS mg, avg(l) OVER {w(6)} AS ml, power(CASE WHEN way < 1e-9 THEN 0 ELSE abs(close - far) / way END * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS sc FROM y),
     r AS (SELECT symbol, ts, n, close AS e, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS d, CAST(NULL AS DOUBLE) AS k FROM z WHERE n = 1
         UNION ALL SELECT z.symbol, z.ts, z.n, 0.2 * z.close + 0.8 * r.e, CASE WHEN z.n = 7 THEN z.mg WHEN z.n > 7 THEN 2.0 / 7 * z.g + 5.0 / 7 * r.u END, CASE WHEN z.n = 7 THEN z.ml WHEN z.n > 7 THEN 2.0 / 7 * z.l + 5.0 / 7 * r.d END, CASE WHEN z.n = 8 THEN z.close WHEN z.n > 8 THEN z.sc * z.close + (1 - z.sc) * r.k END
-        FROM r JOIN z ON z.symbol = r.symbol AND z.n = r.n + 1)
-    SELECT symbol, ts, {r6('CASE WHEN n >= 9 THEN e END', 'ema')}, {r6('CASE WHEN d = 0 THEN CASE WHEN u = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + u / d) END', 'rsi')}, {r6('k', 'kama')} FROM r"""
+        FROM r JOIN z ON z.symbol = r.symbol AND z.n = r.n + 1)"""
+for _name, _value in (("ema", "CASE WHEN n >= 9 THEN e END"), ("rsi", "CASE WHEN d = 0 THEN CASE WHEN u = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + u / d) END"), ("kama", "k")):
+    on_bars(f"blocks_{_name}", BLOCKS[_name], [_name], f"{BLOCKS_SQL} SELECT symbol, ts, {r6(_value, _name)} FROM r")
 
 # -- rules of risk beyond caps ----------------------------------------------------------------------
 
