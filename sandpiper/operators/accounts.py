@@ -182,7 +182,8 @@ def flag_rate_proposals(df: DataFrame, flags: list[str], low: float, high: float
 def simulate(fills: DataFrame, by: tuple[str, ...], order: tuple[str, ...], balance: float = 0.0) -> DataFrame:
     """Net position after each fill (side, lots, fill_price, commission), its mean entry price (0 when flat), the profit the fill
     realises, and the balance. Adding to a position averages its entry; what closes is settled against the entry; a
-    reversal starts anew at the fill's price. One account's fills are folded in order."""
+    reversal starts anew at the fill's price. Lots count to ten places, so that fills which cancel leave nothing. One account's fills are
+    folded in order."""
 
     def step(rows):
         held = entry = 0.0
@@ -194,7 +195,8 @@ def simulate(fills: DataFrame, by: tuple[str, ...], order: tuple[str, ...], bala
             else:
                 gain = (price - entry) * (min(abs(held), lots) if held > 0 else -min(abs(held), lots))
                 entry = price if lots > abs(held) else entry if lots < abs(held) else 0.0
-            held += change
+            held = round(held + change, 10)
+            entry = entry if held else 0.0
             yield held, entry, gain
 
     out = ordered_fold(fills, ["side", "lots", "fill_price"], ["held", "entry_price", "realised"], step, by, order)

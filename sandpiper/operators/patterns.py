@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sandpiper.operators.recursive import rolling_quantiles
-from sandpiper.operators.rolling import frame, highest, linreg_slope, lowest, prev, ratio
+from sandpiper.operators.rolling import highest, linreg_slope, lowest, prev, ratio
 from sandpiper.sources.candles import KEY, series
 
 

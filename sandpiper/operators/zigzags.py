@@ -79,6 +79,12 @@ def depth_legs(swings: DataFrame) -> DataFrame:
     return out.drop("leg")
 
 
+def newest_legs(legs: DataFrame, most: int = 3, confirmed: bool = False) -> DataFrame:
+    """The newest ``most`` legs of each series, numbered from the last (nth), as levels.fibonacci() and its kin take them; with ``confirmed`` of those whose end stands."""
+    rows = legs.filter("confirmed IS NOT NULL") if confirmed else legs
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("end_ts")))).filter(F.col("nth") <= most)
+
+
 def along_legs(df: DataFrame, legs: DataFrame, shift: str = "INTERVAL 0 MINUTE", extend: bool = False) -> DataFrame:
     """leg_dir, leg_mark, sr_support, sr_resistance on bars, of legs of the same or a longer timeframe.
 

@@ -930,6 +930,9 @@ on_bars("zigzag_depth", _depth, ["zz_state", "zz_price", "zz_confirmed", "zz_leg
 LEG = ["end_ts", "direction", "start_price", "end_price", "confirmed"]
 QUERIES["zigzag_legs"] = lambda s, d: tidy(zz.depth_legs(_depth(bars(s, d))), ["symbol", "start_ts"], LEG)
 ORACLE_SQL["zigzag_legs"] = f"WITH RECURSIVE {bars_cte()}, {depth_sql('q', 'b')} SELECT symbol, start_ts, end_ts, CAST(direction AS INTEGER) AS direction, {r6('start_price', 'start_price')}, {r6('end_price', 'end_price')}, confirmed FROM q_l"
+QUERIES["fibonacci_depth_levels"] = lambda s, d: tidy(lv.fibonacci(zz.newest_legs(zz.depth_legs(_depth(bars(s, d))), 4, True)), ["symbol", "nth"], ["start_ts", "end_ts", "direction", "ratio", "level"])
+ORACLE_SQL["fibonacci_depth_levels"] = f"""WITH RECURSIVE {bars_cte()}, {depth_sql('q', 'b')}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY end_ts DESC) AS nth FROM q_l WHERE confirmed IS NOT NULL)
+    SELECT symbol, CAST(nth AS INTEGER) AS nth, start_ts, end_ts, CAST(direction AS INTEGER) AS direction, ratio, {r6('end_price - ratio * (end_price - start_price)', 'level')} FROM n, {RATIOS} WHERE nth <= 4"""
 
 
 def along_sql(shift: int = 0, extend: bool = False) -> str:

@@ -35,8 +35,11 @@ class ScanRequest:
             raise ValueError("no timeframe may be shorter than the base")
         object.__setattr__(self, "tfs", tuple(all_tfs))
 
-    def apply(self, bars: DataFrame, now: dt.datetime | None = None) -> DataFrame:
+    def apply(self, bars: DataFrame, now: dt.datetime | None = None, strict: bool = True) -> DataFrame:
+        """The bars asked for; a timeframe without any bar of the symbol is an error, if strict."""
         rows = bars.filter((F.col("symbol") == self.symbol) & F.col("tf").isin(*self.tfs))
+        if strict and (missing := set(self.tfs) - {r.tf for r in rows.select("tf").distinct().collect()}):
+            raise FileNotFoundError(f"no candles of {self.symbol} for {timeframes(missing)}")
         if self.mode == "number":
             return last_rows(rows, self.start, self.end or 0)
         if self.mode == "time":

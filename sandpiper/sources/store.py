@@ -21,7 +21,7 @@ def _month(rows: DataFrame) -> DataFrame:
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored features; None where there is no store yet."""
     try:
-        return spark.read.option("mergeSchema", True).option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(path)
+        return spark.read.option("mergeSchema", True).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from sandpiper.operators.accounts import simulate
 from sandpiper.operators.decisions import Limits, audit, evaluate, targets
 
 ACCOUNT = "d string, equity double, free_margin double, used_margin double, margin_level double, leverage double, drawdown double, daily_drawdown double, portfolio_risk double, blocked boolean"
@@ -179,3 +180,9 @@ def test_odd_decisions(spark):
     for bad in ({"total_exposure": 1.5}, {"leverage": 0.0}, {"open_positions": True}):
         with pytest.raises(ValueError):
             Limits(**bad)
+
+
+def test_fills_that_cancel_leave_an_account_flat(spark):
+    fills = spark.createDataFrame([("a", k, *f) for k, f in enumerate([(1, 0.1, 10.0, 0.0), (1, 0.2, 10.0, 0.0), (-1, 0.3, 12.0, 0.0), (1, 1.0, 5.0, 0.0)])], "account string, n int, side int, lots double, fill_price double, commission double")
+    got = simulate(fills, ("account",), ("n",)).orderBy("n").collect()
+    assert [r.held for r in got] == [0.1, 0.3, 0.0, 1.0] and [r.entry_price for r in got] == pytest.approx([10.0, 10.0, 0.0, 5.0]) and got[2].realised == pytest.approx(0.6)

@@ -19,6 +19,9 @@ def test_scan_requests(spark):
     assert rq.ScanRequest("A", "1h", ("h1",), "number", 10, 4).apply(b).count() == 6
     assert rq.ScanRequest("A", "H1", (), "time", "2024-01-02 00:00:00", None).apply(b).count() == 36
     assert rq.ScanRequest("B", "H1", (), "periods", 1, 0).apply(b, dt.datetime(2024, 1, 3, 5)).count() == 24
+    with pytest.raises(FileNotFoundError, match="H4"):
+        rq.ScanRequest("A", "H1", ("H4",), "number", 5).apply(b)
+    assert rq.ScanRequest("A", "H1", ("H4",), "number", 5).apply(b, strict=False).count() == 5
     for bad in ({"mode": "x"}, {"mode": "number", "start": 0}, {"mode": "number", "start": 2, "end": 3}):
         with pytest.raises(ValueError, match="mode|start"):
             rq.ScanRequest("A", "H1", (), **bad)
