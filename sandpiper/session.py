@@ -30,8 +30,14 @@ def local_session(app: str = "sandpiper", cores: str = "*", **conf: str) -> Spar
     return ship(builder.getOrCreate())
 
 
+#: Bytes of an Arrow batch between the JVM and Python workers, where the session doesn't set them: 10,000 long texts would make a large one.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and bound what reaches them at a time."""
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
