@@ -121,7 +121,7 @@ def test_a_model_too_large_to_broadcast_gives_the_same(spark, sf_dir, monkeypatc
 
 
 def test_labels_and_bands_on_the_real_table(spark):
-    """Good text stays. Both bands reject some: most above are in two languages, those below consist of passages that many share."""
+    """Good text stays, and both bands reject some."""
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in op1_quality_rules(spark, sf).collect() if not r.base_failed]
