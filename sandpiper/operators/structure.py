@@ -166,9 +166,10 @@ def gap_register(df: DataFrame, keep: timedelta | None = None) -> DataFrame:
 class Pools:
     """Pools of equal swing highs (side 1) and lows (side -1): (side, number) -> [price, touches, swept].
 
-    A swing joins the oldest pool of its side within ``tolerance`` of the pool's price. A pool is swept once, by the first bar
-    beyond its price. Prices are expected to be positive. Pools are further apart than the tolerance, so few are compared, and
-    their number is bounded by the range of prices. changed: pools that differ from what was stored.
+    A swing joins the oldest pool of its side for which abs(swing - price) / price is at most ``tolerance``. A pool is swept once,
+    by the first bar beyond its price. So no swing joins a pool at zero (each zero founds its own), and a pool below zero takes any swing.
+    Pools above zero are further apart than the tolerance, so few are compared, and their number is bounded by the range of prices.
+    changed: pools that differ from what was stored.
     """
 
     def __init__(self, tolerance: float, stored: dict | None = None) -> None:
@@ -182,9 +183,10 @@ class Pools:
     def join(self, side: int, price: float) -> int:
         """Touches of the pool that a swing joins or founds."""
         own = self.prices[side]
-        lo = bisect_left(own, (price / (1 + self.tolerance) * (1 - 1e-12), -1))
-        hi = bisect_left(own, (price / (1 - self.tolerance) * (1 + 1e-12), 1 << 62))
-        near = [number for p, number in own[lo:hi] if abs(price - p) / p <= self.tolerance]
+        below, above = bisect_left(own, (0.0, -1)), bisect_left(own, (0.0, 1 << 62))
+        lo = max(above, bisect_left(own, (price / (1 + self.tolerance) * (1 - 1e-12), -1)))
+        hi = bisect_left(own, (price / (1 - self.tolerance) * (1 + 1e-12), 1 << 62)) if self.tolerance < 1 else len(own)
+        near = [number for p, number in own[:below] + own[lo:hi] if abs(price - p) / p <= self.tolerance]
         number = min(near, default=len(own))
         if not near:
             insort(own, (price, number))

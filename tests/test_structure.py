@@ -1,7 +1,11 @@
+import datetime as dt
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sandpiper.operators import accounts, levels, patterns, recursive, rolling, structure, zones
+from sandpiper.queries import ORACLE_SQL, QUERIES
 from sandpiper.streaming.live import live_swings
 
 from .test_candles import bars
@@ -128,3 +132,24 @@ def test_swing_points_with_and_without_an_end(spark):
     assert levels.equal_legs(levels.swing_points(legs)).select("abcd").collect() == [(1,)]
     got = levels.projections(levels.swing_points(legs, False), (1.0, 2.0)).select("d_expected", "d_error").collect()
     assert sorted(tuple(r) for r in got) == [(106.25, None), (114.25, None)]
+
+
+def test_pools_at_and_below_zero_follow_the_sql(spark, tmp_path):
+    """Swings at zero, beside it and below it, against the query's own SQL."""
+    price = [5.0, 4.0, 2.0, 0.0, 3.0, 4.5, 9.0, 6.0] * 4 + [5.0, 4.0, 2.0, 0.01, 3.0, 4.5, 9.2, 6.0] * 2
+    values = [("flat", p) for p in price] + [("high", min(0.0, p - 9.0)) for p in price] + [("under", p - 3.0) for p in price] + [("none", 0.0) for _ in price]
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k % len(price)), symbol, v) for k, (symbol, v) in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    columns = ["symbol", "ts", "pool_high_touches", "pool_low_touches", "swept_highs", "swept_lows"]
+    got = QUERIES["liquidity_pools"](spark, str(tmp_path)).select(columns).collect()
+    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL['liquidity_pools']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {r.symbol for r in got if r.pool_low_touches is not None} >= {"flat", "under"} and max(r.pool_low_touches or 0 for r in got) > 2
+
+
+def test_pools_at_zero_are_not_searched():
+    pools = structure.Pools(0.05)
+    assert [pools.join(-1, p) for p in (0.0, 0.0, 1.0, 0.0, 1.04, -2.0, 0.0, 7.0)] == [1, 1, 1, 1, 2, 1, 2, 3]
+    assert structure.Pools(1.0).join(1, 4.0) == 1
