@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sandpiper.llm.graph import components, join_by
+from sandpiper.llm.graph import FEW_NODES, components, join_by
 from sandpiper.llm.tokens import U, binary, mix, parcels, split_words, window_starts, windows
 from sandpiper.session import cut, ship
 
@@ -77,16 +78,19 @@ def slot_counts(docs: DataFrame, shingle: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def grouped(rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def grouped(rows: DataFrame, near: Callable[[DataFrame], DataFrame], shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """row, doc_id, component for every row (row, doc_id, text): equal components reach each other by similar sets.
 
+    Links come from ``near``: given (node, text), one text of each distinct set, it returns pairs (a, b), each of which is verified on the whole
+    sets. An exact join then finds the similar pairs that lie between what those links connect, so none is missed whatever ``near`` leaves out.
+
     Two sets are similar if their Jaccard similarity is ``similarity`` at least. Equal sets (so also all texts without words) are
     one node. Two similar sets of which neither is small enough to be out of the question share a shingle among the first
     n - ceil(similarity * n) + 1 of each, in any order common to all; rare shingles come first, so that few others meet. Every
     meeting that size and place allow is verified on the whole sets, so no similar pair is missed and none is made up.
 
-    Meetings are first held against the smallest node only, for each shingle. What that leaves in one component needs no
-    more; pairs are listed only between components that still meet, so a group of near copies isn't paired with itself.
+    Meetings outside the components known so far are first held against the smallest node only, for each shingle. What that leaves in
+    one component needs no more; pairs are listed only between components that still meet, so a group of near copies isn't paired with itself.
     Texts are read again for each step and not shuffled; whole sets are sent only of texts that have a partner to be verified.
     """
     spark = ship(rows.sparkSession)
@@ -107,22 +111,6 @@ def grouped(rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         return rows.select("row", "text").join(few, F.col("row") == F.col("one")).select("node", "text")
 
     firsts = texts_of(one.drop("__n"))
-    common = spark.sparkContext.broadcast(slot_counts(firsts, shingle))
-
-    def prefixes(batches):
-        for batch in parcels(batches):
-            s = Sets(binary(batch, "text"), shingle)
-            order = np.lexsort((s.key, common.value[slot(s.key)], s.owner))
-            length = s.size - (p * s.size + q - 1) // q + 1
-            place = np.arange(len(order)) - np.repeat(s.first[:-1], s.size)
-            have = place < np.repeat(length, s.size)
-            node = np.repeat(batch.column("node").to_numpy(), length)
-            yield pa.RecordBatch.from_arrays([pa.array(s.key[order][have].view(np.int64)), pa.array(node), pa.array(np.repeat(s.size.astype(np.int32), length)), pa.array(place[have].astype(np.int32))], names=["token", "node", "size", "place"])
-
-    meet = Window.partitionBy("token")
-    tokens = firsts.mapInArrow(prefixes, "token long, node long, size int, place int")
-    met = tokens.withColumn("n", F.count("*").over(meet)).withColumn("lead", F.min(F.struct("node", "size", "place")).over(meet)).filter("n > 1")
-    held = cut(met.select("token", "node", "size", "place", F.col("lead.node").alias("a"), F.col("lead.size").alias("a_size"), F.col("lead.place").alias("a_place")))
 
     def sets_of(batches):
         for batch in parcels(batches):
@@ -146,9 +134,32 @@ def grouped(rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 
         return cut(pairs.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(similar, "a long, b long"))
 
+    links = verified(cut(near(firsts)))
+    known = components(links)
+
+    common = spark.sparkContext.broadcast(slot_counts(firsts, shingle))
+
+    def prefixes(batches):
+        for batch in parcels(batches):
+            s = Sets(binary(batch, "text"), shingle)
+            order = np.lexsort((s.key, common.value[slot(s.key)], s.owner))
+            length = s.size - (p * s.size + q - 1) // q + 1
+            place = np.arange(len(order)) - np.repeat(s.first[:-1], s.size)
+            have = place < np.repeat(length, s.size)
+            node = np.repeat(batch.column("node").to_numpy(), length)
+            yield pa.RecordBatch.from_arrays([pa.array(s.key[order][have].view(np.int64)), pa.array(node), pa.array(np.repeat(s.size.astype(np.int32), length)), pa.array(place[have].astype(np.int32))], names=["token", "node", "size", "place"])
+
+    meet = Window.partitionBy("token")
+    tokens = firsts.mapInArrow(prefixes, "token long, node long, size int, place int")
+    met = tokens.withColumn("n", F.count("*").over(meet)).withColumn("lead", F.min(F.struct("node", "size", "place")).over(meet)).filter("n > 1")
+    held = cut(met.select("token", "node", "size", "place", F.col("lead.node").alias("a"), F.col("lead.size").alias("a_size"), F.col("lead.place").alias("a_place")))
+
     may = f"{q} * least(a_size, size) >= {p} * greatest(a_size, size) AND {p + q} * least(a_size - a_place, size - place) >= {p} * (a_size + size)"
-    first = cut(held.filter("a <> node").filter(may).select("a", F.col("node").alias("b")).distinct())
-    links = verified(first)
+    label = F.broadcast(known) if known.count() <= FEW_NODES else known
+    met_by = held.filter("a <> node").filter(may).select("a", F.col("node").alias("b")).distinct()
+    of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
+    first = cut(met_by.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(a_of, a) <> coalesce(b_of, b)").select("a", "b"))
+    links = cut(links.unionByName(verified(first)))
     label = components(links)
     told = held.join(label, "node", "left").select("token", "node", "size", "place", F.coalesce("component", "node").alias("component"))
     left = cut(told.withColumn("low", F.min("component").over(meet)).withColumn("high", F.max("component").over(meet)).filter("low < high").drop("low", "high"))

@@ -80,17 +80,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def neighbours(texts: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
+    """(a, b): nodes (node, text) with fingerprints within the radius, by which all such nodes hang together.
+
+    Nodes of one fingerprint are linked to the smallest of them, and those smallest by links().
+    """
+    prints = cut(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("node"), "fp"))
+    tops = cut(prints.groupBy("fp").agg(F.min("node").alias("top"), F.count("*").alias("__n")))
+    same = join_by(prints, "fp", tops, prints.count()).filter("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
+    return same.unionByName(links(tops.select(F.col("top").alias("node"), "fp"), radius))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """The documents with one row left of each group of similar ones: the row with the smallest doc_id, null ids last.
 
     Similar are texts whose sets of word shingles have a Jaccard similarity of ``similarity`` at least, and what such texts connect.
-    This is not read off fingerprints, whose distance tells only roughly how similar texts are. Rows are told apart by their
+    SimHash finds them: fingerprints within the radius meet in the middle, and every meeting is verified on the whole sets. As similar
+    texts may be further apart in their fingerprints, an exact join follows between the groups so found. Rows are told apart by their
     place in the input; where that isn't read from a table or checkpoint but made by a shuffle, it is checkpointed first, so
     that the places stay the same.
     """
     shuffled = "Exchange" in docs._jdf.queryExecution().executedPlan().toString()
     rows = (cut(docs) if shuffled else docs).withColumn("__row", F.monotonically_increasing_id())
-    found = cut(grouped(rows.select(F.col("__row").alias("row"), "doc_id", "text"), shingle, similarity))
+    found = cut(grouped(rows.select(F.col("__row").alias("row"), "doc_id", "text"), lambda texts: neighbours(texts, shingle, radius), shingle, similarity))
     kept = cut(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("__n")).filter("__n > 1").select("component", F.col("first.row").alias("kept"), "__n"))
     gone = cut(join_by(found, "component", kept, found.count()).filter("row <> kept").select(F.col("row").alias("__gone")))
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone

@@ -1,10 +1,13 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
+from sandpiper.llm import simhash
 from sandpiper.llm.queries import op4_simhash_neardup
-from sandpiper.llm.simhash import near_duplicates, one_of_each
+from sandpiper.llm.simhash import fingerprint, near_duplicates, neighbours, one_of_each
 
+from . import test_jaccard
 from .helpers import docs, odd_docs, with_clashes
 
 
@@ -60,3 +63,36 @@ def test_odd_rows(spark):
     kept = one_of_each(with_clashes(odd_docs(spark)))
     assert "component_id" in kept.columns and {r.doc_id for r in kept.collect()} == {0, 3, 4, 5, 6, 7, None}
     assert near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_the_stage_gets_its_links_by_fingerprints(spark, monkeypatch):
+    """Near copies within two bits are met by their fingerprints; the exact join is left what lies further apart, and nothing is missed."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(30):
+        words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:399], f"n{k}"]), " ".join(words[: 330 + rng.randrange(40)])]
+    prints = [fingerprint(t.encode(), 5) for t in texts]
+    close = {(i, j) for j in range(len(texts)) for i in range(j) if ((prints[i] ^ prints[j]) & ((1 << 64) - 1)).bit_count() <= 2}
+    pairs = neighbours(docs(spark, texts).select(F.col("doc_id").alias("node"), "text")).collect()
+    assert {(min(p), max(p)) for p in pairs} <= close and len(pairs) == len(set(pairs)) > 10
+    reached = [set(p) for p in pairs]
+    assert {i for p in close for i in p} == set().union(*reached)
+    asked = []
+    monkeypatch.setattr(simhash, "neighbours", lambda *given: asked.append(neighbours(*given)) or asked[-1])
+    assert {r.doc_id for r in one_of_each(docs(spark, texts)).collect()} == test_jaccard.kept(texts)
+    assert len(asked) == 1
+
+
+def test_links_of_fingerprints_are_verified(spark, monkeypatch):
+    """Whatever meets, only similar sets are one group; and what the fingerprints miss is found."""
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words), " ".join(words[:95]), " ".join(words[:40]), "of its own", " ".join(words[40:])]
+    for pairs in ([], [(0, 1), (1, 2), (2, 3), (0, 4), (3, 4)]):
+
+        def some(nodes, *_, pairs=pairs):
+            of = {r.text: r.node for r in nodes.collect()}
+            return spark.createDataFrame([(of[texts[a]], of[texts[b]]) for a, b in pairs], "a long, b long")
+
+        monkeypatch.setattr(simhash, "neighbours", some)
+        assert {r.doc_id for r in one_of_each(docs(spark, texts)).collect()} == {0, 2, 3, 4} == test_jaccard.kept(texts)
