@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sandpiper.llm.tokens import relieve
 from sandpiper.session import ship
 
 #: Mean UTF-8 bytes of text in a chunk, and keys in a bucket, up to LEVEL bytes of text. Beyond, both grow with the square root
@@ -147,13 +148,21 @@ def answers(packed: DataFrame, dtype=np.uint64, earlier: bool = True) -> DataFra
 
 def first_pass(docs: DataFrame, run: Callable[[pa.Table, int], pa.Table], schema: str = PACKED) -> DataFrame:
     """run(rows of a chunk in order, chunk) for every chunk."""
-    return docs.groupBy("__chunk").applyInArrow(lambda t: run(in_order(t), t.column("__chunk")[0].as_py()), schema)
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(in_order(table), table.column("__chunk")[0].as_py())
+        relieve()
+        return out
+
+    return docs.groupBy("__chunk").applyInArrow(one, schema)
 
 
 def next_pass(docs: DataFrame, known: DataFrame, run: Callable[[pa.Table, pa.Table, int], pa.Table], schema) -> DataFrame:
     """run(rows of a chunk in order, what is known of the chunk, chunk); known has a column chunk."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(in_order(left), right, left.column("__chunk")[0].as_py())
+        out = run(in_order(left), right, left.column("__chunk")[0].as_py())
+        relieve()
+        return out
 
     return docs.groupBy("__chunk").cogroup(known.groupBy("chunk")).applyInArrow(both, schema)

@@ -31,7 +31,7 @@ LANGS_LIMIT = 10_000
 #: Rejected texts that are broadcast at most (some 30 bytes each); more are joined.
 REJECTED_LIMIT = 1_000_000
 #: They bound the memory of a task: text taken at a time, n-grams merged at a time, held, and sent at a time.
-PARCEL_BYTES, MERGE_ROWS, GRAMS_HELD, EMIT_ROWS = 1 << 20, 300_000, 800_000, 50_000
+PARCEL_BYTES, MERGE_ROWS, GRAMS_HELD, EMIT_ROWS = 1 << 19, 200_000, 800_000, 50_000
 
 
 # -- surface counts ---------------------------------------------------------
@@ -131,12 +131,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
         held: list[tuple] = []  # (keys, counts, code points, languages), each with distinct keys
 
         def merged():
-            keys, counts, codes, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            # one column after the other, so that no second copy of all is made
+            columns = [list(x) for x in zip(*held, strict=True)]
+            held.clear()
+            keys = np.concatenate(columns.pop(0))
             order = np.argsort(keys)
-            ranked = keys[order]
-            runs = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+            keys = keys[order]
+            runs = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            counts = np.add.reduceat(np.concatenate(columns.pop(0))[order], runs)
             one = order[runs]
-            return ranked[runs], np.add.reduceat(counts[order], runs), codes[one], owner[one]
+            return keys[runs], counts, np.concatenate(columns.pop(0))[one], np.concatenate(columns.pop(0))[one]
 
         def emit(_, counts, codes, owner):
             for at in range(0, len(counts), EMIT_ROWS):
@@ -162,7 +166,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             of = np.repeat(np.array([index[x] for x in langs], np.int32), g.size)[where]
             held.append((ranked[runs], times, g.codes[g.at[where][:, None] + np.arange(ORDER)], of))
             if sum(len(h[0]) for h in held[1:]) > MERGE_ROWS:
-                held = [merged()]
+                held.append(merged())
                 if len(held[0][0]) > GRAMS_HELD:
                     yield from emit(*held.pop())
         if held:
