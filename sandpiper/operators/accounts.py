@@ -43,7 +43,10 @@ def classify(old: Column, new: Column) -> Column:
 
 
 def positions(fills: DataFrame, by: tuple[str, ...], time: list[str]) -> DataFrame:
-    """Running signed position and cash of fills (side, lots, fill_price, commission), and what each fill did."""
+    """Running signed position and cash of fills (side, lots, fill_price, commission), and what each fill did.
+
+    time should leave no ties between fills that differ: each window would take those in an order of its own.
+    """
     order = Window.partitionBy(*by).orderBy(*time).rowsBetween(Window.unboundedPreceding, 0)
     signed = F.col("side") * F.col("lots")
     out = fills.withColumns({"position": F.sum(signed).over(order), "cash": F.sum(-signed * F.col("fill_price") - F.col("commission")).over(order)})

@@ -431,11 +431,13 @@ QUERIES["reconcile_costs"] = _reconcile
 ORACLE_SQL["reconcile_costs"] = f"""WITH {FILLS_SQL}, e AS (SELECT execution_id, sum(total_cost) AS e FROM c WHERE execution_id % 7 <> 0 GROUP BY 1), a AS (SELECT execution_id, sum(total_cost * CASE WHEN fill_no = 1 THEN 1.1 ELSE 1.0 END) AS a FROM c WHERE execution_id % 5 <> 0 GROUP BY 1)
     SELECT execution_id, {r6('coalesce(e, 0)', 'expected', 10)}, {r6('coalesce(a, 0)', 'actual', 10)}, {r6('coalesce(a, 0) - coalesce(e, 0)', 'variance', 10)}, CASE WHEN e IS NULL THEN 'unexpected' WHEN a IS NULL THEN 'missing' ELSE 'matched' END AS status FROM e FULL JOIN a USING (execution_id)"""
 ORDER = ["ts", "execution_id", "fill_no"]
+#: Fills that tie in ORDER go by all that the results hang on: each window takes them alike, however the table is stored.
+TOTAL_ORDER = [*ORDER, "side", "lots", "fill_price", "commission"]
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = acc.positions(acc.fill_costs(_fills(spark, sf_dir)), ("account",), ORDER).withColumn("equity", F.col("equity") + 1_000_000)
-    return tidy(acc.drawdown(rows, ("account",), ORDER), ["account", "execution_id", "fill_no"], ["position", "cash", "action", "equity", "peak", "total_drawdown", "daily_drawdown"])
+    rows = acc.positions(acc.fill_costs(_fills(spark, sf_dir)), ("account",), TOTAL_ORDER).withColumn("equity", F.col("equity") + 1_000_000)
+    return tidy(acc.drawdown(rows, ("account",), TOTAL_ORDER), ["account", "execution_id", "fill_no"], ["position", "cash", "action", "equity", "peak", "total_drawdown", "daily_drawdown"])
 
 
 QUERIES["positions_drawdown"] = _positions
